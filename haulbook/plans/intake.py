@@ -55,16 +55,22 @@ def items_with_defaults(rows: DataFrame, defaults: DataFrame) -> DataFrame:
     return rows.join(own, "request_id", "left").select(*ITEMS)
 
 
-def merge_defaults(items: DataFrame) -> DataFrame:
+def nesting_of(rows: DataFrame, defaults: str) -> int:
+    """Bound of how deep a column of defaults nests: one number, from a scan of that column alone."""
+    return rows.select(F.max(nesting_bound(F.col(defaults)))).first()[0] or 0
+
+
+def merge_defaults(items: DataFrame, depth: int | None = None) -> DataFrame:
     """Payloads with their defaults filled in, and the priority that applies.
 
-    Built-in expressions merge as deep as the deepest defaults go, which takes one small aggregate to bound; defaults
-    nested deeper than that is worthwhile for go through Arrow.
+    ``depth`` bounds the nesting of the defaults, and is looked up if not given. Built-in expressions merge down to
+    it; defaults nested deeper than they are worthwhile for go through Arrow.
     """
-    bound = items.select(F.max(nesting_bound(F.col("default_payload")))).first()[0] or 0
+    if depth is None:
+        depth = nesting_of(items, "default_payload")
     default_payload, payload = F.col("default_payload"), F.col("payload")
-    if bound <= NATIVE_MERGE_DEPTH:
-        merged = deep_merge(default_payload, payload, bound)
+    if depth <= NATIVE_MERGE_DEPTH:
+        merged = deep_merge(default_payload, payload, depth)
     else:
         merged = deep_merge_any_depth(default_payload, payload)
     return items.select(
@@ -106,13 +112,17 @@ def new_transfers(items: DataFrame) -> DataFrame:
 
 
 def submit(
-    request_ids: DataFrame, items: DataFrame, now: Column, schema: Mapping | str | None = None
+    request_ids: DataFrame,
+    items: DataFrame,
+    now: Column,
+    schema: Mapping | str | None = None,
+    depth: int | None = None,
 ) -> Intake:
     """Take in requests: ``request_ids`` names them (one may be empty), ``items`` are their transfers.
 
     Without a schema every payload is accepted.
     """
-    merged = merge_defaults(items)
+    merged = merge_defaults(items, depth)
     ids = request_ids.select("request_id")
     if schema is None:
         rejected = merged.where(F.lit(False)).select(
@@ -133,4 +143,4 @@ def submit(
 
 def submit_bulk(bulk: DataFrame, now: Column, schema: Mapping | str | None = None) -> Intake:
     """Take in bulk requests with one row each."""
-    return submit(bulk, items_of(bulk), now, schema)
+    return submit(bulk, items_of(bulk), now, schema, nesting_of(bulk, "defaults.payload"))
