@@ -1,5 +1,5 @@
 """Queries over the driver's tables, one per operator, each with the SQL whose result it must equal."""
 
-from checks import reporting
+from checks import ledger, reporting
 
-MODULES = (reporting,)
+MODULES = (reporting, ledger)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,51 +58,56 @@ def cut_at(rows: DataFrame, keys: list[Key], rank: int, weight: str | None = Non
     null; with ``weight`` a row stands for that many rows.
     """
     amount = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    total = rows.agg(F.coalesce(amount, F.lit(0)).alias("n")).first()["n"]
-    if total <= rank:
-        return None, total
     values: list[Column] = []
     for key in keys:
-        value, before = _value_at(rows, key, rank, amount)
+        found = _value_at(rows, key, rank, amount)
+        if found is None:
+            return None, rank
+        value, before = found
         rank -= before
         values.append(value)
         rows = rows.where(F.col(key.column) == value)
     return Cut(tuple(keys), tuple(values)), rank
 
 
-def _value_at(rows: DataFrame, key: Key, rank: int, amount: Column) -> tuple[Column, int]:
-    """The key value of the row at ``rank``, and the number of rows that come before that value."""
+def _value_at(rows: DataFrame, key: Key, rank: int, amount: Column) -> tuple[Column, int] | None:
+    """The key value of the row at ``rank``, and the number of rows before that value; None if all are within."""
     data_type = rows.schema[key.column].dataType
     column = F.col(key.column)
-    low, high, distinct = rows.agg(
-        F.min(column).alias("low"), F.max(column).alias("high"), F.approx_count_distinct(column).alias("d")
-    ).first()
+    measures = [
+        amount.alias("n"),
+        F.min(column).alias("low"),
+        F.max(column).alias("high"),
+        F.approx_count_distinct(column).alias("distinct"),
+    ]
+
+    def counts_per(bucket: Column) -> list[Row]:
+        counts = rows.groupBy(bucket.alias("bucket")).agg(*measures).collect()
+        return sorted(counts, key=lambda row: _sort_key(row["low"]), reverse=key.descending)
+
+    if isinstance(data_type, (T.ByteType, T.ShortType)):
+        # The type itself bounds how many values there are.
+        counts = counts_per(column)
+    else:
+        counts = [rows.agg(*measures).first()]
+    if sum(row["n"] or 0 for row in counts) <= rank:
+        return None
     skipped = 0
-    while low != high:
-        if distinct <= SMALL:
-            bucket = column
-        elif isinstance(data_type, T.StringType):
-            bucket = F.substr(column, F.lit(1), F.lit(_common_prefix(low, high) + 2))
-        else:
-            bucket = _bucket_of(column, F.lit(low).cast(data_type), F.lit(high).cast(data_type))
-        counts = (
-            rows.groupBy(bucket.alias("bucket"))
-            .agg(
-                amount.alias("n"),
-                F.min(column).alias("low"),
-                F.max(column).alias("high"),
-                F.approx_count_distinct(column).alias("d"),
-            )
-            .collect()
-        )
-        counts.sort(key=lambda row: _sort_key(row["low"]), reverse=key.descending)
+    while True:
         for row in counts:
             if skipped + row["n"] >= rank:
-                low, high, distinct = row["low"], row["high"], row["d"]
                 break
             skipped += row["n"]
+        low, high = row["low"], row["high"]
+        if low == high:
+            return F.lit(low).cast(data_type), skipped
         rows = rows.where(column.between(F.lit(low).cast(data_type), F.lit(high).cast(data_type)))
-    return F.lit(low).cast(data_type), skipped
+        if row["distinct"] <= SMALL:
+            counts = counts_per(column)
+        elif isinstance(data_type, T.StringType):
+            counts = counts_per(F.substr(column, F.lit(1), F.lit(_common_prefix(low, high) + 2)))
+        else:
+            counts = counts_per(_bucket_of(column, F.lit(low).cast(data_type), F.lit(high).cast(data_type)))
 
 
 def _bucket_of(column: Column, low: Column, high: Column) -> Column:
