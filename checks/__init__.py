@@ -1,5 +1,11 @@
 """Queries over the driver's tables, one per operator, each with the SQL whose result it must equal."""
 
-from checks import ledger, reporting
+import sys
 
-MODULES = (reporting, ledger)
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+from checks import copying, intake, ledger, reporting, streams  # noqa: E402
+
+MODULES = (reporting, ledger, intake, copying, streams)

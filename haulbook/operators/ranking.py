@@ -60,18 +60,17 @@ def cut_at(rows: DataFrame, keys: list[Key], rank: int, weight: str | None = Non
     amount = F.count(F.lit(1)) if weight is None else F.sum(weight)
     values: list[Column] = []
     for key in keys:
-        found = _value_at(rows, key, rank, amount)
-        if found is None:
+        value, before, total = _value_at(rows, key, rank, amount)
+        if not values and total <= rank:
             return None, rank
-        value, before = found
         rank -= before
         values.append(value)
         rows = rows.where(F.col(key.column) == value)
     return Cut(tuple(keys), tuple(values)), rank
 
 
-def _value_at(rows: DataFrame, key: Key, rank: int, amount: Column) -> tuple[Column, int] | None:
-    """The key value of the row at ``rank``, and the number of rows before that value; None if all are within."""
+def _value_at(rows: DataFrame, key: Key, rank: int, amount: Column) -> tuple[Column | None, int, int]:
+    """The key value of the row at ``rank``, the number of rows before that value, and the number of all rows."""
     data_type = rows.schema[key.column].dataType
     column = F.col(key.column)
     measures = [
@@ -90,8 +89,9 @@ def _value_at(rows: DataFrame, key: Key, rank: int, amount: Column) -> tuple[Col
         counts = counts_per(column)
     else:
         counts = [rows.agg(*measures).first()]
-    if sum(row["n"] or 0 for row in counts) <= rank:
-        return None
+    total = sum(row["n"] or 0 for row in counts)
+    if total < rank:
+        return None, 0, total
     skipped = 0
     while True:
         for row in counts:
@@ -100,7 +100,7 @@ def _value_at(rows: DataFrame, key: Key, rank: int, amount: Column) -> tuple[Col
             skipped += row["n"]
         low, high = row["low"], row["high"]
         if low == high:
-            return F.lit(low).cast(data_type), skipped
+            return F.lit(low).cast(data_type), skipped, total
         rows = rows.where(column.between(F.lit(low).cast(data_type), F.lit(high).cast(data_type)))
         if row["distinct"] <= SMALL:
             counts = counts_per(column)

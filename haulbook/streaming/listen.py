@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -35,21 +36,25 @@ class Listener:
     outbox: str | None = None
     first_batch: int = 1
     strict: bool = True
+    clock: Callable[[], Column] = utc_now
 
-    def fold(self, messages: DataFrame, batch: int, now: Column | None = None) -> None:
-        """Fold tagged messages: new images of the transfers they are about, and the children of expansions."""
-        now = utc_now() if now is None else now
+    def fold(self, messages: DataFrame, batch: int) -> None:
+        """Fold tagged messages: new images of the transfers they are about, and the children of expansions.
+
+        Unless strict, expansions of unknown transfers are set aside instead of failing the batch.
+        """
         transfers, requests = self.ledger.transfers((batch, FOLD_STAGE)), self.ledger.requests((batch, FOLD_STAGE))
-        changed = fold_tagged(transfers, messages, now)
+        changed = fold_tagged(transfers, messages, self.clock())
         results = messages.where(F.col("signal").isNotNull())
-        children = expand(transfers, results, requests, self.strict).children
-        self.ledger.append(batch, FOLD_STAGE, transfers=changed.unionByName(children))
+        expansion = expand(transfers, results, requests, self.strict)
+        if not self.strict:
+            expansion.rejected.write.mode("overwrite").parquet(f"{self.ledger.root}/rejected/batch={batch}")
+        self.ledger.append(batch, FOLD_STAGE, transfers=changed.unionByName(expansion.children))
 
-    def sweep(self, batch: int, now: Column | None = None) -> None:
+    def sweep(self, batch: int) -> None:
         """Submit what the cap leaves room for, and put the envelopes into the outbox."""
-        now = utc_now() if now is None else now
         before = (batch, ADMIT_STAGE)
-        admitted = admit(self.ledger.transfers(before), self.ledger.requests(before), self.max_in_flight, now)
+        admitted = admit(self.ledger.transfers(before), self.ledger.requests(before), self.max_in_flight, self.clock())
         self.ledger.append(batch, ADMIT_STAGE, transfers=admitted)
         if self.outbox is not None:
             sent = encode_requests(self.ledger.changes(batch, ADMIT_STAGE), F.lit(batch).cast("bigint"))

@@ -57,19 +57,23 @@ def _failure(description: str, problem: Exception) -> dict[str, str | None]:
     }
 
 
+def _text(value: Any) -> str:
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
 def _outcome(call: Callable[[Any], Any], payload: str, description: str) -> tuple[bool, str | None, str]:
     """(is done, signal, info) of one call; an exception is an outcome too."""
     try:
         taken = call(json.loads(payload))
         if isinstance(taken, Progress):
-            return False, None, json.dumps(taken.value)
+            return False, None, _text(taken.value)
         if isinstance(taken, Done):
-            return True, "SUCCESS", json.dumps(taken.value)
+            return True, "SUCCESS", _text(taken.value)
         if isinstance(taken, Expanded):
-            return True, "EXPANDED", json.dumps(list(taken.requests))
+            return True, "EXPANDED", _text(list(taken.requests))
         raise TypeError(f"not a step: {taken!r}")
     except Exception as problem:
-        return True, "FATAL_FAILURE", json.dumps(_failure(description, problem))
+        return True, "FATAL_FAILURE", _text(_failure(description, problem))
 
 
 def _run(rows: DataFrame, call: Callable[[Any], Any], description: str) -> DataFrame:
