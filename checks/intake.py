@@ -218,7 +218,8 @@ def validate(spark, sf_dir):
     ),
 )
 def submit(spark, sf_dir):
-    taken = intake.submit(request_ids(spark, sf_dir), items(spark, sf_dir), v.now(), SCHEMA)
+    staging = f"{run_dir(spark, 'tx_submit_batch')}/items"
+    taken = intake.submit(request_ids(spark, sf_dir), items(spark, sf_dir), v.now(), SCHEMA, staging=staging)
     rejected = taken.rejected.withColumn("errors", F.array_join("errors", "; "))
     rows = everything(Outcome(taken.transfers, taken.acks, rejected))
     requests = taken.requests.withColumns({"part": F.lit("request"), "updated_count": F.lit(-1).cast("bigint")})

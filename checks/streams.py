@@ -237,6 +237,13 @@ ENDED_AT_ONCE = """
                       WHEN 0 THEN '{"loopCount":0}'
                       ELSE '[{"loopCount":1},{"loopCount":1}]' END AS info
     FROM loops WHERE loops IN (-1, 0, 4)"""
+#: Decoded messages have their keys in alphabetic order.
+ENDED_DECODED = ENDED_AT_ONCE.replace(
+    """'{"message":"Unhandled error initializing transfer: cannot loop backwards",'
+                                   || '"detail":"''loopCount''"}'""",
+    """'{"detail":"''loopCount''",'
+                                   || '"message":"Unhandled error initializing transfer: cannot loop backwards"}'""",
+)
 STARTED = """
     SELECT request_id, transfer_id, arrival, 0 AS step, FALSE AS is_done, CAST(NULL AS VARCHAR) AS signal,
            '{"loopsSoFar":0,"loopsToGo":' || loops || '}' AS info
@@ -293,7 +300,7 @@ def loop_topics(spark, sf_dir, name: str) -> tuple[stages.Topics, str]:
     "str_init_stage",
     v.with_views(
         loops=LOOPS,
-        ended=ENDED_AT_ONCE,
+        ended=ENDED_DECODED,
         started=STARTED,
         query="""SELECT request_id, transfer_id, step, NULL AS signal, info FROM started
                  UNION ALL SELECT request_id, transfer_id, -1 AS step, signal, info FROM ended""",
@@ -312,7 +319,7 @@ def init_stage(spark, sf_dir):
     "str_step_stage",
     v.with_views(
         loops=LOOPS,
-        ended=ENDED_AT_ONCE,
+        ended=ENDED_DECODED,
         query="""SELECT request_id, transfer_id, signal, info FROM ended
                  UNION ALL SELECT request_id, transfer_id, 'SUCCESS' AS signal,
                                   '{"loopCount":' || loops || '}' AS info

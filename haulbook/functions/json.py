@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,6 +16,11 @@ from haulbook.schemas import SIGNAL_STATUS
 NATIVE_MERGE_DEPTH = 8
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body mentions it."""
+    return F.get(F.transform(F.array(value), lambda bound: body(bound)), F.lit(0))
+
+
 def tuple_item(message: Column, index: int, as_type: str) -> Column:
     """An element of a JSON array held as a variant."""
     return F.variant_get(message, f"$[{index}]", as_type)
@@ -54,7 +59,7 @@ def _merge_variants(below: Column, above: Column, depth: int) -> Column:
         .when(low.isNull(), high)
         .otherwise(_merge_variants(low, high, depth - 1)),
     )
-    # The cast is null unless both sides are objects; anything else is replaced, also by an explicit null.
+    # The fields are null unless both sides are objects; anything else is replaced, also by an explicit null.
     return F.coalesce(F.to_variant_object(fields), above)
 
 
@@ -63,8 +68,8 @@ def deep_merge(defaults: Column, payload: Column, depth: int = NATIVE_MERGE_DEPT
 
     ``depth`` must be at least the nesting depth of ``defaults``, which `nesting_bound` gives an upper bound of.
     """
-    merged = F.to_json(_merge_variants(F.parse_json(defaults), F.parse_json(payload), depth))
-    return F.when(defaults.isNull(), payload).otherwise(merged)
+    merged = let(F.parse_json(payload), lambda above: _merge_variants(F.parse_json(defaults), above, depth))
+    return F.when(defaults.isNull(), payload).otherwise(F.to_json(merged))
 
 
 def nesting_bound(text: Column) -> Column:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping
+from functools import partial
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from haulbook.functions.json import let
+
 #: Keywords that say something about a payload.
 CHECKED = ("type", "properties", "required", "additionalProperties", "pattern")
 #: Keywords that describe the schema itself.
@@ -28,64 +31,87 @@ def compile_schema(schema: Mapping | str) -> Mapping:
     return schema
 
 
+# JSON type names by the type a variant reports, and the types each schema type accepts.
+JSON_TYPES = {
+    "VOID": "null",
+    "BOOLEAN": "boolean",
+    "STRING": "string",
+    "BIGINT": "integer",
+    "DECIMAL": "number",
+    "DOUBLE": "number",
+    "FLOAT": "number",
+    "ARRAY": "array",
+    "OBJECT": "object",
+}
+
+
 def json_type(value: Column) -> Column:
     """JSON type name of a variant."""
-    name = F.schema_of_variant(value)
-    return (
-        F.when(name == "VOID", "null")
-        .when(name == "BOOLEAN", "boolean")
-        .when(name == "STRING", "string")
-        .when(name == "BIGINT", "integer")
-        .when(name.rlike(r"^DECIMAL\(\d+,0\)$"), "integer")
-        .when(name.startswith("ARRAY"), "array")
-        .when(name.startswith("OBJECT"), "object")
-        .otherwise("number")
-    )
+    # A decimal without fraction is an integer too long for a bigint, or one written as 1.0.
+    name = F.regexp_replace(F.schema_of_variant(value), r"^DECIMAL\(\d+,0\)$", "BIGINT")
+    names = F.create_map(*[F.lit(text) for pair in JSON_TYPES.items() for text in pair])
+    return names[F.regexp_extract(name, "^[A-Z]+", 0)]
+
+
+def _no_errors() -> Column:
+    return F.array().cast("array<string>")
 
 
 def _single(condition: Column, text: Column | str) -> Column:
     text = F.lit(text) if isinstance(text, str) else text
-    return F.when(condition, F.array(text)).otherwise(F.array().cast("array<string>"))
+    return F.when(condition, F.array(text)).otherwise(_no_errors())
+
 
+def _joined(checks: list[Column]) -> Column:
+    return F.concat(*checks) if checks else _no_errors()
 
-def _checks(value: Column, schema: Mapping, path: str) -> list[Column]:
-    """Error lists of a value that is present."""
+
+def _errors(value: Column, schema: Mapping, path: str) -> Column:
+    """Error list of a value that is present."""
     checks = []
     if "type" in schema:
-        types = [schema["type"]] if isinstance(schema["type"], str) else list(schema["type"])
-        accepted = types + ["integer"] if "number" in types else types
-        found = json_type(value)
-        expected = " or ".join(types)
-        checks.append(
-            _single(~found.isin(*accepted), F.concat(F.lit(f"{path}: expected {expected}, found "), found))
-        )
+        checks.append(let(json_type(value), lambda found: _type_errors(found, schema["type"], path)))
     if "pattern" in schema:
-        text = F.try_variant_get(value, "$", "string")
-        broken = (json_type(value) == "string") & ~text.rlike(schema["pattern"])
-        checks.append(_single(broken, f"{path}: does not match {schema['pattern']}"))
-
-    fields = value.try_cast("map<string,variant>")
-    for name in schema.get("required", []):
-        absent = fields.isNotNull() & ~F.map_contains_key(fields, name)
-        checks.append(_single(absent, f"{path}: missing {name}"))
+        # Null, and so no error, unless the value is a string.
+        text = F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+        checks.append(_single(~text.rlike(schema["pattern"]), f"{path}: does not match {schema['pattern']}"))
+    if any(keyword in schema for keyword in ("required", "properties", "additionalProperties")):
+        fields = value.try_cast("map<string,variant>")
+        checks.append(let(fields, lambda found: _object_errors(found, schema, path)))
+    return _joined(checks)
+
+
+def _type_errors(found: Column, types: str | list[str], path: str) -> Column:
+    types = [types] if isinstance(types, str) else list(types)
+    accepted = types + ["integer"] if "number" in types else types
+    text = F.concat(F.lit(f"{path}: expected {' or '.join(types)}, found "), found)
+    return _single(~found.isin(*accepted), text)
+
+
+def _object_errors(fields: Column, schema: Mapping, path: str) -> Column:
+    """Errors about the fields of an object; none for a value that is not an object."""
+    checks = [
+        _single(~F.map_contains_key(fields, name), f"{path}: missing {name}") for name in schema.get("required", [])
+    ]
     properties = schema.get("properties", {})
     if schema.get("additionalProperties", True) is False:
         known = F.array(*[F.lit(name) for name in properties]).cast("array<string>")
         unknown = F.array_sort(F.array_except(F.map_keys(fields), known))
-        texts = F.transform(unknown, lambda name: F.concat(F.lit(f"{path}: unexpected "), name))
-        checks.append(F.coalesce(texts, F.array().cast("array<string>")))
+        checks.append(F.transform(unknown, lambda name: F.concat(F.lit(f"{path}: unexpected "), name)))
     for name, nested in properties.items():
-        inner = fields[name]
-        errors = _checks(inner, nested, f"{path}.{name}")
-        if errors:
-            checks.append(F.when(inner.isNotNull(), F.concat(*errors)).otherwise(F.array().cast("array<string>")))
-    return checks
+        checks.append(let(fields[name], partial(_property_errors, schema=nested, path=f"{path}.{name}")))
+    return F.when(fields.isNull(), _no_errors()).otherwise(_joined(checks))
+
+
+def _property_errors(value: Column, schema: Mapping, path: str) -> Column:
+    return F.when(value.isNull(), _no_errors()).otherwise(_errors(value, schema, path))
 
 
 def payload_errors(payload: Column, schema: Mapping | str) -> Column:
     """All that is wrong with a JSON text; an empty array if nothing is."""
     schema = compile_schema(schema)
-    value = F.try_parse_json(payload)
-    errors = _checks(value, schema, "$")
-    found = F.concat(*errors) if errors else F.array().cast("array<string>")
-    return F.when(value.isNull(), F.array(F.lit("$: not JSON"))).otherwise(found)
+
+    def check(value: Column) -> Column:
+        return F.when(value.isNull(), F.array(F.lit("$: not JSON"))).otherwise(_errors(value, schema, "$"))
+
+    return let(F.try_parse_json(payload), check)

@@ -117,30 +117,38 @@ def submit(
     now: Column,
     schema: Mapping | str | None = None,
     depth: int | None = None,
+    staging: str | None = None,
 ) -> Intake:
     """Take in requests: ``request_ids`` names them (one may be empty), ``items`` are their transfers.
 
-    Without a schema every payload is accepted.
+    Without a schema every payload is accepted. With a ``staging`` folder the merged and validated items are written
+    there once, and the four results read what they need of them instead of merging again.
     """
     merged = merge_defaults(items, depth)
+    if schema is not None:
+        merged = validate(merged, schema)
+    if staging is not None:
+        merged.write.mode("overwrite").parquet(staging)
+        merged = merged.sparkSession.read.schema(merged.schema).parquet(staging)
     ids = request_ids.select("request_id")
     if schema is None:
         rejected = merged.where(F.lit(False)).select(
             "request_id", "ordinal", F.array().cast("array<string>").alias("errors"), F.lit(INVALID).alias("reason")
         )
     else:
-        validated = validate(merged, schema)
-        bad = invalid_requests(validated)
-        merged = merged.join(bad, "request_id", "left_anti")
-        ids = ids.join(bad, "request_id", "left_anti")
-        rejected = validated.where(F.size("errors") > 0).select(
+        bad = invalid_requests(merged)
+        rejected = merged.where(F.size("errors") > 0).select(
             "request_id", "ordinal", "errors", F.lit(INVALID).alias("reason")
         )
+        merged = merged.join(bad, "request_id", "left_anti")
+        ids = ids.join(bad, "request_id", "left_anti")
     counts = merged.groupBy("request_id").agg(F.count(F.lit(1)).alias("updated_count"))
     acks = ids.join(counts, "request_id", "left").fillna(0, ["updated_count"])
     return Intake(new_requests(ids, now), new_transfers(merged), acks, rejected)
 
 
-def submit_bulk(bulk: DataFrame, now: Column, schema: Mapping | str | None = None) -> Intake:
+def submit_bulk(
+    bulk: DataFrame, now: Column, schema: Mapping | str | None = None, staging: str | None = None
+) -> Intake:
     """Take in bulk requests with one row each."""
-    return submit(bulk, items_of(bulk), now, schema, nesting_of(bulk, "defaults.payload"))
+    return submit(bulk, items_of(bulk), now, schema, nesting_of(bulk, "defaults.payload"), staging)
