@@ -401,7 +401,7 @@ def copy_chunked(spark, sf_dir):
     "snk_object_chunked",
     v.with_views(
         "objects",
-        query=f"""SELECT path, size, md5, CAST(ceil(size / {STEP}.0) AS BIGINT) AS chunks, 0 AS damaged
+        query=f"""SELECT path, size, md5, CAST(ceil(size / {STEP}.0) AS BIGINT) AS chunks, CAST(0 AS BIGINT) AS damaged
                   FROM objects WHERE size > {STEP}""",
     ),
 )
@@ -422,7 +422,7 @@ def write_chunked(spark, sf_dir):
         "size",
         "md5",
         F.col("steps").alias("chunks"),
-        F.coalesce("damaged", F.lit(0)).alias("damaged"),
+        F.coalesce("damaged", F.lit(0)).cast("bigint").alias("damaged"),
     )
 
 

@@ -90,7 +90,7 @@ def payload():
 
 def items(spark, sf_dir):
     priority = 5 - F.substring("o_orderpriority", 1, 1).cast("int")
-    rows = v.table(spark, sf_dir, "orders").select(
+    rows = v.spread(v.table(spark, sf_dir, "orders")).select(
         F.col("o_custkey").cast("string").alias("request_id"),
         F.col("o_orderkey").alias("ordinal"),
         payload().alias("payload"),

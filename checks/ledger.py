@@ -182,8 +182,8 @@ KNOWN = "EXISTS (SELECT 1 FROM transfers t WHERE t.id = g.id AND t.request_id =
         query=everything_sql(
             f"""SELECT {row(status="'pending'", steps_run="CAST(0 AS INT)")} FROM transfers
                 WHERE status = 'failed' AND (request_id, id) IN (SELECT (request_id, id) FROM targets)""",
-            f"""SELECT request_id, id,
-                       CASE WHEN {KNOWN.format(" AND t.status = 'failed'")} THEN 1 ELSE 0 END AS updated_count
+            f"""SELECT request_id, id, CAST(CASE WHEN {KNOWN.format(" AND t.status = 'failed'")} THEN 1 ELSE 0 END
+                                           AS BIGINT) AS updated_count
                 FROM targets g WHERE {KNOWN.format("")}""",
             f"""SELECT request_id, id, 'not_found' AS reason FROM targets g WHERE NOT {KNOWN.format("")}""",
         ),
@@ -227,7 +227,7 @@ def prioritise_requests(spark, sf_dir):
         query=everything_sql(
             f"""SELECT {row(priority='new_priority')} FROM found
                 WHERE status = 'pending' AND priority <> new_priority""",
-            """SELECT request_id, id, CASE WHEN priority <> new_priority THEN 1 ELSE 0 END AS updated_count
+            """SELECT request_id, id, CAST(CASE WHEN priority <> new_priority THEN 1 ELSE 0 END AS BIGINT) AS updated_count
                FROM found WHERE status = 'pending'""",
             f"""SELECT request_id, id, 'conflict' AS reason FROM found WHERE status <> 'pending'
                 UNION ALL SELECT request_id, id, 'not_found' AS reason FROM targets g

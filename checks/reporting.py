@@ -244,7 +244,7 @@ def page_of_transfers(spark, sf_dir):
 )
 def page_with_total(spark, sf_dir):
     found = report.list_requests(v.transfers(spark, sf_dir), v.requests(spark, sf_dir), 10, 50)
-    return found.items.select("id", "received_at", F.lit(found.total).alias("total"))
+    return found.items.select("id", "received_at", F.lit(found.total).cast("bigint").alias("total"))
 
 
 @check(
@@ -292,7 +292,7 @@ def request_status(spark, sf_dir):
 def list_transfers(spark, sf_dir):
     rows = v.transfers(spark, sf_dir)
     found = report.list_transfers(rows, busiest_request(rows), 0, 1_000_000)
-    return found.items.withColumn("total", F.lit(found.total))
+    return found.items.withColumn("total", F.lit(found.total).cast("bigint"))
 
 
 @check(

@@ -175,7 +175,7 @@ def sweeping(spark, sf_dir):
         "requests",
         "transfers",
         admitted=ADMITTED,
-        query="SELECT id AS transfer_id, 1 AS submissions FROM admitted",
+        query="SELECT id AS transfer_id, CAST(1 AS BIGINT) AS submissions FROM admitted",
     ),
 )
 def no_double_submit(spark, sf_dir):

@@ -137,6 +137,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows over all cores if their file is too small to be split; larger inputs are split by the scan already."""
+    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    split = int(rows.sparkSession.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"))
+    return rows.repartition(cores) if int(str(size)) < cores * split else rows
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     minutes = F.make_dt_interval(mins=(F.col("c_custkey") % 97).cast("int"))
     return table(spark, sf_dir, "customer").select(
@@ -184,7 +192,7 @@ def progress_of(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
 
 
 def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return progress_of(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"))
+    return progress_of(spread(table(spark, sf_dir, "lineitem")), table(spark, sf_dir, "orders"))
 
 
 def results_of(events: DataFrame, orders: DataFrame) -> DataFrame:
@@ -226,7 +234,7 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def object_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("/"), "source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id"), F.lit(".txt"))
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         path.alias("path"), "doc_id", F.encode("text", "UTF-8").alias("content")
     )
 

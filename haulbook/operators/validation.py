@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,26 +31,36 @@ def compile_schema(schema: Mapping | str) -> Mapping:
     return schema
 
 
-# JSON type names by the type a variant reports, and the types each schema type accepts.
-JSON_TYPES = {
-    "VOID": "null",
-    "BOOLEAN": "boolean",
-    "STRING": "string",
-    "BIGINT": "integer",
-    "DECIMAL": "number",
-    "DOUBLE": "number",
-    "FLOAT": "number",
-    "ARRAY": "array",
-    "OBJECT": "object",
+# What a variant reports as its type, for each JSON type.
+VARIANT_TYPES = {
+    "null": r"VOID",
+    "boolean": r"BOOLEAN",
+    "string": r"STRING",
+    # A decimal without fraction is an integer too long for a bigint, or one written as 1.0.
+    "integer": r"BIGINT|DECIMAL\(\d+,0\)",
+    "number": r"BIGINT|DECIMAL.*|DOUBLE|FLOAT",
+    "array": r"ARRAY<.*",
+    "object": r"OBJECT<.*",
 }
+# The most frequent spelling of each type, compared before any pattern.
+PLAIN_TYPES = {"null": "VOID", "boolean": "BOOLEAN", "string": "STRING", "integer": "BIGINT", "number": "BIGINT"}
 
 
-def json_type(value: Column) -> Column:
-    """JSON type name of a variant."""
-    # A decimal without fraction is an integer too long for a bigint, or one written as 1.0.
-    name = F.regexp_replace(F.schema_of_variant(value), r"^DECIMAL\(\d+,0\)$", "BIGINT")
-    names = F.create_map(*[F.lit(text) for pair in JSON_TYPES.items() for text in pair])
-    return names[F.regexp_extract(name, "^[A-Z]+", 0)]
+def json_type(reported: Column) -> Column:
+    """JSON type name of what a variant reports as its type."""
+    ladder = F
+    for name, pattern in VARIANT_TYPES.items():
+        ladder = ladder.when(reported.rlike(f"^({pattern})$"), name)
+    return ladder
+
+
+def _is_type(value: Column, reported: Column, name: str) -> Column:
+    if name == "object":
+        return value.try_cast("map<string,variant>").isNotNull()
+    if name == "array":
+        return value.try_cast("array<variant>").isNotNull()
+    plain = reported == PLAIN_TYPES[name]
+    return plain if name not in ("integer", "number") else plain | reported.rlike(f"^({VARIANT_TYPES[name]})$")
 
 
 def _no_errors() -> Column:
@@ -70,7 +80,7 @@ def _errors(value: Column, schema: Mapping, path: str) -> Column:
     """Error list of a value that is present."""
     checks = []
     if "type" in schema:
-        checks.append(let(json_type(value), lambda found: _type_errors(found, schema["type"], path)))
+        checks.append(_type_errors(value, schema["type"], path))
     if "pattern" in schema:
         # Null, and so no error, unless the value is a string.
         text = F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
@@ -81,11 +91,13 @@ def _errors(value: Column, schema: Mapping, path: str) -> Column:
     return _joined(checks)
 
 
-def _type_errors(found: Column, types: str | list[str], path: str) -> Column:
+def _type_errors(value: Column, types: str | list[str], path: str) -> Column:
     types = [types] if isinstance(types, str) else list(types)
-    accepted = types + ["integer"] if "number" in types else types
-    text = F.concat(F.lit(f"{path}: expected {' or '.join(types)}, found "), found)
-    return _single(~found.isin(*accepted), text)
+    reported = F.schema_of_variant(value)
+    accepted = reduce(Column.__or__, [_is_type(value, reported, name) for name in types])
+    # The type is only named for a value that is not accepted.
+    text = F.concat(F.lit(f"{path}: expected {' or '.join(types)}, found "), json_type(reported))
+    return _single(~accepted, text)
 
 
 def _object_errors(fields: Column, schema: Mapping, path: str) -> Column:
@@ -97,7 +109,10 @@ def _object_errors(fields: Column, schema: Mapping, path: str) -> Column:
     if schema.get("additionalProperties", True) is False:
         known = F.array(*[F.lit(name) for name in properties]).cast("array<string>")
         unknown = F.array_sort(F.array_except(F.map_keys(fields), known))
-        checks.append(F.transform(unknown, lambda name: F.concat(F.lit(f"{path}: unexpected "), name)))
+        texts = F.transform(unknown, lambda name: F.concat(F.lit(f"{path}: unexpected "), name))
+        n_known = sum(F.map_contains_key(fields, name).cast("int") for name in properties) if properties else F.lit(0)
+        # Counting known fields tells the usual case without building sets.
+        checks.append(F.when(F.size(fields) > n_known, texts).otherwise(_no_errors()))
     for name, nested in properties.items():
         checks.append(let(fields[name], partial(_property_errors, schema=nested, path=f"{path}.{name}")))
     return F.when(fields.isNull(), _no_errors()).otherwise(_joined(checks))
