@@ -101,9 +101,10 @@ def decode(records: DataFrame, strict: bool = True) -> DataFrame:
     ``strict`` fails the job on a malformed record. Otherwise such a record keeps its text in ``corrupt`` and has nulls
     elsewhere, for `quarantined` and `sound` to tell apart.
     """
-    mode = "FAILFAST" if strict else "PERMISSIVE"
-    opened = F.from_json("value", ENVELOPE_DDL, {"mode": mode})
-    rows = records.select("value", "arrival", opened.alias("record"))
+    # Lenient parsing fills in the fields it got to; the corrupt column tells that it did not get to the end.
+    ddl = ENVELOPE_DDL if strict else f"{ENVELOPE_DDL}, corrupt string"
+    options = {"mode": "FAILFAST"} if strict else {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt"}
+    rows = records.select("value", "arrival", F.from_json("value", ddl, options).alias("record"))
     request, transfer, message = F.col("record.ids.request"), F.col("record.ids.transfer"), F.col("record.message")
     broken = request.isNull() | transfer.isNull() | message.isNull()
     if strict:
@@ -113,6 +114,7 @@ def decode(records: DataFrame, strict: bool = True) -> DataFrame:
         return rows.select(
             request.alias("request_id"), transfer.alias("transfer_id"), message.alias("message"), "arrival"
         )
+    broken = broken | F.col("record.corrupt").isNotNull()
     return rows.select(
         F.when(~broken, request).alias("request_id"),
         F.when(~broken, transfer).alias("transfer_id"),

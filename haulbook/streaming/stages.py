@@ -108,11 +108,10 @@ def run_until_done(
     A round takes one step of every unfinished transfer, so there are as many rounds as the longest transfer has steps.
     """
     start_init_stage(spark, topics, runner, work_dir, max_files).awaitTermination()
-    rounds, seen = 0, -1
-    while True:
-        query = start_step_stage(spark, topics, runner, work_dir, max_files)
-        query.awaitTermination()
-        written = spark.read.schema(RECORDS).parquet(f"{topics.progress}/*").count()
-        if written == seen:
-            return rounds
-        rounds, seen = rounds + 1, written
+    rounds, before, after = 0, -1, spark.read.schema(RECORDS).parquet(f"{topics.progress}/*").count()
+    while before < after:
+        start_step_stage(spark, topics, runner, work_dir, max_files).awaitTermination()
+        rounds += 1
+        # What a round adds to the topic is what is still unfinished.
+        before, after = after, spark.read.schema(RECORDS).parquet(f"{topics.progress}/*").count()
+    return rounds
