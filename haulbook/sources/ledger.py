@@ -137,6 +137,8 @@ class Ledger:
                 .format("parquet")
                 .bucketBy(self.buckets, "id")
                 .sortBy("id")
+                # Sorted files and a filter per row group let lookups by id skip what they do not need.
+                .option("parquet.bloom.filter.enabled#id", "true")
                 .option("path", path)
                 .saveAsTable(self._table_name(table, seq))
             )

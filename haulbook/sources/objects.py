@@ -20,6 +20,8 @@ from haulbook.operators.ranges import MIB
 
 #: Bytes held at once by a task that moves or hashes an object.
 PIECE = MIB
+#: Bytes of content after which a task hands on what it has read.
+FRAME_BYTES = 8 * MIB
 #: Listed entries per emitted frame.
 ENTRIES = 10_000
 
@@ -155,12 +157,15 @@ def read_ranges(plan: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for position in range(len(batch)):
-                row = batch.iloc[[position]].copy()
-                uri, start, end = row["source_path"].iat[0], int(row["start"].iat[0]), int(row["end"].iat[0])
-                row["content"] = [b"".join(pieces(uri, start, end))]
-                # One range per frame: a batch of ranges would hold all their bytes at once.
-                yield row
+            first, contents, held = 0, [], 0
+            for position, row in enumerate(zip(batch["source_path"], batch["start"], batch["end"])):
+                content = b"".join(pieces(*row))
+                contents.append(content)
+                held += len(content)
+                # Frames are bounded by bytes: a batch of ranges would hold all their bytes at once.
+                if held >= FRAME_BYTES or position == len(batch) - 1:
+                    yield batch.iloc[first : position + 1].assign(content=contents)
+                    first, contents, held = position + 1, [], 0
 
     return plan.mapInPandas(run, schema)
 

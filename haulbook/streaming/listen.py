@@ -14,6 +14,9 @@ from haulbook.plans.folds import expand, fold_tagged, tag_messages
 from haulbook.sources.ledger import Ledger
 from haulbook.sources.messages import MAX_WAIT, encode_requests, write_folder
 
+#: Most transfers a batch may be about for their ids to be looked up in the ledger instead of joined with all of it.
+LOOKUP_IDS = 10_000
+
 # The order within a batch: state changes and children first, then admission, which sees them.
 FOLD_STAGE, ADMIT_STAGE = 0, 1
 
@@ -23,6 +26,15 @@ def utc_now() -> Column:
     return F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.localtimestamp())
 
 
+def only_addressed(transfers: DataFrame, messages: DataFrame) -> DataFrame:
+    """Ledger rows the messages of a small batch are about; the whole ledger if the batch is not small.
+
+    As a list the ids prune the snapshot's buckets, so that a batch of a hundred messages does not scan the ledger.
+    """
+    ids = [row[0] for row in messages.select("transfer_id").distinct().limit(LOOKUP_IDS + 1).collect()]
+    return transfers if len(ids) > LOOKUP_IDS else transfers.where(F.col("id").isin(ids))
+
+
 @dataclass
 class Listener:
     """What a batch does to the ledger. The ledger's log is numbered by the stream's batches.
@@ -44,6 +56,7 @@ class Listener:
         Unless strict, expansions of unknown transfers are set aside instead of failing the batch.
         """
         transfers, requests = self.ledger.transfers((batch, FOLD_STAGE)), self.ledger.requests((batch, FOLD_STAGE))
+        transfers = only_addressed(transfers, messages)
         changed = fold_tagged(transfers, messages, self.clock())
         results = messages.where(F.col("signal").isNotNull())
         expansion = expand(transfers, results, requests, self.strict)

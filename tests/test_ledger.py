@@ -78,3 +78,29 @@ def test_compaction_when_due(spark, make, tmp_path, monkeypatch):
         ledger.append(batch, transfers=changed(make, "pending", f"t{batch}"))
     assert (tmp_path / "ledger/transfers/snapshot").exists()
     assert sorted(keyed(ledger.transfers(), "status")) == ["t0", "t1", "t2", "t3"]
+
+
+def test_lookup_of_a_small_batch_prunes_buckets(spark, make, tmp_path):
+    from haulbook.streaming.listen import only_addressed
+
+    ledger = Ledger(spark, f"{tmp_path}/ledger", buckets=16)
+    ledger.append(0, transfers=changed(make, "pending", *[f"t{n}" for n in range(100)]))
+    ledger.compact(before=(1, 0))
+    rows = only_addressed(ledger.transfers(), spark.createDataFrame([("t7",), ("t7",)], "transfer_id string"))
+    assert [row.id for row in rows.collect()] == ["t7"]
+    # The plan only shows the pruning if Spark may not decide against the bucketed scan itself.
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
+    try:
+        shown = only_addressed(ledger.transfers(), spark.createDataFrame([("t7",)], "transfer_id string"))
+        assert "SelectedBucketsCount: 1 out of 16" in shown._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+
+
+def test_lookup_of_a_large_batch_keeps_the_ledger(spark, make, monkeypatch):
+    from haulbook.streaming import listen
+
+    monkeypatch.setattr(listen, "LOOKUP_IDS", 1)
+    rows = changed(make, "pending", "a", "b", "c")
+    both = spark.createDataFrame([("a",), ("b",)], "transfer_id string")
+    assert listen.only_addressed(rows, both).count() == 3
