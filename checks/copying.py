@@ -11,7 +11,7 @@ from haulbook.functions import text
 from haulbook.operators import directories, joins, preflight, ranges
 from haulbook.plans.copy import CopyJob, progress_records
 from haulbook.session import run_dir
-from haulbook.sources import objects
+from haulbook.sources import messages, objects
 
 # Fixed value of these checks: small enough that many documents take several chunks.
 STEP = 4096
@@ -492,8 +492,6 @@ def retry_failed(spark, sf_dir):
 )
 def progress_report(spark, sf_dir):
     """Reports as result messages: one source in eleven does not exist."""
-    from haulbook.sources import messages
-
     root = run_dir(spark, "cp_progress_report")
     source = export(spark, sf_dir, f"{root}/from", "doc_id % 11 <> 0")
     copies = file_copies(spark, sf_dir, root)
@@ -504,11 +502,12 @@ def progress_report(spark, sf_dir):
     )
     report = report.join(keys, "target_path")
     records = progress_records(report).withColumn("arrival", F.lit(0).cast("bigint"))
-    decoded = messages.as_results(messages.decode(records))
-    topics = records.select("topic").distinct()
+    ended = messages.as_results(messages.decode(records.where("topic = 'result'")))
+    moving = messages.as_progress(messages.decode(records.where("topic = 'progress'")))
+    rows = ended.withColumn("topic", F.lit("result")).unionByName(
+        moving.drop("step").withColumn("topic", F.lit("progress")), allowMissingColumns=True
+    )
     info = F.replace(F.col("info"), F.lit(root), F.lit(""))
-    return (
-        decoded.join(report.select("transfer_id", "bytes_uploaded"), "transfer_id")
-        .crossJoin(topics)
-        .select("topic", "transfer_id", "signal", info.alias("info"), "bytes_uploaded")
+    return rows.join(report.select("transfer_id", "bytes_uploaded"), "transfer_id").select(
+        "topic", "transfer_id", "signal", info.alias("info"), "bytes_uploaded"
     )

@@ -35,21 +35,23 @@ def expand_directory(requests: DataFrame, listing: DataFrame) -> DataFrame:
     return _placed(entries.join(wanted, "directory"), requests.columns)
 
 
-def ancestors(path: Column) -> Column:
-    """All directories above a path, the root as an empty string; without duplicates."""
+def ancestors(path: Column, depths: list[int]) -> Column:
+    """The directories above a path that have one of the given numbers of parts; the root is one empty part."""
     parts = F.split(_bare(path), "/")
-    above = F.sequence(F.lit(1), F.size(parts) - 1)
-    prefixes = F.transform(above, lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    return F.when(F.size(parts) > 1, prefixes).otherwise(F.array().cast("array<string>"))
+    prefixes = [F.when(F.size(parts) > n, F.array_join(F.slice(parts, F.lit(1), F.lit(n)), "/")) for n in depths]
+    return F.array_compact(F.array(*prefixes)) if prefixes else F.array().cast("array<string>")
 
 
 def expand_recursive(requests: DataFrame, listing: DataFrame) -> DataFrame:
     """All levels at once: a request per file below each requested directory.
 
     Each file looks up its ancestors among the requested directories: one join whatever the depth of the tree, and the
-    target path of the last level is the same as expanding level by level.
+    target path of the last level is the same as expanding level by level. Only depths that were requested are looked
+    up, so a file is usually one row in the join.
     """
-    files = listing.where(~F.col("is_dir")).select(F.col("path").alias("entry"), F.col("is_dir").alias("entry_is_dir"))
-    below = files.withColumn("directory", F.explode(ancestors(F.col("entry"))))
     wanted = requests.where("is_directory").withColumn("directory", _bare(F.col("source_path")))
+    depth = F.size(F.split("directory", "/")).alias("depth")
+    depths = sorted(row["depth"] for row in wanted.select(depth).distinct().collect())
+    files = listing.where(~F.col("is_dir")).select(F.col("path").alias("entry"), F.col("is_dir").alias("entry_is_dir"))
+    below = files.withColumn("directory", F.explode(ancestors(F.col("entry"), depths)))
     return _placed(below.join(wanted, "directory"), requests.columns)

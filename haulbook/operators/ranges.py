@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MIB = 1024 * 1024
@@ -11,6 +11,9 @@ DEFAULT_STEP = 5 * MIB
 #: Bytes asked for in one read.
 DEFAULT_READ = MIB
 
+#: Most tasks of a stage; a scheduler copes with more of them worse than a task with more bytes.
+MAX_TASKS = 100_000
+
 #: Chunks listed per array, so that an object of any size is unrolled through arrays of bounded length.
 CHUNKS_PER_BLOCK = 4096
 
@@ -58,11 +61,6 @@ def sub_ranges(chunks: DataFrame, read_size: int = DEFAULT_READ) -> DataFrame:
     )
 
 
-def tasks_for(total_bytes: int, bytes_per_task: int = 256 * MIB) -> int:
-    """Partitions for a copy: by bytes, as object sizes differ by orders of magnitude."""
-    return max(1, -(-total_bytes // bytes_per_task))
-
-
-def chunk_key() -> list[Column]:
-    """What identifies a chunk, also what to spread chunks by."""
-    return [F.col("target_path"), F.col("start")]
+def tasks_for(total: int, per_task: int = 256 * MIB) -> int:
+    """Partitions for so much work, such as bytes to copy; beyond `MAX_TASKS` each one gets more of it."""
+    return min(MAX_TASKS, max(1, -(-total // per_task)))

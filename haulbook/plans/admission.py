@@ -12,6 +12,9 @@ from haulbook.schemas import IN_FLIGHT, TRANSFER_COLUMNS
 MAX_IN_FLIGHT = 10
 SWEEP_INTERVAL = "3 seconds"
 
+#: Most ids broadcast to pick their rows; some ten megabytes.
+BROADCAST_IDS = 500_000
+
 
 def slots(transfers: DataFrame, max_in_flight: int) -> int:
     """How many more transfers may be submitted; never negative."""
@@ -42,12 +45,15 @@ def next_pending(transfers: DataFrame, requests: DataFrame, count: int) -> DataF
     if by_arrival is None:
         return above.unionByName(level)
     latest = by_arrival.values[0]
-    earlier = level.join(arrivals.where(F.col("received_at") < latest), "request_id", "left_semi")
-    same = level.join(arrivals.where(F.col("received_at") == latest), "request_id", "left_semi")
-    by_id, _ = cut_at(same, [Key("id")], left)
+    candidates = level.select("id", "request_id").join(arrivals.where(F.col("received_at") <= latest), "request_id")
+    by_id, _ = cut_at(candidates.where(F.col("received_at") == latest), [Key("id")], left)
     if by_id is not None:
-        same = same.where(by_id.covers)
-    return above.unionByName(earlier).unionByName(same)
+        candidates = candidates.where((F.col("received_at") < latest) | by_id.covers)
+    # Only ids went through the shuffle so far. There are no more than ``count`` of them, so few enough to send to
+    # where the payloads are; beyond that both sides are shuffled.
+    chosen = candidates.select("id")
+    chosen = F.broadcast(chosen) if count <= BROADCAST_IDS else chosen
+    return above.unionByName(level.join(chosen, "id", "left_semi"))
 
 
 def admit(transfers: DataFrame, requests: DataFrame, max_in_flight: int, now: Column) -> DataFrame:

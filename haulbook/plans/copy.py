@@ -37,6 +37,9 @@ from haulbook.sources.objects import delete_objects, open_path, pieces, repartit
 MAX_RETRIES = 4
 MAX_DELAY = 16
 
+#: Objects or chunks a task handles at most, however small they are (unless that makes too many tasks).
+OBJECTS_PER_TASK = 10_000
+
 PLAN_COLUMNS = ["source_path", "target_path", "source_size", "decision", "reason"]
 OUTCOME_DDL = (
     "source_path string, target_path string, source_size bigint, start bigint, end bigint, is_whole boolean, "
@@ -75,6 +78,7 @@ class CopyJob:
             return
         if "delete_target" in decided.columns:
             doomed = decided.where("delete_target").select(F.col("target_path").alias("path"))
+            doomed = repartition_by_bytes(doomed, tasks_for(doomed.count(), OBJECTS_PER_TASK), "path")
             delete_objects(doomed).write.mode("overwrite").parquet(f"{self.work_dir}/deleted")
         decided.select(*PLAN_COLUMNS).write.mode("overwrite").parquet(f"{self.work_dir}/plan")
 
@@ -112,7 +116,7 @@ class CopyJob:
         if not size[1]:
             return 0
         # Small objects also cost a round trip each, so a task gets a bounded number of them.
-        partitions = max(tasks_for(size[0], self.bytes_per_task), tasks_for(size[1], 10_000))
+        partitions = max(tasks_for(size[0], self.bytes_per_task), tasks_for(size[1], OBJECTS_PER_TASK))
         partitions = max(partitions, min(size[1], self.spark.sparkContext.defaultParallelism))
         spread = repartition_by_bytes(left, partitions, "target_path", "start")
         folder = f"{self.work_dir}/attempts/attempt={number}"

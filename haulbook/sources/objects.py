@@ -124,8 +124,13 @@ def list_tree(spark: SparkSession, root: str, work_dir: str) -> DataFrame:
 # --- metadata
 
 
-def stat(paths: DataFrame, with_md5: bool = True) -> DataFrame:
-    """Size and, read piece by piece, md5 of each object in the column ``path``."""
+def stat(paths: DataFrame, with_md5: bool = True, partitions: int | None = None) -> DataFrame:
+    """Size and, read piece by piece, md5 of each object in the column ``path``.
+
+    A scan of paths packs millions of them into a task; ``partitions`` spreads them over that many first.
+    """
+    if partitions is not None:
+        paths = repartition_by_bytes(paths, partitions, "path")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
