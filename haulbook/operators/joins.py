@@ -23,9 +23,14 @@ def update_from_batch(transfers: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def update_from_messages(transfers: DataFrame, messages: DataFrame) -> DataFrame:
-    """Ledger rows with the message addressed to them; both the transfer and the request id must match."""
-    addressed = messages.withColumnRenamed("transfer_id", "id")
-    return transfers.join(addressed, ["id", "request_id"])
+    """Ledger rows with the message addressed to them; both the transfer and the request id must match.
+
+    Transfer ids are unique, so they alone are the join key, which is also what snapshots are bucketed by; comparing
+    requests in a form that does not become a second key leaves the ledger where it is.
+    """
+    addressed = messages.withColumnsRenamed({"transfer_id": "id", "request_id": "named_request_id"})
+    same_request = F.coalesce(F.col("request_id") == F.col("named_request_id"), F.lit(False))
+    return transfers.join(addressed, "id").where(same_request).drop("named_request_id")
 
 
 def existing(wanted: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:

@@ -47,6 +47,13 @@ class Ledger:
 
     def transfers(self, before: Seq | None = None) -> DataFrame:
         """Current transfers, or those before a (batch, stage)."""
+        return reduce(DataFrame.unionByName, self.parts(before))
+
+    def parts(self, before: Seq | None = None) -> list[DataFrame]:
+        """The same as disjoint parts: first the base, then what changed since.
+
+        A union forgets how its branches are bucketed, so a join by id that is done per part spares the base a shuffle.
+        """
         return self._current("transfers", TRANSFERS, before)
 
     def requests(self, before: Seq | None = None) -> DataFrame:
@@ -67,17 +74,17 @@ class Ledger:
             found += [folder.seq[0] for folder in ([base] if base else []) + appends]
         return max(found)
 
-    def _current(self, table: str, schema: T.StructType, before: Seq | None) -> DataFrame:
+    def _current(self, table: str, schema: T.StructType, before: Seq | None) -> list[DataFrame]:
         base, appends = self._folders(table, before)
         if base is None:
             if not appends:
-                return self.spark.createDataFrame([], schema)
+                return [self.spark.createDataFrame([], schema)]
             base, appends = appends[0], appends[1:]
         rows = self._read(base, table, schema)
         if not appends:
-            return rows
+            return [rows]
         changed = self._latest(appends, schema)
-        return rows.join(changed.select("id"), "id", "left_anti").unionByName(changed)
+        return [rows.join(changed.select("id"), "id", "left_anti"), changed]
 
     def _latest(self, appends: list[_Folder], schema: T.StructType) -> DataFrame:
         """The last image per id over several appends."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,13 +27,15 @@ def utc_now() -> Column:
     return F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.localtimestamp())
 
 
-def only_addressed(transfers: DataFrame, messages: DataFrame) -> DataFrame:
-    """Ledger rows the messages of a small batch are about; the whole ledger if the batch is not small.
-
-    As a list the ids prune the snapshot's buckets, so that a batch of a hundred messages does not scan the ledger.
-    """
+def few_ids(messages: DataFrame) -> list[str] | None:
+    """Ids of the transfers that a small batch of messages is about; None if the batch is not small."""
     ids = [row[0] for row in messages.select("transfer_id").distinct().limit(LOOKUP_IDS + 1).collect()]
-    return transfers if len(ids) > LOOKUP_IDS else transfers.where(F.col("id").isin(ids))
+    return None if len(ids) > LOOKUP_IDS else ids
+
+
+def looked_up(transfers: DataFrame, ids: list[str] | None) -> DataFrame:
+    """Ledger rows with these ids; as a list they prune the snapshot's buckets, instead of scanning all of it."""
+    return transfers if ids is None else transfers.where(F.col("id").isin(ids))
 
 
 @dataclass
@@ -55,9 +58,11 @@ class Listener:
 
         Unless strict, expansions of unknown transfers are set aside instead of failing the batch.
         """
-        transfers, requests = self.ledger.transfers((batch, FOLD_STAGE)), self.ledger.requests((batch, FOLD_STAGE))
-        transfers = only_addressed(transfers, messages)
-        changed = fold_tagged(transfers, messages, self.clock())
+        before = (batch, FOLD_STAGE)
+        ids, now = few_ids(messages), self.clock()
+        parts = [looked_up(part, ids) for part in self.ledger.parts(before)]
+        changed = reduce(DataFrame.unionByName, [fold_tagged(part, messages, now) for part in parts])
+        transfers, requests = reduce(DataFrame.unionByName, parts), self.ledger.requests(before)
         results = messages.where(F.col("signal").isNotNull())
         expansion = expand(transfers, results, requests, self.strict)
         if not self.strict:

@@ -1,6 +1,8 @@
 from conftest import keyed
 
+from haulbook.plans import folds
 from haulbook.sources.ledger import Ledger
+from haulbook.streaming import listen
 
 
 def changed(make, status, *ids):
@@ -81,26 +83,40 @@ def test_compaction_when_due(spark, make, tmp_path, monkeypatch):
 
 
 def test_lookup_of_a_small_batch_prunes_buckets(spark, make, tmp_path):
-    from haulbook.streaming.listen import only_addressed
-
     ledger = Ledger(spark, f"{tmp_path}/ledger", buckets=16)
     ledger.append(0, transfers=changed(make, "pending", *[f"t{n}" for n in range(100)]))
     ledger.compact(before=(1, 0))
-    rows = only_addressed(ledger.transfers(), spark.createDataFrame([("t7",), ("t7",)], "transfer_id string"))
-    assert [row.id for row in rows.collect()] == ["t7"]
+    ids = listen.few_ids(spark.createDataFrame([("t7",), ("t7",)], "transfer_id string"))
+    assert ids == ["t7"]
+    assert [row.id for row in listen.looked_up(ledger.transfers(), ids).collect()] == ["t7"]
     # The plan only shows the pruning if Spark may not decide against the bucketed scan itself.
     spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
     try:
-        shown = only_addressed(ledger.transfers(), spark.createDataFrame([("t7",)], "transfer_id string"))
+        shown = listen.looked_up(ledger.transfers(), ids)
         assert "SelectedBucketsCount: 1 out of 16" in shown._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
 
 
-def test_lookup_of_a_large_batch_keeps_the_ledger(spark, make, monkeypatch):
-    from haulbook.streaming import listen
-
+def test_a_large_batch_is_joined_with_the_ledger(spark, make, monkeypatch):
     monkeypatch.setattr(listen, "LOOKUP_IDS", 1)
-    rows = changed(make, "pending", "a", "b", "c")
-    both = spark.createDataFrame([("a",), ("b",)], "transfer_id string")
-    assert listen.only_addressed(rows, both).count() == 3
+    ids = listen.few_ids(spark.createDataFrame([("a",), ("b",)], "transfer_id string"))
+    assert ids is None
+    assert listen.looked_up(changed(make, "pending", "a", "b", "c"), ids).count() == 3
+
+
+def test_folding_does_not_shuffle_the_snapshot(spark, make, now, tmp_path):
+    ledger = Ledger(spark, f"{tmp_path}/ledger", buckets=4)
+    ledger.append(0, transfers=changed(make, "submitted", *[f"t{n}" for n in range(20)]))
+    ledger.compact(before=(1, 0))
+    ledger.append(1, transfers=changed(make, "submitted", "t1"))
+    results = make.results([("R1", "t1", "SUCCESS", "1"), ("R1", "t2", "SUCCESS", "2"), ("R2", "t3", "SUCCESS", "3")])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        folded = [folds.apply_results(part, results, now) for part in ledger.parts()]
+        # Two for the messages (by transfer and request, then by transfer) and one for the changed ids.
+        assert folded[0]._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 3
+        found = [keyed(part, "status") for part in folded]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found == [{"t2": "succeeded"}, {"t1": "succeeded"}]
