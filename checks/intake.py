@@ -183,7 +183,10 @@ def merge_defaults(spark, sf_dir):
     ),
 )
 def validate(spark, sf_dir):
-    validated = intake.validate(intake.merge_defaults(items(spark, sf_dir)), SCHEMA)
+    # Written once, as intake does with a staging folder, because it is read twice.
+    written = f"{run_dir(spark, 'flt_validate')}/items"
+    intake.validate(intake.merge_defaults(items(spark, sf_dir)), SCHEMA).write.parquet(written)
+    validated = spark.read.parquet(written)
     bad = intake.invalid_requests(validated).withColumn("is_accepted", F.lit(False))
     return validated.join(bad, "request_id", "left").select(
         "request_id",
