@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
 QUALITY_SQL = r"""
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 worded AS (SELECT row_number() OVER () AS id, doc_id, text,
-                  list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM texts),
+                  list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM texts),
 windows AS (SELECT id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c
             FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM worded)),
 repeats AS (SELECT id, i FROM windows QUALIFY count(*) OVER (PARTITION BY id, a, b, c) > 1),
@@ -36,7 +36,7 @@ measured AS (
   SELECT doc_id, text, w, cast(len(w) AS BIGINT) AS n_words,
          cast(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
          cast(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-         list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l,
          coalesce(n, 0) AS n_repeat_words
   FROM worded LEFT JOIN covered USING (id)),
 judged AS (SELECT *, cast(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
