@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haulbook.llm import quality_rules
+from haulbook.llm import piece_transducer, pii_crf, quality_rules, simhash
 from haulbook.llm.common import prepare, table
 
+#: The model that texts are encoded with; a path on the driver, whose content is sent to the executors.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -66,3 +69,24 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed",
         "kept",
     )
+
+
+@query("op1_simhash")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and near-duplicate components of all documents."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op7_pieces")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents and the texts decoded from them."""
+    found = piece_transducer.with_ids(table(spark, sf_dir, "documents"), PIECE_MODEL)
+    return found.select("doc_id", "ids", "n_ids", "decoded", "round_trip")
+
+
+@query("op9_pii")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return pii_crf.with_spans(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"
+    )
