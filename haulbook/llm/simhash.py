@@ -89,7 +89,7 @@ def links_within(fingerprints: np.ndarray) -> list[tuple[int, int]]:
         while frontier and len(rest):
             differing = rest ^ frontier.pop()
             shared = (differing.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-            near = (shared >= MIN_SHARED) & (np.bitwise_count(differing) <= MAX_BITS)
+            near = (shared >= MIN_SHARED) & (np.bitwise_count(differing.view(np.uint64)) <= MAX_BITS)
             if near.any():
                 reached = rest[near]
                 found += [(other, int(root)) for other in reached.tolist()]
