@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from haulbook.llm import piece_transducer, pii_crf, quality_rules, simhash
+from haulbook.llm import mixing, piece_transducer, pii_crf, quality_rules, simhash
 from haulbook.llm.common import prepare, table
 
 #: The model that texts are encoded with; a path on the driver, whose content is sent to the executors.
@@ -90,3 +91,19 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_crf.with_spans(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"
     )
+
+
+#: Weights of the query's tree. The table has no domains; each source belongs to one of four by its name's checksum.
+MIX_WEIGHTS = {"lang": {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 2.0}, "domain": {"d0": 1.0, "d1": 2.0, "d2": 3.0, "d3": 2.0}}
+
+
+def with_domain(docs: DataFrame) -> DataFrame:
+    checksum = F.crc32(F.coalesce("source", F.lit("")).cast("binary")) % 4
+    return docs.withColumn("domain", F.concat(F.lit("d"), checksum.cast("string")))
+
+
+@query("op5_mixing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of all tokens, by weight, from all documents."""
+    docs = with_domain(table(spark, sf_dir, "documents"))
+    return mixing.mix(docs, weights=MIX_WEIGHTS).select("doc_id", "domain", "lang", "source", "tokens", "epoch")
