@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulbook.llm import mixing, piece_transducer, pii_crf, quality_rules, simhash
+from haulbook.llm import mixing, norm_search, piece_transducer, pii_crf, quality_rules, simhash, site_templates
 from haulbook.llm.common import prepare, table
 
 #: The model that texts are encoded with; a path on the driver, whose content is sent to the executors.
@@ -107,3 +107,25 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of all tokens, by weight, from all documents."""
     docs = with_domain(table(spark, sf_dir, "documents"))
     return mixing.mix(docs, weights=MIX_WEIGHTS).select("doc_id", "domain", "lang", "source", "tokens", "epoch")
+
+
+@query("op8_main_text")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return site_templates.with_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+NEAREST_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x AS DOUBLE)) AS DOUBLE)) AS e
+           FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, cast(list_dot_product(q.e, c.e) AS BIGINT) AS score
+           FROM v AS q JOIN v AS c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+"""
+
+
+@query("op6_nearest", NEAREST_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of every fiftieth vector among all others."""
+    return norm_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
