@@ -12,8 +12,8 @@ over all leaves at once, whatever the size of the largest.
 
 Defined results: a null level counts as the empty name; null and empty texts have no tokens and come with the
 positions before the cut; rows alike in id and text have one position and are taken together or not at all; a
-weight of zero takes nothing; an empty table gives an empty result; other columns pass through, ``epoch`` and ``tokens``
-of theirs are replaced.
+weight of zero takes nothing; an empty table gives an empty result; other columns pass through, and those named like
+the new ones are replaced.
 """
 
 from __future__ import annotations
@@ -151,13 +151,14 @@ def mix(
     budget_share: float = 0.5,
     max_epochs: int = 4,
     seed: int = SEED,
+    added: tuple[str, str] = ("tokens", "epoch"),
 ) -> DataFrame:
     """The chosen rows with their columns, ``tokens`` and ``epoch``; a row comes once for each epoch it is chosen in.
 
-    ``budget_share`` is the budget as a share of all tokens.
+    ``budget_share`` is the budget as a share of all tokens; ``added`` names the new columns.
     """
     levels = list(levels)
-    names = [column for column in docs.columns if column not in ("epoch", "tokens")]
+    names = [column for column in docs.columns if column not in added]
     ready = docs.select(*names).withColumns({f"__{level}": named(level) for level in levels})
     inner = [f"__{level}" for level in levels]
     rows = stored(
@@ -170,4 +171,5 @@ def mix(
     chosen = ready.join(plan.withColumnsRenamed({"whole": "__whole", "cut": "__cut"}), inner)
     copies = F.col("__whole") + (position(identity(docs), F.col("__whole"), seed) <= F.col("__cut")).cast("int")
     epochs = F.when(copies > 0, F.sequence(F.lit(0), copies - 1)).otherwise(F.array().cast("array<int>"))
-    return chosen.withColumn("tokens", token_count(text_of("text"))).select(*names, "tokens", F.explode(epochs).alias("epoch"))
+    tokens = token_count(text_of("text"))
+    return chosen.withColumn(added[0], tokens).select(*names, added[0], F.explode(epochs).alias(added[1]))

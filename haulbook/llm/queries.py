@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulbook.llm import mixing, norm_search, piece_transducer, pii_crf, quality_rules, simhash, site_templates
+from haulbook.llm import chat_repair, mixing, norm_search, piece_transducer, pii_crf, quality_rules, simhash, site_templates
 from haulbook.llm.common import prepare, table
 
 #: The model that texts are encoded with; a path on the driver, whose content is sent to the executors.
@@ -97,15 +97,15 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 MIX_WEIGHTS = {"lang": {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 2.0}, "domain": {"d0": 1.0, "d1": 2.0, "d2": 3.0, "d3": 2.0}}
 
 
-def with_domain(docs: DataFrame) -> DataFrame:
-    checksum = F.crc32(F.coalesce("source", F.lit("")).cast("binary")) % 4
-    return docs.withColumn("domain", F.concat(F.lit("d"), checksum.cast("string")))
+def domain_of(source: Column) -> Column:
+    checksum = F.crc32(F.coalesce(source, F.lit("")).cast("binary")) % 4
+    return F.concat(F.lit("d"), checksum.cast("string"))
 
 
 @query("op5_mixing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of all tokens, by weight, from all documents."""
-    docs = with_domain(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents").withColumn("domain", domain_of(F.col("source")))
     return mixing.mix(docs, weights=MIX_WEIGHTS).select("doc_id", "domain", "lang", "source", "tokens", "epoch")
 
 
@@ -129,3 +129,9 @@ FROM scored QUALIFY rank <= 5
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best inner products of every fiftieth vector among all others."""
     return norm_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op2_chat_format")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations repaired and rendered."""
+    return chat_repair.format_chats(table(spark, sf_dir, "conversations"))
