@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulbook.llm import chat_repair, mixing, norm_search, piece_transducer, pii_crf, quality_rules, simhash, site_templates
+from haulbook.llm import chat_repair, context_tree, mixing, norm_search, piece_transducer, pii_crf, quality_rules, simhash, site_templates
 from haulbook.llm.common import prepare, table
 
 #: The model that texts are encoded with; a path on the driver, whose content is sent to the executors.
@@ -135,3 +135,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations repaired and rendered."""
     return chat_repair.format_chats(table(spark, sf_dir, "conversations"))
+
+
+@query("op3_context_tree")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and context-tree score of all documents."""
+    return context_tree.score_documents(table(spark, sf_dir, "documents"))
