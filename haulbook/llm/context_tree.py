@@ -1,14 +1,14 @@
 """Language model by context-tree weighting over bytes.
 
 A text is read as its lower-cased words, one space apart, and an end mark. Each byte is eight binary decisions, each made
-by the node of the byte's leading bits in the tree of one context; contexts are the last 0 to 4 bytes. A node's own
+by the node of the byte's leading bits in the tree of one context; contexts are the last 0 to 5 bytes. A node's own
 estimate is Krichevsky and Trofimov's from its counts of zeros and ones; weighting mixes it half and half with the product
 of its children's, all the way from the longest context to none. With fixed counts the weights of all depths are fixed
 too, so a byte in its context has one probability, and a text's score is the sum of their logarithms. A node that
 training never met has no say: the mixture starts at the deepest one met.
 
 Nothing that grows with the corpus is held in one place. Documents form runs of a few megabytes. A run is asked for its
-distinct strings of five bytes and its distinct words, with their counts; these go to buckets (strings by their two
+distinct strings of six bytes and its distinct words, with their counts; these go to buckets (strings by their two
 nearest context bytes, so that a bucket holds whole subtrees; words by hash), which add them up and answer every run with the
 probabilities and counts it asked for, and the run scores its own documents. Only the contexts of one byte and of none
 reach the driver, 65,536 nodes at most.
@@ -20,6 +20,7 @@ the probability 1/2 for every bit; other columns are not read. Words are told ap
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,11 +31,11 @@ from pyspark.sql import functions as F
 
 from haulbook.llm.common import LOWER, stored, text_of
 
-DEPTH = 4
+DEPTH = 5
 END = b"\xff"
 
 #: Bytes of a run, and distinct keys of all runs that a bucket receives on average.
-RUN_BYTES, BUCKET_KEYS = 6 << 20, 1 << 20
+RUN_BYTES, BUCKET_KEYS = 10 << 20, 1 << 20
 
 LOG_HALF = float(np.log(0.5))
 
@@ -62,7 +63,7 @@ def mixed(estimate: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class Run:
-    """The texts of a run as one array of bytes, with the strings of five bytes that end at each."""
+    """The texts of a run as one array of bytes, with the strings of six bytes that end at each."""
 
     def __init__(self, texts: list[str]):
         words = [(text or "").encode("utf-8", "surrogatepass").translate(LOWER).split() for text in texts]
@@ -102,6 +103,23 @@ def bucket_of_words(keys: np.ndarray, buckets: int) -> np.ndarray:
     return buckets + keys % buckets
 
 
+def packed(keys: np.ndarray) -> bytes:
+    """Ascending keys by their differences."""
+    return zlib.compress(np.diff(keys, prepend=0).tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(data), np.int64))
+
+
+def squeezed(values: np.ndarray) -> bytes:
+    return zlib.compress(values.tobytes(), 1)
+
+
+def spread(data: bytes, dtype: type) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), dtype)
+
+
 def dealt(keys: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Bucket numbers, and the places of their keys in ascending order of the keys. Keys come sorted."""
     order = np.argsort(bucket, kind="stable")
@@ -135,12 +153,12 @@ CELL = "bucket int, chunk long, run long, keys binary, counts binary"
 def cells(buckets: int):
     """What the runs of a partition ask for, a row for each run and bucket."""
 
-    def packed(chunk: int, start: int, texts: list[str], held: list[bool]) -> Iterator[tuple]:
+    def of_run(chunk: int, start: int, texts: list[str], held: list[bool]) -> Iterator[tuple]:
         strings, counts, keys, times, _ = asked(Run(texts), ~np.array(held, bool))
         for bucket, at in dealt(strings, bucket_of_strings(strings, buckets)):
-            yield bucket, chunk, start, strings[at].tobytes(), counts[at].astype(np.int32).tobytes()
+            yield bucket, chunk, start, packed(strings[at]), squeezed(counts[at].astype(np.int32))
         for bucket, at in dealt(keys, bucket_of_words(keys, buckets)):
-            yield bucket, chunk, start, keys[at].tobytes(), times[at].astype(np.int32).tobytes()
+            yield bucket, chunk, start, packed(keys[at]), squeezed(times[at].astype(np.int32))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, start, texts, held = None, 0, [], []
@@ -149,22 +167,24 @@ def cells(buckets: int):
             for chunk, row, text, out in zip(batch["chunk"], batch["row"], batch["text"], batch["held_out"]):
                 if chunk != now:
                     if texts:
-                        yield pd.DataFrame(packed(now, start, texts, held), columns=columns)
+                        yield pd.DataFrame(of_run(now, start, texts, held), columns=columns)
                     now, start, texts, held = chunk, row, [], []
                 texts.append(text)
                 held.append(out)
         if texts:
-            yield pd.DataFrame(packed(now, start, texts, held), columns=columns)
+            yield pd.DataFrame(of_run(now, start, texts, held), columns=columns)
 
     return run
 
 
-def added_up(cell: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys of a bucket, their counts, and for each key asked for its place among them."""
-    keys = np.frombuffer(b"".join(cell["keys"]), np.int64)
-    counts = np.frombuffer(b"".join(cell["counts"]), np.int32)
-    distinct, place = np.unique(keys, return_inverse=True)
-    return distinct, np.bincount(place, counts, len(distinct)), place
+def added_up(cell: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct keys of a bucket, their counts, and for each row the keys it asks for."""
+    asked_for = [unpacked(data) for data in cell["keys"]]
+    distinct = np.unique(np.concatenate(asked_for))
+    counts = np.zeros(len(distinct))
+    for keys, data in zip(asked_for, cell["counts"]):
+        counts[np.searchsorted(distinct, keys)] += spread(data, np.int32)
+    return distinct, counts, asked_for
 
 
 def nodes(keys: np.ndarray, counts: np.ndarray, bit: int) -> tuple[np.ndarray, list[tuple], np.ndarray]:
@@ -253,13 +273,10 @@ def answers(buckets: int, upper: Upper):
     """For every run that asked a bucket: float32 log-probabilities of its strings or int32 counts of its words."""
 
     def over(cell: pd.DataFrame) -> pd.DataFrame:
-        keys, counts, place = added_up(cell)
-        if cell["bucket"].iloc[0] >= buckets:
-            values = counts.astype(np.int32)[place]
-        else:
-            values = upper.log10(keys, counts).astype(np.float32)[place]
-        ends = np.cumsum([len(part) // 8 for part in cell["keys"]])
-        parts = [values[start:end].tobytes() for start, end in zip(np.concatenate(([0], ends[:-1])), ends)]
+        keys, counts, asked_for = added_up(cell)
+        words = cell["bucket"].iloc[0] >= buckets
+        values = counts.astype(np.int32) if words else upper.log10(keys, counts).astype(np.float32)
+        parts = [squeezed(values[np.searchsorted(keys, own)]) for own in asked_for]
         return pd.DataFrame({"chunk": cell["chunk"], "run": cell["run"], "bucket": cell["bucket"], "answers": parts})
 
     return over
@@ -273,10 +290,10 @@ SCORED = (
 
 def scored(buckets: int, train_tokens: int, vocabulary: int, train_rows: int):
     """Scores of a chunk's documents from the answers to its runs."""
-    spread = np.log10(train_tokens + 0.1 * (vocabulary + 1))
+    whole = np.log10(train_tokens + 0.1 * (vocabulary + 1))
 
     def chance(counts: np.ndarray) -> np.ndarray:
-        return np.log10(counts + 0.1) - spread
+        return np.log10(counts + 0.1) - whole
 
     end = float(chance(np.array([train_rows]))[0])
 
@@ -285,9 +302,9 @@ def scored(buckets: int, train_tokens: int, vocabulary: int, train_rows: int):
         strings, _, keys, _, names = asked(run, np.zeros(len(rows), bool))
         logs, counts = np.zeros(len(strings), np.float64), np.zeros(len(keys), np.int64)
         for bucket, at in dealt(strings, bucket_of_strings(strings, buckets)):
-            logs[at] = np.frombuffer(answer[bucket], np.float32)
+            logs[at] = spread(answer[bucket], np.float32)
         for bucket, at in dealt(keys, bucket_of_words(keys, buckets)):
-            counts[at] = np.frombuffer(answer[bucket], np.int32)
+            counts[at] = spread(answer[bucket], np.int32)
         score = np.add.reduceat(logs[np.searchsorted(strings, run.keys)], run.starts)
         place = dict(zip(names, range(len(names))))
         flat = np.array([place[word] for line in run.words for word in line], np.int64)
@@ -343,7 +360,8 @@ def score_documents(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
     chunk = F.shiftleft(F.shiftright(number, 33), 33) + F.floor(number.bitwiseAND(F.lit((1 << 33) - 1)) / per_run)
     rows = stored(rows.withColumn("row", number).withColumn("chunk", chunk), "texts")
     buckets = max(1, int(size / 20 / BUCKET_KEYS), min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1000))
-    asked_for = stored(rows.select("chunk", "row", "text", "held_out").mapInPandas(cells(buckets), CELL), "cells")
+    # Cheaper to find again for the second pass than to store.
+    asked_for = rows.select("chunk", "row", "text", "held_out").mapInPandas(cells(buckets), CELL)
     sums = (
         asked_for.groupBy("bucket")
         .applyInPandas(summaries(buckets), "kind int, nearest int, node int, x double, y double, z double")
