@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulbook.llm import chat_repair, context_tree, mixing, norm_search, piece_transducer, pii_crf, quality_rules, simhash, site_templates
+from haulbook.llm import attention_quality, chat_repair, context_tree, mixing, norm_search, piece_transducer, pii_crf, quality_rules, simhash, site_templates
 from haulbook.llm.common import prepare, table
 
 #: The model that texts are encoded with; a path on the driver, whose content is sent to the executors.
@@ -141,3 +141,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and context-tree score of all documents."""
     return context_tree.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op4_attention_quality")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    found = attention_quality.with_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
