@@ -46,3 +46,11 @@ def text_of(column: str | Column) -> Column:
 def words_of(text: Column) -> Column:
     """The words of a text, in order."""
     return F.array_remove(F.split(text, GAPS), "")
+
+
+def unused(frame: DataFrame, name: str) -> str:
+    """A name like this one that no column of the frame has, in any case."""
+    taken = {column.lower() for column in frame.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

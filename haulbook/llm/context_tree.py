@@ -46,7 +46,7 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     for step in range(8):
         product *= np.minimum(x, 1e30) + step
     z = x + 8
-    series = 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5)
+    series = 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7)
     return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + series - np.log(product)
 
 

@@ -23,7 +23,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from haulbook.llm.common import stored, text_of, words_of
+from haulbook.llm.common import stored, text_of, unused, words_of
 
 LEVELS = ("domain", "lang", "source")
 SEED = 42
@@ -159,17 +159,18 @@ def mix(
     """
     levels = list(levels)
     names = [column for column in docs.columns if column not in added]
-    ready = docs.select(*names).withColumns({f"__{level}": named(level) for level in levels})
-    inner = [f"__{level}" for level in levels]
+    inner = [unused(docs, f"__{level}") for level in levels]
+    ready = docs.select(*names).withColumns({name: named(level) for name, level in zip(inner, levels)})
     rows = stored(
         ready.select(*inner, token_count(text_of("text")).alias("tokens"), identity(docs).alias("key")), "mix-rows"
     )
     leaves = stored(rows.groupBy(*inner).agg(F.sum("tokens").alias("tokens")), "mix-leaves")
-    inner_weights = {f"__{level}": known for level, known in (weights or {}).items()}
+    inner_weights = {name: (weights or {}).get(level, {}) for name, level in zip(inner, levels)}
     plan = stored(budgets(leaves, inner, inner_weights, budget_share, max_epochs), "mix-plan")
     plan = stored(cuts(rows, plan, inner, seed).select(*inner, "whole", "cut"), "mix-cuts")
-    chosen = ready.join(plan.withColumnsRenamed({"whole": "__whole", "cut": "__cut"}), inner)
-    copies = F.col("__whole") + (position(identity(docs), F.col("__whole"), seed) <= F.col("__cut")).cast("int")
+    whole, cut = unused(docs, "__whole"), unused(docs, "__cut")
+    chosen = ready.join(plan.withColumnsRenamed({"whole": whole, "cut": cut}), inner)
+    copies = F.col(whole) + (position(identity(docs), F.col(whole), seed) <= F.col(cut)).cast("int")
     epochs = F.when(copies > 0, F.sequence(F.lit(0), copies - 1)).otherwise(F.array().cast("array<int>"))
     tokens = token_count(text_of("text"))
     return chosen.withColumn(added[0], tokens).select(*names, added[0], F.explode(epochs).alias(added[1]))

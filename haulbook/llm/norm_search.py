@@ -48,7 +48,7 @@ def products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     if largest < EXACT:
         return (queries.astype(np.float64) @ vectors.astype(np.float64).T).astype(np.int64)
     exact = queries.astype(object) @ vectors.astype(object).T
-    return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
+    return np.clip(exact, -(2**63) + 1, 2**63 - 1).astype(np.int64)
 
 
 class Best:

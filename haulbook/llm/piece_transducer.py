@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from haulbook.llm.common import unused
+
 MARK = "▁"
 
 #: Fixed by the model format: kinds of pieces.
@@ -328,11 +330,12 @@ def both_ways(text: Column, model: bytes) -> Column:
 def with_ids(docs: DataFrame, model_path: str) -> DataFrame:
     """Documents with ``ids``, ``n_ids``, ``decoded`` and ``round_trip``: whether decoding gives the text back."""
     model = read_model(model_path)
-    out = docs.drop("ids", "n_ids", "decoded", "round_trip").withColumn("__both", both_ways(F.col("text"), model))
-    return out.select(
-        *docs.drop("ids", "n_ids", "decoded", "round_trip").columns,
-        F.col("__both.ids").alias("ids"),
-        F.size("__both.ids").cast("long").alias("n_ids"),
-        F.col("__both.decoded").alias("decoded"),
-        (F.col("__both.decoded") == F.translate(F.coalesce("text", F.lit("")), MARK, " ")).alias("round_trip"),
+    rest = docs.drop("ids", "n_ids", "decoded", "round_trip")
+    both = unused(rest, "__both")
+    return rest.withColumn(both, both_ways(F.col("text"), model)).select(
+        *rest.columns,
+        F.col(f"{both}.ids").alias("ids"),
+        F.size(f"{both}.ids").cast("long").alias("n_ids"),
+        F.col(f"{both}.decoded").alias("decoded"),
+        (F.col(f"{both}.decoded") == F.translate(F.coalesce("text", F.lit("")), MARK, " ")).alias("round_trip"),
     )

@@ -29,14 +29,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haulbook.llm.common import text_of
+from haulbook.llm.common import text_of, unused
 
 KINDS = ("email", "ip", "card", "phone")
 #: Labels of the field: a kind's place in KINDS, and the last for none.
 NONE = len(KINDS)
 
 #: Bounds of the log-potentials, rounds of message passing, damping, and the probability from which a label is taken.
-MAX_UNARY, MAX_SKIP, ROUNDS, DAMPING, LIKELY = 4.0, 6.0, 20, 0.3, 0.5
+MAX_UNARY, MAX_CHAIN, MAX_SKIP, ROUNDS, DAMPING, LIKELY = 3.0, 0.5, 6.0, 20, 0.3, 0.5
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 HINT = re.compile(r"[0-9@]")
@@ -186,7 +186,8 @@ class Potentials:
 
     def __init__(self, counts: list[tuple[str, str, int, int]]):
         by_shape: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(NONE + 1))
-        chain, skip = np.ones((NONE + 1, NONE + 1)), np.ones(2)
+        # Before any count, nodes of one entity are held to have one label 99 times in 100.
+        chain, skip = np.ones((NONE + 1, NONE + 1)), np.array([1.0, 99.0])
         for part, what, label, n in counts:
             if part == "shape":
                 by_shape[what][label] += n
@@ -199,8 +200,8 @@ class Potentials:
         }
         # How much more often two labels stand side by side than their own frequencies say.
         share = chain / chain.sum()
-        self.chain = np.clip(np.log(share / np.outer(share.sum(1), share.sum(0))), -1.0, 1.0)
-        self.skip = min(MAX_SKIP, max(0.0, math.log(skip[1] / skip[0]) + 2.0))
+        self.chain = np.clip(np.log(share / np.outer(share.sum(1), share.sum(0))), -MAX_CHAIN, MAX_CHAIN)
+        self.skip = min(MAX_SKIP, max(0.0, math.log(skip[1] / skip[0])))
         self.unknown = np.array([-MAX_UNARY] * NONE + [0.0])
 
     def spans(self, text: str, base: list[Span]) -> list[Span]:
@@ -301,8 +302,10 @@ def reported(text: Column, potentials: Potentials) -> Column:
 def with_spans(docs: DataFrame) -> DataFrame:
     """Documents with ``n_email``, ``n_ip``, ``n_card``, ``n_phone``, ``base_sha256`` and ``spans``."""
     new = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
-    out = docs.drop(*new).withColumn("__found", reported(F.col("text"), learned(docs)))
-    return out.select(*docs.drop(*new).columns, *[F.col(f"__found.{name}").alias(name) for name in new])
+    rest = docs.drop(*new)
+    found = unused(rest, "__found")
+    out = rest.withColumn(found, reported(F.col("text"), learned(docs)))
+    return out.select(*rest.columns, *[F.col(f"{found}.{name}").alias(name) for name in new])
 
 
 def redact(docs: DataFrame) -> DataFrame:

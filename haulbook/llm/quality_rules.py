@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haulbook.llm.common import stored, text_of, words_of
+from haulbook.llm.common import stored, text_of, unused, words_of
 
 #: Rows of the sample on which rules are timed. It decides their order only.
 SAMPLE_ROWS = 1000
@@ -82,9 +82,10 @@ def words_under(positions: Column) -> Column:
 def with_repeats(frame: DataFrame, windows: str, name: str) -> DataFrame:
     """Adds n_repeat_words: words inside 3-word windows that occur at least twice. Each step is a column of its own, so
     that none is computed anew for every element of the next."""
-    frame = frame.withColumn("__sorted", repeat_positions(F.col(windows)))
-    frame = frame.withColumn("__at", repeated(F.col("__sorted")))
-    return frame.withColumn(name, words_under(F.col("__at"))).drop("__sorted", "__at")
+    ordered_windows, places = unused(frame, "__sorted"), unused(frame, "__at")
+    frame = frame.withColumn(ordered_windows, repeat_positions(F.col(windows)))
+    frame = frame.withColumn(places, repeated(F.col(ordered_windows)))
+    return frame.withColumn(name, words_under(F.col(places))).drop(ordered_windows, places)
 
 
 def window_hashes(words: Column) -> Column:
@@ -164,10 +165,13 @@ def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, order: bool = True) ->
     """Documents with the measures of the base rule, ``base_failed`` and ``kept``."""
     new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     cascade = ordered(docs, rules) if order else list(rules)
-    text, words = F.col("__text"), F.col("__words")
-    out = docs.drop(*new).withColumn("__text", text_of("text"))
-    out = out.withColumn("__words", words_of(text)).withColumn("__windows", window_hashes(words))
-    out = with_repeats(out, "__windows", "n_repeat_words")
+    out = docs.drop(*new)
+    names = out.columns
+    text_name, words_name, windows_name = (unused(out, name) for name in ("__text", "__words", "__windows"))
+    text, words = F.col(text_name), F.col(words_name)
+    out = out.withColumn(text_name, text_of("text"))
+    out = out.withColumn(words_name, words_of(text)).withColumn(windows_name, window_hashes(words))
+    out = with_repeats(out, windows_name, "n_repeat_words")
     out = out.withColumns(
         {
             "n_words": F.size(words).cast("long"),
@@ -178,8 +182,7 @@ def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, order: bool = True) ->
     )
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     verdict = ~F.col("base_failed") & first_rejection(cascade, words, text).isNull()
-    out = out.withColumn("kept", verdict & not_inlined())
-    return out.select(*docs.drop(*new).columns, *new)
+    return out.withColumn("kept", verdict & not_inlined()).select(*names, *new)
 
 
 def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES, order: bool = True) -> DataFrame:
@@ -188,10 +191,12 @@ def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES, order: bool = True
     Here the cascade decides alone, so the costly window count is only made for documents that all else lets through.
     """
     cascade = ordered(docs, rules) if order else list(rules)
-    text, words = F.col("__text"), F.col("__words")
-    ready = docs.withColumn("__text", text_of("text")).withColumn("__words", words_of(text))
-    ready = ready.withColumn("__passed", (F.size(words) >= 50) & first_rejection(cascade, words, text).isNull())
-    ready = ready.withColumn("__windows", F.when(F.col("__passed"), window_hashes(words)))
-    ready = with_repeats(ready, "__windows", "__repeat")
-    verdict = F.col("__passed") & (100 * F.col("__repeat") <= 50 * F.size(words))
-    return ready.withColumn("__kept", verdict & not_inlined()).where("__kept").select(*docs.columns)
+    inner = [unused(docs, name) for name in ("__text", "__words", "__passed", "__windows", "__repeat", "__kept")]
+    text, words, passed, windows, repeat, kept = inner
+    ready = docs.withColumn(text, text_of("text")).withColumn(words, words_of(F.col(text)))
+    rejected = first_rejection(cascade, F.col(words), F.col(text))
+    ready = ready.withColumn(passed, (F.size(words) >= 50) & rejected.isNull())
+    ready = ready.withColumn(windows, F.when(F.col(passed), window_hashes(F.col(words))))
+    ready = with_repeats(ready, windows, repeat)
+    verdict = F.col(passed) & (100 * F.col(repeat) <= 50 * F.size(words))
+    return ready.withColumn(kept, verdict & not_inlined()).where(kept).select(*docs.columns)

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from haulbook.llm.common import LOWER, stored, text_of
+from haulbook.llm.common import LOWER, stored, text_of, unused
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -207,18 +207,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of every component, with its own columns: the one with the smallest id, of equal ids the first stored."""
+    row, bits = unused(docs, "__row"), unused(docs, "__bits")
     numbered = stored(
-        docs.withColumns({"__row": F.monotonically_increasing_id(), "__bits": fingerprints(F.col("text"))}), "numbered"
+        docs.withColumns({row: F.monotonically_increasing_id(), bits: fingerprints(F.col("text"))}), "numbered"
     )
-    prints = numbered.select(F.col("__row").alias("doc_id"), F.col("__bits").alias("bits"))
+    prints = numbered.select(F.col(row).alias("doc_id"), F.col(bits).alias("bits"))
     named = grouped(prints)
     # Nulls come last among ids.
-    place = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("id"), F.col("__row").alias("row"))
+    place = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
     chosen = (
-        numbered.select(place.alias("place"), F.col("__bits").alias("bits"))
+        numbered.select(place.alias("place"), F.col(bits).alias("bits"))
         .join(named, "bits")
         .groupBy("component_id")
         .agg(F.min("place").alias("place"))
-        .select(F.col("place.row").alias("__row"))
+        .select(F.col("place.row").alias(row))
     )
-    return numbered.join(stored(chosen, "chosen"), "__row", "left_semi").select(*docs.columns)
+    return numbered.join(stored(chosen, "chosen"), row, "left_semi").select(*docs.columns)
