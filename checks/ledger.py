@@ -52,7 +52,7 @@ def read_ledger(spark, sf_dir):
     targets = v.requests(spark, sf_dir).select(F.col("id").alias("request_id"))
     again = control.reconsider_requests(ledger.transfers(), ledger.requests(), targets)
     ledger.append(1, transfers=again.changed)
-    ledger.compact(before=(1, 0))
+    ledger.compact(before=1)
     succeeded = ledger.changes(1).where("priority > 1").withColumn("status", F.lit("succeeded"))
     ledger.append(2, transfers=succeeded)
     return ledger.transfers()

@@ -291,7 +291,7 @@ def request_status(spark, sf_dir):
 )
 def list_transfers(spark, sf_dir):
     rows = v.transfers(spark, sf_dir)
-    found = report.list_transfers(rows, busiest_request(rows), 0, 1_000_000)
+    found = report.list_transfers(rows, busiest_request(rows), 0, None)
     return found.items.withColumn("total", F.lit(found.total).cast("bigint"))
 
 

@@ -18,7 +18,7 @@ from haulbook.session import run_dir
 from haulbook.sources import messages
 from haulbook.sources.ledger import Ledger
 from haulbook.streaming import progress_state, runner, stages
-from haulbook.streaming.listen import ADMIT_STAGE, Listener, listen, sweep_on
+from haulbook.streaming.listen import Listener, listen, sweep_on
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -166,7 +166,7 @@ def sweeping(spark, sf_dir):
     listener = Listener(ledger, cap(spark, sf_dir), f"{root}/outbox", clock=v.now)
     ticks = table_stream(spark, sf_dir, "events")
     sweep_on(ticks, listener, f"{root}/checkpoint", available_now=True).awaitTermination()
-    return ledger.changes(1, ADMIT_STAGE).select(*TRANSFER_COLUMNS)
+    return ledger.changes(ledger.last_version()).select(*TRANSFER_COLUMNS)
 
 
 @check(

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 # --- SQL side
 
+#: Orders with their owner. Customers whose key ends in 0 hand theirs to a neighbour, so that their requests are empty.
+OWNED = """(SELECT * REPLACE (CASE WHEN o_custkey % 10 <> 0 THEN o_custkey WHEN o_custkey = 0 THEN 1
+                                ELSE o_custkey - 1 END AS o_custkey) FROM orders) AS owned"""
+
 CTES = {
     "requests": """
         SELECT CAST(c_custkey AS VARCHAR) AS id,
@@ -30,13 +34,13 @@ CTES = {
                      o_orderkey, o_orderdate,
                      '{"i":' || o_orderkey || ',"tag":"' || o_orderpriority || '"}' AS body,
                      CAST(5 - CAST(substr(o_orderpriority, 1, 1) AS INT) AS SMALLINT) AS priority
-              FROM orders WHERE o_custkey % 10 <> 0) x""",
+              FROM """ + OWNED + """) x""",
     "progress": """
         SELECT CAST(CASE WHEN l_suppkey % 10 = 0 THEN o_custkey + 1 ELSE o_custkey END AS VARCHAR) AS request_id,
                CAST(l_orderkey AS VARCHAR) AS transfer_id, CAST(l_linenumber - 1 AS INT) AS step,
                '{"part":' || l_partkey || ',"supp":' || l_suppkey || '}' AS info,
                l_partkey * 1000000 + l_suppkey AS arrival
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+        FROM lineitem JOIN """ + OWNED + """ ON l_orderkey = o_orderkey""",
     "results": """
         SELECT CAST(o_custkey AS VARCHAR) AS request_id, CAST(o_orderkey AS VARCHAR) AS transfer_id,
                CASE event_type WHEN 'error' THEN 'FATAL_FAILURE' WHEN 'signup' THEN 'EXPANDED'
@@ -45,8 +49,7 @@ CTES = {
                     THEN '[' || replace(props, ' ', '') || ',{"again":' || event_id || '}]'
                     ELSE replace(props, ' ', '') END AS info,
                event_id AS arrival
-        FROM events JOIN orders ON o_orderkey = event_id - event_id % 2
-        WHERE o_custkey % 10 <> 0""",
+        FROM events JOIN """ + OWNED + """ ON o_orderkey = event_id - event_id % 2""",
     "objects": """
         SELECT '/' || source || '/' || lang || '/' || doc_id || '.txt' AS path, doc_id,
                CAST(strlen(text) AS BIGINT) AS size, md5(text) AS md5, encode(text) AS content
@@ -137,12 +140,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows over all cores if their file is too small to be split; larger inputs are split by the scan already."""
-    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    split = int(rows.sparkSession.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"))
-    return rows.repartition(cores) if int(str(size)) < cores * split else rows
+def owned(orders: DataFrame) -> DataFrame:
+    key = F.col("o_custkey")
+    return orders.withColumn("o_custkey", F.when(key % 10 != 0, key).when(key == 0, 1).otherwise(key - 1))
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,7 +163,7 @@ def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(key % 3 == 1, "failed")
         .otherwise("expanded")
     )
-    rows = table(spark, sf_dir, "orders").where("o_custkey % 10 <> 0").withColumn("status", status)
+    rows = owned(table(spark, sf_dir, "orders")).withColumn("status", status)
     new = F.col("status").isin("pending", "submitted")
     days = F.make_dt_interval(days=(key % 30).cast("int"))
     return rows.select(
@@ -181,7 +181,7 @@ def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def progress_of(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     customer = F.col("o_custkey") + F.when(F.col("l_suppkey") % 10 == 0, 1).otherwise(0)
-    owners = orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    owners = owned(orders).select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     return lineitem.join(owners, "l_orderkey").select(
         customer.cast("string").alias("request_id"),
         F.col("l_orderkey").cast("string").alias("transfer_id"),
@@ -192,14 +192,14 @@ def progress_of(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
 
 
 def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return progress_of(spread(table(spark, sf_dir, "lineitem")), table(spark, sf_dir, "orders"))
+    return progress_of(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"))
 
 
 def results_of(events: DataFrame, orders: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     props = F.replace(F.col("props"), F.lit(" "), F.lit(""))
     again = F.to_json(F.struct(F.col("event_id").alias("again")))
-    owners = orders.where("o_custkey % 10 <> 0").select("o_orderkey", "o_custkey")
+    owners = owned(orders).select("o_orderkey", "o_custkey")
     return (
         events.withColumn("o_orderkey", F.col("event_id") - F.col("event_id") % 2)
         .join(owners, "o_orderkey")
@@ -234,7 +234,7 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def object_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("/"), "source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id"), F.lit(".txt"))
-    return spread(table(spark, sf_dir, "documents")).select(
+    return table(spark, sf_dir, "documents").select(
         path.alias("path"), "doc_id", F.encode("text", "UTF-8").alias("content")
     )
 

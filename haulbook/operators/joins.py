@@ -33,17 +33,30 @@ def update_from_messages(transfers: DataFrame, messages: DataFrame) -> DataFrame
     return transfers.join(addressed, "id").where(same_request).drop("named_request_id")
 
 
+def reduced(known: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of a large table that may match the few wanted ones.
+
+    A semi or outer join can only build its hash table from the right, which would be the large table; this one builds it
+    from the wanted keys. Ids are unique, so they stand for longer keys and match how snapshots are bucketed.
+    """
+    keys = ["id"] if "id" in on else on
+    return known.join(wanted.select(*keys).distinct(), keys, "left_semi")
+
+
 def existing(wanted: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
-    return wanted.join(known.select(*on), on, "left_semi")
+    """The few wanted rows that a large table knows."""
+    return wanted.join(reduced(known.select(*on), wanted, on), on, "left_semi")
 
 
 def missing(wanted: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
-    return wanted.join(known.select(*on), on, "left_anti")
+    """The few wanted rows that a large table does not know."""
+    return wanted.join(reduced(known.select(*on), wanted, on), on, "left_anti")
 
 
 def parent_priority(messages: DataFrame, transfers: DataFrame) -> DataFrame:
     """Messages with the priority and request of the transfer they are about; null if it is unknown."""
-    parents = transfers.select(
+    named = messages.select(F.col("transfer_id").alias("id"))
+    parents = reduced(transfers, named, ["id"]).select(
         F.col("id").alias("transfer_id"),
         F.col("request_id").alias("parent_request_id"),
         "priority",
@@ -80,4 +93,4 @@ def with_manifests(copies: DataFrame, source: DataFrame, target: DataFrame) -> D
 
 def orphans(transfers: DataFrame, requests: DataFrame) -> DataFrame:
     """Transfers whose request is not in the ledger; a sound ledger has none."""
-    return missing(transfers, requests.select(F.col("id").alias("request_id")), ["request_id"])
+    return transfers.join(requests.select(F.col("id").alias("request_id")), "request_id", "left_anti")

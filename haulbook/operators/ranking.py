@@ -138,12 +138,15 @@ def first_rows(rows: DataFrame, keys: list[Key], count: int) -> DataFrame:
     return rows if cut is None else rows.where(cut.covers)
 
 
-def page(rows: DataFrame, keys: list[Key], offset: int, limit: int) -> DataFrame:
-    """Rows ``offset`` to ``offset + limit`` of a total order, sorted; empty beyond the end or with limit 0."""
+def page(rows: DataFrame, keys: list[Key], offset: int, limit: int | None) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit`` of a total order, sorted; empty beyond the end or with limit 0.
+
+    Without a limit all rows from ``offset`` on.
+    """
     order = [key.sort for key in keys]
-    if limit <= 0:
+    if limit is not None and limit <= 0:
         return rows.where(F.lit(False))
-    if offset + limit <= TOP_K_ROWS:
+    if limit is not None and offset + limit <= TOP_K_ROWS:
         return rows.orderBy(*order).offset(offset).limit(limit)
     conditions = []
     if offset > 0:
@@ -151,7 +154,7 @@ def page(rows: DataFrame, keys: list[Key], offset: int, limit: int) -> DataFrame
         if start is None:
             return rows.where(F.lit(False))
         conditions.append(~start.covers)
-    end, _ = cut_at(rows, keys, offset + limit)
+    end = None if limit is None else cut_at(rows, keys, offset + limit)[0]
     if end is not None:
         conditions.append(end.covers)
     return reduce(DataFrame.where, conditions, rows).orderBy(*order)

@@ -8,13 +8,9 @@ from pyspark.sql import functions as F
 from haulbook.operators.ranking import Key, cut_at
 from haulbook.schemas import IN_FLIGHT, TRANSFER_COLUMNS
 
-#: Transfers in flight at once, and seconds between sweeps, unless configured otherwise.
-MAX_IN_FLIGHT = 10
+#: Time between sweeps, unless configured otherwise.
 SWEEP_INTERVAL = "3 seconds"
 
-#: Most ids broadcast to pick their rows; some ten megabytes.
-BROADCAST_IDS = 500_000
-
 
 def slots(transfers: DataFrame, max_in_flight: int) -> int:
     """How many more transfers may be submitted; never negative."""
@@ -49,11 +45,8 @@ def next_pending(transfers: DataFrame, requests: DataFrame, count: int) -> DataF
     by_id, _ = cut_at(candidates.where(F.col("received_at") == latest), [Key("id")], left)
     if by_id is not None:
         candidates = candidates.where((F.col("received_at") < latest) | by_id.covers)
-    # Only ids went through the shuffle so far. There are no more than ``count`` of them, so few enough to send to
-    # where the payloads are; beyond that both sides are shuffled.
-    chosen = candidates.select("id")
-    chosen = F.broadcast(chosen) if count <= BROADCAST_IDS else chosen
-    return above.unionByName(level.join(chosen, "id", "left_semi"))
+    # Only ids went through the shuffle so far; AQE sends them to where the payloads are if it finds them small.
+    return above.unionByName(level.join(candidates.select("id"), "id", "left_semi"))
 
 
 def admit(transfers: DataFrame, requests: DataFrame, max_in_flight: int, now: Column) -> DataFrame:

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haulbook.operators.joins import existing, missing
+from haulbook.operators.joins import existing, missing, reduced
 from haulbook.schemas import RECONSIDERED_STEPS, TRANSFER_COLUMNS
 
 NOT_FOUND = "not_found"
@@ -39,6 +39,7 @@ def reconsider_requests(transfers: DataFrame, requests: DataFrame, targets: Data
 
 def reconsider_transfers(transfers: DataFrame, targets: DataFrame) -> Outcome:
     """Single failed transfers become pending again; one that did not fail stays as it is."""
+    transfers = reduced(transfers, targets, TRANSFER)
     found = existing(targets.select(*TRANSFER), transfers, TRANSFER)
     changed = _reconsider(transfers.join(targets.select(*TRANSFER), TRANSFER, "left_semi"))
     return Outcome(
@@ -62,6 +63,7 @@ def prioritise_requests(transfers: DataFrame, requests: DataFrame, targets: Data
 def prioritise_transfers(transfers: DataFrame, targets: DataFrame) -> Outcome:
     """The same for single transfers; one that is not pending is a conflict."""
     wanted = targets.select(*TRANSFER, F.col("priority").cast("smallint").alias("new_priority"))
+    transfers = reduced(transfers, targets, TRANSFER)
     found = transfers.join(wanted, TRANSFER)
     pending = found.where(F.col("status") == "pending")
     acks = pending.select(*TRANSFER, _differs().cast("bigint").alias("updated_count"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from haulbook.operators.aggregates import status_map, summaries
 from haulbook.operators.filters import where_all, with_ids
-from haulbook.operators.joins import existing, missing
+from haulbook.operators.joins import missing, reduced
 from haulbook.operators.ranking import Key, page
 from haulbook.plans.control import NOT_FOUND, TRANSFER
 from haulbook.schemas import STATUSES
@@ -92,11 +92,11 @@ def list_transfers(
     transfers: DataFrame,
     request_id: str,
     offset: int = 0,
-    limit: int = DEFAULT_LIMIT,
+    limit: int | None = DEFAULT_LIMIT,
     descending: bool = False,
     status: str | None = None,
 ) -> Page:
-    """Details of a page of one request's transfers by id, optionally of one state."""
+    """Details of a page of one request's transfers by id, optionally of one state; without a limit, of all."""
     wanted = None if status is None else F.col("status") == status
     rows = where_all(transfers, F.col("request_id") == request_id, wanted)
     return Page(details(page(rows, [Key("id", descending)], offset, limit)), rows.count())
@@ -104,8 +104,9 @@ def list_transfers(
 
 def transfer_details(transfers: DataFrame, ids: DataFrame) -> Lookup:
     """Details of the transfers in a frame of (request_id, id)."""
+    transfers = reduced(transfers, ids, TRANSFER)
     unknown = missing(ids, transfers, TRANSFER)
     return Lookup(
-        details(existing(transfers, ids, TRANSFER)),
+        details(transfers.join(ids.select(*TRANSFER), TRANSFER, "left_semi")),
         unknown.select(*TRANSFER, F.lit(NOT_FOUND).alias("reason")),
     )

@@ -1,18 +1,25 @@
-"""The ledger: requests and transfers kept as a log of row images plus snapshots.
-
-Parquet has no in-place update, so a transition appends the new images of the rows it changed. Each append goes to the
-folder of its (batch, stage) and counts once that folder carries Spark's success marker: a replayed batch overwrites its
-own folder and reads the state before it, so it derives the same rows again. One job owns the ledger at a time.
-
-The current state is the base (snapshot or first append) without the ids changed since, plus their latest images. Base
-and changes stay separate branches of a union, so filters and column pruning reach the parquet scan of the base; the
-set of changed ids is broadcast if it is measured to be small, and the snapshot is bucketed by id, so that it is not
-shuffled otherwise.
+"""The ledger: requests and transfers kept as a log of row images plus snapshots, shared by any number of writers.
+
+Parquet has no in-place update, so a transition appends the new images of the rows it changed. An append is known by its
+writer and that writer's own batch and stage, and gets the next version of the ledger by creating the version's file, which
+only one writer can. It waits for the versions before its own, so it sees all they wrote and nothing is lost between
+intake, control, listeners and sweeps. An append that came before keeps its version: a replay reads the state before itself
+and writes nothing if it has the same rows (but for the times in them); other rows under a used name are an error, and so is
+a name that is older than what its writer has folded away.
+
+The current state is the base (snapshot or first append) without the ids changed since, plus their latest images. Base and
+changes stay separate branches of a union, so filters and column pruning reach the parquet scan of the base; the
+snapshot is bucketed by id, so that joins by id need not shuffle it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
+import threading
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
@@ -25,56 +32,62 @@ from haulbook.schemas import REQUESTS, TRANSFERS
 #: Appends after which `compact_if_due` folds the log, so that reads stay proportional to the ledger.
 MAX_APPENDS = 32
 
-Seq = tuple[int, int]
+#: Bytes of a snapshot's bucket, unless a ledger is given a number of buckets; seconds to wait for earlier versions.
+BUCKET_BYTES, PATIENCE = 256 << 20, 3600.0
+
+Name = tuple[str, int, int]  # writer, batch, stage
+
+
+class StaleAppend(RuntimeError):
+    """An append under a name that its writer has left behind, or used for other rows."""
 
 
 @dataclass(frozen=True)
 class _Folder:
-    seq: Seq
+    version: int
     path: str
     buckets: int = 0
 
 
 class Ledger:
-    """Requests and transfers under one root folder."""
+    """Requests and transfers under one root folder. Without ``buckets`` their number follows the snapshot's size."""
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None, patience: float = PATIENCE):
         self.spark = spark
         self.root = root.rstrip("/")
         self.buckets = buckets
+        self.patience = patience
+        self._names: dict[int, Name] = {}
+        self._own = threading.Lock()
 
     # --- reading
 
-    def transfers(self, before: Seq | None = None) -> DataFrame:
-        """Current transfers, or those before a (batch, stage)."""
+    def transfers(self, before: int | None = None) -> DataFrame:
+        """Current transfers, or those before a version."""
         return reduce(DataFrame.unionByName, self.parts(before))
 
-    def parts(self, before: Seq | None = None) -> list[DataFrame]:
+    def parts(self, before: int | None = None) -> list[DataFrame]:
         """The same as disjoint parts: first the base, then what changed since.
 
         A union forgets how its branches are bucketed, so a join by id that is done per part spares the base a shuffle.
         """
         return self._current("transfers", TRANSFERS, before)
 
-    def requests(self, before: Seq | None = None) -> DataFrame:
+    def requests(self, before: int | None = None) -> DataFrame:
         """All requests; they are never changed, so their appends need no folding."""
         base, appends = self._folders("requests", before)
         frames = [self._read(folder, "requests", REQUESTS) for folder in ([base] if base else []) + appends]
         return reduce(DataFrame.unionByName, frames) if frames else self.spark.createDataFrame([], REQUESTS)
 
-    def changes(self, batch: int, stage: int = 0) -> DataFrame:
+    def changes(self, version: int) -> DataFrame:
         """The transfer images one append wrote."""
-        return self.spark.read.schema(TRANSFERS).parquet(self._path("transfers", (batch, stage)))
+        return self.spark.read.schema(TRANSFERS).parquet(self._path("transfers", version))
 
-    def last_batch(self) -> int:
-        """Number of the last batch with an append or folded into a snapshot; -1 for a new ledger."""
-        found = [-1]
-        for table in ("requests", "transfers"):
-            base, appends = self._folders(table, None)
-            found += [folder.seq[0] for folder in ([base] if base else []) + appends]
-        return max(found)
+    def last_version(self) -> int:
+        """The last finished version; -1 for a new ledger."""
+        return max(self._finished(), default=-1)
 
-    def _current(self, table: str, schema: T.StructType, before: Seq | None) -> list[DataFrame]:
+    def _current(self, table: str, schema: T.StructType, before: int | None) -> list[DataFrame]:
         base, appends = self._folders(table, before)
         if base is None:
             if not appends:
@@ -103,7 +116,7 @@ class Ledger:
     def _read(self, folder: _Folder, table: str, schema: T.StructType) -> DataFrame:
         if not folder.buckets:
             return self.spark.read.schema(schema).parquet(folder.path)
-        name = self._table_name(table, folder.seq)
+        name = self._table_name(table, folder.version)
         if not self.spark.catalog.tableExists(name):
             # The files outlive the session that wrote them; the catalog entry may not.
             columns = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in schema.fields)
@@ -116,82 +129,250 @@ class Ledger:
     # --- writing
 
     def append(
-        self, batch: int, stage: int = 0, transfers: DataFrame | None = None, requests: DataFrame | None = None
-    ) -> None:
-        """Write the images a batch changed; requests first, so that no transfer is ever without its request."""
+        self,
+        batch: int,
+        stage: int = 0,
+        transfers: DataFrame | None = None,
+        requests: DataFrame | None = None,
+        writer: str = "main",
+    ) -> int:
+        """Write the images that a writer's batch changed, as the next version, which is returned."""
+        with self.turn(batch, stage, writer) as version:
+            self.write(version, transfers, requests)
+        return version
+
+    @contextmanager
+    def turn(self, batch: int, stage: int = 0, writer: str = "main") -> Iterator[int]:
+        """The version of an append, once all versions before it are finished; what is read before it holds until then.
+
+        If the body fails before it has written, the version is given back, so that nobody waits for it.
+        """
+        version = self._claimed((writer, batch, stage))
+        try:
+            self._wait_for(version)
+            yield version
+        except BaseException:
+            if version not in self._finished():
+                self._files().delete(self._hadoop(f"versions/{version:012d}"), False)
+                self._names.pop(version, None)
+            raise
+
+    def write(self, version: int, transfers: DataFrame | None = None, requests: DataFrame | None = None) -> None:
+        """Write a version's rows; requests first, so that no transfer is ever without its request."""
+        parts = []
         if requests is not None:
-            columns = requests.select(*REQUESTS.fieldNames())
-            columns.write.mode("overwrite").parquet(self._path("requests", (batch, stage)))
+            parts.append(("requests", requests.select(*REQUESTS.fieldNames())))
         if transfers is not None:
-            columns = transfers.select(
-                *[F.col(field.name).cast(field.dataType).alias(field.name) for field in TRANSFERS.fields]
-            )
-            columns.write.mode("overwrite").parquet(self._path("transfers", (batch, stage)))
-
-    def compact(self, before: Seq) -> None:
-        """Fold everything before a (batch, stage) into snapshots; later appends stay in the log.
-
-        A stream calls this at the start of a batch, with that batch: whatever may be replayed stays unfolded.
+            columns = [F.col(field.name).cast(field.dataType).alias(field.name) for field in TRANSFERS.fields]
+            parts.append(("transfers", transfers.select(*columns)))
+        before = self._finished().get(version)
+        if before is not None:
+            now = " ".join(f"{table}:{_content(rows)}" for table, rows in parts)
+            if now != self._text(before):
+                raise StaleAppend(f"version {version} has other rows than its replay: {self._names[version]}")
+            return
+        found = []
+        for table, rows in parts:
+            rows.write.mode("overwrite").parquet(self._path(table, version))
+            found.append(f"{table}:{_content(self.spark.read.schema(rows.schema).parquet(self._path(table, version)))}")
+        self._create(f"versions/{version:012d}.done", " ".join(found))
+
+    def compact(self, before: int) -> None:
+        """Fold everything before a version into snapshots; later appends stay in the log.
+
+        A stream calls this at the start of a batch, with that batch's version: whatever may be replayed stays unfolded.
+        What no reader needs any more goes: folders up to the snapshot before this one.
         """
         for table, current in (("requests", self.requests(before)), ("transfers", self.transfers(before))):
             base, appends = self._folders(table, before)
             if not appends:
                 continue
-            seq = appends[-1].seq
-            path = f"{self.root}/{table}/snapshot/upto={seq[0]}.{seq[1]}.{self.buckets}"
+            size = sum(self._size(folder.path) for folder in ([base] if base else []) + appends)
+            buckets = self.buckets or max(1, -(-size // BUCKET_BYTES))
+            version = appends[-1].version
+            name = self._table_name(table, version)
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
             (
-                current.write.mode("overwrite")
+                # A task then writes one bucket, not a file in each.
+                current.repartition(buckets, "id")
+                .write.mode("overwrite")
                 .format("parquet")
-                .bucketBy(self.buckets, "id")
+                .bucketBy(buckets, "id")
                 .sortBy("id")
                 # Sorted files and a filter per row group let lookups by id skip what they do not need.
                 .option("parquet.bloom.filter.enabled#id", "true")
-                .option("path", path)
-                .saveAsTable(self._table_name(table, seq))
+                .option("path", f"{self.root}/{table}/snapshot/upto={version}.{buckets}")
+                .saveAsTable(name)
             )
+            if base is not None:
+                self._forget(table, base.version)
 
-    def compact_if_due(self, before: Seq) -> None:
+    def compact_if_due(self, before: int) -> None:
         _, appends = self._folders("transfers", before)
         if len(appends) > MAX_APPENDS:
             self.compact(before)
 
+    # --- versions
+
+    def _claimed(self, name: Name) -> int:
+        """The version of an append: the one it has, or the next."""
+        if not re.fullmatch(r"[A-Za-z0-9_-]+", name[0]):
+            raise ValueError(f"writer {name[0]!r}: letters, digits, _ and - only")
+        with self._own:
+            while True:
+                versions, _ = self._versions()
+                names = {self._name_of(version): version for version in versions}
+                if name in names:
+                    return names[name]
+                newest = max((other[1:] for other in names if other[0] == name[0]), default=(-1, -1))
+                if name[1:] < newest:
+                    raise StaleAppend(f"{name} comes after {name[0]} has written {newest}")
+                version = max(versions, default=-1) + 1
+                if self._create(f"versions/{version:012d}", ".".join(map(str, name))):
+                    self._names[version] = name
+                    return version
+
+    def _wait_for(self, version: int) -> None:
+        until = time.monotonic() + self.patience
+        while True:
+            versions, finished = self._versions()
+            open_ones = [other for other in versions if other < version and other not in finished]
+            if not open_ones:
+                return
+            if time.monotonic() > until:
+                raise TimeoutError(f"version {version} waits for {self._name_of(open_ones[0])}; replay or release it")
+            time.sleep(0.2)
+
+    def _versions(self) -> tuple[list[int], dict[int, str]]:
+        """Versions in order, and for finished ones the file that says what they hold: one listing."""
+        versions, finished = [], {}
+        files, folder = self._files(), self._hadoop("versions")
+        for status in files.listStatus(folder) if files.exists(folder) else []:
+            name = status.getPath().getName()
+            if name.isdigit():
+                versions.append(int(name))
+            elif name.endswith(".done"):
+                finished[int(name[:-5])] = status.getPath().toString()
+        return sorted(versions), finished
+
+    def _finished(self) -> dict[int, str]:
+        return self._versions()[1]
+
+    def _name_of(self, version: int) -> Name:
+        if version not in self._names:
+            for _ in range(100):
+                if text := self._text(f"{self.root}/versions/{version:012d}"):
+                    writer, batch, stage = text.split(".")
+                    self._names[version] = (writer, int(batch), int(stage))
+                    break
+                # Its writer has created the file and not yet filled it.
+                time.sleep(0.05)
+        return self._names.get(version, ("", -1, -1))
+
     # --- folders
 
-    def _path(self, table: str, seq: Seq) -> str:
-        return f"{self.root}/{table}/log/append={seq[0]}.{seq[1]}"
+    def _path(self, table: str, version: int) -> str:
+        return f"{self.root}/{table}/log/append={version}"
 
-    def _table_name(self, table: str, seq: Seq) -> str:
+    def _table_name(self, table: str, version: int) -> str:
         key = hashlib.md5(self.root.encode()).hexdigest()[:12]
-        return f"haulbook_{table}_{key}_{seq[0]}_{seq[1]}"
+        return f"haulbook_{table}_{key}_{version}"
 
-    def _folders(self, table: str, before: Seq | None) -> tuple[_Folder | None, list[_Folder]]:
-        """The latest snapshot and the appends after it, in order; there are few, as compaction folds them."""
+    def _folders(self, table: str, before: int | None) -> tuple[_Folder | None, list[_Folder]]:
+        """The latest snapshot and the finished appends after it, in order; there are few, as compaction folds them."""
         snapshots = []
         for name, path in finished_folders(self.spark, f"{self.root}/{table}/snapshot"):
-            batch, stage, buckets = map(int, name.split("=")[1].split("."))
-            snapshots.append(_Folder((batch, stage), path, buckets))
-        appends = []
-        for name, path in finished_folders(self.spark, f"{self.root}/{table}/log"):
-            batch, stage = map(int, name.split("=")[1].split("."))
-            appends.append(_Folder((batch, stage), path))
+            version, buckets = map(int, name.split("=")[1].split("."))
+            snapshots.append(_Folder(version, path, buckets))
+        oldest = min((folder.version for folder in snapshots), default=-1)
+        finished = self._finished()
+        appends = [
+            _Folder(int(name.split("=")[1]), path)
+            for name, path in _sub_folders(self.spark, f"{self.root}/{table}/log")
+            if int(name.split("=")[1]) in finished
+        ]
         if before is not None:
-            snapshots = [folder for folder in snapshots if folder.seq < before]
-            appends = [folder for folder in appends if folder.seq < before]
-        base = max(snapshots, key=lambda folder: folder.seq, default=None)
+            if len(snapshots) > 1 and before <= oldest:
+                raise StaleAppend(f"what was before version {before} has been folded")
+            snapshots = [folder for folder in snapshots if folder.version < before]
+            appends = [folder for folder in appends if folder.version < before]
+        base = max(snapshots, key=lambda folder: folder.version, default=None)
         if base is not None:
-            appends = [folder for folder in appends if folder.seq > base.seq]
-        return base, sorted(appends, key=lambda folder: folder.seq)
-
-
-def finished_folders(spark: SparkSession, parent: str) -> list[tuple[str, str]]:
-    """Name and path of the sub-folders that a finished Spark write left its marker in."""
+            appends = [folder for folder in appends if folder.version > base.version]
+        return base, sorted(appends, key=lambda folder: folder.version)
+
+    def _forget(self, table: str, snapshot: int) -> None:
+        """Remove appends up to a snapshot, snapshots before it, and names that no writer can use again."""
+        files = self._files()
+        for name, path in _sub_folders(self.spark, f"{self.root}/{table}/log"):
+            if int(name.split("=")[1]) <= snapshot:
+                files.delete(self._hadoop(path), True)
+        for name, path in finished_folders(self.spark, f"{self.root}/{table}/snapshot"):
+            version = int(name.split("=")[1].split(".")[0])
+            if version < snapshot:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self._table_name(table, version)}")
+                files.delete(self._hadoop(path), True)
+        versions, finished = self._versions()
+        newest = {self._name_of(version)[0]: version for version in versions}
+        for version in versions:
+            if version <= snapshot and version in finished and newest[self._name_of(version)[0]] != version:
+                for name in (f"versions/{version:012d}.done", f"versions/{version:012d}"):
+                    files.delete(self._hadoop(name), False)
+
+    # --- files
+
+    def _hadoop(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path if path.startswith((self.root, "/")) or ":" in path else f"{self.root}/{path}")
+
+    def _files(self):
+        return self._hadoop("versions").getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _create(self, name: str, text: str) -> bool:
+        """Write a small file unless it exists."""
+        files, path = self._files(), self._hadoop(name)
+        if files.exists(path):
+            return False
+        try:
+            out = files.create(path, False)
+        except Exception as error:
+            if "FileAlreadyExists" in str(error) or "already exists" in str(error):
+                return False
+            raise
+        out.write(bytearray(text.encode()))
+        out.close()
+        return True
+
+    def _text(self, name: str) -> str:
+        source = self._files().open(self._hadoop(name))
+        try:
+            return bytes(source.readAllBytes()).decode()
+        finally:
+            source.close()
+
+    def _size(self, path: str) -> int:
+        return self._files().getContentSummary(self._hadoop(path)).getLength()
+
+
+def _content(rows: DataFrame) -> str:
+    """Number and digest of rows, without the times that a replay takes anew."""
+    columns = [name for name, kind in rows.dtypes if kind != "timestamp_ntz"]
+    digest = F.coalesce(F.sum(F.xxhash64(*columns).cast("decimal(38,0)")), F.lit(0))
+    return ",".join(map(str, rows.agg(F.count("*"), digest).first()))
+
+
+def _sub_folders(spark: SparkSession, parent: str) -> list[tuple[str, str]]:
     path = spark._jvm.org.apache.hadoop.fs.Path(parent)
     files = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not files.exists(path):
         return []
-    found = []
-    for status in files.listStatus(path):
-        folder = status.getPath()
-        if files.exists(spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")):
-            found.append((folder.getName(), folder.toString()))
-    return found
+    return [(status.getPath().getName(), status.getPath().toString()) for status in files.listStatus(path)]
+
+
+def finished_folders(spark: SparkSession, parent: str) -> list[tuple[str, str]]:
+    """Name and path of the sub-folders that a finished Spark write left its marker in."""
+    files = spark._jvm.org.apache.hadoop.fs.Path(parent).getFileSystem(spark._jsc.hadoopConfiguration())
+    return [
+        (name, path)
+        for name, path in _sub_folders(spark, parent)
+        if files.exists(spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS"))
+    ]

@@ -15,9 +15,6 @@ from haulbook.plans.folds import expand, fold_tagged, tag_messages
 from haulbook.sources.ledger import Ledger
 from haulbook.sources.messages import MAX_WAIT, encode_requests, write_folder
 
-#: Most transfers a batch may be about for their ids to be looked up in the ledger instead of joined with all of it.
-LOOKUP_IDS = 10_000
-
 # The order within a batch: state changes and children first, then admission, which sees them.
 FOLD_STAGE, ADMIT_STAGE = 0, 1
 
@@ -27,73 +24,67 @@ def utc_now() -> Column:
     return F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.localtimestamp())
 
 
-def few_ids(messages: DataFrame) -> list[str] | None:
-    """Ids of the transfers that a small batch of messages is about; None if the batch is not small."""
-    ids = [row[0] for row in messages.select("transfer_id").distinct().limit(LOOKUP_IDS + 1).collect()]
-    return None if len(ids) > LOOKUP_IDS else ids
-
-
-def looked_up(transfers: DataFrame, ids: list[str] | None) -> DataFrame:
-    """Ledger rows with these ids; as a list they prune the snapshot's buckets, instead of scanning all of it."""
-    return transfers if ids is None else transfers.where(F.col("id").isin(ids))
-
-
 @dataclass
 class Listener:
-    """What a batch does to the ledger. The ledger's log is numbered by the stream's batches.
+    """What a batch does to the ledger, under the name of a writer and the number of the stream's batch.
 
-    A batch reads the state before itself and overwrites its own appends, so replaying it changes nothing: at-least-once
-    delivery of batches leaves the ledger as if each had come once, and nothing is submitted twice.
+    A batch reads the state before its own version, and a replayed one that has the same rows writes nothing: at-least-once
+    delivery of batches leaves the ledger as if each had come once, and nothing is submitted twice. Intake, control, other
+    listeners and sweeps may write to the ledger meanwhile; each sees all versions before its own.
     """
 
     ledger: Ledger
     max_in_flight: int | None = None
     outbox: str | None = None
-    first_batch: int = 1
     strict: bool = True
     clock: Callable[[], Column] = utc_now
+    writer: str = "listener"
 
-    def fold(self, messages: DataFrame, batch: int) -> None:
+    def fold(self, messages: DataFrame, batch: int) -> int:
         """Fold tagged messages: new images of the transfers they are about, and the children of expansions.
 
         Unless strict, expansions of unknown transfers are set aside instead of failing the batch.
         """
-        before = (batch, FOLD_STAGE)
-        ids, now = few_ids(messages), self.clock()
-        parts = [looked_up(part, ids) for part in self.ledger.parts(before)]
-        changed = reduce(DataFrame.unionByName, [fold_tagged(part, messages, now) for part in parts])
-        transfers, requests = reduce(DataFrame.unionByName, parts), self.ledger.requests(before)
-        results = messages.where(F.col("signal").isNotNull())
-        expansion = expand(transfers, results, requests, self.strict)
-        if not self.strict:
-            expansion.rejected.write.mode("overwrite").parquet(f"{self.ledger.root}/rejected/batch={batch}")
-        self.ledger.append(batch, FOLD_STAGE, transfers=changed.unionByName(expansion.children))
-
-    def sweep(self, batch: int) -> None:
+        with self.ledger.turn(batch, FOLD_STAGE, self.writer) as version:
+            now = self.clock()
+            ids = messages.select(F.col("transfer_id").alias("id")).distinct()
+            # Each part of the ledger is reduced to the transfers in question before anything else is done with it.
+            parts = [part.join(ids, "id", "left_semi") for part in self.ledger.parts(version)]
+            changed = reduce(DataFrame.unionByName, [fold_tagged(part, messages, now) for part in parts])
+            transfers, requests = reduce(DataFrame.unionByName, parts), self.ledger.requests(version)
+            results = messages.where(F.col("signal").isNotNull())
+            expansion = expand(transfers, results, requests, self.strict)
+            if not self.strict:
+                rejected = f"{self.ledger.root}/rejected/{self.writer}/batch={batch}"
+                expansion.rejected.write.mode("overwrite").parquet(rejected)
+            self.ledger.write(version, transfers=changed.unionByName(expansion.children))
+        return version
+
+    def sweep(self, batch: int) -> int:
         """Submit what the cap leaves room for, and put the envelopes into the outbox."""
-        before = (batch, ADMIT_STAGE)
-        admitted = admit(self.ledger.transfers(before), self.ledger.requests(before), self.max_in_flight, self.clock())
-        self.ledger.append(batch, ADMIT_STAGE, transfers=admitted)
+        with self.ledger.turn(batch, ADMIT_STAGE, self.writer) as version:
+            transfers, requests = self.ledger.transfers(version), self.ledger.requests(version)
+            self.ledger.write(version, transfers=admit(transfers, requests, self.max_in_flight, self.clock()))
         if self.outbox is not None:
-            sent = encode_requests(self.ledger.changes(batch, ADMIT_STAGE), F.lit(batch).cast("bigint"))
-            write_folder(sent, f"{self.outbox}/sweep-{batch}", "overwrite")
+            sent = encode_requests(self.ledger.changes(version), F.lit(version).cast("bigint"))
+            write_folder(sent, f"{self.outbox}/sweep-{version}", "overwrite")
+        return version
 
-    def handle(self, messages: DataFrame, number: int) -> None:
+    def handle(self, messages: DataFrame, batch: int) -> None:
         """One batch of the stream."""
-        batch = self.first_batch + number
-        self.ledger.compact_if_due((batch, FOLD_STAGE))
-        # The fold reads its messages twice, for the changes and for the children.
+        # The fold reads its messages several times, for the ids, the changes and the children.
         messages = messages.persist()
         try:
-            self.fold(messages, batch)
+            version = self.fold(messages, batch)
         finally:
             messages.unpersist()
         if self.max_in_flight is not None:
             self.sweep(batch)
+        self.ledger.compact_if_due(version)
 
-    def handle_sweep(self, ticks: DataFrame, number: int) -> None:
+    def handle_sweep(self, ticks: DataFrame, batch: int) -> None:
         """One tick of a sweep that runs by itself."""
-        self.sweep(self.first_batch + number)
+        self.sweep(batch)
 
 
 def listen(

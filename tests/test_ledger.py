@@ -1,8 +1,10 @@
+from concurrent.futures import ThreadPoolExecutor
+
+import pytest
 from conftest import keyed
 
 from haulbook.plans import folds
-from haulbook.sources.ledger import Ledger
-from haulbook.streaming import listen
+from haulbook.sources.ledger import Ledger, StaleAppend
 
 
 def changed(make, status, *ids):
@@ -11,7 +13,7 @@ def changed(make, status, *ids):
 
 def test_new_ledger_is_empty(spark, tmp_path):
     ledger = Ledger(spark, f"{tmp_path}/ledger")
-    assert ledger.transfers().count() == 0 and ledger.requests().count() == 0 and ledger.last_batch() == -1
+    assert ledger.transfers().count() == 0 and ledger.requests().count() == 0 and ledger.last_version() == -1
 
 
 def test_last_image_wins(spark, make, tmp_path):
@@ -21,23 +23,67 @@ def test_last_image_wins(spark, make, tmp_path):
     ledger.append(2, transfers=changed(make, "failed", "b", "d"))
     expected = {"a": "submitted", "b": "failed", "c": "pending", "d": "failed"}
     assert keyed(ledger.transfers(), "status") == expected
-    assert keyed(ledger.transfers(before=(2, 0)), "status") == {"a": "submitted", "b": "submitted", "c": "pending"}
-    assert ledger.requests().count() == 1 and ledger.last_batch() == 2
+    assert keyed(ledger.transfers(before=2), "status") == {"a": "submitted", "b": "submitted", "c": "pending"}
+    assert ledger.requests().count() == 1 and ledger.last_version() == 2
 
 
-def test_replayed_append_overwrites_itself(spark, make, tmp_path):
+def test_replayed_append_changes_nothing(spark, make, tmp_path):
     ledger = Ledger(spark, f"{tmp_path}/ledger")
     ledger.append(0, transfers=changed(make, "pending", "a"))
-    for _ in range(2):
-        ledger.append(1, transfers=changed(make, "failed", "a", "b"))
-    assert keyed(ledger.transfers(), "status") == {"a": "failed", "b": "failed"}
+    versions = {ledger.append(1, transfers=changed(make, "failed", "a", "b")) for _ in range(2)}
+    assert keyed(ledger.transfers(), "status") == {"a": "failed", "b": "failed"} and versions == {1}
+
+
+def test_other_rows_under_a_used_or_old_name_are_refused(spark, make, tmp_path):
+    ledger = Ledger(spark, f"{tmp_path}/ledger")
+    ledger.append(3, transfers=changed(make, "pending", "a"))
+    with pytest.raises(StaleAppend):
+        ledger.append(3, transfers=changed(make, "failed", "a"))
+    with pytest.raises(StaleAppend):
+        ledger.append(2, transfers=changed(make, "failed", "a"))
+    ledger.append(0, transfers=changed(make, "submitted", "a"), writer="other")
+    assert keyed(ledger.transfers(), "status") == {"a": "submitted"}
+
+
+def test_a_failed_append_gives_its_version_back(spark, make, tmp_path):
+    ledger = Ledger(spark, f"{tmp_path}/ledger", patience=1)
+    with pytest.raises(ZeroDivisionError), ledger.turn(0):
+        raise ZeroDivisionError
+    assert ledger.append(5, transfers=changed(make, "pending", "a"), writer="other") == 0
+
+
+def test_an_append_waits_for_the_versions_before_it(spark, make, tmp_path):
+    ledger, other = (Ledger(spark, f"{tmp_path}/ledger", patience=patience) for patience in (60, 1))
+    with ledger.turn(0) as version:
+        with pytest.raises(TimeoutError):
+            other.append(0, transfers=changed(make, "pending", "b"), writer="other")
+        with ThreadPoolExecutor() as pool:
+            later = pool.submit(ledger.append, 1, 0, changed(make, "submitted", "a"), None, "other")
+            ledger.write(version, transfers=changed(make, "pending", "a"))
+            assert later.result() > version
+    assert keyed(ledger.transfers(), "status") == {"a": "submitted"}
+
+
+def test_old_folders_go_and_the_state_stays(spark, make, tmp_path):
+    ledger = Ledger(spark, f"{tmp_path}/ledger")
+    for batch in range(6):
+        ledger.append(batch, transfers=changed(make, "pending", f"t{batch}"), requests=make.requests(**{f"R{batch}": batch}))
+        if batch % 2:
+            ledger.compact(before=batch + 1)
+    assert sorted(keyed(ledger.transfers(), "status")) == [f"t{n}" for n in range(6)] and ledger.requests().count() == 6
+    left = sorted(path.name for path in (tmp_path / "ledger/transfers/snapshot").iterdir() if path.is_dir())
+    assert [name.split(".")[0] for name in left] == ["upto=3", "upto=5"]
+    with pytest.raises(StaleAppend):
+        ledger.transfers(before=1)
+    with pytest.raises(StaleAppend):
+        ledger.append(1, transfers=changed(make, "failed", "t1"))
 
 
 def test_snapshot_keeps_the_state_and_survives_the_session(spark, make, tmp_path):
     ledger = Ledger(spark, f"{tmp_path}/ledger", buckets=4)
     ledger.append(0, transfers=changed(make, "pending", "a", "b", "c"), requests=make.requests(R1=0))
     ledger.append(1, transfers=changed(make, "submitted", "a"), requests=make.requests(R2=1))
-    ledger.compact(before=(2, 0))
+    ledger.compact(before=2)
     ledger.append(2, transfers=changed(make, "failed", "b"))
     expected = {"a": "submitted", "b": "failed", "c": "pending"}
     assert keyed(ledger.transfers(), "status") == expected
@@ -52,7 +98,7 @@ def test_snapshot_keeps_the_state_and_survives_the_session(spark, make, tmp_path
 def test_snapshot_is_not_shuffled_for_a_join_by_id(spark, make, tmp_path):
     ledger = Ledger(spark, f"{tmp_path}/ledger", buckets=4)
     ledger.append(0, transfers=changed(make, "pending", *[f"t{n}" for n in range(100)]))
-    ledger.compact(before=(1, 0))
+    ledger.compact(before=1)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         joined = ledger.transfers().join(changed(make, "failed", "t1").select("id").distinct(), "id")
@@ -76,39 +122,16 @@ def test_compaction_when_due(spark, make, tmp_path, monkeypatch):
     monkeypatch.setattr("haulbook.sources.ledger.MAX_APPENDS", 2)
     ledger = Ledger(spark, f"{tmp_path}/ledger", buckets=2)
     for batch in range(4):
-        ledger.compact_if_due((batch, 0))
+        ledger.compact_if_due(batch)
         ledger.append(batch, transfers=changed(make, "pending", f"t{batch}"))
     assert (tmp_path / "ledger/transfers/snapshot").exists()
     assert sorted(keyed(ledger.transfers(), "status")) == ["t0", "t1", "t2", "t3"]
 
 
-def test_lookup_of_a_small_batch_prunes_buckets(spark, make, tmp_path):
-    ledger = Ledger(spark, f"{tmp_path}/ledger", buckets=16)
-    ledger.append(0, transfers=changed(make, "pending", *[f"t{n}" for n in range(100)]))
-    ledger.compact(before=(1, 0))
-    ids = listen.few_ids(spark.createDataFrame([("t7",), ("t7",)], "transfer_id string"))
-    assert ids == ["t7"]
-    assert [row.id for row in listen.looked_up(ledger.transfers(), ids).collect()] == ["t7"]
-    # The plan only shows the pruning if Spark may not decide against the bucketed scan itself.
-    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
-    try:
-        shown = listen.looked_up(ledger.transfers(), ids)
-        assert "SelectedBucketsCount: 1 out of 16" in shown._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
-
-
-def test_a_large_batch_is_joined_with_the_ledger(spark, make, monkeypatch):
-    monkeypatch.setattr(listen, "LOOKUP_IDS", 1)
-    ids = listen.few_ids(spark.createDataFrame([("a",), ("b",)], "transfer_id string"))
-    assert ids is None
-    assert listen.looked_up(changed(make, "pending", "a", "b", "c"), ids).count() == 3
-
-
 def test_folding_does_not_shuffle_the_snapshot(spark, make, now, tmp_path):
     ledger = Ledger(spark, f"{tmp_path}/ledger", buckets=4)
     ledger.append(0, transfers=changed(make, "submitted", *[f"t{n}" for n in range(20)]))
-    ledger.compact(before=(1, 0))
+    ledger.compact(before=1)
     ledger.append(1, transfers=changed(make, "submitted", "t1"))
     results = make.results([("R1", "t1", "SUCCESS", "1"), ("R1", "t2", "SUCCESS", "2"), ("R2", "t3", "SUCCESS", "3")])
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")

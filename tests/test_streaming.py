@@ -74,8 +74,8 @@ def streams(spark, tmp_path):
 def test_sweeps_and_folds_to_the_end(spark, ledger, tmp_path):
     """Two slots: every round ends what is in flight, and the next two are submitted."""
     listener = Listener(ledger, max_in_flight=2, outbox=f"{tmp_path}/outbox")
-    listener.sweep(1)
-    listener.first_batch = 2
+    sweeper = Listener(ledger, max_in_flight=2, outbox=f"{tmp_path}/outbox", writer="sweeper")
+    sweeper.sweep(0)
     put(spark, f"{tmp_path}/progress", envelope("R1", "t0", '[0,{"at":0}]'))
     for number in range(3):
         done = [envelope("R1", f"t{n}", '["SUCCESS",{}]') for n in (2 * number, 2 * number + 1)]
@@ -98,7 +98,7 @@ def test_unknown_parents_are_set_aside_unless_strict(spark, ledger, make, tmp_pa
         Listener(ledger).fold(tagged, 1)
     Listener(ledger, strict=False).fold(tagged, 1)
     assert ledger.transfers().count() == 8
-    assert spark.read.parquet(f"{ledger.root}/rejected/batch=1").first().transfer_id == "nobody"
+    assert spark.read.parquet(f"{ledger.root}/rejected/listener/batch=1").first().transfer_id == "nobody"
 
 
 def test_sweep_by_itself(spark, ledger, tmp_path):
@@ -109,6 +109,29 @@ def test_sweep_by_itself(spark, ledger, tmp_path):
     assert ledger.transfers().where("submitted_at IS NOT NULL").count() == 3
 
 
+def test_intake_control_listener_and_sweeps_share_a_ledger(spark, ledger, make, tmp_path):
+    """New requests and changed priorities between batches of a listener and of a sweep: nothing is lost."""
+    from haulbook.plans import control
+
+    listener, sweeper = Listener(ledger), Listener(ledger, max_in_flight=4, writer="sweeper", outbox=f"{tmp_path}/outbox")
+    put(spark, f"{tmp_path}/progress", envelope("R1", "t0", '[0,{"at":0}]'))
+    for number in range(3):
+        new = make.transfers([{"id": f"n{number}", "request": "R1"}])
+        ledger.append(number, transfers=new, writer="intake")
+        sweeper.sweep(number)
+        targets = spark.createDataFrame([("R1", f"n{number}", 9)], "request_id string, id string, priority int")
+        with ledger.turn(number, writer="control") as version:
+            ledger.write(version, transfers=control.prioritise_transfers(ledger.transfers(version), targets).changed)
+        put(spark, f"{tmp_path}/results", envelope("R1", f"t{number}", '["SUCCESS",{}]'), arrival=number * 10)
+        listen(*streams(spark, tmp_path), listener, f"{tmp_path}/checkpoint", available_now=True).awaitTermination()
+        sweeper.sweep(number)
+    sweeper.sweep(3)
+    found = keyed(ledger.transfers(), "status", "priority")
+    assert {name: found[name][0] for name in ("t0", "t1", "t2")} == dict.fromkeys(("t0", "t1", "t2"), "succeeded")
+    assert set(found) == {f"t{n}" for n in range(6)} | {"n0", "n1", "n2"}
+    assert sum(status == "submitted" for status, _ in found.values()) == 4
+
+
 # --- runner and stages
 
 
