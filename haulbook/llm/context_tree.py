@@ -23,6 +23,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -84,9 +85,37 @@ class Run:
         self.keys = keys[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)]
         self.starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
 
-    def of_documents(self, chosen: np.ndarray) -> np.ndarray:
-        """Keys of the chosen documents."""
-        return self.keys[np.repeat(chosen, self.sizes)]
+    def strings(self, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys, ascending, and how often each occurs in the documents to learn from."""
+        # One sort does for both: the last bit says whether a key is only asked for.
+        keys = np.sort(self.keys << 1 | np.repeat(~train, self.sizes))
+        learned = 1 - (keys & 1)
+        keys >>= 1
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        return keys[first], np.add.reduceat(learned, first)
+
+    def vocabulary(self, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Distinct words' keys, ascending, their counts in the documents to learn from, and the words in that order."""
+        words = Counter(chain.from_iterable(line for line, learns in zip(self.words, train) if learns))
+        for word in set(chain.from_iterable(line for line, learns in zip(self.words, train) if not learns)):
+            if word not in words:
+                words[word] = 0
+        names = list(words)
+        keys = word_keys(names)
+        order = np.argsort(keys, kind="stable")
+        return keys[order], np.fromiter(words.values(), np.int64, len(words))[order], [names[at] for at in order.tolist()]
+
+
+def places_in(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Places of keys among sorted distinct ones, which hold them all: by a hash table, and by search where it clashes."""
+    bits = max(4, int(len(sorted_keys)).bit_length() + 2)
+    factor, shift = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - bits)
+    table = np.zeros(1 << bits, np.int32)
+    table[(sorted_keys.view(np.uint64) * factor >> shift).view(np.int64)] = np.arange(len(sorted_keys), dtype=np.int32)
+    found = table[(keys.view(np.uint64) * factor >> shift).view(np.int64)]
+    clash = np.flatnonzero(sorted_keys[found] != keys)
+    found[clash] = np.searchsorted(sorted_keys, keys[clash])
+    return found
 
 
 def word_keys(words) -> np.ndarray:
@@ -128,25 +157,6 @@ def dealt(keys: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, np.ndarra
         yield int(bucket[order[start]]), order[start:end]
 
 
-def asked(run: Run, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """Distinct strings with counts, distinct words' keys with counts (all ascending), and the words in that order."""
-    strings = np.unique(run.keys)
-    seen, times = np.unique(run.of_documents(train), return_counts=True)
-    counts = np.zeros(len(strings), np.int64)
-    counts[np.searchsorted(strings, seen)] = times
-    words: Counter[bytes] = Counter()
-    for line, learns in zip(run.words, train.tolist()):
-        if learns:
-            words.update(line)
-        else:
-            words.update(dict.fromkeys(line, 0))
-    names = list(words)
-    keys = word_keys(names)
-    order = np.argsort(keys, kind="stable")
-    times = np.fromiter(words.values(), np.int64, len(words))
-    return strings, counts, keys[order], times[order], [names[at] for at in order.tolist()]
-
-
 CELL = "bucket int, chunk long, run long, keys binary, counts binary"
 
 
@@ -154,7 +164,9 @@ def cells(buckets: int):
     """What the runs of a partition ask for, a row for each run and bucket."""
 
     def of_run(chunk: int, start: int, texts: list[str], held: list[bool]) -> Iterator[tuple]:
-        strings, counts, keys, times, _ = asked(Run(texts), ~np.array(held, bool))
+        whole, train = Run(texts), ~np.array(held, bool)
+        strings, counts = whole.strings(train)
+        keys, times, _ = whole.vocabulary(train)
         for bucket, at in dealt(strings, bucket_of_strings(strings, buckets)):
             yield bucket, chunk, start, packed(strings[at]), squeezed(counts[at].astype(np.int32))
         for bucket, at in dealt(keys, bucket_of_words(keys, buckets)):
@@ -299,15 +311,16 @@ def scored(buckets: int, train_tokens: int, vocabulary: int, train_rows: int):
 
     def of_run(rows: pd.DataFrame, answer: dict[int, bytes]) -> pd.DataFrame:
         run = Run(rows["text"].tolist())
-        strings, _, keys, _, names = asked(run, np.zeros(len(rows), bool))
+        train = np.ones(len(rows), bool)
+        (strings, _), (keys, _, names) = run.strings(train), run.vocabulary(train)
         logs, counts = np.zeros(len(strings), np.float64), np.zeros(len(keys), np.int64)
         for bucket, at in dealt(strings, bucket_of_strings(strings, buckets)):
             logs[at] = spread(answer[bucket], np.float32)
         for bucket, at in dealt(keys, bucket_of_words(keys, buckets)):
             counts[at] = spread(answer[bucket], np.int32)
-        score = np.add.reduceat(logs[np.searchsorted(strings, run.keys)], run.starts)
+        score = np.add.reduceat(logs[places_in(strings, run.keys)], run.starts)
         place = dict(zip(names, range(len(names))))
-        flat = np.array([place[word] for line in run.words for word in line], np.int64)
+        flat = np.fromiter(map(place.__getitem__, chain.from_iterable(run.words)), np.int64)
         document = np.repeat(np.arange(len(rows)), [len(line) for line in run.words])
         base = np.bincount(document, chance(counts)[flat], len(rows)) + end
         known = np.bincount(document, counts[flat] > 0, len(rows)) + (train_rows > 0)
