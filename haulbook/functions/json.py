@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from haulbook.schemas import SIGNAL_STATUS
 
-#: Deepest nesting merged by built-in expressions; beyond it the Arrow function takes over.
-NATIVE_MERGE_DEPTH = 8
+#: Deepest nesting of defaults that is merged; deeper ones are refused.
+MAX_MERGE_DEPTH = 32
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -63,44 +60,24 @@ def _merge_variants(below: Column, above: Column, depth: int) -> Column:
     return F.coalesce(F.to_variant_object(fields), above)
 
 
-def deep_merge(defaults: Column, payload: Column, depth: int = NATIVE_MERGE_DEPTH) -> Column:
+def deep_merge(defaults: Column, payload: Column, depth: int = MAX_MERGE_DEPTH) -> Column:
     """Merge JSON texts: objects merge key by key down to ``depth``, otherwise ``payload`` wins.
 
-    ``depth`` must be at least the nesting depth of ``defaults``, which `nesting_bound` gives an upper bound of.
+    ``depth`` must be at least the nesting depth of ``defaults``, which `nesting_of_text` gives. Merged texts have their keys
+    in order and their numbers as Spark's variants write them (1.0 as 1, 1e-7 as 1.0E-7), whatever other rows hold; payloads
+    without defaults stay as they came.
     """
     merged = let(F.parse_json(payload), lambda above: _merge_variants(F.parse_json(defaults), above, depth))
     return F.when(defaults.isNull(), payload).otherwise(F.to_json(merged))
 
 
-def nesting_bound(text: Column) -> Column:
-    """Upper bound of a JSON text's object nesting: no object nests deeper than there are braces."""
-    return F.length(F.regexp_replace(text, "[^{]", ""))
-
-
-def _merge_values(below, above):
-    if isinstance(below, dict) and isinstance(above, dict):
-        merged = dict(below)
-        for key, value in above.items():
-            merged[key] = _merge_values(below[key], value) if key in below else value
-        return merged
-    return above
-
-
-@F.pandas_udf(T.StringType())
-def deep_merge_any_depth(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """The same merge without a depth limit, for defaults nested deeper than `NATIVE_MERGE_DEPTH`."""
-    for defaults, payload in pairs:
-        yield pd.Series(
-            [
-                high
-                if low is None
-                else json.dumps(
-                    _merge_values(json.loads(low), json.loads(high)),
-                    ensure_ascii=False,
-                    sort_keys=True,
-                    separators=(",", ":"),
-                )
-                for low, high in zip(defaults, payload)
-            ],
-            dtype=object,
-        )
+def nesting_of_text(text: Column) -> Column:
+    """How deep objects nest in a JSON text; braces inside strings do not count."""
+    braces = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]|\\.)*+"', ""), "[^{}]", "")
+    step = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def count(so_far: Column, brace: Column) -> Column:
+        now = so_far["now"] + F.when(brace == "{", 1).when(brace == "}", -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(so_far["most"], now).alias("most"))
+
+    return F.aggregate(F.split(braces, ""), step, count, lambda so_far: so_far["most"])

@@ -9,6 +9,7 @@ from haulbook.functions.text import content_type
 from haulbook.operators.joins import with_manifests
 from haulbook.operators.ranges import DEFAULT_STEP
 
+FAIL_DUPLICATE = "fail_duplicate"
 FAIL_MISSING = "fail_missing"
 FAIL_NO_SIZE = "fail_no_size"
 FAIL_SIZE = "fail_size"
@@ -24,12 +25,15 @@ def decide(copies: DataFrame, source: DataFrame, target: DataFrame, step: int =
     ``copies`` has source_path, target_path, expected_size, expected_md5 and force; the manifests have path, size, md5
     and content_type.
     """
-    rows = with_manifests(copies, source, target)
+    # Two copies to one target would overwrite each other, so none is made.
+    several = copies.groupBy("target_path").agg(F.count("*").alias("n_requests")).where(F.col("n_requests") > 1)
+    rows = with_manifests(copies, source, target).join(several, "target_path", "left")
     force = F.coalesce(F.col("force"), F.lit(False))
     same_content = F.coalesce(F.col("target_md5") == F.col("expected_md5"), F.lit(False))
     wrong_size = F.coalesce(F.col("expected_size") != F.col("source_size"), F.lit(False))
     decision = (
-        F.when(~F.col("source_exists"), FAIL_MISSING)
+        F.when(F.col("n_requests").isNotNull(), FAIL_DUPLICATE)
+        .when(~F.col("source_exists"), FAIL_MISSING)
         .when(F.col("source_size").isNull(), FAIL_NO_SIZE)
         .when(wrong_size, FAIL_SIZE)
         .when(same_content & ~force, SKIP)
@@ -37,7 +41,7 @@ def decide(copies: DataFrame, source: DataFrame, target: DataFrame, step: int =
         .when(F.col("source_size") <= step, ONESHOT)
         .otherwise(CHUNKED)
     )
-    rows = rows.withColumn("decision", decision)
+    rows = rows.withColumn("decision", decision).drop("n_requests")
     return rows.withColumns(
         {
             "reason": _reason(),
@@ -53,6 +57,7 @@ def _reason() -> Column:
     found = F.concat(F.lit(" with md5 "), F.col("target_md5"))
     return (
         F.when(F.col("decision") == FAIL_MISSING, F.concat(F.lit("no such object: "), F.col("source_path")))
+        .when(F.col("decision") == FAIL_DUPLICATE, F.concat(F.lit("several copies to "), F.col("target_path")))
         .when(F.col("decision") == FAIL_NO_SIZE, F.concat(F.lit("no size recorded: "), F.col("source_path")))
         .when(
             F.col("decision") == FAIL_SIZE,

@@ -74,16 +74,20 @@ class CopyJob:
 
     def write_plan(self, decided: DataFrame) -> None:
         """Fix the decisions, as copying changes what they were based on; a resumed run keeps the first ones."""
-        if self._is_written("plan"):
-            return
-        if "delete_target" in decided.columns:
-            doomed = decided.where("delete_target").select(F.col("target_path").alias("path"))
+        if not self._is_written("plan"):
+            # Written before use: manifests may be made by reading every object, which is done once this way.
+            doomed = F.coalesce("delete_target", F.lit(False)) if "delete_target" in decided.columns else F.lit(False)
+            decided.select(*PLAN_COLUMNS, doomed.alias("delete_target")).write.mode("overwrite").parquet(
+                f"{self.work_dir}/plan"
+            )
+        if not self._is_written("deleted"):
+            doomed = self.spark.read.parquet(f"{self.work_dir}/plan").where("delete_target")
+            doomed = doomed.select(F.col("target_path").alias("path"))
             doomed = repartition_by_bytes(doomed, tasks_for(doomed.count(), OBJECTS_PER_TASK), "path")
             delete_objects(doomed).write.mode("overwrite").parquet(f"{self.work_dir}/deleted")
-        decided.select(*PLAN_COLUMNS).write.mode("overwrite").parquet(f"{self.work_dir}/plan")
 
     def plan(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.work_dir}/plan")
+        return self.spark.read.parquet(f"{self.work_dir}/plan").drop("delete_target")
 
     def tasks(self) -> DataFrame:
         """Chunks to copy; a small object is one chunk that is written whole."""

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulbook.functions.ids import transfer_id
-from haulbook.functions.json import NATIVE_MERGE_DEPTH, deep_merge, deep_merge_any_depth, nesting_bound
+from haulbook.functions.json import MAX_MERGE_DEPTH, deep_merge, nesting_of_text
 from haulbook.operators.validation import payload_errors
 from haulbook.plans.control import INVALID
 from haulbook.schemas import DEFAULT_PRIORITY, NEW_STEPS, TRANSFER_COLUMNS
@@ -56,23 +56,20 @@ def items_with_defaults(rows: DataFrame, defaults: DataFrame) -> DataFrame:
 
 
 def nesting_of(rows: DataFrame, defaults: str) -> int:
-    """Bound of how deep a column of defaults nests: one number, from a scan of that column alone."""
-    return rows.select(F.max(nesting_bound(F.col(defaults)))).first()[0] or 0
+    """How deep a column of defaults nests: one number, from a scan of that column alone."""
+    return rows.select(F.max(nesting_of_text(F.col(defaults)))).first()[0] or 0
 
 
 def merge_defaults(items: DataFrame, depth: int | None = None) -> DataFrame:
     """Payloads with their defaults filled in, and the priority that applies.
 
-    ``depth`` bounds the nesting of the defaults, and is looked up if not given. Built-in expressions merge down to
-    it; defaults nested deeper than they are worthwhile for go through Arrow.
+    ``depth`` bounds the nesting of the defaults, and is looked up if not given; built-in expressions merge down to it.
     """
     if depth is None:
         depth = nesting_of(items, "default_payload")
-    default_payload, payload = F.col("default_payload"), F.col("payload")
-    if depth <= NATIVE_MERGE_DEPTH:
-        merged = deep_merge(default_payload, payload, depth)
-    else:
-        merged = deep_merge_any_depth(default_payload, payload)
+    if depth > MAX_MERGE_DEPTH:
+        raise ValueError(f"defaults nest {depth} objects deep; at most {MAX_MERGE_DEPTH} are merged")
+    merged = deep_merge(F.col("default_payload"), F.col("payload"), depth)
     return items.select(
         "request_id",
         "ordinal",

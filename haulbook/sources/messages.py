@@ -15,8 +15,7 @@ from haulbook.schemas import ENVELOPE_DDL
 
 RECORDS = T.StructType([T.StructField("value", T.StringType()), T.StructField("arrival", T.LongType())])
 
-#: Most records (Kafka) per batch, and the trigger that bounds a batch's wait, unless configured otherwise.
-MAX_RECORDS_PER_BATCH = 100
+#: The trigger that bounds a batch's wait, unless configured otherwise.
 MAX_WAIT = "1 second"
 
 
@@ -24,7 +23,7 @@ def kafka_stream(
     spark: SparkSession,
     servers: str,
     topic: str,
-    max_records: int | None = MAX_RECORDS_PER_BATCH,
+    max_records: int | None = None,
     options: dict[str, str] | None = None,
 ) -> DataFrame:
     """A Kafka topic from its start; needs Spark's Kafka connector on the class path."""
@@ -37,7 +36,19 @@ def kafka_stream(
     )
     if max_records is not None:
         reader = reader.option("maxOffsetsPerTrigger", max_records)
-    return reader.load().select(F.col("value").cast("string").alias("value"), F.col("offset").alias("arrival"))
+    arrival = kafka_arrival(F.col("timestamp"), F.col("partition"), F.col("offset"))
+    return reader.load().select(F.col("value").cast("string").alias("value"), arrival.alias("arrival"))
+
+
+def kafka_arrival(timestamp: Column, partition: Column, offset: Column) -> Column:
+    """A record's place among all of its topic: by time, then partition and offset, which also tell it from any other.
+
+    Offsets of different partitions do not compare, so alone they give neither an order nor an identity. The number has
+    the milliseconds, five digits of the partition and nineteen of the offset.
+    """
+    millis = F.lpad(F.unix_millis(timestamp).cast("string"), 13, "0")
+    digits = F.concat(millis, F.lpad(partition.cast("string"), 5, "0"), F.lpad(offset.cast("string"), 19, "0"))
+    return digits.cast("decimal(38,0)")
 
 
 def folder_stream(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
@@ -58,9 +69,12 @@ def write_folder(records: DataFrame, folder: str, mode: str = "append") -> None:
 
 
 def write_kafka(records: DataFrame, servers: str, topic: str, options: dict[str, str] | None = None) -> None:
-    """Send records and wait until they are acknowledged; the connector's producer is idempotent and retries."""
+    """Send records and wait until they are acknowledged; the connector's producer is idempotent and retries.
+
+    A transfer's records have its id as key, so that they keep their order within one partition.
+    """
     (
-        records.select("value")
+        records.select(F.get_json_object("value", "$.ids.transfer").alias("key"), "value")
         .write.format("kafka")
         .option("kafka.bootstrap.servers", servers)
         .option("topic", topic)

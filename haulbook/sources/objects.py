@@ -29,10 +29,27 @@ LISTING_DDL = "path string, parent string, is_dir boolean, size bigint"
 STAT_DDL = "path string, is_found boolean, size bigint, md5 string"
 
 
+#: Hadoop's names of schemes, and Arrow's.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "gcs": "gs"}
+
+#: Clients of a task, by scheme and authority.
+CLIENTS: dict[tuple[str, str], tuple[fs.FileSystem, str]] = {}
+
+
 def open_path(uri: str) -> tuple[fs.FileSystem, str]:
+    """The client for a path and the path as it wants it; a task makes one client per store."""
     if uri.startswith("file:"):
         uri = "/" + uri[len("file:") :].lstrip("/")
-    return fs.FileSystem.from_uri(uri)
+    scheme, found, rest = uri.partition("://")
+    if not found:
+        return fs.FileSystem.from_uri(uri)
+    authority, _, path = rest.partition("/")
+    key = SCHEMES.get(scheme, scheme), authority
+    if key not in CLIENTS:
+        files, root = fs.FileSystem.from_uri(f"{key[0]}://{authority}/")
+        CLIENTS[key] = files, root.rstrip("/")
+    files, root = CLIENTS[key]
+    return files, f"{root}/{path}"
 
 
 def pieces(uri: str, start: int, end: int) -> Iterator[bytes]:

@@ -85,7 +85,7 @@ def sub_reads(start, end, read_size):
 
 
 def test_sub_ranges_against_a_loop(spark):
-    chunks = [(start, start + length) for start in (0, 12345) for length in range(1, 40)]
+    chunks = [(start, start + length) for start in (0, 7003) for length in range(1, 40)]
     rows = ranges.sub_ranges(spark.createDataFrame(chunks, "start bigint, end bigint"), 8).collect()
     for start, end in chunks:
         found = sorted((row.read_start, row.read_end) for row in rows if (row.start, row.end) == (start, end))
@@ -93,20 +93,18 @@ def test_sub_ranges_against_a_loop(spark):
 
 
 def test_one_level_of_a_directory(spark):
-    listing = [("sftp/path/to/thing/" + name, "sftp/path/to/thing", name.endswith("/")) for name in
-               ("file", "dir1/", "dir2/", "fiiile")]
+    listing = [("in/2024/may/" + name, "in/2024/may", name.endswith("/")) for name in ("a.csv", "raw/", "b c.txt")]
     requests = spark.createDataFrame(
-        [("sftp/path/to/thing", "gcs/path/to/thing", True)],
+        [("in/2024/may", "out/spring", True)],
         "source_path string, target_path string, is_directory boolean",
     )
     found = directories.expand_directory(
         requests, spark.createDataFrame(listing, "path string, parent string, is_dir boolean")
     )
     assert {tuple(row) for row in found.collect()} == {
-        ("sftp/path/to/thing/file", "gcs/path/to/thing/file", False),
-        ("sftp/path/to/thing/dir1/", "gcs/path/to/thing/dir1/", True),
-        ("sftp/path/to/thing/dir2/", "gcs/path/to/thing/dir2/", True),
-        ("sftp/path/to/thing/fiiile", "gcs/path/to/thing/fiiile", False),
+        ("in/2024/may/a.csv", "out/spring/a.csv", False),
+        ("in/2024/may/raw/", "out/spring/raw/", True),
+        ("in/2024/may/b c.txt", "out/spring/b c.txt", False),
     }
 
 
@@ -127,8 +125,8 @@ def test_all_levels_equal_level_by_level(spark):
 
 
 def test_object_url(spark):
-    path = "path/to/**thing1**/special=true/[thing2]"
-    encoded = "path/to/%2A%2Athing1%2A%2A/special%3Dtrue/%5Bthing2%5D"
+    path = "scans/page*7*/lang=nl/(draft)"
+    encoded = "scans/page%2A7%2A/lang%3Dnl/%28draft%29"
     row = spark.createDataFrame([(path,)], "p string").select(
         text.object_url(F.lit("b"), F.lit("us-east-1"), F.col("p")).alias("default"),
         text.object_url(F.lit("b"), F.lit("us-west-2"), F.col("p")).alias("other"),
@@ -139,6 +137,38 @@ def test_object_url(spark):
     assert row.first().rest == "a%20b~c_d-e.f/%C3%A9"
 
 
+def test_two_copies_to_one_target_are_both_refused(spark):
+    copies = spark.createDataFrame(
+        [("/a", "/t", None, None, False), ("/b", "/t", None, None, True), ("/a", "/u", None, None, False)],
+        "source_path string, target_path string, expected_size bigint, expected_md5 string, force boolean",
+    )
+    manifest = "path string, size bigint, md5 string, content_type string"
+    source = spark.createDataFrame([("/a", 1, "x", None), ("/b", 2, "y", None)], manifest)
+    found = preflight.decide(copies, source, source.limit(0)).select("source_path", "target_path", "decision", "reason")
+    assert sorted(map(tuple, found.collect())) == [
+        ("/a", "/t", preflight.FAIL_DUPLICATE, "several copies to /t"),
+        ("/a", "/u", preflight.ONESHOT, None),
+        ("/b", "/t", preflight.FAIL_DUPLICATE, "several copies to /t"),
+    ]
+
+
+def test_clients_are_made_once_per_store(monkeypatch):
+    made = []
+
+    class Stores:
+        class FileSystem:
+            @staticmethod
+            def from_uri(uri):
+                made.append(uri)
+                return object(), uri.split("://")[1]
+
+    monkeypatch.setattr(objects, "fs", Stores)
+    monkeypatch.setattr(objects, "CLIENTS", {})
+    first, path = objects.open_path("s3a://store/a/b")
+    assert path == "store/a/b" and objects.open_path("s3://store/c") == (first, "store/c")
+    assert made == ["s3://store/"]
+
+
 # --- real files
 
 

@@ -195,3 +195,11 @@ def test_stages_interleave_and_end(spark, tmp_path):
     progress = messages.as_progress(messages.decode(messages.read_folder(spark, f"{topics.progress}/*")))
     steps = progress.where("transfer_id = 'long'").agg(F.sort_array(F.collect_list("step"))).first()[0]
     assert steps == [0, 1, 2, 3, 4, 5]
+
+
+def test_kafka_arrival_orders_and_identifies(spark):
+    rows = [("2024-01-01 00:00:01", 0, 5), ("2024-01-01 00:00:00", 7, 9), ("2024-01-01 00:00:01", 12, 2**63 - 1)]
+    frame = spark.createDataFrame(rows, "t string, partition int, offset bigint")
+    found = frame.select(messages.kafka_arrival(F.col("t").cast("timestamp"), F.col("partition"), F.col("offset"))).collect()
+    values = [row[0] for row in found]
+    assert values[1] < values[0] < values[2] and len(set(values)) == 3 and None not in values
