@@ -12,7 +12,8 @@ vector is shuffled or repeated for a query. The first scores to beat come from t
 Defined results: vectors that are null or hold a null or a component that is not finite take no part, nor do rows
 without an id; vectors are compared with those of equally many components; a query is never compared with rows of its own
 id; each repeated query row gets its own results; ties go to the smaller id; a query with fewer than k others gets them
-all; an empty table gives an empty result; other columns are not read.
+all; components and scores beyond 64 bits stop at the largest number; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from haulbook.llm.common import stored
 
 #: Numbers that a block of queries and the first vectors hold at most, and vectors met at once in a task.
-BLOCK_VALUES, FIRST_VALUES, TILE = 1 << 18, 1 << 18, 4096
+BLOCK_VALUES, FIRST_VALUES, TILE = 1 << 17, 1 << 17, 2048
 
 #: Lengths in a bucket differ by this factor at most; from this local cosine on, coordinates are looked at.
 BUCKET_RATIO, HIGH_COSINE = 1.05, 0.9

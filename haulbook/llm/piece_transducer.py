@@ -145,7 +145,10 @@ class Transducer:
         """Whether the acceptor lets ``right`` follow ``left``; with an empty ``left``, whether the piece can arise."""
         known = self.pairs.get((left, right))
         if known is None:
-            known = self.joined(left + right) == ([left, right] if left else [right])
+            both = left + right
+            # What is a piece that can arise by itself does not stay apart.
+            whole = bool(left) and both in self.ids and self.may_follow("", both)
+            known = not whole and self.joined(both) == ([left, right] if left else [right])
             if len(self.pairs) < MAX_PAIRS:
                 self.pairs[left, right] = known
         return known
@@ -215,15 +218,14 @@ class Transducer:
             out += self.word(line, 0 if number else marks)
         return out
 
-    def learn(self, parts: list[str]) -> None:
-        """Remembers parts that are not known yet; when the table is full, it starts anew."""
-        words = self.words
-        if len(words) > MAX_WORDS:
-            words.clear()
-            words[""] = (self.ids[MARK],)
-        for part in parts:
-            if part not in words:
-                words[part] = self.part(part)
+    def learned(self, part: str) -> tuple[int, ...]:
+        """Ids of a part, remembered while there is room: the words met first are the frequent ones."""
+        known = self.words.get(part)
+        if known is None:
+            known = self.part(part)
+            if len(self.words) < MAX_WORDS and len(part) <= 64:
+                self.words[part] = known
+        return known
 
     def encode(self, text: str) -> list[int]:
         if not text:
@@ -233,8 +235,8 @@ class Transducer:
             return self.with_runs(parts)
         known = list(map(self.words.get, parts))
         if None in known:
-            self.learn(parts)
-            known = map(self.words.__getitem__, parts)
+            learned = self.learned
+            known = [learned(part) if ids is None else ids for part, ids in zip(parts, known)]
         return list(chain.from_iterable(known))
 
     def with_runs(self, parts: list[str]) -> list[int]:
@@ -244,9 +246,7 @@ class Transducer:
         for number, part in enumerate(parts):
             if part:
                 if marks == 1:
-                    if part not in self.words:
-                        self.learn([part])
-                    out += self.words[part]
+                    out += self.learned(part)
                 else:
                     out += self.part(part, marks)
                 marks = 1

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haulbook.llm.common import text_of, unused
+from haulbook.llm.common import stored, text_of, unused
 
 #: A subtree is template if it is on so many pages of its host, and on so large a share of them.
 MIN_PAGES, MIN_SHARE = 5, 0.2
@@ -239,7 +239,9 @@ def with_main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
 
     names = [column for column in pages.columns if column not in ("text", "n_chars")]
     host, template = unused(pages, "__host"), unused(pages, "__template")
-    hosts = templates(pages, min_pages, min_share).withColumnsRenamed({"host": host, "template": template})
+    # Stored, the list's size is known: small, it is sent to the pages; large, both sides are dealt and busy hosts split.
+    hosts = stored(templates(pages, min_pages, min_share), "templates")
+    hosts = hosts.withColumnsRenamed({"host": host, "template": template})
     joined = pages.select(*names).withColumn(host, host_of(F.col("url"))).join(hosts, host, "left")
     out = joined.select(*names, extracted(text_of("html"), F.col(template)).alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))

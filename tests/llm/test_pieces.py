@@ -31,11 +31,12 @@ def test_random_strings(reference):
         assert transducer.decode(transducer.encode(text)) == text.replace("▁", " ")
 
 
-def test_a_full_table_starts_anew(reference, monkeypatch):
+def test_a_full_table_takes_no_more(reference, monkeypatch):
     monkeypatch.setattr(piece_transducer, "MAX_WORDS", 3)
     transducer = piece_transducer.Transducer(piece_transducer.read_model(PIECE_MODEL))
     for text in ("a b c d e f g", "h i j", "a b  c"):
         assert transducer.encode(text) == reference.encode(text)
+    assert len(transducer.words) == 3
 
 
 def test_broken_bytes_decode(reference):
