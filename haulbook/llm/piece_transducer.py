@@ -106,6 +106,11 @@ class Transducer:
         if runs and rest and max(runs) >= min(rest):
             raise ValueError("runs of marks must score below all other pieces")
         self.longest = max(map(len, self.ids))
+        # The longest piece by its first three characters; without an entry, pieces have two at most.
+        self.reach: dict[str, int] = {}
+        for piece in self.ids:
+            if len(piece) > 2:
+                self.reach[piece[:3]] = max(len(piece), self.reach.get(piece[:3], 0))
         self.pairs: dict[tuple[str, str], bool] = {}
         self.words: dict[str, tuple[int, ...]] = {}
         self.runs: dict[int, tuple[int, ...]] = {}
@@ -162,10 +167,10 @@ class Transducer:
         path: list[str] = []
         dead: set[int] = set()
         place, limit = 0, self.longest
-        ids, pairs = self.ids, self.pairs
-        while place < len(word):
-            last = path[-1] if path and path[-1] in ids else ""
-            for size in range(min(limit, len(word) - place), 0, -1):
+        ids, pairs, reach, end = self.ids, self.pairs, self.reach, len(word)
+        last = ""
+        while place < end:
+            for size in range(min(limit, end - place, reach.get(word[place : place + 3], 2)), 0, -1):
                 piece = word[place : place + size]
                 if piece in ids:
                     passes = pairs.get((last, piece))
@@ -180,9 +185,12 @@ class Transducer:
                 dead.add(place)
                 piece = path.pop()
                 place, limit = place - len(piece), len(piece) - 1
+                last = path[-1] if path and path[-1] in ids else ""
                 continue
             path.append(piece)
-            place, limit = place + len(piece), self.longest
+            # Before a character without a piece, and after one, anything may stand.
+            last = piece if piece in ids else ""
+            place, limit = place + size, self.longest
         return path
 
     def ids_of(self, pieces: list[str]) -> tuple[int, ...]:
