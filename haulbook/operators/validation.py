@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from haulbook.functions.json import let
 
 #: Keywords that say something about a payload.
-CHECKED = ("type", "properties", "required", "additionalProperties", "pattern")
+CHECKED = (
+    "type", "properties", "required", "additionalProperties", "pattern", "enum", "const", "minimum", "maximum",
+    "minLength", "maxLength", "items", "minItems", "maxItems",
+)
 #: Keywords that describe the schema itself.
 IGNORED = ("$schema", "$id", "id", "title", "description", "default", "examples", "$comment")
 
@@ -28,6 +31,10 @@ def compile_schema(schema: Mapping | str) -> Mapping:
         raise ValueError("additionalProperties must be true or false")
     for nested in schema.get("properties", {}).values():
         compile_schema(nested)
+    if "items" in schema:
+        if not isinstance(schema["items"], Mapping):
+            raise ValueError("items must be one schema")
+        compile_schema(schema["items"])
     return schema
 
 
@@ -85,12 +92,57 @@ def _errors(value: Column, schema: Mapping, path: str) -> Column:
         # Null, and so no error, unless the value is a string.
         text = F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
         checks.append(_single(~text.rlike(schema["pattern"]), f"{path}: does not match {schema['pattern']}"))
+    checks += _value_errors(value, schema, path)
+    if any(keyword in schema for keyword in ("items", "minItems", "maxItems")):
+        elements = value.try_cast("array<variant>")
+        checks.append(let(elements, lambda found: _array_errors(found, schema, path)))
     if any(keyword in schema for keyword in ("required", "properties", "additionalProperties")):
         fields = value.try_cast("map<string,variant>")
         checks.append(let(fields, lambda found: _object_errors(found, schema, path)))
     return _joined(checks)
 
 
+def _written(value: object) -> str:
+    """A value of the schema as the text that a variant becomes."""
+    if isinstance(value, float) and value.is_integer():
+        value = int(value)
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
+def _value_errors(value: Column, schema: Mapping, path: str) -> list[Column]:
+    """Errors of single values; keywords for another type than the value's say nothing."""
+    checks = []
+    allowed = [schema["const"]] if "const" in schema else schema.get("enum")
+    if allowed is not None:
+        texts = [_written(item) for item in allowed]
+        checks.append(_single(~F.to_json(value).isin(texts), f"{path}: not one of {', '.join(texts)}"))
+    reported = F.schema_of_variant(value)
+    number = F.when(_is_type(value, reported, "number"), F.try_variant_get(value, "$", "double"))
+    length = F.length(F.when(reported == "STRING", F.try_variant_get(value, "$", "string")))
+    for keyword, fails, text in (
+        ("minimum", lambda bound: number < bound, "less than"),
+        ("maximum", lambda bound: number > bound, "more than"),
+        ("minLength", lambda bound: length < bound, "shorter than"),
+        ("maxLength", lambda bound: length > bound, "longer than"),
+    ):
+        if keyword in schema:
+            checks.append(_single(fails(F.lit(schema[keyword])), f"{path}: {text} {schema[keyword]}"))
+    return checks
+
+
+def _array_errors(elements: Column, schema: Mapping, path: str) -> Column:
+    """Errors about an array, each once whatever number of elements has it; none for a value that is not an array."""
+    checks = []
+    if "minItems" in schema:
+        checks.append(_single(F.size(elements) < schema["minItems"], f"{path}: fewer than {schema['minItems']} items"))
+    if "maxItems" in schema:
+        checks.append(_single(F.size(elements) > schema["maxItems"], f"{path}: more than {schema['maxItems']} items"))
+    if schema.get("items"):
+        each = F.transform(elements, lambda element: _errors(element, schema["items"], f"{path}[]"))
+        checks.append(F.array_distinct(F.flatten(each)))
+    return F.when(elements.isNull(), _no_errors()).otherwise(_joined(checks))
+
+
 def _type_errors(value: Column, types: str | list[str], path: str) -> Column:
     types = [types] if isinstance(types, str) else list(types)
     reported = F.schema_of_variant(value)

@@ -136,6 +136,9 @@ class CopyJob:
             .agg(bytes_done.alias("bytes_done"))
             .where(F.col("bytes_done") == F.col("source_size"))
         )
+        size = complete.agg(F.sum("source_size"), F.count(F.lit(1))).first()
+        tasks = max(tasks_for(size[0] or 0, self.bytes_per_task), tasks_for(size[1], OBJECTS_PER_TASK))
+        complete = repartition_by_bytes(complete, tasks, "target_path")
         step = self.step
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

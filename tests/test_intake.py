@@ -117,8 +117,33 @@ def test_several_types(spark):
 
 
 def test_unknown_keywords_are_refused():
-    with pytest.raises(ValueError, match="maxLength"):
-        compile_schema({"properties": {"a": {"maxLength": 3}}})
+    with pytest.raises(ValueError, match="multipleOf"):
+        compile_schema({"properties": {"a": {"items": {"multipleOf": 3}}}})
+
+
+def test_values_and_arrays(spark):
+    schema = {
+        "properties": {
+            "kind": {"enum": ["a", 1.0, None]},
+            "version": {"const": 2},
+            "share": {"minimum": 0, "maximum": 0.5},
+            "name": {"minLength": 2, "maxLength": 3},
+            "tags": {"items": {"type": "string", "maxLength": 1}, "minItems": 1, "maxItems": 3},
+        }
+    }
+    good = '{"kind":1,"version":2,"share":0.5,"name":"\u00e9\u00e9","tags":["x","y"]}'
+    other = '{"kind":null,"share":"9","name":7,"tags":"none"}'
+    bad = '{"kind":"b","version":3,"share":0.75,"name":"long","tags":["xx","yy",1,"z"]}'
+    few = '{"share":-1,"name":"n","tags":[]}'
+    assert errors(spark, schema, good, other, bad, few) == [
+        [],
+        [],
+        [
+            '$.kind: not one of "a", 1, null', "$.version: not one of 2", "$.share: more than 0.5", "$.name: longer than 3",
+            "$.tags: more than 3 items", "$.tags[]: longer than 1", "$.tags[]: expected string, found integer",
+        ],
+        ["$.share: less than 0", "$.name: shorter than 2", "$.tags: fewer than 1 items"],
+    ]
 
 
 JSON = st.recursive(
