@@ -222,4 +222,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         .agg(F.min("place").alias("place"))
         .select(F.col("place.row").alias(row))
     )
-    return numbered.join(stored(chosen, "chosen"), row, "left_semi").select(*docs.columns)
+    # The list grows with the documents, so it is merged with them at every size and never sent to them whole.
+    return numbered.join(stored(chosen, "chosen").hint("merge"), row, "left_semi").select(*docs.columns)
