@@ -65,6 +65,8 @@ def _outcome(call: Callable[[Any], Any], payload: str, description: str) -> tupl
     """(is done, signal, info) of one call; an exception is an outcome too."""
     try:
         taken = call(json.loads(payload))
+        if isinstance(taken, Exception):
+            raise taken
         if isinstance(taken, Progress):
             return False, None, _text(taken.value)
         if isinstance(taken, Done):
@@ -76,14 +78,33 @@ def _outcome(call: Callable[[Any], Any], payload: str, description: str) -> tupl
         return True, "FATAL_FAILURE", _text(_failure(description, problem))
 
 
-def _run(rows: DataFrame, call: Callable[[Any], Any], description: str) -> DataFrame:
+def _outcomes(calls: Callable[[list], list], payloads: list[str], description: str) -> list[tuple]:
+    """The same for a runner that takes many payloads at once and returns a step or an exception for each."""
+    try:
+        taken = calls([json.loads(payload) for payload in payloads])
+        if len(taken) != len(payloads):
+            raise ValueError(f"{len(taken)} steps for {len(payloads)} payloads")
+    except Exception as problem:
+        taken = [problem] * len(payloads)
+    return [_outcome(lambda _, step=step: step, "null", description) for step in taken]
+
+
+def _run(rows: DataFrame, runner: Runner, method: str, description: str) -> DataFrame:
+    """Steps of all rows: by the runner's batch method (``initialize_batch``, ``step_batch``) if it has one."""
+    call, calls = getattr(runner, method), getattr(runner, f"{method}_batch", None)
+    # Arrivals keep the type of their source.
+    ddl = STEPS_DDL.replace("arrival bigint", f"arrival {rows.schema['arrival'].dataType.simpleString()}")
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            outcomes = [_outcome(call, payload, description) for payload in batch["payload"]]
+            if calls is not None:
+                outcomes = _outcomes(calls, batch["payload"].tolist(), description)
+            else:
+                outcomes = [_outcome(call, payload, description) for payload in batch["payload"]]
             taken = pd.DataFrame(outcomes, columns=["is_done", "signal", "info"], index=batch.index)
             yield pd.concat([batch.drop(columns="payload"), taken], axis=1)
 
-    return rows.mapInPandas(run, STEPS_DDL)
+    return rows.mapInPandas(run, ddl)
 
 
 def initialize(requests: DataFrame, runner: Runner) -> DataFrame:
@@ -91,7 +112,7 @@ def initialize(requests: DataFrame, runner: Runner) -> DataFrame:
     rows = requests.select(
         "request_id", "transfer_id", F.lit(0).alias("step"), "arrival", F.col("body").alias("payload")
     )
-    return _run(rows, runner.initialize, INIT_FAILURE)
+    return _run(rows, runner, "initialize", INIT_FAILURE)
 
 
 def advance(progress: DataFrame, runner: Runner) -> DataFrame:
@@ -99,4 +120,4 @@ def advance(progress: DataFrame, runner: Runner) -> DataFrame:
     rows = progress.select(
         "request_id", "transfer_id", (F.col("step") + 1).alias("step"), "arrival", F.col("info").alias("payload")
     )
-    return _run(rows, runner.step, STEP_FAILURE)
+    return _run(rows, runner, "step", STEP_FAILURE)

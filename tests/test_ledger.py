@@ -2,8 +2,10 @@ from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from conftest import keyed
+from pyspark.sql import functions as F
 
-from haulbook.plans import folds
+from haulbook.operators import joins
+from haulbook.plans import control, folds, report
 from haulbook.sources.ledger import Ledger, StaleAppend
 
 
@@ -143,3 +145,45 @@ def test_folding_does_not_shuffle_the_snapshot(spark, make, now, tmp_path):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert found == [{"t2": "succeeded"}, {"t1": "succeeded"}]
+
+
+def shuffled_before_a_join(frame):
+    """Whether a bucketed scan is exchanged before it is first joined."""
+    lines = frame._jdf.queryExecution().executedPlan().toString().split("\n")
+    place = [len(line) - len(line.lstrip(" :+-*")) for line in lines]
+    found = False
+    for at, line in enumerate(lines):
+        if "Bucketed: true" not in line:
+            continue
+        level = place[at]
+        for above in range(at - 1, -1, -1):
+            if place[above] < level:
+                level = place[above]
+                if "Join" in lines[above]:
+                    break
+                found |= "Exchange" in lines[above]
+    return found
+
+
+def test_few_ids_do_not_shuffle_the_snapshot(spark, make, tmp_path):
+    ledger = Ledger(spark, f"{tmp_path}/ledger", buckets=4)
+    ledger.append(0, transfers=changed(make, "failed", *[f"t{n}" for n in range(50)]), requests=make.requests(R1=0))
+    ledger.compact(before=1)
+    targets = spark.createDataFrame([("R1", "t1"), ("R1", "none")], "request_id string, id string")
+    with_priority = targets.withColumn("priority", F.lit(3))
+    results = make.results([("R1", "t1", "EXPANDED", "[1]")])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        transfers, requests = ledger.transfers(), ledger.requests()
+        keys = ["request_id", "id"]
+        outcomes = (control.reconsider_transfers(transfers, targets), control.prioritise_transfers(transfers, with_priority))
+        details = report.transfer_details(transfers, targets)
+        plans = [joins.existing(targets, transfers, keys), joins.missing(targets, transfers, keys)]
+        plans += [joins.parent_priority(results, transfers), folds.expand(transfers, results, requests).children]
+        plans += [frame for outcome in outcomes for frame in (outcome.changed, outcome.acks, outcome.rejected)]
+        plans += [details.found, details.rejected]
+        assert shuffled_before_a_join(targets.join(transfers.select(*keys), keys, "left_semi"))
+        assert [at for at, frame in enumerate(plans) if shuffled_before_a_join(frame)] == []
+        assert [frame.count() for frame in plans] == [1, 1, 1, 1, 1, 1, 1, 0, 0, 2, 1, 1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

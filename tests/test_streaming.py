@@ -1,5 +1,6 @@
 import sys
 from dataclasses import dataclass
+from decimal import Decimal
 
 import pytest
 from conftest import keyed
@@ -197,6 +198,22 @@ def test_stages_interleave_and_end(spark, tmp_path):
     assert steps == [0, 1, 2, 3, 4, 5]
 
 
+@dataclass(frozen=True)
+class Together(Odd):
+    """Takes its payloads many at a time."""
+
+    def step_batch(self, progress):
+        return [runner.Done({"n": len(progress)}) if value else ValueError("no value") for value in progress]
+
+
+def test_a_runner_may_take_batches(spark):
+    rows = [("r", f"t{n}", 0, text, Decimal(n)) for n, text in enumerate(["1", "0", "2"])]
+    frame = spark.createDataFrame(rows, "request_id string, transfer_id string, step int, info string, arrival decimal(38,0)")
+    found = runner.advance(frame.coalesce(1), Together()).orderBy("transfer_id").collect()
+    assert [row.signal for row in found] == ["SUCCESS", "FATAL_FAILURE", "SUCCESS"]
+    assert found[0].info == '{"n":3}' and "no value" in found[1].info and found[2].arrival == 2
+
+
 def test_kafka_arrival_orders_and_identifies(spark):
     rows = [("2024-01-01 00:00:01", 0, 5), ("2024-01-01 00:00:00", 7, 9), ("2024-01-01 00:00:01", 12, 2**63 - 1)]
     frame = spark.createDataFrame(rows, "t string, partition int, offset bigint")
