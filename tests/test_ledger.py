@@ -148,12 +148,12 @@ def test_folding_does_not_shuffle_the_snapshot(spark, make, now, tmp_path):
 
 
 def shuffled_before_a_join(frame):
-    """Whether a bucketed scan is exchanged before it is first joined."""
+    """Whether the snapshot is exchanged before it is first joined."""
     lines = frame._jdf.queryExecution().executedPlan().toString().split("\n")
     place = [len(line) - len(line.lstrip(" :+-*")) for line in lines]
     found = False
     for at, line in enumerate(lines):
-        if "Bucketed: true" not in line:
+        if "haulbook_transfers" not in line:
             continue
         level = place[at]
         for above in range(at - 1, -1, -1):
