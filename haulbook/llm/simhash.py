@@ -9,6 +9,10 @@ Links within a list are reduced to a tree where they are found, so that a list o
 long lists are cut into tiles and each pair of tiles is a unit of work of bounded size. Copies of a text share a fingerprint
 and take part once.
 
+``one_of_each`` keeps one of each group of texts that are similar by the Jaccard measure of their five-word shingles. At 0.8
+fingerprints differ in ten bits and often more, too many for any lookup of them that loses nothing, so candidates
+are found by a prefix filter over the shingles themselves, which is exact, and all candidates are compared.
+
 Defined results: null and empty texts, and those without words, have fingerprint zero and are linked like others; texts of
 one to three words have a single shingle; rows with a null id keep it and never lend their id to a component (a component
 of such rows alone has a null id); repeated rows come out as often as they went in; an empty table gives an empty result.
@@ -17,6 +21,7 @@ of such rows alone has a null id); repeated rows come out as often as they went
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -34,6 +39,11 @@ SEED = 42
 MIN_SHARED = 8 - MAX_BITS
 PROBES = tuple(combinations(range(7), MIN_SHARED - 1))
 
+#: What ``one_of_each`` calls near copies: words of a shingle, and the least Jaccard similarity as a fraction.
+SIMILAR_WORDS, SIMILARITY = 5, (4, 5)
+#: Documents sampled, and shingles kept, to know the common ones by; no result depends on them.
+SAMPLE, MOST_COMMON = 10_000, 500_000
+
 #: Fingerprints of a list that one unit of work holds, twice at most.
 TILE = 2048
 
@@ -205,20 +215,137 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def shingles(text: str, shingle_words: int = SIMILAR_WORDS) -> np.ndarray:
+    """Distinct hashes of a text's shingles in ascending order; a shorter text is one shingle, one without words has none."""
+    import xxhash
+
+    digest = xxhash.xxh64_intdigest
+    words = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    if len(words) <= shingle_words:
+        return np.array([digest(joined, SEED)], np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    starts = (ends - lengths)[: len(words) - shingle_words + 1].tolist()
+    return np.unique(
+        np.array([digest(joined[at:end], SEED) for at, end in zip(starts, ends[shingle_words - 1 :].tolist())], np.uint64)
+    )
+
+
+def common_shingles(numbered: DataFrame, row: str) -> np.ndarray:
+    """Shingles that several of a bounded sample of documents have. They only set an order: no link depends on them."""
+
+    @F.pandas_udf("array<bigint>")
+    def hashes(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda text: shingles(text).view(np.int64))
+
+    every = max(1, numbered.count() // SAMPLE)
+    sample = numbered.where(F.pmod(F.xxhash64(row), F.lit(every)) == 0).select(hashes(text_of("text")).alias("h"))
+    counts = sample.select(F.explode("h").alias("h")).groupBy("h").count().where("count > 1")
+    most = counts.orderBy(F.desc("count"), "h").limit(MOST_COMMON).toPandas()
+    return np.sort(most["h"].to_numpy(np.int64).view(np.uint64))
+
+
+def similar_links(numbered: DataFrame, row: str, once: DataFrame) -> DataFrame:
+    """Links (a, b), a > b, among the rows in ``once`` whose texts have a Jaccard similarity of SIMILARITY or more, enough to connect all of them.
+
+    Of n shingles in any order that all texts share, two so similar texts have one in common among their first
+    n - ceil(4 n / 5) + 1. Rows are listed under these; in the order common shingles come last. Rows listed together whose
+    sizes and positions allow the similarity are compared shingle by shingle: first all with the smallest row of their
+    list, then whatever the links found so far do not connect.
+    """
+    common = common_shingles(numbered, row)
+    up, down = SIMILARITY
+
+    @F.pandas_udf("array<bigint>")
+    def first(texts: pd.Series) -> pd.Series:
+        def of(text: str) -> np.ndarray:
+            found = shingles(text)
+            if len(common):
+                last = common[np.minimum(np.searchsorted(common, found), len(common) - 1)] == found
+                found = np.concatenate((found[~last], found[last]))
+            # The first number is the size.
+            return np.concatenate(([len(found)], found[: len(found) - -(-up * len(found) // down) + 1].view(np.int64)))
+
+        return texts.map(of)
+
+    listed = numbered.select(F.col(row).alias("row"), first(text_of("text")).alias("keys")).join(once, "row", "left_semi")
+    lists = listed.select(
+        "row", F.element_at("keys", 1).cast("int").alias("n"), F.posexplode(F.slice("keys", 2, 1 << 30)).alias("at", "key")
+    ).where("n > 0")
+    lists = stored(lists.withColumn("members", F.count("*").over(Window.partitionBy("key"))).where("members > 1"), "lists")
+
+    def close(x: str, y: str) -> Column:
+        n, m, i, j = (F.col(name).cast("long") for name in (f"{x}.n", f"{y}.n", f"{x}.at", f"{y}.at"))
+        most = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)
+        return (down * F.least(n, m) >= up * F.greatest(n, m)) & ((up + down) * most >= up * (n + m))
+
+    texts = numbered.select(F.col(row).alias("row"), text_of("text").alias("text"))
+
+    @F.pandas_udf("boolean")
+    def similar(one: pd.Series, other: pd.Series) -> pd.Series:
+        kept = lru_cache(64)(shingles)
+
+        def compared(x: str, y: str) -> bool:
+            a, b = kept(x), kept(y)
+            shared = len(np.intersect1d(a, b, assume_unique=True))
+            return down * shared >= up * (len(a) + len(b) - shared)
+
+        return pd.Series([compared(x, y) for x, y in zip(one, other)], dtype=bool)
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        # Only texts of candidates are dealt out.
+        wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "wanted")
+        found = stored(texts.join(wanted, "row", "left_semi"), "texts")
+        sides = pairs.join(found.withColumnsRenamed({"row": "a", "text": "x"}), "a")
+        sides = sides.join(found.withColumnsRenamed({"row": "b", "text": "y"}), "b")
+        return stored(sides.where(similar("x", "y")).select("a", "b"), name)
+
+    # Of each list the smallest row, without sorting the list.
+    heads = lists.groupBy("key").agg(F.min(F.struct("row", "n", "at")).alias("head"))
+    heads = heads.select("key", "head.*")
+    tried = stored(
+        lists.alias("x").join(heads.alias("y"), "key").where("x.row > y.row").where(close("x", "y"))
+        .select(F.col("x.row").alias("a"), F.col("y.row").alias("b")).distinct(),
+        "tried",
+    )
+    links = verified(tried, "similar")
+    roots = stored(components(links), "connected").withColumnRenamed("node", "row")
+    named = lists.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
+    apart = named.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
+    open_lists = stored(named.join(apart.select("key"), "key", "left_semi"), "open")
+    rest = (
+        open_lists.alias("x").join(open_lists.alias("y"), "key").where("x.row > y.row and x.root <> y.root")
+        .where(close("x", "y")).select(F.col("x.row").alias("a"), F.col("y.row").alias("b")).distinct()
+    )
+    rest = stored(rest.join(tried, ["a", "b"], "left_anti"), "rest")
+    return links.union(verified(rest, "similar"))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of every component, with its own columns: the one with the smallest id, of equal ids the first stored."""
-    row, bits = unused(docs, "__row"), unused(docs, "__bits")
+    """One row of every group that links of similar texts connect, with its own columns: the one with the smallest id, of
+    equal ids the first stored. Texts without words are copies of each other."""
+    row, copy = unused(docs, "__row"), unused(docs, "__copy")
+
+    @F.pandas_udf("binary")
+    def digest(texts: pd.Series) -> pd.Series:
+        import xxhash
+
+        return texts.map(lambda text: xxhash.xxh3_128_digest(shingles(text).tobytes(), SEED))
+
     numbered = stored(
-        docs.withColumns({row: F.monotonically_increasing_id(), bits: fingerprints(F.col("text"))}), "numbered"
+        docs.withColumns({row: F.monotonically_increasing_id(), copy: digest(text_of("text"))}), "numbered"
     )
-    prints = numbered.select(F.col(row).alias("doc_id"), F.col(bits).alias("bits"))
-    named = grouped(prints)
     # Nulls come last among ids.
     place = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
+    # Copies take part once.
+    copies = stored(numbered.groupBy(copy).agg(F.min(row).alias("node"), F.min(place).alias("place")), "copies")
+    roots = components(similar_links(numbered, row, copies.select(F.col("node").alias("row"))))
     chosen = (
-        numbered.select(place.alias("place"), F.col(bits).alias("bits"))
-        .join(named, "bits")
-        .groupBy("component_id")
+        copies.join(roots, "node", "left")
+        .groupBy(F.coalesce("root", "node").alias("root"))
         .agg(F.min("place").alias("place"))
         .select(F.col("place.row").alias(row))
     )

@@ -86,3 +86,34 @@ def test_one_of_each_stays(spark):
 def test_empty(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
     assert simhash.one_of_each(empty(spark)).count() == 0
+
+
+def test_one_of_each_equals_brute_force_jaccard(spark):
+    """Copies with words replaced, chains of them, and a line that all texts share."""
+    random = np.random.default_rng(7)
+    line = "this very line stands in each and all of them".split()
+    texts = []
+    for length in (60, 120, 400, 900):
+        base = [f"w{n}" for n in random.integers(0, 3000, length)] + line
+        texts.append(base)
+        for changes in (1, 2, 3, 5, 8, 13):
+            other = list(base)
+            for at in random.integers(0, length, max(1, length * changes // 200)):
+                other[at] = "changed"
+            texts += [other, other[: -changes * 3] + line]
+    rows = [(n, " ".join(words)) for n, words in enumerate(texts)]
+    order = random.permutation(len(rows)).tolist()
+    rows = [(at, rows[n][1]) for at, n in enumerate(order)]
+    sets = [{tuple(text.split()[at : at + 5]) for at in range(len(text.split()) - 4)} for _, text in rows]
+    root = list(range(len(rows)))
+    apart = 0
+    for a in range(len(rows)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                apart += (brute(rows[a][1]) ^ brute(rows[b][1])).bit_count() > 4
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if value == old else value for value in root]
+    expected = {n for n, value in enumerate(root) if value == n}
+    assert apart > 10
+    found = {row["doc_id"] for row in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == expected
