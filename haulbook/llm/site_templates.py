@@ -36,7 +36,7 @@ TOKEN = re.compile(
     r"|</?[a-zA-Z!?][^<>]*+(?:>|\Z)",
     re.DOTALL,
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 NAME_GAP = re.compile(r"[^a-z0-9]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -58,18 +58,21 @@ FURNITURE_NAMES = frozenset(
     " respond share sharing social related newsletter subscribe subscription signup login popup modal overlay widget"
     " contentinfo complementary search toolbar pagination skip".split()
 )
-#: Names that say an element is the article's, whatever else they contain.
-OWN_NAMES = frozenset("article post entry content main body story text title headline".split())
+#: Elements that only a whole class, id or role makes furniture; in theirs, words like "no-sidebar" speak of the layout.
+WHOLE_NAMES = frozenset("html body main article".split())
 
 
 class Element:
     __slots__ = ("tag", "parent", "start", "end", "furniture", "root", "parts", "digest")
 
-    def __init__(self, tag: str, parent: Element | None, start: int, names: set[str], inside_root: bool):
+    def __init__(self, tag: str, parent: Element | None, start: int, names: dict[str, set[str]], inside_root: bool):
         self.tag, self.parent, self.start, self.end = tag, parent, start, start
-        named = bool(names & FURNITURE_NAMES) and not names & OWN_NAMES
+        whole = set().union(*names.values())
+        parts = whole if tag in WHOLE_NAMES else {part for name in whole for part in NAME_GAP.split(name)}
+        # The header of an article holds its title.
+        named = tag not in ("html", "body") and bool(parts & FURNITURE_NAMES - ({"header"} if inside_root else set()))
         self.furniture = tag in FURNITURE or named or (tag == "header" and not inside_root)
-        self.root = not named and (tag in ROOTS or "main" in names and tag not in INLINE)
+        self.root = not named and (tag in ROOTS or "main" in whole and tag not in INLINE)
         self.parts: list[bytes] = [tag.encode()]
         self.digest = 0
 
@@ -130,11 +133,9 @@ def parsed(page: str) -> tuple[list[Element], list[str]]:
                 break
             if stack[at].tag in SCOPES:
                 break
-        names = {
-            name
-            for found in ATTRIBUTE.finditer(match[3])
-            for name in NAME_GAP.split((found[2] or found[3] or found[4] or "").lower())
-        }
+        names: dict[str, set[str]] = {}
+        for found in ATTRIBUTE.finditer(match[3]):
+            names.setdefault(found[1].lower(), set((found[2] or found[3] or found[4] or "").lower().split()))
         element = Element(tag, stack[-1] if stack else None, len(pieces), names, roots > 0)
         roots += element.root
         elements.append(element)

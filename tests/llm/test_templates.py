@@ -48,3 +48,17 @@ def test_paragraphs_of_articles_stay(spark):
 def test_columns_and_empty(spark):
     none = site.with_main_text(spark.createDataFrame([], PAGES))
     assert none.count() == 0 and none.columns == ["page_id", "url", "html", "text", "n_chars"]
+
+
+def test_names_of_furniture_win():
+    text = lambda page: site.main_text(page, set())
+    for names in ("class='main-menu'", "class='main-nav'", "id='main-header'"):
+        assert text(f"<body><div {names}>Home News</div><p>The story</p></body>") == "The story"
+        assert text(f"<body><div {names}>Home News</div><article><p>The story</p></article></body>") == "The story"
+    for names in ("post-comments", "article-comments"):
+        assert text(f"<article><p>The story</p><div class='{names}'>me too</div></article>") == "The story"
+    assert text("<article><h2 class='section-header'>Part one</h2><p>The story</p></article>") == "Part one The story"
+    for names in ("id=main", "role=main", "class='wide main'"):
+        assert text(f"<body><div>Before</div><div {names}>The story</div></body>") == "The story"
+    assert text("<body><div class='main-part'>One</div><div>Two</div></body>") == "One Two"
+    assert text("<body class='no-sidebar'><article class='post no-comments'>The story</article></body>") == "The story"
