@@ -3,8 +3,9 @@
 A first pass gives every element a hash of its subtree, and Spark counts on how many pages of a host each hash occurs. A
 subtree found on many pages of its host is template and is deleted. What a host repeats less often (adverts, notices, menus
 that change) is told by its element or by the names in its class, id and role. If a page marks its article (``article``,
-``main``), only what stands inside is taken; inside, paragraphs are the article's own however often a host repeats
-them, so there only furniture is removed.
+``main``), only what stands inside is taken; inside, paragraphs, headings, items and cells are the article's own however
+often a host repeats them, but blocks that hold others (``GROUPS``) are deleted like template elsewhere, unless no text of
+the page's articles would be left.
 
 A hash that counts as template stands on a fixed share of its host's pages at least, so a host has at most (elements of
 a page / share) of them, and their list stays small whatever the number of pages.
@@ -50,6 +51,9 @@ INLINE = frozenset(
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPES = frozenset("ul ol dl table article main section div body html aside nav header footer form blockquote".split())
 
+#: Elements that may be template inside a marked article.
+GROUPS = frozenset("div section table ul ol dl figure center details fieldset address hgroup".split())
+
 ROOTS = frozenset(("article", "main"))
 FURNITURE = frozenset("head nav footer aside form dialog menu button select object canvas audio video".split())
 FURNITURE_NAMES = frozenset(
@@ -158,21 +162,31 @@ def inside_roots(elements: list[Element]) -> list[tuple[int, int]]:
     return spans
 
 
-def candidates(page: str) -> list[int]:
-    """Distinct hashes of the subtrees that may be template: those with text, outside of marked articles."""
-    elements, pieces = parsed(page)
-    marked = np.zeros(len(pieces) + 1, np.int64)
-    for start, end in inside_roots(elements):
-        marked[start + 1 : end + 1] = 1
-    marked = marked.cumsum()
-    found = set()
+def deletable(elements: list[Element], roots: list[tuple[int, int]]) -> list[Element]:
+    """Elements with text that go if they are template: outside of marked articles all, inside them groups."""
+    found = []
+    bad_end, at = 0, 0
     for element in elements:
-        if element.tag in ("html", "body", "head") or element.end == element.start:
+        if element.furniture:
+            bad_end = max(bad_end, element.end)
+        # What is furniture goes anyway.
+        if element.start < bad_end or element.end == element.start or element.tag in ("html", "body", "head"):
             continue
-        # Neither inside an article nor around one.
-        if marked[element.start] == marked[element.end]:
-            found.add(element.digest)
-    return sorted(found)
+        while at < len(roots) and roots[at][1] <= element.start:
+            at += 1
+        inside = at < len(roots) and roots[at][0] <= element.start and element.end <= roots[at][1]
+        if inside:
+            if element.tag in GROUPS and not element.root:
+                found.append(element)
+        elif at == len(roots) or element.end <= roots[at][0]:
+            found.append(element)
+    return found
+
+
+def candidates(page: str) -> list[int]:
+    """Distinct hashes of the subtrees that may be template."""
+    elements, _ = parsed(page)
+    return sorted({element.digest for element in deletable(elements, inside_roots(elements))})
 
 
 def main_text(page: str, template: set[int]) -> str:
@@ -183,8 +197,14 @@ def main_text(page: str, template: set[int]) -> str:
     for start, end in roots or [(0, len(pieces))]:
         keep[start:end] = True
     for element in elements:
-        if element.furniture or (not roots and element.digest in template):
+        if element.furniture:
+            keep[element.start : element.end] = False
+    whole = keep.copy()
+    for element in deletable(elements, roots):
+        if element.digest in template:
             keep[element.start : element.end] = False
+    if roots and not any(piece.strip() for piece, wanted in zip(pieces, keep.tolist()) if wanted):
+        keep = whole
     # Where something was cut out, a block ends.
     out, gap = [], False
     for piece, wanted in zip(pieces, keep.tolist()):

@@ -62,3 +62,15 @@ def test_names_of_furniture_win():
         assert text(f"<body><div>Before</div><div {names}>The story</div></body>") == "The story"
     assert text("<body><div class='main-part'>One</div><div>Two</div></body>") == "One Two"
     assert text("<body class='no-sidebar'><article class='post no-comments'>The story</article></body>") == "The story"
+
+
+def test_blocks_that_articles_repeat_go(spark):
+    box = "<div><p>Read us by mail</p><a href=/x>Sign on</a></div>"
+    rows = [
+        (n, "https://a.example.org/", f"<body><article><h2>Intro</h2><p>Story {n} on <b>Berlin</b></p>{box}</article></body>", "")
+        for n in range(9)
+    ]
+    # Copies of one article on pages that differ elsewhere.
+    rows += [(n, "https://b.example.org/", f"<body><p>{n}</p><article><div><p>Told once</p></div></article></body>", "") for n in range(9, 18)]
+    found = {row["page_id"]: row["text"] for row in site.with_main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert found == {n: f"Intro Story {n} on Berlin" if n < 9 else "Told once" for n in range(18)}
