@@ -7,8 +7,8 @@ that change) is told by its element or by the names in its class, id and role. I
 often a host repeats them, but blocks that hold others (``GROUPS``) are deleted like template elsewhere, unless no text of
 the page's articles would be left.
 
-A hash that counts as template stands on a fixed share of its host's pages at least, so a host has at most (elements of
-a page / share) of them, and their list stays small whatever the number of pages.
+A hash counts as template by a number of pages, however large the host, and some of them must be pages of their own:
+copies of a page, and crawls repeated, make no template of what it says. Pages get theirs by joining on host and hash.
 
 Defined results: a null or empty html, and a page without main text, give the empty text; broken markup is read as far as it
 goes (an unclosed element ends with its parent, an unclosed comment or script with the page); pages without a url belong
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from haulbook.llm.common import stored, text_of, unused
 
-#: A subtree is template if it is on so many pages of its host, and on so large a share of them.
-MIN_PAGES, MIN_SHARE = 5, 0.2
+#: A subtree is template if it is on so many pages of its host, so many of them different.
+MIN_PAGES, MIN_BODIES = 5, 4
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -67,7 +67,7 @@ WHOLE_NAMES = frozenset("html body main article".split())
 
 
 class Element:
-    __slots__ = ("tag", "parent", "start", "end", "furniture", "root", "parts", "digest")
+    __slots__ = ("tag", "parent", "start", "end", "furniture", "root", "says", "parts", "digest")
 
     def __init__(self, tag: str, parent: Element | None, start: int, names: dict[str, set[str]], inside_root: bool):
         self.tag, self.parent, self.start, self.end = tag, parent, start, start
@@ -77,6 +77,7 @@ class Element:
         named = tag not in ("html", "body") and bool(parts & FURNITURE_NAMES - ({"header"} if inside_root else set()))
         self.furniture = tag in FURNITURE or named or (tag == "header" and not inside_root)
         self.root = not named and (tag in ROOTS or "main" in whole and tag not in INLINE)
+        self.says = False
         self.parts: list[bytes] = [tag.encode()]
         self.digest = 0
 
@@ -106,6 +107,7 @@ def parsed(page: str) -> tuple[list[Element], list[str]]:
         if piece:
             pieces.append(piece)
             if stack:
+                stack[-1].says |= not piece.isspace()
                 stack[-1].parts.append(piece.encode("utf-8", "surrogatepass"))
 
     while match := TOKEN.search(page, place):
@@ -162,6 +164,14 @@ def inside_roots(elements: list[Element]) -> list[tuple[int, int]]:
     return spans
 
 
+def in_running_text(element: Element) -> bool:
+    """Whether an inline element stands among words of the block around it."""
+    while element.tag in INLINE and (element := element.parent):
+        if element.says:
+            return True
+    return False
+
+
 def deletable(elements: list[Element], roots: list[tuple[int, int]]) -> list[Element]:
     """Elements with text that go if they are template: outside of marked articles all, inside them groups."""
     found = []
@@ -172,6 +182,8 @@ def deletable(elements: list[Element], roots: list[tuple[int, int]]) -> list[Ele
         # What is furniture goes anyway.
         if element.start < bad_end or element.end == element.start or element.tag in ("html", "body", "head"):
             continue
+        if in_running_text(element):
+            continue
         while at < len(roots) and roots[at][1] <= element.start:
             at += 1
         inside = at < len(roots) and roots[at][0] <= element.start and element.end <= roots[at][1]
@@ -218,40 +230,18 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """``host`` and the ``template`` hashes of every host that has some."""
+def page_of(host: str, html: str) -> Column:
+    """A number for what a page of this host says."""
+    return F.xxhash64(F.col(host), text_of(html))
+
+
+def with_main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_bodies: int = MIN_BODIES) -> DataFrame:
+    """Pages with their main ``text`` and its length ``n_chars`` in code points."""
 
     @F.pandas_udf("array<bigint>")
     def hashes(pages: pd.Series) -> pd.Series:
         return pages.map(candidates)
 
-    hashed = pages.select(host_of(F.col("url")).alias("host"), hashes(text_of("html")).alias("hashes"))
-    # The page itself is counted under null.
-    counts = (
-        hashed.select("host", F.explode(F.concat(F.array(F.lit(None).cast("bigint")), "hashes")).alias("hash"))
-        .groupBy("host", "hash")
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") >= min_pages)
-    )
-    return (
-        counts.groupBy("host")
-        .agg(
-            F.max(F.when(F.col("hash").isNull(), F.col("n"))).alias("pages"),
-            F.collect_list(F.when(F.col("hash").isNotNull(), F.struct("hash", "n"))).alias("found"),
-        )
-        .select(
-            "host",
-            F.transform(
-                F.filter("found", lambda item: item["n"] >= F.col("pages") * min_share), lambda item: item["hash"]
-            ).alias("template"),
-        )
-        .where(F.size("template") > 0)
-    )
-
-
-def with_main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """Pages with their main ``text`` and its length ``n_chars`` in code points."""
-
     @F.pandas_udf("string")
     def extracted(pages: pd.Series, found: pd.Series) -> pd.Series:
         return pd.Series(
@@ -259,10 +249,23 @@ def with_main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
         )
 
     names = [column for column in pages.columns if column not in ("text", "n_chars")]
-    host, template = unused(pages, "__host"), unused(pages, "__template")
-    # Stored, the list's size is known: small, it is sent to the pages; large, both sides are dealt and busy hosts split.
-    hosts = stored(templates(pages, min_pages, min_share), "templates")
-    hosts = hosts.withColumnsRenamed({"host": host, "template": template})
-    joined = pages.select(*names).withColumn(host, host_of(F.col("url"))).join(hosts, host, "left")
-    out = joined.select(*names, extracted(text_of("html"), F.col(template)).alias("text"))
+    host, page, template = (unused(pages, name) for name in ("__host", "__page", "__template"))
+    hosted = pages.select(*names).withColumn(host, host_of(F.col("url"))).withColumn(page, page_of(host, "html"))
+    # A hash mixed with its host's stands for both.
+    mixed = F.transform("hashes", lambda item: item.bitwiseXOR(F.xxhash64("host")))
+    read = hosted.select(F.col(page).alias("page"), F.col(host).alias("host"), hashes(text_of("html")).alias("hashes"))
+    bodies = stored(
+        read.select("page", mixed.alias("hashes")).groupBy("page").agg(F.first("hashes").alias("hashes"), F.count("*").alias("n")),
+        "bodies",
+    )
+    listed = bodies.select("page", "n", F.explode("hashes").alias("hash"))
+    counts = listed.groupBy("hash").agg(F.sum("n").alias("pages"), F.count("*").alias("bodies"))
+    # Stored, the sizes are known: small, a list is sent to the other side; large, both are dealt and busy keys split.
+    frequent = stored(
+        counts.where((F.col("pages") >= min_pages) & (F.col("bodies") >= min_bodies)).select("hash"), "templates"
+    )
+    found = listed.join(frequent, "hash").groupBy(F.col("page").alias(page)).agg(F.collect_list("hash").alias(template))
+    joined = hosted.join(stored(found, "found"), page, "left")
+    plain = F.transform(template, lambda item: item.bitwiseXOR(F.xxhash64(F.col(host))))
+    out = joined.select(*names, extracted(text_of("html"), plain).alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -74,3 +74,12 @@ def test_blocks_that_articles_repeat_go(spark):
     rows += [(n, "https://b.example.org/", f"<body><p>{n}</p><article><div><p>Told once</p></div></article></body>", "") for n in range(9, 18)]
     found = {row["page_id"]: row["text"] for row in site.with_main_text(spark.createDataFrame(rows, PAGES)).collect()}
     assert found == {n: f"Intro Story {n} on Berlin" if n < 9 else "Told once" for n in range(18)}
+
+
+def test_templates_of_few_among_many_pages(spark):
+    """A block of a section of a large host goes; the story of a page that was stored five times stays."""
+    box = "<div><p>More of this section</p></div>"
+    rows = [(n, "https://a.example.org/", f"<body>{box * (n < 8)}<p>Story {n} on <b>Berlin</b></p></body>", "") for n in range(80)]
+    rows += [(80 + n, "https://b.example.org/", f"<body><div><p>Told {max(n, 4)}</p></div></body>", "") for n in range(20)]
+    found = {row["page_id"]: row["text"] for row in site.with_main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert found == {n: f"Story {n} on Berlin" for n in range(80)} | {80 + n: f"Told {max(n, 4)}" for n in range(20)}
