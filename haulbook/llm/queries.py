@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulbook.llm import attention_quality, chat_repair, context_tree, mixing, norm_search, piece_transducer, pii_crf, quality_rules, simhash, site_templates
+from haulbook.llm import (
+    attention_quality,
+    ball_codes,
+    chat_repair,
+    collision_search,
+    context_tree,
+    mixing,
+    norm_search,
+    piece_transducer,
+    pii_crf,
+    quality_rules,
+    simhash,
+    site_templates,
+)
 from haulbook.llm.common import prepare, table
 
 #: The model that texts are encoded with; a path on the driver, whose content is sent to the executors.
@@ -148,3 +161,45 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents."""
     found = attention_quality.with_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted")
+
+
+def codes_sql(entries: int = 64, parts: int = 16, rounds: int = 2) -> str:
+    """Assignments and means of every round written out. ``x``: parts, ``b0`` ...: codebooks, ``a0`` ...: assignments."""
+    square = "list_dot_product({0}, {0})"
+    steps = []
+    for number in range(rounds + 1):
+        if number:
+            steps.append(f"""
+m{number} AS (SELECT p, e, list(floor(s / n) ORDER BY j) AS c FROM
+        (SELECT p, e, j, sum(x[j]) AS s, count(*) AS n FROM a{number - 1}, range(1, 65) AS t(j) WHERE j <= len(x) GROUP BY p, e, j)
+      GROUP BY p, e),
+b{number} AS (SELECT p, e, coalesce(m{number}.c, b{number - 1}.c) AS c FROM b{number - 1} LEFT JOIN m{number} USING (p, e))""")
+        steps.append(f"""
+a{number} AS (SELECT row, p, x, e, d FROM (
+        SELECT row, p, x, e, {square.format('x')} - 2 * list_dot_product(x, c) + {square.format('c')} AS d
+        FROM x JOIN b{number} USING (p)) QUALIFY row_number() OVER (PARTITION BY row, p ORDER BY d, e) = 1)""")
+    last = rounds
+    return f"""
+WITH v AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS row, vec_id, label, v FROM (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * cast(x AS DOUBLE))) AS v FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+x AS (SELECT row, p, v[p * len(v) // {parts} + 1 : (p + 1) * len(v) // {parts}] AS x FROM v, range({parts}) AS t(p)),
+b0 AS (SELECT p, row - 1 AS e, x AS c FROM x WHERE row <= {entries}),{",".join(steps)},
+coded AS (SELECT row, string_agg(printf('%02x', e), '' ORDER BY p) AS code, cast(sum(d) AS BIGINT) AS error FROM a{last} GROUP BY row),
+book AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda y: cast(cast(y AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY p, e))
+         AS codebooks_sha256 FROM b{last})
+SELECT vec_id, code, error, cast(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN v USING (row), book
+"""
+
+
+@query("op12_vector_codes", codes_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors."""
+    return ball_codes.encode(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_collision_search")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest found of every fiftieth vector among all others."""
+    return collision_search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
