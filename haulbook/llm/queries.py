@@ -12,6 +12,7 @@ from haulbook.llm import (
     ball_codes,
     chat_repair,
     collision_search,
+    collocations,
     context_tree,
     mixing,
     norm_search,
@@ -203,3 +204,38 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest found of every fiftieth vector among all others."""
     return collision_search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+COLLOCATIONS_SQL = r"""
+WITH pieces AS (
+  SELECT row_number() OVER () AS piece, lang, p FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-
+]')) AS p
+    FROM documents)),
+worded AS (SELECT lang, list_filter(regexp_split_to_array(p, '[ 	]+'), lambda x: x <> '') AS w FROM pieces),
+spots AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM worded),
+totals AS (SELECT lang, count(*) AS n FROM spots GROUP BY lang),
+f AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS f
+      FROM spots, range(1, 5) AS t(k) WHERE i + k - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+split AS (SELECT lang, k, phrase, a, cut, array_to_string(w[: cut], ' ') AS p, array_to_string(w[cut + 1 :], ' ') AS q
+          FROM c, range(1, 4) AS t(cut) WHERE cut < k),
+cuts AS (SELECT split.*, l.f AS l, r.f AS r, cast((2000000 * cast(a AS HUGEINT)) // (l.f + r.f) AS BIGINT) AS score
+         FROM split JOIN f AS l ON (split.lang, p) = (l.lang, l.phrase) JOIN f AS r ON (split.lang, q) = (r.lang, r.phrase)),
+low AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_parts AS (SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, max(a) AS longer
+                FROM c, range(2, 4) AS t(m), range(1, 4) AS u(i) WHERE m < k AND i + m - 1 <= k GROUP BY ALL)
+SELECT low.lang, row_number() OVER (PARTITION BY low.lang ORDER BY score DESC, a DESC, encode(low.phrase)) AS rank,
+       low.phrase, a, l, r, cast(n AS BIGINT) AS n, score
+FROM low JOIN totals USING (lang) LEFT JOIN inner_parts USING (lang, phrase)
+WHERE longer IS NULL OR 100 * longer < 80 * a
+QUALIFY rank <= 2000
+"""
+
+
+@query("op11_collocations", COLLOCATIONS_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 2000 collocations of each language in all documents."""
+    return collocations.mine(table(spark, sf_dir, "documents"))
