@@ -11,27 +11,8 @@ from haulbook.operators.validation import compile_schema, payload_errors
 from haulbook.plans import intake
 from haulbook.schemas import BULK_REQUEST
 
-PARCEL_SCHEMA = {
-    "type": "object",
-    "required": ["sender", "weight"],
-    "properties": {
-        "sender": {"type": "string", "pattern": "^[A-Z]{2}-[0-9]+$"},
-        "weight": {"type": "number"},
-        "labels": {"type": "object"},
-    },
-}
-LOT_SCHEMA = {
-    "$schema": "http://json-schema.org/draft-04/schema",
-    "type": "object",
-    "properties": {
-        "lot": {"type": "string"},
-        "pallets": {"type": "integer"},
-        "seal": {"type": "string", "pattern": "[x-z]+"},
-        "fragile": {"type": "boolean"},
-    },
-    "required": ["lot"],
-    "additionalProperties": False,
-}
+#: A payload is a name, and nothing else.
+NAMED = {"required": ["name"], "properties": {"name": {"type": "string"}}, "additionalProperties": False}
 
 
 def bulk(spark, *rows):
@@ -43,11 +24,28 @@ def errors(spark, schema, *payloads):
     return [row[0] for row in frame.select(payload_errors(F.col("payload"), schema)).collect()]
 
 
-def test_defaults_are_merged(spark, now):
-    transfers = [(f'{{"i":{n},"j":2}}', 3) if n % 2 == 0 else (f'{{"i":{n}}}', None) for n in range(10)]
-    taken = intake.submit_bulk(bulk(spark, ("R", transfers, ('{"j":5,"k":3}', 2))), now)
-    found = {json.loads(row.body)["i"]: (json.loads(row.body), row.priority) for row in taken.transfers.collect()}
-    assert found == {n: ({"i": n, "j": 2 if n % 2 == 0 else 5, "k": 3}, 3 if n % 2 == 0 else 2) for n in range(10)}
+MERGES = [
+    # defaults, payload, what they make
+    ({"from": {"host": "a", "port": 1}}, {"from": {"port": 2}}, {"from": {"host": "a", "port": 2}}),
+    ({"from": {"host": "a"}}, {"from": None}, {"from": None}),
+    ({"tags": [1, 2, 3]}, {"tags": [9]}, {"tags": [9]}),
+    ({"from": {"host": "a"}}, {"from": "b"}, {"from": "b"}),
+    ({"from": "b"}, {"from": {"host": "a"}}, {"from": {"host": "a"}}),
+    ({"x": {"y": {"z": 0}}}, {}, {"x": {"y": {"z": 0}}}),
+    ({}, {"only": True}, {"only": True}),
+]
+
+
+def test_defaults_fill_what_payloads_leave_out(spark, now):
+    requests = [
+        (f"R{n}", [(json.dumps(payload), None), (json.dumps(payload), 8)], (json.dumps(defaults), n if n % 2 else None))
+        for n, (defaults, payload, _) in enumerate(MERGES)
+    ]
+    taken = intake.submit_bulk(bulk(spark, *requests), now)
+    found = sorted((row.request_id, row.priority, row.body) for row in taken.transfers.collect())
+    assert [(name, priority, json.loads(body)) for name, priority, body in found] == [
+        (f"R{n}", priority, whole) for n, (_, _, whole) in enumerate(MERGES) for priority in (n if n % 2 else 0, 8)
+    ]
 
 
 def test_new_rows(spark, now):
@@ -62,53 +60,51 @@ def test_new_rows(spark, now):
 
 
 def test_one_bad_payload_rejects_its_request(spark, now, tmp_path):
-    good, bad = ('{"lot":"b"}', None), ('{"lot":7,"x":1}', None)
+    good, bad = ('{"name":"b"}', None), ('{"name":7,"x":1}', None)
     requests = bulk(spark, ("R1", [good, bad, good], None), ("R2", [good], None))
     for staging in (None, f"{tmp_path}/staging"):
-        taken = intake.submit_bulk(requests, now, LOT_SCHEMA, staging)
+        taken = intake.submit_bulk(requests, now, NAMED, staging)
         assert {row.request_id for row in taken.transfers.collect()} == {"R2"}
         assert [row.id for row in taken.requests.collect()] == ["R2"]
         assert [tuple(row) for row in taken.rejected.collect()] == [
-            ("R1", 1, ["$: unexpected x", "$.lot: expected string, found integer"], "invalid")
+            ("R1", 1, ["$: unexpected x", "$.name: expected string, found integer"], "invalid")
         ]
 
 
 def test_payload_is_checked_after_the_merge(spark, now):
-    taken = intake.submit_bulk(bulk(spark, ("R", [("{}", None)], ('{"lot":"b"}', None))), now, LOT_SCHEMA)
+    taken = intake.submit_bulk(bulk(spark, ("R", [("{}", None)], ('{"name":"b"}', None))), now, NAMED)
     assert taken.transfers.count() == 1 and taken.rejected.count() == 0
 
 
-def test_parcel_schema(spark):
-    fine = '{"sender":"NL-12","weight":1.5,"labels":{}}'
-    assert errors(spark, PARCEL_SCHEMA, fine) == [[]]
-    found = errors(spark, PARCEL_SCHEMA, '{"sender":"a","labels":[]}', "[]", "nope", "null")
-    assert found[0] == [
-        "$: missing weight",
-        "$.sender: does not match ^[A-Z]{2}-[0-9]+$",
-        "$.labels: expected object, found array",
-    ]
-    assert found[1] == ["$: expected object, found array"]
-    assert found[2] == ["$: not JSON"]
-    assert found[3] == ["$: expected object, found null"]
-
-
-def test_lot_schema(spark):
-    found = errors(
-        spark,
-        LOT_SCHEMA,
-        '{"lot":"b","pallets":12345678901234567890,"seal":"xy","fragile":true}',
-        '{"lot":"b","pallets":1.5,"seal":"ABC","fragile":"yes","zone":1,"area":2}',
-        '{"lot":null}',
-    )
-    assert found[0] == []
-    assert found[1] == [
-        "$: unexpected area",
-        "$: unexpected zone",
-        "$.pallets: expected integer, found number",
-        "$.seal: does not match [x-z]+",
-        "$.fragile: expected boolean, found string",
-    ]
-    assert found[2] == ["$.lot: expected string, found null"]
+@pytest.mark.parametrize(
+    "schema,fine,wrong",
+    [
+        ({"type": "string"}, ['"x"', '""'], [("1", "expected string, found integer"), ("null", "expected string, found null")]),
+        ({"type": "integer"}, ["3", "-98765432109876543210"], [("0.25", "expected integer, found number")]),
+        ({"type": "number"}, ["3", "0.25"], [('"3"', "expected number, found string")]),
+        ({"type": "boolean"}, ["false"], [("0", "expected boolean, found integer")]),
+        ({"type": "object"}, ["{}"], [("[]", "expected object, found array"), ("{", "not JSON"), ("", "not JSON")]),
+        ({"type": "array"}, ["[]"], [("{}", "expected array, found object")]),
+        ({"type": "null"}, ["null"], [("{}", "expected null, found object")]),
+        ({"required": ["a", "b"]}, ['{"a":null,"b":0}', "7"], [('{"b":1}', "missing a")]),
+        ({"pattern": "^/.*[.]bam$"}, ['"/x/y.bam"', "1"], [('"/x/y.bai"', "does not match ^/.*[.]bam$")]),
+        ({"pattern": "o"}, ['"pot"'], [('"pat"', "does not match o")]),
+        ({"additionalProperties": False, "properties": {"a": {}}}, ['{"a":1}', "{}"], [('{"a":1,"c":2}', "unexpected c")]),
+    ],
+)
+def test_keywords_one_by_one(spark, schema, fine, wrong):
+    assert errors(spark, schema, *fine) == [[]] * len(fine)
+    assert errors(spark, schema, *(payload for payload, _ in wrong)) == [[f"$: {text}"] for _, text in wrong]
+
+
+def test_errors_of_nested_properties_name_their_paths(spark):
+    port = {"properties": {"port": {"type": "integer"}}, "required": ["host"], "additionalProperties": False}
+    schema = {"type": "object", "properties": {"from": port, "to": port}, "additionalProperties": False}
+    found = errors(spark, schema, '{"from":{"host":1,"port":"x"},"to":{"zone":1,"area":2},"via":0}')
+    assert found == [[
+        "$: unexpected via", "$.from: unexpected host", "$.from.port: expected integer, found string",
+        "$.to: missing host", "$.to: unexpected area", "$.to: unexpected zone",
+    ]]
 
 
 def test_several_types(spark):
