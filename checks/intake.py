@@ -233,11 +233,11 @@ def submit(spark, sf_dir):
 def write_requests(spark, sf_dir):
     ledger = Ledger(spark, run_dir(spark, "snk_requests"))
     ledger.append(0, requests=intake.new_requests(request_ids(spark, sf_dir), v.now()))
-    return ledger.requests()
+    return ledger.requests(before=1)
 
 
 @check("snk_transfers", v.with_views(merged=MERGED, query=f"SELECT {NEW_ROW} FROM merged"))
 def write_transfers(spark, sf_dir):
     ledger = Ledger(spark, run_dir(spark, "snk_transfers"))
     ledger.append(0, transfers=intake.new_transfers(intake.merge_defaults(items(spark, sf_dir))))
-    return ledger.transfers()
+    return ledger.transfers(before=1)

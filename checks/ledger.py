@@ -46,16 +46,15 @@ def row(**changes: str) -> str:
     ),
 )
 def read_ledger(spark, sf_dir):
-    """State after three appends and a snapshot between them; the third changes rows the second already changed."""
-    ledger = Ledger(spark, run_dir(spark, "src_ledger"), buckets=8)
-    ledger.append(0, transfers=v.transfers(spark, sf_dir), requests=v.requests(spark, sf_dir))
+    """State after two batches on what was loaded, with a snapshot between them; the second changes rows of the first."""
+    ledger = Ledger(spark, run_dir(spark, "src_ledger"), buckets=8, every=1)
+    ledger.load(v.transfers(spark, sf_dir), v.requests(spark, sf_dir))
     targets = v.requests(spark, sf_dir).select(F.col("id").alias("request_id"))
     again = control.reconsider_requests(ledger.transfers(), ledger.requests(), targets)
-    ledger.append(1, transfers=again.changed)
-    ledger.compact(before=1)
-    succeeded = ledger.changes(1).where("priority > 1").withColumn("status", F.lit("succeeded"))
-    ledger.append(2, transfers=succeeded)
-    return ledger.transfers()
+    ledger.append(0, transfers=again.changed)
+    ledger.fold_if_due(1)
+    ledger.append(1, transfers=ledger.changes(0).where("priority > 1").withColumn("status", F.lit("succeeded")))
+    return ledger.transfers(before=2)
 
 
 # --- admission

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Any
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from haulbook.session import run_dir
 from haulbook.sources import messages
 from haulbook.sources.ledger import Ledger
 from haulbook.streaming import progress_state, runner, stages
-from haulbook.streaming.listen import Listener, listen, sweep_on
+from haulbook.streaming.listen import Listener, listen, signals, ticks
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +30,7 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def new_ledger(spark: SparkSession, sf_dir: str, root: str) -> Ledger:
     ledger = Ledger(spark, f"{root}/ledger", buckets=8)
-    ledger.append(0, transfers=v.transfers(spark, sf_dir), requests=v.requests(spark, sf_dir))
+    ledger.load(v.transfers(spark, sf_dir), v.requests(spark, sf_dir))
     return ledger
 
 
@@ -109,34 +110,46 @@ AFTER_LISTENING = v.with_views(
 )
 
 
-def run_listener(spark, sf_dir, ledger: Ledger, root: str, name: str) -> None:
+class Killed(Listener):
+    """Stops where a batch has written everything and its query has not committed it."""
+
+    def handle(self, messages: DataFrame, batch: int) -> None:
+        super().handle(messages, batch)
+        raise InterruptedError("killed between write and commit")
+
+
+def run_until_killed(stream: DataFrame, ledger: Ledger, **options) -> None:
+    try:
+        listen(stream, Killed(ledger, **options), available_now=True).awaitTermination()
+    except StreamingQueryException as error:
+        if "killed between" not in str(error):
+            raise
+        return
+    raise AssertionError("the stream was not killed")
+
+
+def all_signals(spark, sf_dir) -> DataFrame:
     orders = v.table(spark, sf_dir, "orders")
-    listener = Listener(ledger, cap(spark, sf_dir), f"{root}/outbox", clock=v.now)
-    query = listen(
-        v.progress_of(table_stream(spark, sf_dir, "lineitem"), orders),
-        v.results_of(table_stream(spark, sf_dir, "events"), orders),
-        listener,
-        f"{root}/{name}",
-        available_now=True,
-    )
-    query.awaitTermination()
+    progress = v.progress_of(table_stream(spark, sf_dir, "lineitem"), orders)
+    return signals(progress, v.results_of(table_stream(spark, sf_dir, "events"), orders))
 
 
 @check("str_listen", AFTER_LISTENING)
 def listening(spark, sf_dir):
     root = run_dir(spark, "str_listen")
     ledger = new_ledger(spark, sf_dir, root)
-    run_listener(spark, sf_dir, ledger, root, "checkpoint")
+    listener = Listener(ledger, cap(spark, sf_dir), f"{root}/outbox", clock=v.now)
+    listen(all_signals(spark, sf_dir), listener, available_now=True).awaitTermination()
     return ledger.transfers()
 
 
 @check("str_exactly_once", AFTER_LISTENING)
 def exactly_once(spark, sf_dir):
-    """The stream loses its checkpoint after finishing and processes everything again."""
+    """The query is killed after its batch has written and before it commits; the next one processes the batch again."""
     root = run_dir(spark, "str_exactly_once")
     ledger = new_ledger(spark, sf_dir, root)
-    run_listener(spark, sf_dir, ledger, root, "checkpoint")
-    run_listener(spark, sf_dir, ledger, root, "checkpoint-again")
+    run_until_killed(all_signals(spark, sf_dir), ledger, max_in_flight=cap(spark, sf_dir), clock=v.now)
+    listen(all_signals(spark, sf_dir), Listener(ledger, cap(spark, sf_dir), clock=v.now), available_now=True).awaitTermination()
     return ledger.transfers()
 
 
@@ -164,9 +177,8 @@ def sweeping(spark, sf_dir):
     root = run_dir(spark, "str_sweep")
     ledger = new_ledger(spark, sf_dir, root)
     listener = Listener(ledger, cap(spark, sf_dir), f"{root}/outbox", clock=v.now)
-    ticks = table_stream(spark, sf_dir, "events")
-    sweep_on(ticks, listener, f"{root}/checkpoint", available_now=True).awaitTermination()
-    return ledger.changes(ledger.last_version()).select(*TRANSFER_COLUMNS)
+    listen(ticks(table_stream(spark, sf_dir, "events")), listener, available_now=True).awaitTermination()
+    return ledger.changes(0).select(*TRANSFER_COLUMNS)
 
 
 @check(
@@ -179,44 +191,55 @@ def sweeping(spark, sf_dir):
     ),
 )
 def no_double_submit(spark, sf_dir):
-    """A sweep, its replay and the next sweep: every transfer is in the outbox once."""
+    """A sweep that is killed before its commit, its replay and the next sweep: every transfer is in the outbox once."""
     root = run_dir(spark, "str_no_double_submit")
     ledger = new_ledger(spark, sf_dir, root)
-    listener = Listener(ledger, cap(spark, sf_dir), f"{root}/outbox", clock=v.now)
-    for batch in (1, 1, 2):
-        listener.sweep(batch)
+    records = messages.encode_results(v.results(spark, sf_dir)).repartition(2, "arrival")
+    messages.write_folder(records, f"{root}/ticks")
+    stream = ticks(messages.folder_stream(spark, f"{root}/ticks", max_files=1))
+    options = {"max_in_flight": cap(spark, sf_dir), "outbox": f"{root}/outbox", "clock": v.now}
+    run_until_killed(stream, ledger, **options)
+    listen(stream, Listener(ledger, **options), available_now=True).awaitTermination()
     sent = messages.as_requests(messages.decode(messages.read_folder(spark, f"{root}/outbox/*")))
     return sent.groupBy("transfer_id").agg(F.count(F.lit(1)).alias("submissions"))
 
 
-# --- the transfer stages, with a runner that counts loops
+# --- the transfer stages, with a runner that moves through an object's bytes
 
 
 @dataclass(frozen=True)
-class LoopRunner:
-    """Counts down; no loops end at once, a negative count fails, ``parts`` expands."""
+class RangeRunner:
+    """Moves ``chunk`` bytes a step; an empty object ends at once, a negative size fails, ``objects`` expands."""
+
+    chunk: int = 100
 
     def initialize(self, request: Any):
-        if "parts" in request:
-            return runner.Expanded([{"loopCount": 1}] * request["parts"])
-        if request["loopCount"] < 0:
-            raise ValueError("cannot loop backwards") from KeyError("loopCount")
-        if request["loopCount"] == 0:
-            return runner.Done({"loopCount": 0})
-        return runner.Progress({"loopsSoFar": 0, "loopsToGo": request["loopCount"]})
+        if "objects" in request:
+            return runner.Expanded([{"object": name, "size": self.chunk} for name in request["objects"]])
+        if request["size"] < 0:
+            raise ValueError("no such size") from KeyError(request["object"])
+        return self.at(request["object"], 0, request["size"])
 
     def step(self, progress: Any):
-        so_far, to_go = progress["loopsSoFar"], progress["loopsToGo"]
-        if to_go == 0:
-            return runner.Done({"loopCount": so_far})
-        return runner.Progress({"loopsSoFar": so_far + 1, "loopsToGo": to_go - 1})
+        return self.at(progress["object"], progress["offset"] + self.chunk, progress["size"])
+
+    def at(self, name: str, offset: int, size: int):
+        if offset >= size:
+            return runner.Done({"object": name, "bytes": size})
+        return runner.Progress({"object": name, "offset": offset, "size": size})
+
 
+#: Sizes by order key; the last place is taken by requests for two objects.
+SIZES = (-1, 0, 100, 101, 250, -2)
 
-def loop_requests(spark, sf_dir) -> DataFrame:
-    """Every order as a request for -1 to 3 loops, or for two parts."""
+
+def range_requests(spark, sf_dir) -> DataFrame:
+    """Every order as a request for an object of -1 to 250 bytes, or for two objects."""
     key = F.col("o_orderkey")
-    body = F.when(key % 6 == 5, F.lit('{"parts":2}')).otherwise(
-        F.concat(F.lit('{"loopCount":'), key % 6 - 1, F.lit("}"))
+    name = F.concat(F.lit("o"), key)
+    size = F.element_at(F.array(*map(F.lit, SIZES)), (key % 6 + 1).cast("int"))
+    body = F.when(key % 6 == 5, F.concat(F.lit('{"objects":["'), name, F.lit('a","'), name, F.lit('b"]}'))).otherwise(
+        F.concat(F.lit('{"object":"'), name, F.lit('","size":'), size, F.lit("}"))
     )
     return v.table(spark, sf_dir, "orders").select(
         F.col("o_custkey").cast("string").alias("request_id"),
@@ -226,51 +249,54 @@ def loop_requests(spark, sf_dir) -> DataFrame:
     )
 
 
-LOOPS = """
-    SELECT CAST(o_custkey AS VARCHAR) AS request_id, CAST(o_orderkey AS VARCHAR) AS transfer_id,
-           o_orderkey AS arrival, o_orderkey % 6 - 1 AS loops FROM orders"""
-ENDED_AT_ONCE = """
+RANGES = f"""
+    SELECT CAST(o_custkey AS VARCHAR) AS request_id, CAST(o_orderkey AS VARCHAR) AS transfer_id, o_orderkey AS arrival,
+           'o' || o_orderkey AS object, {list(SIZES)}[o_orderkey % 6 + 1] AS size FROM orders"""
+
+
+def ended_at_once(failure: str, empty: str) -> str:
+    return f"""
     SELECT request_id, transfer_id, arrival, 0 AS step, TRUE AS is_done,
-           CASE loops WHEN -1 THEN 'FATAL_FAILURE' WHEN 0 THEN 'SUCCESS' ELSE 'EXPANDED' END AS signal,
-           CASE loops WHEN -1 THEN '{"message":"Unhandled error initializing transfer: cannot loop backwards",'
-                                   || '"detail":"''loopCount''"}'
-                      WHEN 0 THEN '{"loopCount":0}'
-                      ELSE '[{"loopCount":1},{"loopCount":1}]' END AS info
-    FROM loops WHERE loops IN (-1, 0, 4)"""
+           CASE size WHEN -1 THEN 'FATAL_FAILURE' WHEN 0 THEN 'SUCCESS' ELSE 'EXPANDED' END AS signal,
+           replace(CASE size WHEN -1 THEN '{failure}' WHEN 0 THEN '{empty}'
+                        ELSE '[{{"object":"$a","size":100}},{{"object":"$b","size":100}}]' END, '$', object) AS info
+    FROM ranges WHERE size <= 0"""
+
+
+MESSAGE = '"message":"Unhandled error initializing transfer: no such size"'
+DETAIL = """"detail":"''$''\""""
+ENDED_AT_ONCE = ended_at_once(f"{{{MESSAGE},{DETAIL}}}", '{"object":"$","bytes":0}')
 #: Decoded messages have their keys in alphabetic order.
-ENDED_DECODED = ENDED_AT_ONCE.replace(
-    """'{"message":"Unhandled error initializing transfer: cannot loop backwards",'
-                                   || '"detail":"''loopCount''"}'""",
-    """'{"detail":"''loopCount''",'
-                                   || '"message":"Unhandled error initializing transfer: cannot loop backwards"}'""",
-)
+ENDED_DECODED = ended_at_once(f"{{{DETAIL},{MESSAGE}}}", '{"bytes":0,"object":"$"}')
 STARTED = """
     SELECT request_id, transfer_id, arrival, 0 AS step, FALSE AS is_done, CAST(NULL AS VARCHAR) AS signal,
-           '{"loopsSoFar":0,"loopsToGo":' || loops || '}' AS info
-    FROM loops WHERE loops BETWEEN 1 AND 3"""
+           '{"object":"' || object || '","offset":0,"size":' || size || '}' AS info
+    FROM ranges WHERE size > 0"""
 
 
 @check(
     "udf_runner",
     v.with_views(
-        loops=LOOPS,
+        ranges=RANGES,
         ended=ENDED_AT_ONCE,
         started=STARTED,
         query="""SELECT * FROM ended UNION ALL SELECT * FROM started
-                 UNION ALL SELECT request_id, transfer_id, arrival, 1 AS step, FALSE AS is_done, signal,
-                                  '{"loopsSoFar":1,"loopsToGo":' || loops - 1 || '}' AS info
-                           FROM started JOIN loops USING (request_id, transfer_id, arrival)""",
+                 UNION ALL SELECT request_id, transfer_id, arrival, 1 AS step, size <= 100 AS is_done,
+                                  CASE WHEN size <= 100 THEN 'SUCCESS' END AS signal,
+                                  CASE WHEN size <= 100 THEN '{"object":"' || object || '","bytes":' || size || '}'
+                                       ELSE '{"object":"' || object || '","offset":100,"size":' || size || '}' END AS info
+                           FROM ranges WHERE size > 0""",
     ),
 )
 def run_user_code(spark, sf_dir):
-    first = runner.initialize(loop_requests(spark, sf_dir), LoopRunner())
-    return first.unionByName(runner.advance(undone(first), LoopRunner()))
+    first = runner.initialize(range_requests(spark, sf_dir), RangeRunner())
+    return first.unionByName(runner.advance(undone(first), RangeRunner()))
 
 
 @check(
     "set_branch",
     v.with_views(
-        loops=LOOPS,
+        ranges=RANGES,
         ended=ENDED_AT_ONCE,
         started=STARTED,
         query="""SELECT 'result' AS topic, transfer_id, info FROM ended
@@ -278,7 +304,7 @@ def run_user_code(spark, sf_dir):
     ),
 )
 def branch(spark, sf_dir):
-    steps = runner.initialize(loop_requests(spark, sf_dir), LoopRunner())
+    steps = runner.initialize(range_requests(spark, sf_dir), RangeRunner())
     written = f"{run_dir(spark, 'set_branch')}/steps"
     steps.write.parquet(written)
     steps = spark.read.parquet(written)
@@ -287,10 +313,10 @@ def branch(spark, sf_dir):
     return going.unionByName(ended.select(F.lit("result").alias("topic"), "transfer_id", "info"))
 
 
-def loop_topics(spark, sf_dir, name: str) -> tuple[stages.Topics, str]:
+def range_topics(spark, sf_dir, name: str) -> tuple[stages.Topics, str]:
     root = run_dir(spark, name)
     topics = stages.Topics(f"{root}/topics")
-    requests = loop_requests(spark, sf_dir).withColumnRenamed("transfer_id", "id")
+    requests = range_requests(spark, sf_dir).withColumnRenamed("transfer_id", "id")
     records = messages.encode_requests(requests, F.col("arrival"))
     messages.write_folder(records, f"{topics.requests}/initial")
     return topics, f"{root}/work"
@@ -299,7 +325,7 @@ def loop_topics(spark, sf_dir, name: str) -> tuple[stages.Topics, str]:
 @check(
     "str_init_stage",
     v.with_views(
-        loops=LOOPS,
+        ranges=RANGES,
         ended=ENDED_DECODED,
         started=STARTED,
         query="""SELECT request_id, transfer_id, step, NULL AS signal, info FROM started
@@ -307,8 +333,8 @@ def loop_topics(spark, sf_dir, name: str) -> tuple[stages.Topics, str]:
     ),
 )
 def init_stage(spark, sf_dir):
-    topics, work = loop_topics(spark, sf_dir, "str_init_stage")
-    stages.start_init_stage(spark, topics, LoopRunner(), work).awaitTermination()
+    topics, work = range_topics(spark, sf_dir, "str_init_stage")
+    stages.start_init_stage(spark, topics, RangeRunner(), work).awaitTermination()
     started = messages.as_progress(messages.decode(messages.read_folder(spark, f"{topics.progress}/*")))
     ended = messages.as_results(messages.decode(messages.read_folder(spark, f"{topics.results}/*")))
     rows = started.unionByName(ended, allowMissingColumns=True).drop("arrival")
@@ -318,16 +344,16 @@ def init_stage(spark, sf_dir):
 @check(
     "str_step_stage",
     v.with_views(
-        loops=LOOPS,
+        ranges=RANGES,
         ended=ENDED_DECODED,
         query="""SELECT request_id, transfer_id, signal, info FROM ended
                  UNION ALL SELECT request_id, transfer_id, 'SUCCESS' AS signal,
-                                  '{"loopCount":' || loops || '}' AS info
-                           FROM loops WHERE loops BETWEEN 1 AND 3""",
+                                  '{"bytes":' || size || ',"object":"' || object || '"}' AS info
+                           FROM ranges WHERE size > 0""",
     ),
 )
 def step_stage(spark, sf_dir):
-    topics, work = loop_topics(spark, sf_dir, "str_step_stage")
-    stages.run_until_done(spark, topics, LoopRunner(), work)
+    topics, work = range_topics(spark, sf_dir, "str_step_stage")
+    stages.run_until_done(spark, topics, RangeRunner(), work)
     ended = messages.as_results(messages.decode(messages.read_folder(spark, f"{topics.results}/*")))
     return ended.drop("arrival")

@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 STATUSES = ("pending", "submitted", "inprogress", "failed", "succeeded", "expanded")
 # States counted against the in-flight cap; only they accept progress.
 IN_FLIGHT = ("submitted", "inprogress")
+#: States that only a control message leads out of.
+ENDED = ("failed", "succeeded", "expanded")
 # What a result message reports, and the state it leads to.
 SIGNAL_STATUS = {"SUCCESS": "succeeded", "FATAL_FAILURE": "failed", "EXPANDED": "expanded"}
 

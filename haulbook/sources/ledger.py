@@ -1,368 +1,247 @@
-"""The ledger: requests and transfers kept as a log of row images plus snapshots, shared by any number of writers.
-
-Parquet has no in-place update, so a transition appends the new images of the rows it changed. An append is known by its
-writer and that writer's own batch and stage, and gets the next version of the ledger by creating the version's file, which
-only one writer can. It waits for the versions before its own, so it sees all they wrote and nothing is lost between
-intake, control, listeners and sweeps. An append that came before keeps its version: a replay reads the state before itself
-and writes nothing if it has the same rows (but for the times in them); other rows under a used name are an error, and so is
-a name that is older than what its writer has folded away.
-
-The current state is the base (snapshot or first append) without the ids changed since, plus their latest images. Base and
-changes stay separate branches of a union, so filters and column pruning reach the parquet scan of the base; the
-snapshot is bucketed by id, so that joins by id need not shuffle it.
+"""The ledger: requests and transfers as Parquet that one streaming query writes and anybody reads.
+
+Parquet has no in-place update, so a transition appends the new images of the rows it changed. The only writer is a Structured
+Streaming query (`haulbook.streaming.listen`); its checkpoint numbers the batches, keeps their order and says which of them are
+committed. An append is named by its batch and by its stage within the batch, so a batch that is processed again
+overwrites its own folders, and reads the state before itself while doing so. Nothing else orders, locks or removes anything.
+
+Every ``every`` batches the state is folded into a snapshot, bucketed by id, so that joins by id need not shuffle it, and
+partitioned by whether a transfer has ended, so that admission leaves the ended part unread. Appends lie in a folder of the
+snapshot that they follow: readers list the folders since the last snapshot and no others. Snapshots before the last two, and
+the appends after them, are read by nobody; a lifecycle rule of the store may remove them.
+
+The current state is the snapshot without the ids changed since, plus their latest images. Both stay separate branches of a
+union, so filters and column pruning reach the Parquet scan of the snapshot.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
-import threading
-import time
-from collections.abc import Iterator
-from contextlib import contextmanager
-from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from haulbook.schemas import REQUESTS, TRANSFERS
-
-#: Appends after which `compact_if_due` folds the log, so that reads stay proportional to the ledger.
-MAX_APPENDS = 32
+from haulbook.schemas import ENDED, REQUESTS, TRANSFERS
 
-#: Bytes of a snapshot's bucket, unless a ledger is given a number of buckets; seconds to wait for earlier versions.
-BUCKET_BYTES, PATIENCE = 256 << 20, 3600.0
+#: Batches from one snapshot to the next, so that reads stay proportional to the ledger; bytes of a snapshot's bucket.
+SNAPSHOT_EVERY, BUCKET_BYTES = 32, 256 << 20
 
-Name = tuple[str, int, int]  # writer, batch, stage
+#: The stage of an append that is its batch's only one, and of what ends a batch.
+LAST_STAGE = 9
 
-
-class StaleAppend(RuntimeError):
-    """An append under a name that its writer has left behind, or used for other rows."""
-
-
-@dataclass(frozen=True)
-class _Folder:
-    version: int
-    path: str
-    buckets: int = 0
+#: Tables, and what their snapshots are partitioned by.
+TABLES = {"requests": (REQUESTS, []), "transfers": (TRANSFERS, ["ended"])}
 
 
 class Ledger:
-    """Requests and transfers under one root folder. Without ``buckets`` their number follows the snapshot's size."""
+    """Requests and transfers under one root folder.
+
+    Without ``buckets`` their number follows the snapshot's size. ``every`` is the ledger's own and never changes.
+    """
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None, patience: float = PATIENCE):
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None, every: int = SNAPSHOT_EVERY):
         self.spark = spark
         self.root = root.rstrip("/")
         self.buckets = buckets
-        self.patience = patience
-        self._names: dict[int, Name] = {}
-        self._own = threading.Lock()
+        self.every = every
+
+    @property
+    def checkpoint(self) -> str:
+        """Where the writing query keeps its checkpoint."""
+        return f"{self.root}/checkpoint"
 
     # --- reading
 
-    def transfers(self, before: int | None = None) -> DataFrame:
-        """Current transfers, or those before a version."""
-        return reduce(DataFrame.unionByName, self.parts(before))
+    def transfers(self, before: int | None = None, stage: int = 0) -> DataFrame:
+        """Committed transfers, or those before a batch (and a stage of it)."""
+        return reduce(DataFrame.unionByName, self.parts(before, stage))
+
+    def open_transfers(self, before: int | None = None, stage: int = 0) -> DataFrame:
+        """The same without those that have ended; of a snapshot only the open part is read."""
+        return reduce(DataFrame.unionByName, self._state("transfers", before, stage, open_only=True))
 
-    def parts(self, before: int | None = None) -> list[DataFrame]:
-        """The same as disjoint parts: first the base, then what changed since.
+    def parts(self, before: int | None = None, stage: int = 0) -> list[DataFrame]:
+        """All transfers as disjoint parts: first the snapshot, then what changed since.
 
-        A union forgets how its branches are bucketed, so a join by id that is done per part spares the base a shuffle.
+        A union forgets how its branches are bucketed, so a join by id that is done per part spares the snapshot a shuffle.
         """
-        return self._current("transfers", TRANSFERS, before)
+        return self._state("transfers", before, stage)
 
-    def requests(self, before: int | None = None) -> DataFrame:
-        """All requests; they are never changed, so their appends need no folding."""
-        base, appends = self._folders("requests", before)
-        frames = [self._read(folder, "requests", REQUESTS) for folder in ([base] if base else []) + appends]
-        return reduce(DataFrame.unionByName, frames) if frames else self.spark.createDataFrame([], REQUESTS)
+    def requests(self, before: int | None = None, stage: int = 0) -> DataFrame:
+        """All requests; they are never changed."""
+        return reduce(DataFrame.unionByName, self._state("requests", before, stage))
 
-    def changes(self, version: int) -> DataFrame:
+    def changes(self, batch: int, stage: int = LAST_STAGE) -> DataFrame:
         """The transfer images one append wrote."""
-        return self.spark.read.schema(TRANSFERS).parquet(self._path("transfers", version))
-
-    def last_version(self) -> int:
-        """The last finished version; -1 for a new ledger."""
-        return max(self._finished(), default=-1)
-
-    def _current(self, table: str, schema: T.StructType, before: int | None) -> list[DataFrame]:
-        base, appends = self._folders(table, before)
-        if base is None:
-            if not appends:
-                return [self.spark.createDataFrame([], schema)]
-            base, appends = appends[0], appends[1:]
-        rows = self._read(base, table, schema)
-        if not appends:
+        return self.spark.read.schema(TRANSFERS).parquet(self._append("transfers", batch, stage))
+
+    def next_batch(self) -> int:
+        """The batch after the last that the writing query has committed."""
+        names = (name for name, _ in sub_folders(self.spark, f"{self.checkpoint}/commits"))
+        return max((int(name) for name in names if name.isdigit()), default=-1) + 1
+
+    def _state(self, table: str, before: int | None, stage: int, open_only: bool = False) -> list[DataFrame]:
+        if before is None:
+            before = self.next_batch()
+        schema, _ = TABLES[table]
+        base = self._base(table, before)
+        rows = self._snapshot(table, base) if base is not None else self.spark.createDataFrame([], schema)
+        if open_only and base is not None:
+            rows = rows.where("NOT ended")
+        rows = rows.select(*schema.fieldNames())
+        changed = self._latest(table, base or 0, before, stage)
+        if changed is None:
             return [rows]
-        changed = self._latest(appends, schema)
+        if open_only:
+            # Images of any state hide the snapshot's row.
+            return [rows.join(changed.select("id"), "id", "left_anti"), changed.where(~F.col("status").isin(*ENDED))]
         return [rows.join(changed.select("id"), "id", "left_anti"), changed]
 
-    def _latest(self, appends: list[_Folder], schema: T.StructType) -> DataFrame:
-        """The last image per id over several appends."""
-        if len(appends) == 1:
-            return self.spark.read.schema(schema).parquet(appends[0].path)
-        images = reduce(
-            DataFrame.unionByName,
-            [
-                self.spark.read.schema(schema).parquet(folder.path).withColumn("seq", F.lit(position))
-                for position, folder in enumerate(appends)
-            ],
-        )
-        image = F.max_by(F.struct(*schema.fieldNames()), F.col("seq")).alias("image")
-        return images.groupBy("id").agg(image).select("image.*")
-
-    def _read(self, folder: _Folder, table: str, schema: T.StructType) -> DataFrame:
-        if not folder.buckets:
-            return self.spark.read.schema(schema).parquet(folder.path)
-        name = self._table_name(table, folder.version)
+    def _base(self, table: str, before: int) -> int | None:
+        """The last finished snapshot of the state before a batch up to this one."""
+        for number in range(before - before % self.every, -1, -self.every):
+            if finished_folders(self.spark, self._snapshot_path(table, number)):
+                return number
+        return None
+
+    def _latest(self, table: str, base: int, before: int, stage: int) -> DataFrame | None:
+        """The last image per id since a snapshot."""
+        schema, _ = TABLES[table]
+        folders = [self._segment(table, start) for start in range(base, before + 1, self.every)]
+        kept = (F.col("batch") < before) | ((F.col("batch") == before) & (F.col("stage") < stage))
+        # Named, as a folder in which nothing was finished has no partitions to tell them by.
+        named = T.StructType([*schema.fields, T.StructField("batch", T.IntegerType()), T.StructField("stage", T.IntegerType())])
+        frames = [
+            self.spark.read.schema(named).option("basePath", folder).parquet(folder).where(kept)
+            for folder in folders
+            if exists(self.spark, folder)
+        ]
+        if not frames:
+            return None
+        images = reduce(DataFrame.unionByName, frames)
+        # The id stays the column that was grouped by, so that joins by it need no second shuffle.
+        others = [name for name in schema.fieldNames() if name != "id"]
+        image = F.max_by(F.struct(*others), F.struct("batch", "stage")).alias("image")
+        return images.groupBy("id").agg(image).select("id", "image.*")
+
+    def _snapshot(self, table: str, number: int) -> DataFrame:
+        schema, keys = TABLES[table]
+        # The folder's name says how many buckets it has; none if it was loaded without a number.
+        (folder, path), *_ = finished_folders(self.spark, self._snapshot_path(table, number))
+        buckets = int(folder.split("=")[1])
+        fields = [*schema.fields, *(T.StructField(key, T.BooleanType()) for key in keys)]
+        if not buckets:
+            return self.spark.read.schema(T.StructType(fields)).parquet(path)
+        name = self._table_name(table, number)
         if not self.spark.catalog.tableExists(name):
             # The files outlive the session that wrote them; the catalog entry may not.
-            columns = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in schema.fields)
+            columns = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in fields)
+            parted = f"PARTITIONED BY ({', '.join(keys)})" if keys else ""
             self.spark.sql(
-                f"CREATE TABLE {name} ({columns}) USING parquet "
-                f"CLUSTERED BY (id) SORTED BY (id) INTO {folder.buckets} BUCKETS LOCATION '{folder.path}'"
+                f"CREATE TABLE {name} ({columns}) USING parquet {parted} "
+                f"CLUSTERED BY (id) SORTED BY (id) INTO {buckets} BUCKETS LOCATION '{path}'"
             )
+            if keys:
+                self.spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
         return self.spark.table(name)
 
     # --- writing
 
+    def load(self, transfers: DataFrame | None = None, requests: DataFrame | None = None) -> None:
+        """What a ledger starts with, before its first batch."""
+        for table, rows in (("requests", requests), ("transfers", transfers)):
+            if rows is not None:
+                self._fold(table, _typed(table, rows), 0, self.buckets or 0)
+
     def append(
-        self,
-        batch: int,
-        stage: int = 0,
-        transfers: DataFrame | None = None,
-        requests: DataFrame | None = None,
-        writer: str = "main",
-    ) -> int:
-        """Write the images that a writer's batch changed, as the next version, which is returned."""
-        with self.turn(batch, stage, writer) as version:
-            self.write(version, transfers, requests)
-        return version
-
-    @contextmanager
-    def turn(self, batch: int, stage: int = 0, writer: str = "main") -> Iterator[int]:
-        """The version of an append, once all versions before it are finished; what is read before it holds until then.
-
-        If the body fails before it has written, the version is given back, so that nobody waits for it.
+        self, batch: int, stage: int = LAST_STAGE, transfers: DataFrame | None = None, requests: DataFrame | None = None
+    ) -> None:
+        """Write the images that a stage of a batch changed, in place of what the same stage wrote before.
+
+        Requests come first, so that no transfer is ever without its request.
         """
-        version = self._claimed((writer, batch, stage))
-        try:
-            self._wait_for(version)
-            yield version
-        except BaseException:
-            if version not in self._finished():
-                self._files().delete(self._hadoop(f"versions/{version:012d}"), False)
-                self._names.pop(version, None)
-            raise
-
-    def write(self, version: int, transfers: DataFrame | None = None, requests: DataFrame | None = None) -> None:
-        """Write a version's rows; requests first, so that no transfer is ever without its request."""
-        parts = []
-        if requests is not None:
-            parts.append(("requests", requests.select(*REQUESTS.fieldNames())))
-        if transfers is not None:
-            columns = [F.col(field.name).cast(field.dataType).alias(field.name) for field in TRANSFERS.fields]
-            parts.append(("transfers", transfers.select(*columns)))
-        before = self._finished().get(version)
-        if before is not None:
-            now = " ".join(f"{table}:{_content(rows)}" for table, rows in parts)
-            if now != self._text(before):
-                raise StaleAppend(f"version {version} has other rows than its replay: {self._names[version]}")
+        for table, rows in (("requests", requests), ("transfers", transfers)):
+            if rows is not None:
+                _typed(table, rows).write.mode("overwrite").parquet(self._append(table, batch, stage))
+
+    def fold_if_due(self, batch: int) -> None:
+        """At the start of a batch, fold the state before it into a snapshot if it is time for one."""
+        if batch > 0 and batch % self.every == 0:
+            for table in TABLES:
+                if self._base(table, batch) != batch:
+                    rows = reduce(DataFrame.unionByName, self._state(table, batch, 0))
+                    self._fold(table, rows, batch, self.buckets or self._buckets_for(table, batch))
+
+    def _fold(self, table: str, rows: DataFrame, number: int, buckets: int) -> None:
+        _, keys = TABLES[table]
+        path, name = f"{self._snapshot_path(table, number)}/buckets={buckets}", self._table_name(table, number)
+        if keys:
+            rows = rows.withColumn("ended", F.col("status").isin(*ENDED))
+        if not buckets:
+            rows.write.mode("overwrite").partitionBy(*keys).parquet(path)
             return
-        found = []
-        for table, rows in parts:
-            rows.write.mode("overwrite").parquet(self._path(table, version))
-            found.append(f"{table}:{_content(self.spark.read.schema(rows.schema).parquet(self._path(table, version)))}")
-        self._create(f"versions/{version:012d}.done", " ".join(found))
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        (
+            # A task then writes one bucket, not a file in each.
+            rows.repartition(buckets, "id")
+            .write.mode("overwrite")
+            .format("parquet")
+            .partitionBy(*keys)
+            .bucketBy(buckets, "id")
+            .sortBy("id")
+            # Sorted files and a filter per row group let lookups by id skip what they do not need.
+            .option("parquet.bloom.filter.enabled#id", "true")
+            .option("path", path)
+            .saveAsTable(name)
+        )
 
-    def compact(self, before: int) -> None:
-        """Fold everything before a version into snapshots; later appends stay in the log.
+    # --- folders
 
-        A stream calls this at the start of a batch, with that batch's version: whatever may be replayed stays unfolded.
-        What no reader needs any more goes: folders up to the snapshot before this one.
-        """
-        for table, current in (("requests", self.requests(before)), ("transfers", self.transfers(before))):
-            base, appends = self._folders(table, before)
-            if not appends:
-                continue
-            size = sum(self._size(folder.path) for folder in ([base] if base else []) + appends)
-            buckets = self.buckets or max(1, -(-size // BUCKET_BYTES))
-            version = appends[-1].version
-            name = self._table_name(table, version)
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-            (
-                # A task then writes one bucket, not a file in each.
-                current.repartition(buckets, "id")
-                .write.mode("overwrite")
-                .format("parquet")
-                .bucketBy(buckets, "id")
-                .sortBy("id")
-                # Sorted files and a filter per row group let lookups by id skip what they do not need.
-                .option("parquet.bloom.filter.enabled#id", "true")
-                .option("path", f"{self.root}/{table}/snapshot/upto={version}.{buckets}")
-                .saveAsTable(name)
-            )
-            if base is not None:
-                self._forget(table, base.version)
-
-    def compact_if_due(self, before: int) -> None:
-        _, appends = self._folders("transfers", before)
-        if len(appends) > MAX_APPENDS:
-            self.compact(before)
-
-    # --- versions
-
-    def _claimed(self, name: Name) -> int:
-        """The version of an append: the one it has, or the next."""
-        if not re.fullmatch(r"[A-Za-z0-9_-]+", name[0]):
-            raise ValueError(f"writer {name[0]!r}: letters, digits, _ and - only")
-        with self._own:
-            while True:
-                versions, _ = self._versions()
-                names = {self._name_of(version): version for version in versions}
-                if name in names:
-                    return names[name]
-                newest = max((other[1:] for other in names if other[0] == name[0]), default=(-1, -1))
-                if name[1:] < newest:
-                    raise StaleAppend(f"{name} comes after {name[0]} has written {newest}")
-                version = max(versions, default=-1) + 1
-                if self._create(f"versions/{version:012d}", ".".join(map(str, name))):
-                    self._names[version] = name
-                    return version
-
-    def _wait_for(self, version: int) -> None:
-        until = time.monotonic() + self.patience
-        while True:
-            versions, finished = self._versions()
-            open_ones = [other for other in versions if other < version and other not in finished]
-            if not open_ones:
-                return
-            if time.monotonic() > until:
-                raise TimeoutError(f"version {version} waits for {self._name_of(open_ones[0])}; replay or release it")
-            time.sleep(0.2)
-
-    def _versions(self) -> tuple[list[int], dict[int, str]]:
-        """Versions in order, and for finished ones the file that says what they hold: one listing."""
-        versions, finished = [], {}
-        files, folder = self._files(), self._hadoop("versions")
-        for status in files.listStatus(folder) if files.exists(folder) else []:
-            name = status.getPath().getName()
-            if name.isdigit():
-                versions.append(int(name))
-            elif name.endswith(".done"):
-                finished[int(name[:-5])] = status.getPath().toString()
-        return sorted(versions), finished
-
-    def _finished(self) -> dict[int, str]:
-        return self._versions()[1]
-
-    def _name_of(self, version: int) -> Name:
-        if version not in self._names:
-            for _ in range(100):
-                if text := self._text(f"{self.root}/versions/{version:012d}"):
-                    writer, batch, stage = text.split(".")
-                    self._names[version] = (writer, int(batch), int(stage))
-                    break
-                # Its writer has created the file and not yet filled it.
-                time.sleep(0.05)
-        return self._names.get(version, ("", -1, -1))
+    def _segment(self, table: str, start: int) -> str:
+        return f"{self.root}/{table}/after={start}"
 
-    # --- folders
+    def _append(self, table: str, batch: int, stage: int) -> str:
+        return f"{self._segment(table, batch - batch % self.every)}/batch={batch}/stage={stage}"
 
-    def _path(self, table: str, version: int) -> str:
-        return f"{self.root}/{table}/log/append={version}"
+    def _snapshot_path(self, table: str, number: int) -> str:
+        return f"{self.root}/{table}/snapshot/before={number}"
 
-    def _table_name(self, table: str, version: int) -> str:
+    def _table_name(self, table: str, number: int) -> str:
         key = hashlib.md5(self.root.encode()).hexdigest()[:12]
-        return f"haulbook_{table}_{key}_{version}"
-
-    def _folders(self, table: str, before: int | None) -> tuple[_Folder | None, list[_Folder]]:
-        """The latest snapshot and the finished appends after it, in order; there are few, as compaction folds them."""
-        snapshots = []
-        for name, path in finished_folders(self.spark, f"{self.root}/{table}/snapshot"):
-            version, buckets = map(int, name.split("=")[1].split("."))
-            snapshots.append(_Folder(version, path, buckets))
-        oldest = min((folder.version for folder in snapshots), default=-1)
-        finished = self._finished()
-        appends = [
-            _Folder(int(name.split("=")[1]), path)
-            for name, path in _sub_folders(self.spark, f"{self.root}/{table}/log")
-            if int(name.split("=")[1]) in finished
-        ]
-        if before is not None:
-            if len(snapshots) > 1 and before <= oldest:
-                raise StaleAppend(f"what was before version {before} has been folded")
-            snapshots = [folder for folder in snapshots if folder.version < before]
-            appends = [folder for folder in appends if folder.version < before]
-        base = max(snapshots, key=lambda folder: folder.version, default=None)
-        if base is not None:
-            appends = [folder for folder in appends if folder.version > base.version]
-        return base, sorted(appends, key=lambda folder: folder.version)
-
-    def _forget(self, table: str, snapshot: int) -> None:
-        """Remove appends up to a snapshot, snapshots before it, and names that no writer can use again."""
-        files = self._files()
-        for name, path in _sub_folders(self.spark, f"{self.root}/{table}/log"):
-            if int(name.split("=")[1]) <= snapshot:
-                files.delete(self._hadoop(path), True)
-        for name, path in finished_folders(self.spark, f"{self.root}/{table}/snapshot"):
-            version = int(name.split("=")[1].split(".")[0])
-            if version < snapshot:
-                self.spark.sql(f"DROP TABLE IF EXISTS {self._table_name(table, version)}")
-                files.delete(self._hadoop(path), True)
-        versions, finished = self._versions()
-        newest = {self._name_of(version)[0]: version for version in versions}
-        for version in versions:
-            if version <= snapshot and version in finished and newest[self._name_of(version)[0]] != version:
-                for name in (f"versions/{version:012d}.done", f"versions/{version:012d}"):
-                    files.delete(self._hadoop(name), False)
-
-    # --- files
-
-    def _hadoop(self, path: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(path if path.startswith((self.root, "/")) or ":" in path else f"{self.root}/{path}")
-
-    def _files(self):
-        return self._hadoop("versions").getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _create(self, name: str, text: str) -> bool:
-        """Write a small file unless it exists."""
-        files, path = self._files(), self._hadoop(name)
-        if files.exists(path):
-            return False
-        try:
-            out = files.create(path, False)
-        except Exception as error:
-            if "FileAlreadyExists" in str(error) or "already exists" in str(error):
-                return False
-            raise
-        out.write(bytearray(text.encode()))
-        out.close()
-        return True
-
-    def _text(self, name: str) -> str:
-        source = self._files().open(self._hadoop(name))
-        try:
-            return bytes(source.readAllBytes()).decode()
-        finally:
-            source.close()
-
-    def _size(self, path: str) -> int:
-        return self._files().getContentSummary(self._hadoop(path)).getLength()
-
-
-def _content(rows: DataFrame) -> str:
-    """Number and digest of rows, without the times that a replay takes anew."""
-    columns = [name for name, kind in rows.dtypes if kind != "timestamp_ntz"]
-    digest = F.coalesce(F.sum(F.xxhash64(*columns).cast("decimal(38,0)")), F.lit(0))
-    return ",".join(map(str, rows.agg(F.count("*"), digest).first()))
-
-
-def _sub_folders(spark: SparkSession, parent: str) -> list[tuple[str, str]]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(parent)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        return f"haulbook_{table}_{key}_{number}"
+
+    def _buckets_for(self, table: str, before: int) -> int:
+        base = self._base(table, before) or 0
+        folders = [self._snapshot_path(table, base)] + [self._segment(table, at) for at in range(base, before, self.every)]
+        sizes = (size_of(self.spark, folder) for folder in folders if exists(self.spark, folder))
+        return max(1, -(-sum(sizes) // BUCKET_BYTES))
+
+
+def _typed(table: str, rows: DataFrame) -> DataFrame:
+    schema, _ = TABLES[table]
+    return rows.select(*[F.col(field.name).cast(field.dataType).alias(field.name) for field in schema.fields])
+
+
+def _files(spark: SparkSession, path: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, path = _files(spark, path)
+    return files.exists(path)
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    files, path = _files(spark, path)
+    return files.getContentSummary(path).getLength()
+
+
+def sub_folders(spark: SparkSession, parent: str) -> list[tuple[str, str]]:
+    """Name and path of what is in a folder."""
+    files, path = _files(spark, parent)
     if not files.exists(path):
         return []
     return [(status.getPath().getName(), status.getPath().toString()) for status in files.listStatus(path)]
@@ -370,9 +249,4 @@ def _sub_folders(spark: SparkSession, parent: str) -> list[tuple[str, str]]:
 
 def finished_folders(spark: SparkSession, parent: str) -> list[tuple[str, str]]:
     """Name and path of the sub-folders that a finished Spark write left its marker in."""
-    files = spark._jvm.org.apache.hadoop.fs.Path(parent).getFileSystem(spark._jsc.hadoopConfiguration())
-    return [
-        (name, path)
-        for name, path in _sub_folders(spark, parent)
-        if files.exists(spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS"))
-    ]
+    return [(name, path) for name, path in sub_folders(spark, parent) if exists(spark, f"{path}/_SUCCESS")]

@@ -62,11 +62,11 @@ def test_first_of_equal_steps_wins(ledger, make, now):
 
 def test_batches_one_by_one_equal_one_batch(spark, ledger, make, now, tmp_path):
     log = Ledger(spark, f"{tmp_path}/ledger")
-    log.append(0, transfers=ledger[0])
+    log.load(ledger[0])
     for info, step in enumerate((1, 2, 3, 4, 3, 2, 1)):
         progress = make.progress([("R1", "R1-00", step, str(info))])
-        log.append(info + 1, transfers=folds.apply_progress(log.transfers(), progress, now))
-    assert keyed(log.transfers().where("id = 'R1-00'"), "info", "steps_run") == {"R1-00": ("3", 4)}
+        log.append(info, transfers=folds.apply_progress(log.transfers(before=info), progress, now))
+    assert keyed(log.transfers(before=7).where("id = 'R1-00'"), "info", "steps_run") == {"R1-00": ("3", 4)}
 
 
 def test_ended_and_pending_rows_ignore_progress(all_states, make, now):

@@ -8,11 +8,11 @@ from pyspark import cloudpickle
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from checks.streams import LoopRunner
+from checks.streams import RangeRunner, run_until_killed
 from haulbook.sources import messages
 from haulbook.sources.ledger import Ledger
 from haulbook.streaming import runner, stages
-from haulbook.streaming.listen import Listener, listen, sweep_on
+from haulbook.streaming.listen import Listener, commands, listen, signals, submissions, tagged, ticks
 from haulbook.streaming.progress_state import read_progress_state, start_progress_state
 
 # The runner of this module has to reach the workers, as a user's would with --py-files.
@@ -62,75 +62,144 @@ def test_restart_goes_on_where_it_stopped(spark, tmp_path):
 def ledger(spark, make, tmp_path):
     rows = [{"id": f"t{n}", "request": "R1", "body": f'{{"i":{n}}}'} for n in range(6)]
     ledger = Ledger(spark, f"{tmp_path}/ledger", buckets=2)
-    ledger.append(0, transfers=make.transfers(rows), requests=make.requests(R1=0))
+    ledger.load(make.transfers(rows), make.requests(R1=0))
     return ledger
 
 
 def streams(spark, tmp_path):
+    for name in ("progress", "results"):
+        (tmp_path / name).mkdir(exist_ok=True)
     progress = messages.as_progress(messages.decode(messages.folder_stream(spark, f"{tmp_path}/progress")))
     results = messages.as_results(messages.decode(messages.folder_stream(spark, f"{tmp_path}/results")))
-    return progress, results
+    return signals(progress, results)
+
+
+def sent_by(spark, tmp_path):
+    sent = messages.as_requests(messages.decode(messages.read_folder(spark, f"{tmp_path}/outbox/*")))
+    return sorted((row.transfer_id, row.body) for row in sent.collect())
 
 
 def test_sweeps_and_folds_to_the_end(spark, ledger, tmp_path):
     """Two slots: every round ends what is in flight, and the next two are submitted."""
     listener = Listener(ledger, max_in_flight=2, outbox=f"{tmp_path}/outbox")
-    sweeper = Listener(ledger, max_in_flight=2, outbox=f"{tmp_path}/outbox", writer="sweeper")
-    sweeper.sweep(0)
+    put(spark, f"{tmp_path}/ticks", "tick")
+    stream = streams(spark, tmp_path).unionByName(ticks(messages.folder_stream(spark, f"{tmp_path}/ticks")))
+    listen(stream, listener, available_now=True).awaitTermination()
     put(spark, f"{tmp_path}/progress", envelope("R1", "t0", '[0,{"at":0}]'))
     for number in range(3):
         done = [envelope("R1", f"t{n}", '["SUCCESS",{}]') for n in (2 * number, 2 * number + 1)]
         put(spark, f"{tmp_path}/results", *done, arrival=number * 10)
-        query = listen(*streams(spark, tmp_path), listener, f"{tmp_path}/checkpoint", available_now=True)
-        query.awaitTermination()
+        listen(stream, listener, available_now=True).awaitTermination()
     found = keyed(ledger.transfers(), "status", "steps_run")
     assert found == {"t0": ("succeeded", 1)} | {f"t{n}": ("succeeded", 0) for n in range(1, 6)}
-    sent = messages.as_requests(messages.decode(messages.read_folder(spark, f"{tmp_path}/outbox/*")))
-    assert sorted(keyed(sent, "body", key="transfer_id").items()) == [(f"t{n}", f'{{"i":{n}}}') for n in range(6)]
-    assert sent.count() == 6
-
+    assert sent_by(spark, tmp_path) == [(f"t{n}", f'{{"i":{n}}}') for n in range(6)]
 
-def test_unknown_parents_are_set_aside_unless_strict(spark, ledger, make, tmp_path):
-    from haulbook.plans.folds import tag_messages
 
-    results = make.results([("R1", "nobody", "EXPANDED", "[1]"), ("R1", "t0", "EXPANDED", "[1,2]")])
-    tagged = tag_messages(make.progress([]), results)
+def test_unknown_parents_are_set_aside_unless_strict(spark, ledger, make):
+    results = tagged("fold", make.results([("R1", "nobody", "EXPANDED", "[1]"), ("R1", "t0", "EXPANDED", "[1,2]")]))
     with pytest.raises(PySparkException):
-        Listener(ledger).fold(tagged, 1)
-    Listener(ledger, strict=False).fold(tagged, 1)
-    assert ledger.transfers().count() == 8
-    assert spark.read.parquet(f"{ledger.root}/rejected/listener/batch=1").first().transfer_id == "nobody"
-
-
-def test_sweep_by_itself(spark, ledger, tmp_path):
-    put(spark, f"{tmp_path}/ticks", "tick")
-    ticks = messages.folder_stream(spark, f"{tmp_path}/ticks")
-    sweep_on(ticks, Listener(ledger, max_in_flight=3), f"{tmp_path}/sweeps", available_now=True).awaitTermination()
-    assert ledger.transfers().where("status = 'submitted'").count() == 3
-    assert ledger.transfers().where("submitted_at IS NOT NULL").count() == 3
-
+        Listener(ledger).handle(results, 0)
+    Listener(ledger, strict=False).handle(results, 0)
+    assert ledger.transfers(before=1).count() == 8
+    assert spark.read.parquet(f"{ledger.root}/rejected/batch=0").first().transfer_id == "nobody"
+
+
+def test_unknown_kinds_are_refused(spark, ledger, make):
+    with pytest.raises(ValueError, match="unknown kinds"):
+        Listener(ledger).handle(tagged("fold", make.progress([])).unionByName(tagged("gossip", make.progress([("R1", "t0", 1, "")]))), 0)
+
+
+BULK = "request_id string, transfers array<struct<payload: string, priority: smallint>>, defaults struct<payload: string, priority: smallint>, arrival long"
+
+
+def bulk(spark, *rows):
+    return submissions(spark.createDataFrame([(*row, at) for at, row in enumerate(rows)], BULK))
+
+
+def targets(spark, kind, *rows):
+    return commands(kind, spark.createDataFrame(rows, "request_id string, id string, priority smallint, arrival long"))
+
+
+def test_a_batch_of_everything_takes_effect_in_order(spark, ledger, make):
+    """A new request is re-prioritised, a failed transfer reconsidered and both submitted, all in one batch."""
+    schema = '{"type": "object", "properties": {"n": {"type": "integer"}}}'
+    listener = Listener(ledger, max_in_flight=2, schema=schema)
+    failed = make.results([("R1", "t3", "FATAL_FAILURE", "{}"), ("R1", "t4", "SUCCESS", "{}")])
+    Listener(ledger).handle(tagged("fold", failed), 0)
+    items = [('{"n":1}', 1), ("{}", None), ('{"n":3}', None)]
+    new = bulk(spark, ("R2", items, ('{"n":2}', 4)), ("R3", [('{"n":"x"}', None)], None), ("R1", [("{}", None)], None), ("R2", [], None))
+    again = targets(spark, "reconsider_transfers", ("R1", "t3", None, 1), ("R1", "t4", None, 2), ("R1", "nobody", None, 3))
+    first = targets(spark, "prioritise_transfers", ("R1", "t3", 5, 1), ("R1", "t3", 8, 2), ("R1", "t4", 9, 3))
+    whole = targets(spark, "prioritise_requests", ("R2", None, 7, 1), ("none", None, 7, 2))
+    result = tagged("fold", make.results([("R1", "t5", "SUCCESS", "1")]))
+    listener.handle(first.unionByName(whole).unionByName(again).unionByName(new).unionByName(result), 1)
+    found = keyed(ledger.transfers(before=2), "request_id", "status", "priority", "body")
+    assert found["t3"][:3] == ("R1", "submitted", 8) and found["t5"][1] == "succeeded"
+    second = {row[3]: row[1:3] for row in found.values() if row[0] == "R2"}
+    assert set(second) == {'{"n":1}', '{"n":2}', '{"n":3}'} and all(priority == 7 for _, priority in second.values())
+    assert sorted(status for status, _ in second.values()) == ["pending", "pending", "submitted"]
+    assert sorted(keyed(ledger.requests(before=2), "received_at")) == ["R1", "R2"]
+    answers = sorted(
+        (row.kind, row.request_id, row.transfer_id or "", row.updated_count, row.reason)
+        for row in listener.replies(spark).collect()
+    )
+    assert answers == sorted([
+        ("submit", "R2", "", 3, None), ("submit", "R3", "", None, "invalid"), ("submit", "R1", "", None, "conflict"),
+        ("reconsider_transfers", "R1", "t3", 1, None), ("reconsider_transfers", "R1", "t4", 0, None),
+        ("reconsider_transfers", "R1", "nobody", None, "not_found"), ("prioritise_requests", "R2", "", 3, None),
+        ("prioritise_requests", "none", "", None, "not_found"), ("prioritise_transfers", "R1", "t3", 1, None),
+        ("prioritise_transfers", "R1", "t4", None, "conflict"),
+    ], key=lambda row: row[:3])
+
+
+def test_reconsidered_requests(spark, ledger, make):
+    listener = Listener(ledger)
+    listener.handle(tagged("fold", make.results([("R1", f"t{n}", "FATAL_FAILURE", "{}") for n in (0, 1)])), 0)
+    listener.handle(targets(spark, "reconsider_requests", ("R1", None, None, 0), ("R1", None, None, 1), ("R9", None, None, 2)), 1)
+    assert keyed(ledger.transfers(before=2), "status") == {f"t{n}": "pending" for n in range(6)}
+    assert sorted((row.request_id, row.updated_count, row.reason) for row in listener.replies(spark).collect()) == [
+        ("R1", 2, None), ("R9", None, "not_found")
+    ]
 
-def test_intake_control_listener_and_sweeps_share_a_ledger(spark, ledger, make, tmp_path):
-    """New requests and changed priorities between batches of a listener and of a sweep: nothing is lost."""
-    from haulbook.plans import control
 
-    listener, sweeper = Listener(ledger), Listener(ledger, max_in_flight=4, writer="sweeper", outbox=f"{tmp_path}/outbox")
+def test_a_killed_batch_is_processed_again_to_the_same_state(spark, ledger, make, tmp_path):
+    """Killed between write and commit, and, the second time, between two stages; snapshots are taken in between."""
+    ledger.every = 1
     put(spark, f"{tmp_path}/progress", envelope("R1", "t0", '[0,{"at":0}]'))
-    for number in range(3):
-        new = make.transfers([{"id": f"n{number}", "request": "R1"}])
-        ledger.append(number, transfers=new, writer="intake")
-        sweeper.sweep(number)
-        targets = spark.createDataFrame([("R1", f"n{number}", 9)], "request_id string, id string, priority int")
-        with ledger.turn(number, writer="control") as version:
-            ledger.write(version, transfers=control.prioritise_transfers(ledger.transfers(version), targets).changed)
-        put(spark, f"{tmp_path}/results", envelope("R1", f"t{number}", '["SUCCESS",{}]'), arrival=number * 10)
-        listen(*streams(spark, tmp_path), listener, f"{tmp_path}/checkpoint", available_now=True).awaitTermination()
-        sweeper.sweep(number)
-    sweeper.sweep(3)
-    found = keyed(ledger.transfers(), "status", "priority")
-    assert {name: found[name][0] for name in ("t0", "t1", "t2")} == dict.fromkeys(("t0", "t1", "t2"), "succeeded")
-    assert set(found) == {f"t{n}" for n in range(6)} | {"n0", "n1", "n2"}
-    assert sum(status == "submitted" for status, _ in found.values()) == 4
+    put(spark, f"{tmp_path}/results", envelope("R1", "t1", '["EXPANDED",[1,2]]'))
+    options = {"max_in_flight": 3, "outbox": f"{tmp_path}/outbox"}
+    run_until_killed(streams(spark, tmp_path), ledger, **options)
+    assert ledger.next_batch() == 0 and ledger.transfers().count() == 6
+    listen(streams(spark, tmp_path), Listener(ledger, **options), available_now=True).awaitTermination()
+    state = keyed(ledger.transfers(), "status", "steps_run")
+    assert len(state) == 8 and sorted(status for status, _ in state.values()).count("submitted") == 3
+    sent = sent_by(spark, tmp_path)
+
+    class Broken(Listener):
+        def sweep(self, batch):
+            raise InterruptedError
+
+    put(spark, f"{tmp_path}/results", envelope("R1", sent[0][0], '["SUCCESS",{}]'), arrival=9)
+    with pytest.raises(PySparkException):
+        listen(streams(spark, tmp_path), Broken(ledger, **options), available_now=True).awaitTermination()
+    assert keyed(ledger.transfers(), "status", "steps_run") == state
+    listen(streams(spark, tmp_path), Listener(ledger, **options), available_now=True).awaitTermination()
+    after = keyed(ledger.transfers(), "status")
+    assert after[sent[0][0]] == "succeeded" and sorted(after.values()).count("submitted") == 3
+    assert len(sent_by(spark, tmp_path)) == 4 == len({name for name, _ in sent_by(spark, tmp_path)})
+
+
+def test_ticking(spark, ledger, tmp_path):
+    """A writer without messages sweeps by itself."""
+    query = listen(streams(spark, tmp_path), Listener(ledger, max_in_flight=3), ticking=True)
+    try:
+        for _ in range(200):
+            if ledger.next_batch() > 0 or query.exception():
+                break
+            query.awaitTermination(0.2)
+    finally:
+        query.stop()
+    assert ledger.transfers().where("status = 'submitted'").count() == 3
 
 
 # --- runner and stages
@@ -182,20 +251,20 @@ def test_failing_step(spark):
 
 def test_stages_interleave_and_end(spark, tmp_path):
     topics = stages.Topics(f"{tmp_path}/topics")
-    loops = {"long": 5, "quick": 1, "none": 0, "bad": -1}
-    values = [envelope("R", name, f'{{"loopCount":{count}}}') for name, count in loops.items()]
+    sizes = {"long": 401, "quick": 90, "none": 0, "bad": -1}
+    values = [envelope("R", name, f'{{"object":"{name}","size":{size}}}') for name, size in sizes.items()]
     put(spark, f"{topics.requests}/initial", *values)
-    assert stages.run_until_done(spark, topics, LoopRunner(), f"{tmp_path}/work") == 6
+    stages.run_until_done(spark, topics, RangeRunner(), f"{tmp_path}/work")
     results = messages.as_results(messages.decode(messages.read_folder(spark, f"{topics.results}/*")))
     found = keyed(results, "signal", "info", "arrival", key="transfer_id")
-    assert found["long"][:2] == ("SUCCESS", '{"loopCount":5}')
-    assert found["quick"][:2] == ("SUCCESS", '{"loopCount":1}')
+    assert found["long"][:2] == ("SUCCESS", '{"bytes":401,"object":"long"}')
+    assert found["quick"][:2] == ("SUCCESS", '{"bytes":90,"object":"quick"}')
     assert found["quick"][2] < found["long"][2]
-    assert found["none"][:2] == ("SUCCESS", '{"loopCount":0}')
+    assert found["none"][:2] == ("SUCCESS", '{"bytes":0,"object":"none"}')
     assert found["bad"][0] == "FATAL_FAILURE"
     progress = messages.as_progress(messages.decode(messages.read_folder(spark, f"{topics.progress}/*")))
     steps = progress.where("transfer_id = 'long'").agg(F.sort_array(F.collect_list("step"))).first()[0]
-    assert steps == [0, 1, 2, 3, 4, 5]
+    assert steps == [0, 1, 2, 3, 4]
 
 
 @dataclass(frozen=True)
