@@ -339,5 +339,6 @@ def mine(docs: DataFrame, top: int = TOP, least: int = LEAST) -> DataFrame:
         if thresholds.where("not settled").isEmpty():
             break
     place = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("f").desc(), "phrase")
-    ranked = left.withColumn("rank", F.row_number().over(place).cast("long")).where(F.col("rank") <= top)
-    return ranked.join(totals, "lang").select("lang", "rank", "phrase", F.col("f").alias("a"), "l", "r", "n", "score")
+    # Compared as it is, so that Spark limits each task's rows before it shuffles them.
+    ranked = left.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= top)
+    return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", F.col("f").alias("a"), "l", "r", "n", "score")
