@@ -9,7 +9,7 @@ from checks import views as v
 from checks.registry import check
 from haulbook.functions import text
 from haulbook.operators import directories, joins, preflight, ranges
-from haulbook.plans.copy import CopyJob, progress_records
+from haulbook.plans.copy import CopyJob, progress_records, resumed_from
 from haulbook.session import run_dir
 from haulbook.sources import messages, objects
 
@@ -264,7 +264,7 @@ def file_copies(spark, sf_dir, root: str, where: str = "true") -> DataFrame:
             F.concat(F.lit(f"{root}/to"), "path").alias("target_path"),
             "doc_id",
             F.lit(None).cast("bigint").alias("expected_size"),
-            F.lit(None).cast("string").alias("expected_md5"),
+            F.col("md5").alias("expected_md5"),
             F.lit(False).alias("force"),
         )
     )
@@ -431,7 +431,7 @@ def write_chunked(spark, sf_dir):
     v.with_views("objects", query="SELECT '/again' || path AS path, 'copied' AS state, size, md5 FROM objects"),
 )
 def copy_rewrite(spark, sf_dir):
-    """Source and target in one store, nothing checked beforehand."""
+    """Source and target in one store, which copies by itself; nothing checked beforehand."""
     root = run_dir(spark, "cp_copy_rewrite")
     source = export(spark, sf_dir, f"{root}/store")
     store = f"{root}/store"
@@ -439,9 +439,8 @@ def copy_rewrite(spark, sf_dir):
         F.col("path").alias("source_path"),
         F.concat(F.lit(f"{store}/again"), F.substr(F.col("path"), F.lit(len(store) + 1))).alias("target_path"),
     )
-    report = CopyJob(spark, f"{root}/job", STEP).run(
-        preflight.decide_unchecked(copies, source.select("path", "size"), STEP)
-    )
+    job = CopyJob(spark, f"{root}/job", STEP, shared_target=True, rewrite=True)
+    report = job.run(preflight.decide_unchecked(copies, source.select("path", "size"), STEP))
     return copied_files(report, store).drop("decision")
 
 
@@ -457,7 +456,7 @@ def copy_rewrite(spark, sf_dir):
     ),
 )
 def retry_failed(spark, sf_dir):
-    """A third of the sources is away at first; running again copies these, and only these."""
+    """A third of the sources is away at first; running again copies these, and only these; chunks are written in place."""
     root = run_dir(spark, "cp_retry_failed")
     export(spark, sf_dir, f"{root}/from", "doc_id % 3 <> 0")
     copies = file_copies(spark, sf_dir, root)
@@ -465,7 +464,7 @@ def retry_failed(spark, sf_dir):
         F.concat(F.lit(f"{root}/from"), "path").alias("path"), "size", "md5", F.lit(None).alias("content_type")
     )
     nothing = source.where(F.lit(False))
-    job = CopyJob(spark, f"{root}/job", STEP, max_retries=0)
+    job = CopyJob(spark, f"{root}/job", STEP, max_retries=0, shared_target=True)
     job.run(preflight.decide(copies, source, nothing, STEP))
     export(spark, sf_dir, f"{root}/from", "doc_id % 3 = 0")
     report = job.run(preflight.decide(copies, source, nothing, STEP))
@@ -475,6 +474,61 @@ def retry_failed(spark, sf_dir):
     return rows.drop("decision").join(tries, "path")
 
 
+@check(
+    "cp_wrong_content",
+    v.with_views(
+        "objects",
+        query=f"""SELECT path, CASE WHEN doc_id % 4 = 1 THEN 'failed' ELSE 'copied' END AS state,
+                         doc_id % 4 <> 1 AS is_found,
+                         CASE WHEN doc_id % 4 = 1 THEN 'md5 of /to' || path || ' is ' || md5 || ', expected ' || md5(md5)
+                              END AS error
+                  FROM objects""",
+    ),
+)
+def wrong_content(spark, sf_dir):
+    """One source in four is not what its request expects: that copy fails, and there is nothing at its target."""
+    root = run_dir(spark, "cp_wrong_content")
+    source = export(spark, sf_dir, f"{root}/from")
+    wrong = F.when(F.col("doc_id") % 4 == 1, F.md5("expected_md5")).otherwise(F.col("expected_md5"))
+    copies = file_copies(spark, sf_dir, root).withColumn("expected_md5", wrong)
+    job = CopyJob(spark, f"{root}/job", STEP)
+    report = job.run(preflight.decide(copies, manifest_of(source), manifest_of(source).where("false"), STEP))
+    found = objects.stat(report.select(F.col("target_path").alias("path")), with_md5=False)
+    rows = report.withColumnRenamed("target_path", "path").join(found.select("path", "is_found"), "path")
+    error = F.regexp_replace("error", "^WrongContent: ", "")
+    return rows.select(below(f"{root}/to"), "state", "is_found", F.replace(error, F.lit(root), F.lit("")).alias("error"))
+
+
+@check(
+    "cp_resume_progress",
+    v.with_views(
+        "objects",
+        query=f"""SELECT path, 'copied' AS state, size, md5, CAST(ceil(size / {STEP}.0) AS BIGINT) - 2 AS copied_now
+                  FROM objects WHERE size > {2 * STEP}""",
+    ),
+)
+def resume_from_progress(spark, sf_dir):
+    """Sources have two chunks at first. A second job knows the first one's progress messages alone, and copies the rest."""
+    root = run_dir(spark, "cp_resume_progress")
+    large = v.object_contents(spark, sf_dir).where(F.length("content") > 2 * STEP)
+    placed = large.select(F.concat(F.lit(f"{root}/from"), "path").alias("path"), "content")
+    short = placed.withColumn("content", F.substring("content", 1, 2 * STEP))
+    objects.write_objects(short).write.parquet(f"{root}/short")
+    copies = file_copies(spark, sf_dir, root).withColumns(
+        {"request_id": F.lit("r"), "transfer_id": F.col("doc_id").cast("string")}
+    )
+    sizes = placed.select("path", F.length("content").cast("bigint").alias("size"))
+    decided = preflight.decide_unchecked(copies, sizes, STEP).where(F.col("decision") == preflight.CHUNKED)
+    CopyJob(spark, f"{root}/first", STEP, max_retries=0, outbox=f"{root}/topic").run(decided)
+    objects.write_objects(placed).write.parquet(f"{root}/whole")
+    progress = messages.as_progress(messages.decode(messages.read_folder(spark, f"{root}/topic/*")))
+    report = CopyJob(spark, f"{root}/second", STEP).run(decided, resumed_from(progress))
+    rows = copied_files(report, f"{root}/to").drop("decision")
+    tries = CopyJob(spark, f"{root}/second", STEP).outcomes().where("moved > 0")
+    tries = tries.groupBy(F.col("target_path").alias("path")).agg(F.count(F.lit(1)).alias("copied_now"))
+    return rows.join(tries.select(below(f"{root}/to"), "copied_now"), "path")
+
+
 @check(
     "cp_progress_report",
     v.with_views(
@@ -500,7 +554,7 @@ def progress_report(spark, sf_dir):
     keys = copies.select(
         "target_path", F.lit("r").alias("request_id"), F.col("doc_id").cast("string").alias("transfer_id")
     )
-    report = report.join(keys, "target_path")
+    report = report.drop("request_id", "transfer_id").join(keys, "target_path")
     records = progress_records(report).withColumn("arrival", F.lit(0).cast("bigint"))
     ended = messages.as_results(messages.decode(records.where("topic = 'result'")))
     moving = messages.as_progress(messages.decode(records.where("topic = 'progress'")))

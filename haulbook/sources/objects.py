@@ -26,7 +26,16 @@ FRAME_BYTES = 8 * MIB
 ENTRIES = 10_000
 
 LISTING_DDL = "path string, parent string, is_dir boolean, size bigint"
-STAT_DDL = "path string, is_found boolean, size bigint, md5 string"
+STAT_DDL = "path string, is_found boolean, size bigint, md5 string, content_type string"
+
+STAT_COLUMNS = ["path", "is_found", "size", "md5", "content_type"]
+
+#: What a file's attribute for its content type is called; stores call it by its header.
+TYPE_ATTRIBUTE, TYPE_HEADER = "user.mime_type", "Content-Type"
+
+
+class WrongContent(ValueError):
+    """An object whose content is not the expected one."""
 
 
 #: Hadoop's names of schemes, and Arrow's.
@@ -66,24 +75,120 @@ def pieces(uri: str, start: int, end: int) -> Iterator[bytes]:
             yield piece
 
 
-def write_whole(uri: str, content: Iterator[bytes]) -> tuple[int, str]:
-    """Write an object so that it appears complete or not at all; returns its size and md5."""
+def require_md5(uri: str, found: str, expected: str | None) -> None:
+    if expected is not None and found != expected:
+        raise WrongContent(f"md5 of {uri} is {found}, expected {expected}")
+
+
+def set_content_type(path: str, content_type: str | None) -> None:
+    """Note the content type of a file, where its file system has attributes."""
+    if content_type is not None:
+        try:
+            os.setxattr(path, TYPE_ATTRIBUTE, content_type.encode())
+        except OSError:
+            pass
+
+
+def content_type_of(files: fs.FileSystem, path: str) -> str | None:
+    if isinstance(files, fs.LocalFileSystem):
+        try:
+            return os.getxattr(path, TYPE_ATTRIBUTE).decode()
+        except OSError:
+            return None
+    with files.open_input_stream(path) as handle:
+        found = {key.decode().lower(): value.decode() for key, value in (handle.metadata() or {}).items()}
+    return found.get(TYPE_HEADER.lower())
+
+
+def write_whole(
+    uri: str, content: Iterator[bytes], content_type: str | None = None, expected_md5: str | None = None
+) -> tuple[int, str]:
+    """Write an object so that it appears complete, with the expected content, or not at all; returns its size and md5.
+
+    A store shows an object when it has all of it, so one with other content is there until it is deleted again.
+    """
     files, path = open_path(uri)
     local = isinstance(files, fs.LocalFileSystem)
     written = f"{path}.{uuid.uuid4().hex}.tmp" if local else path
     if local:
         files.create_dir(os.path.dirname(path), recursive=True)
     digest, size = hashlib.md5(), 0
-    with files.open_output_stream(written) as handle:
-        for piece in content:
-            handle.write(piece)
-            digest.update(piece)
-            size += len(piece)
+    metadata = {TYPE_HEADER: content_type} if content_type is not None and not local else None
+    try:
+        with files.open_output_stream(written, metadata=metadata) as handle:
+            for piece in content:
+                handle.write(piece)
+                digest.update(piece)
+                size += len(piece)
+        require_md5(uri, digest.hexdigest(), expected_md5)
+    except Exception:
+        if files.get_file_info(written).type == fs.FileType.File:
+            files.delete_file(written)
+        raise
     if local:
+        set_content_type(written, content_type)
         files.move(written, path)
     return size, digest.hexdigest()
 
 
+def copy_bytes(source: str, target: int, start: int, end: int) -> int:
+    """Have the kernel copy the bytes [start, end) of a file into an open one, at the same place; returns the bytes that
+    passed through this process instead, where the file systems cannot."""
+    _, path = open_path(source)
+    handle = os.open(path, os.O_RDONLY)
+    moved = 0
+    try:
+        while start < end:
+            try:
+                count = os.copy_file_range(handle, target, end - start, start, start)
+            except OSError:
+                piece = os.pread(handle, min(PIECE, end - start), start)
+                count = os.pwrite(target, piece, start)
+                moved += count
+            if not count:
+                raise OSError(f"{source} ends at byte {start}")
+            start += count
+    finally:
+        os.close(handle)
+    return moved
+
+
+def copy_in_store(
+    source: str, target: str, content_type: str | None = None, expected_md5: str | None = None
+) -> tuple[str | None, int]:
+    """Have a store copy an object within itself; returns the md5 of what is there now, read only if one is expected, and
+    the bytes that passed through this process."""
+    files, path = open_path(target)
+    moved, digest = 0, None
+    if isinstance(files, fs.LocalFileSystem):
+        files.create_dir(os.path.dirname(path), recursive=True)
+        written = f"{path}.{uuid.uuid4().hex}.tmp"
+        handle = os.open(written, os.O_CREAT | os.O_RDWR)
+        try:
+            moved = copy_bytes(source, handle, 0, os.stat(open_path(source)[1]).st_size)
+        finally:
+            os.close(handle)
+    else:
+        # Stores keep the content type of what they copy.
+        files.copy_file(open_path(source)[1], path)
+        written = path
+    try:
+        if expected_md5 is not None:
+            running = hashlib.md5()
+            for piece in pieces(target if written == path else written, 0, files.get_file_info(written).size):
+                running.update(piece)
+                moved += len(piece)
+            digest = running.hexdigest()
+            require_md5(target, digest, expected_md5)
+    except Exception:
+        files.delete_file(written)
+        raise
+    if written != path:
+        set_content_type(written, content_type)
+        files.move(written, path)
+    return digest, moved
+
+
 # --- listing
 
 
@@ -142,7 +247,7 @@ def list_tree(spark: SparkSession, root: str, work_dir: str) -> DataFrame:
 
 
 def stat(paths: DataFrame, with_md5: bool = True, partitions: int | None = None) -> DataFrame:
-    """Size and, read piece by piece, md5 of each object in the column ``path``.
+    """Size, content type and, read piece by piece, md5 of each object in the column ``path``.
 
     A scan of paths packs millions of them into a task; ``partitions`` spreads them over that many first.
     """
@@ -156,7 +261,7 @@ def stat(paths: DataFrame, with_md5: bool = True, partitions: int | None = None)
                 files, path = open_path(uri)
                 info = files.get_file_info(path)
                 if info.type != fs.FileType.File:
-                    rows.append((uri, False, None, None))
+                    rows.append((uri, False, None, None, None))
                     continue
                 digest = None
                 if with_md5:
@@ -164,8 +269,8 @@ def stat(paths: DataFrame, with_md5: bool = True, partitions: int | None = None)
                     for piece in pieces(uri, 0, info.size):
                         running.update(piece)
                     digest = running.hexdigest()
-                rows.append((uri, True, info.size, digest))
-            yield pd.DataFrame(rows, columns=["path", "is_found", "size", "md5"]).astype({"size": "Int64"})
+                rows.append((uri, True, info.size, digest, content_type_of(files, path)))
+            yield pd.DataFrame(rows, columns=STAT_COLUMNS).astype({"size": "Int64"})
 
     return paths.select("path").mapInPandas(run, STAT_DDL)
 
@@ -193,16 +298,21 @@ def read_ranges(plan: DataFrame) -> DataFrame:
 
 
 def write_objects(objects: DataFrame) -> DataFrame:
-    """Write each row's ``content`` whole to its ``path``; returns what was written."""
+    """Write each row's ``content`` whole to its ``path``, with its ``content_type`` and ``expected_md5`` if there are such
+    columns; returns what was written. Other content than expected fails the job."""
+    extras = [
+        F.col(name) if name in objects.columns else F.lit(None).cast("string").alias(name)
+        for name in ("content_type", "expected_md5")
+    ]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for uri, content in zip(batch["path"], batch["content"]):
-                rows.append((uri, True, *write_whole(uri, iter([bytes(content)]))))
-            yield pd.DataFrame(rows, columns=["path", "is_found", "size", "md5"])
+            for uri, content, kind, expected in batch.itertuples(index=False):
+                rows.append((uri, True, *write_whole(uri, iter([bytes(content)]), kind, expected), kind))
+            yield pd.DataFrame(rows, columns=STAT_COLUMNS)
 
-    return objects.select("path", "content").mapInPandas(run, STAT_DDL)
+    return objects.select("path", "content", *extras).mapInPandas(run, STAT_DDL)
 
 
 def delete_objects(paths: DataFrame) -> DataFrame:

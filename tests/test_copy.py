@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from haulbook.functions import text
 from haulbook.operators import directories, preflight, ranges
-from haulbook.plans.copy import CopyJob, progress_records
-from haulbook.sources import objects
+from haulbook.plans.copy import CopyJob, progress_records, resumed_from
+from haulbook.sources import messages, objects
 
 MANIFEST = "path string, size bigint, md5 string, content_type string"
 COPIES = "source_path string, target_path string, expected_size bigint, expected_md5 string, force boolean"
@@ -189,19 +189,105 @@ def decided(spark, requests, step):
     return preflight.decide_unchecked(requests, source.where("is_found").select("path", "size"), step)
 
 
-def test_copies_are_equal(spark, files, tmp_path):
+@pytest.mark.parametrize("shared,rewrite", [(False, False), (True, False), (False, True), (True, True)])
+def test_copies_are_equal(spark, files, tmp_path, shared, rewrite):
     contents, requests = files
-    job = CopyJob(spark, f"{tmp_path}/job", step=32)
+    job = CopyJob(spark, f"{tmp_path}/job", step=32, shared_target=shared, rewrite=rewrite)
     report = job.run(decided(spark, requests, 32)).collect()
     assert {row.state for row in report} == {"copied"}
     for name, content in contents.items():
         assert (tmp_path / "to" / name).read_bytes() == content
     large = next(row for row in report if row.source_path.endswith("f100000"))
-    assert (large.decision, large.steps, large.bytes_uploaded, large.total_bytes) == ("chunked", 3125, 100000, 100000)
+    steps = 1 if rewrite and not shared else 3125
+    assert (large.decision, large.steps, large.bytes_uploaded, large.total_bytes) == ("chunked", steps, 100000, 100000)
+    # What the store copies by itself never passes through a task.
+    assert {row.bytes_through_tasks for row in report} == ({0} if rewrite else {row.total_bytes for row in report})
     assert job.verify_chunks().count() == 0
     assert not list((tmp_path / "to").rglob("*.unfinished"))
 
 
+@pytest.mark.parametrize("shared,rewrite", [(False, False), (True, False), (False, True), (True, True)])
+def test_wrong_content_fails_and_leaves_nothing(spark, files, tmp_path, shared, rewrite):
+    contents, requests = files
+    right = {name: hashlib.md5(content).hexdigest() for name, content in contents.items()}
+    expected = [(f"{tmp_path}/from/{name}", "0" * 32 if name[-3:] in ("f33", "000") else right[name]) for name in contents]
+    expected = spark.createDataFrame(expected, "source_path string, expected_md5 string")
+    job = CopyJob(spark, f"{tmp_path}/job", step=32, shared_target=shared, rewrite=rewrite, max_delay=0)
+    report = {row.source_path.rsplit("/", 1)[1]: row for row in job.run(decided(spark, requests, 32).join(expected, "source_path")).collect()}
+    wrong = {"f33", "f1000", "f100000"}
+    assert {name for name, row in report.items() if row.state == "failed"} == wrong
+    assert all(f"is {right[row.target_path[len(str(tmp_path)) + 4:]]}, expected 000" in report[name].error for name, row in report.items() if name in wrong)
+    assert {path.name for path in (tmp_path / "to").rglob("f*") if path.is_file() and "unfinished" not in str(path)} == set(report) - wrong
+    # Trying again would not help.
+    assert job.outcomes().groupBy("target_path", "start").count().where("count > 1").count() == 0
+
+
+def test_content_types_are_kept(spark, files, tmp_path):
+    _, requests = files
+    probe = tmp_path / "probe"
+    probe.write_bytes(b"")
+    objects.set_content_type(str(probe), "text/x")
+    if objects.content_type_of(*objects.open_path(str(probe))) is None:
+        pytest.skip("no attributes on this file system")
+    rows = decided(spark, requests, 32).withColumn("content_type", F.lit("text/csv"))
+    for number, options in enumerate(({}, {"shared_target": True}, {"rewrite": True})):
+        moved = rows.withColumn("target_path", F.concat("target_path", F.lit(f".{number}")))
+        CopyJob(spark, f"{tmp_path}/job{number}", step=32, **options).run(moved)
+        assert {row.content_type for row in objects.stat(moved.select(F.col("target_path").alias("path"))).collect()} == {"text/csv"}
+
+
+def test_chunks_damaged_in_place_are_copied_again(spark, files, tmp_path):
+    contents, requests = files
+    job = CopyJob(spark, f"{tmp_path}/job", step=32, shared_target=True)
+    job.write_plan(decided(spark, requests, 32))
+    assert job.attempt() == 0
+    path = tmp_path / "to/d7/f100000.unfinished"
+    data = bytearray(path.read_bytes())
+    data[64:96] = bytes(32)
+    path.write_bytes(data)
+    assert job.check_in_place() == 1
+    assert job.finish() == 0 and not (tmp_path / "to/d7/f100000").exists() and (tmp_path / "to/d6/f1000").exists()
+    assert {row.state for row in job.run(decided(spark, requests, 32)).collect()} == {"copied"}
+    assert (tmp_path / "to/d7/f100000").read_bytes() == contents["d7/f100000"]
+
+
+@pytest.mark.parametrize("shared", [False, True])
+def test_resumes_from_a_progress_message_alone(spark, files, tmp_path, shared):
+    contents, requests = files
+    rows = decided(spark, requests, 32).withColumns({"request_id": F.lit("R"), "transfer_id": F.element_at(F.split("source_path", "/"), -1)})
+    source = tmp_path / "from/d7/f100000"
+    whole = source.read_bytes()
+    source.write_bytes(whole[:50_000])
+    plan = rows.withColumn("source_size", F.when(F.col("transfer_id") == "f100000", 100_000).otherwise(F.col("source_size")))
+    first = CopyJob(spark, f"{tmp_path}/first", step=32, shared_target=shared, max_retries=0, outbox=f"{tmp_path}/topic", bytes_per_report=30_000)
+    first.run(plan)
+    progress = messages.as_progress(messages.decode(messages.read_folder(spark, f"{tmp_path}/topic/*")))
+    assert progress.where("transfer_id = 'f100000'").count() > 1
+    resumed = resumed_from(progress)
+    found = {row.target_path.rsplit("/", 1)[1]: row.ranges for row in resumed.collect()}
+    assert [tuple(one) for one in found["f100000"]] == [(0, 50_000 // 32 * 32)]
+    source.write_bytes(whole)
+    second = CopyJob(spark, f"{tmp_path}/second", step=32, shared_target=shared)
+    assert {row.state for row in second.run(plan, resumed.where("target_path LIKE '%f100000'")).collect()} == {"copied"}
+    assert (tmp_path / "to/d7/f100000").read_bytes() == whole
+    again = second.outcomes().where("target_path LIKE '%f100000' AND moved > 0")
+    assert again.agg(F.sum("moved"), F.min("start")).first() == (100_000 - 50_000 // 32 * 32, 50_000 // 32 * 32)
+    # Ranges whose bytes are not there count for nothing.
+    gone = CopyJob(spark, f"{tmp_path}/third", step=32, shared_target=shared)
+    elsewhere = plan.withColumn("target_path", F.concat("target_path", F.lit(".b")))
+    nowhere = resumed.withColumn("target_path", F.concat("target_path", F.lit(".b")))
+    assert {row.state for row in gone.run(elsewhere, nowhere).collect()} == {"copied"}
+    assert (tmp_path / "to/d7/f100000.b").read_bytes() == whole
+
+
+def test_messages_without_ranges_say_how_far_a_copy_came(spark):
+    rows = [("R", "t", 1, '{"targetPath":"d","bytesUploaded":5}', 1), ("R", "t", 2, '{"targetPath":"d","bytesUploaded":8}', 2)]
+    rows += [("R", "u", 1, '{"targetPath":"e","bytesUploaded":9,"ranges":[{"start":4,"end":6},{"start":9,"end":16}]}', 1)]
+    progress = spark.createDataFrame(rows, "request_id string, transfer_id string, step int, info string, arrival bigint")
+    found = {row.target_path: [tuple(one) for one in row.ranges] for row in resumed_from(progress).collect()}
+    assert found == {"d": [(0, 8)], "e": [(4, 6), (9, 16)]}
+
+
 def test_damage_is_found(spark, files, tmp_path):
     _, requests = files
     job = CopyJob(spark, f"{tmp_path}/job", step=32)
