@@ -10,8 +10,10 @@ long lists are cut into tiles and each pair of tiles is a unit of work of bounde
 and take part once.
 
 ``one_of_each`` keeps one of each group of texts that are similar by the Jaccard measure of their five-word shingles. At 0.8
-fingerprints differ in ten bits and often more, too many for any lookup of them that loses nothing, so candidates
-are found by a prefix filter over the shingles themselves, which is exact, and all candidates are compared.
+fingerprints differ in ten of 64 bits and share two of eight bytes, too few for a lookup by bytes that loses nothing, so
+candidates are found by a prefix filter over the shingles themselves, which is exact. Fingerprints of 256 bits then decide
+which candidates are compared (at 0.8 they differ in 39 bits, in 68 or more by less than one pair of a million), and these are,
+by their texts, in tiles of neighbourhoods, so that a text is not sent once for each of its pairs.
 
 Defined results: null and empty texts, and those without words, have fingerprint zero and are linked like others; texts of
 one to three words have a single shingle; rows with a null id keep it and never lend their id to a component (a component
@@ -21,7 +23,6 @@ of such rows alone has a null id); repeated rows come out as often as they went
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -41,6 +42,12 @@ PROBES = tuple(combinations(range(7), MIN_SHARED - 1))
 
 #: What ``one_of_each`` calls near copies: words of a shingle, and the least Jaccard similarity as a fraction.
 SIMILAR_WORDS, SIMILARITY = 5, (4, 5)
+#: Numbers of 64 bits that make a fingerprint for this, and the bits that near copies differ in at most: in the first, and
+#: in all. At 0.8 a bit differs with probability 0.15, so 10 of 64 do and 39 of 256; more than 24, or more than 67, in less than
+#: one pair of a million. Texts that have a third of their shingles in common differ in 85 of 256, others in 128.
+PARTS, FIRST_BITS, ALL_BITS = 4, 24, 67
+#: Texts of a tile, on average; a unit of work has two tiles at most.
+UNIT_TEXTS = 128
 #: Documents sampled, and shingles kept, to know the common ones by; no result depends on them.
 SAMPLE, MOST_COMMON = 10_000, 500_000
 
@@ -62,9 +69,13 @@ def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[: len(words) - shingle_words + 1].tolist()
-    hashes = np.array(
-        [digest(joined[start:end], SEED) for start, end in zip(starts, ends[shingle_words - 1 :].tolist())], np.uint64
+    return majority(
+        np.array([digest(joined[start:end], SEED) for start, end in zip(starts, ends[shingle_words - 1 :].tolist())], np.uint64)
     )
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in more than half of some hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65536):
         part = np.ascontiguousarray(hashes[at : at + 65536])
@@ -72,6 +83,15 @@ def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def remixed(hashes: np.ndarray, count: int) -> list[np.ndarray]:
+    """The hashes, and further ones derived from each."""
+    out = [hashes]
+    for _ in range(count - 1):
+        mixed = (out[-1] ^ (out[-1] >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        out.append(mixed ^ (mixed >> np.uint64(29)))
+    return out
+
+
 def fingerprints(text: Column) -> Column:
     """Fingerprints as signed 64-bit numbers."""
 
@@ -266,45 +286,61 @@ def similar_links(numbered: DataFrame, row: str, once: DataFrame) -> DataFrame:
             if len(common):
                 last = common[np.minimum(np.searchsorted(common, found), len(common) - 1)] == found
                 found = np.concatenate((found[~last], found[last]))
-            # The first number is the size.
-            return np.concatenate(([len(found)], found[: len(found) - -(-up * len(found) // down) + 1].view(np.int64)))
+            # First come the size and the fingerprint.
+            about = [np.uint64(len(found)), *(np.uint64(majority(hashes)) for hashes in remixed(found, PARTS))]
+            return np.concatenate((about, found[: len(found) - -(-up * len(found) // down) + 1])).view(np.int64)
 
         return texts.map(of)
 
     listed = numbered.select(F.col(row).alias("row"), first(text_of("text")).alias("keys")).join(once, "row", "left_semi")
+    listed = stored(listed.where(F.element_at("keys", 1) > 0), "listed")
+    prints = stored(
+        listed.select("row", F.element_at("keys", 1).alias("n"), F.slice("keys", 2, PARTS).alias("bits")), "similar-prints"
+    )
     lists = listed.select(
-        "row", F.element_at("keys", 1).cast("int").alias("n"), F.posexplode(F.slice("keys", 2, 1 << 30)).alias("at", "key")
-    ).where("n > 0")
+        "row",
+        F.element_at("keys", 1).cast("int").alias("n"),
+        F.element_at("keys", 2).alias("bits"),
+        F.posexplode(F.slice("keys", PARTS + 2, 1 << 30)).alias("at", "key"),
+    )
     lists = stored(lists.withColumn("members", F.count("*").over(Window.partitionBy("key"))).where("members > 1"), "lists")
 
     def close(x: str, y: str) -> Column:
         n, m, i, j = (F.col(name).cast("long") for name in (f"{x}.n", f"{y}.n", f"{x}.at", f"{y}.at"))
         most = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)
-        return (down * F.least(n, m) >= up * F.greatest(n, m)) & ((up + down) * most >= up * (n + m))
+        near = F.bit_count(F.col(f"{x}.bits").bitwiseXOR(F.col(f"{y}.bits"))) <= FIRST_BITS
+        return near & (down * F.least(n, m) >= up * F.greatest(n, m)) & ((up + down) * most >= up * (n + m))
 
     texts = numbered.select(F.col(row).alias("row"), text_of("text").alias("text"))
 
-    @F.pandas_udf("boolean")
-    def similar(one: pd.Series, other: pd.Series) -> pd.Series:
-        kept = lru_cache(64)(shingles)
-
-        def compared(x: str, y: str) -> bool:
-            a, b = kept(x), kept(y)
-            shared = len(np.intersect1d(a, b, assume_unique=True))
-            return down * shared >= up * (len(a) + len(b) - shared)
-
-        return pd.Series([compared(x, y) for x, y in zip(one, other)], dtype=bool)
+    def differing(x: str, y: str) -> Column:
+        pairs = F.zip_with(x, y, lambda one, other: F.bit_count(one.bitwiseXOR(other)))
+        return F.aggregate(pairs, F.lit(0), lambda total, bits: total + bits)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        # Only texts of candidates are dealt out.
-        wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "wanted")
-        found = stored(texts.join(wanted, "row", "left_semi"), "texts")
-        sides = pairs.join(found.withColumnsRenamed({"row": "a", "text": "x"}), "a")
-        sides = sides.join(found.withColumnsRenamed({"row": "b", "text": "y"}), "b")
-        return stored(sides.where(similar("x", "y")).select("a", "b"), name)
+        # Fingerprints decide first: texts are dealt out for the pairs that they let through alone.
+        for side in ("a", "b"):
+            pairs = pairs.join(prints.select(F.col("row").alias(side), F.col("bits").alias(f"{side}_bits")), side)
+        pairs = stored(pairs.where(differing("a_bits", "b_bits") <= ALL_BITS).select("a", "b"), "near")
+        # Pairs of one neighbourhood are compared together, so that a text is dealt out once for many of its pairs:
+        # neighbourhoods are cut into tiles, and each pair of tiles is a unit of work of bounded size.
+        near = components(pairs)
+        near = near.union(near.select(F.col("root").alias("node"), "root")).distinct()
+        sizes = near.groupBy("root").agg(F.ceil(F.count("*") / UNIT_TEXTS).alias("tiles"))
+        tile = F.pmod(F.xxhash64("node"), F.col("tiles"))
+        placed = stored(near.join(sizes, "root").select("node", "root", tile.alias("tile")), "tiles")
+        for side in ("a", "b"):
+            own = placed.select(F.col("node").alias(side), "root", F.col("tile").alias(f"{side}_tile"))
+            pairs = pairs.join(own.drop("root") if side == "b" else own, side)
+        unit = F.struct("root", F.least("a_tile", "b_tile").alias("low"), F.greatest("a_tile", "b_tile").alias("high"))
+        pairs = stored(pairs.select(unit.alias("unit"), "a", "b").select("unit.*", "a", "b"), "units")
+        keys = ["root", "low", "high"]
+        wanted = stored(pairs.select(*keys, F.explode(F.array("a", "b")).alias("row")).distinct(), "wanted")
+        dealt = texts.join(wanted, "row")
+        return stored(pairs.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(compared, "a long, b long"), name)
 
     # Of each list the smallest row, without sorting the list.
-    heads = lists.groupBy("key").agg(F.min(F.struct("row", "n", "at")).alias("head"))
+    heads = lists.groupBy("key").agg(F.min(F.struct("row", "n", "at", "bits")).alias("head"))
     heads = heads.select("key", "head.*")
     tried = stored(
         lists.alias("x").join(heads.alias("y"), "key").where("x.row > y.row").where(close("x", "y"))
@@ -324,6 +360,22 @@ def similar_links(numbered: DataFrame, row: str, once: DataFrame) -> DataFrame:
     return links.union(verified(rest, "similar"))
 
 
+def compared(pairs: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+    """Those pairs of a unit (a, b) whose texts (row, text) have a Jaccard similarity of SIMILARITY or more."""
+    up, down = SIMILARITY
+    known = dict(zip(texts["row"].tolist(), map(shingles, texts["text"])))
+    good = []
+    for a, b in zip(pairs["a"].tolist(), pairs["b"].tolist()):
+        x, y = known[a], known[b]
+        least, most = sorted((len(x), len(y)))
+        if down * least < up * most:
+            good.append(False)
+            continue
+        shared = len(x) + len(y) - len(np.union1d(x, y))
+        good.append(down * shared >= up * (len(x) + len(y) - shared))
+    return pairs.loc[np.array(good, bool), ["a", "b"]]
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of every group that links of similar texts connect, with its own columns: the one with the smallest id, of
     equal ids the first stored. Texts without words are copies of each other."""
