@@ -153,15 +153,27 @@ def exactly_once(spark, sf_dir):
     return ledger.transfers()
 
 
-@check("str_progress_state", v.with_views("latest_progress", query="SELECT * FROM latest_progress"))
+@check(
+    "str_progress_state",
+    v.with_views(
+        "latest_progress",
+        "results",
+        query="SELECT * FROM latest_progress ANTI JOIN results USING (request_id, transfer_id)",
+    ),
+)
 def progress_in_state(spark, sf_dir):
-    """Messages spread over files and batches without regard to their order."""
+    """Messages of both topics spread over files and batches without regard to their order; ended transfers have no state."""
     root = run_dir(spark, "str_progress_state")
-    records = messages.encode_progress(v.progress(spark, sf_dir)).repartition(4, "arrival")
-    messages.write_folder(records, f"{root}/topic")
-    stream = messages.as_progress(messages.decode(messages.folder_stream(spark, f"{root}/topic", max_files=2)))
-    progress_state.start_progress_state(stream, f"{root}/state", f"{root}/checkpoint").awaitTermination()
-    return progress_state.read_progress_state(spark, f"{root}/state")
+    messages.write_folder(
+        messages.encode_progress(v.progress(spark, sf_dir)).repartition(4, "arrival"), f"{root}/progress"
+    )
+    messages.write_folder(messages.encode_results(v.results(spark, sf_dir)).repartition(4, "arrival"), f"{root}/results")
+    progress, results = (
+        messages.decode(messages.folder_stream(spark, f"{root}/{name}", max_files=2)) for name in ("progress", "results")
+    )
+    stream = signals(messages.as_progress(progress), messages.as_results(results))
+    progress_state.start_progress_state(stream, f"{root}/closed", f"{root}/checkpoint").awaitTermination()
+    return progress_state.read_progress_state(spark, f"{root}/checkpoint")
 
 
 @check(

@@ -1,40 +1,110 @@
-"""The latest progress per transfer, kept as streaming state."""
+"""The latest progress of the transfers under way, kept as keyed streaming state with an end.
+
+Progress and results come as one stream of tagged messages. A transfer has a state from its first message on: its highest step,
+whatever the order of arrival. A result ends it. The two topics are not ordered against each other, so an ended transfer's key
+stays for a while, without its info, to keep late progress from opening it again; then a timer removes it. Another timer
+gives up transfers that have been silent for too long. State so grows with what is under way and not with what ever was.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from haulbook.operators.aggregates import latest_progress
-from haulbook.sources.ledger import finished_folders
+from haulbook.sources.messages import MAX_WAIT
 
+#: How long a transfer may be silent, and how long an ended one is remembered, unless configured otherwise.
+SILENCE_MILLIS, LINGER_MILLIS = 7 * 24 * 3600 * 1000, 3600 * 1000
 
-def start_progress_state(progress: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Keep the highest step of each transfer, whatever the order of arrival.
+KEYS = ["request_id", "transfer_id"]
+MESSAGE_DDL = "request_id string, transfer_id string, step int, info string, arrival {}, is_end boolean"
+STATE_DDL = "step int, info string, arrival string, ended boolean"
+CLOSED_DDL = "request_id string, transfer_id string, step int, info string, how string"
 
-    Every batch writes the transfers whose state it touched. State holds one row per transfer that reported; there is
-    no event time to expire it by, so it grows with the transfers and belongs in the RocksDB state store.
-    """
 
-    def handle(changed: DataFrame, number: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+def latest_of(rows: pd.DataFrame) -> pd.DataFrame:
+    """Per transfer its highest step, of equal ones the first to arrive, and whether it has ended."""
+    # Results sort last: the rows that say where a transfer is are those of its progress.
+    order = rows.sort_values(["is_end", "step", "arrival"], ascending=[True, False, True], kind="stable")
+    best = order.drop_duplicates(KEYS)
+    ended = rows[rows["is_end"]][KEYS].drop_duplicates().assign(is_end=True)
+    return best.drop(columns="is_end").merge(ended, on=KEYS, how="left").assign(is_end=lambda x: x["is_end"].eq(True))
 
-    return (
-        latest_progress(progress)
-        .writeStream.outputMode("update")
-        .foreachBatch(handle)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
 
+def reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Messages to one per transfer, batch by batch, so that a transfer that most are about does not reach its state's task
+    with all of them."""
+    for batch in batches:
+        yield latest_of(batch)
+
+
+def start_progress_state(
+    messages: DataFrame,
+    folder: str,
+    checkpoint: str,
+    available_now: bool = True,
+    silence_millis: int = SILENCE_MILLIS,
+    linger_millis: int = LINGER_MILLIS,
+    max_wait: str = MAX_WAIT,
+) -> StreamingQuery:
+    """Keep the state of tagged messages; transfers that ended or fell silent are written to ``folder``, batch by batch."""
+
+    def fold(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        def closed(step, info, how: str) -> Iterator[pd.DataFrame]:
+            names = [*KEYS, "step", "info", "how"]
+            yield pd.DataFrame([(*key, step, info, how)], columns=names).astype({"step": "Int32"})
 
-def read_progress_state(spark: SparkSession, folder: str) -> DataFrame:
-    """The state as of the last finished batch."""
-    paths = [path for _, path in finished_folders(spark, folder)]
-    states = spark.read.option("basePath", folder).parquet(*paths)
-    last = F.max_by(F.struct("step", "info"), F.col("batch")).alias("last")
-    return states.groupBy("request_id", "transfer_id").agg(last).select(
-        "request_id", "transfer_id", "last.step", "last.info"
+        step, info, arrival, ended = state.get if state.exists else (None, None, None, False)
+        if state.hasTimedOut:
+            state.remove()
+            if not ended:
+                yield from closed(step, info, "silent")
+            return
+        for chunk in chunks:
+            for row in latest_of(chunk).itertuples(index=False):
+                ending = bool(row.is_end) and not ended
+                if not ended and pd.notna(row.step):
+                    new = int(row.step), -int(row.arrival)
+                    if step is None or new > (step, -int(arrival)):
+                        step, info, arrival = int(row.step), row.info, str(row.arrival)
+                if ending:
+                    ended = True
+                    yield from closed(step, info, "ended")
+        state.update((step, None if ended else info, arrival, ended))
+        state.setTimeoutDuration(linger_millis if ended else silence_millis)
+
+    def handle(changes: DataFrame, number: int) -> None:
+        changes.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    own = messages.select(*KEYS, "step", "info", "arrival", F.col("signal").isNotNull().alias("is_end"))
+    kind = own.schema["arrival"].dataType.simpleString()
+    states = own.mapInPandas(reduced, MESSAGE_DDL.format(kind)).groupBy(*KEYS).applyInPandasWithState(
+        fold, CLOSED_DDL, STATE_DDL, "update", GroupStateTimeout.ProcessingTimeTimeout
     )
+    writer = states.writeStream.outputMode("update").foreachBatch(handle).option("checkpointLocation", checkpoint)
+    if not available_now:
+        return writer.trigger(processingTime=max_wait).start()
+    # Timers ask for batches without data for ever; a run over what is there looks at them with its data alone.
+    setting, spark = "spark.sql.streaming.noDataMicroBatches.enabled", messages.sparkSession
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        return writer.trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(setting, before)
+
+
+def read_progress_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Where the transfers under way are, from the state store's last committed version."""
+    states = spark.read.format("statestore").load(checkpoint)
+    return states.select("key.*", "value.groupState.*").where("NOT ended AND step IS NOT NULL").select(*KEYS, "step", "info")
+
+
+def read_closed(spark: SparkSession, folder: str) -> DataFrame:
+    """Transfers that ended or fell silent, with the step they had got to."""
+    return spark.read.schema(f"{CLOSED_DDL}, batch int").parquet(folder)

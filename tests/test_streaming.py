@@ -13,7 +13,7 @@ from haulbook.sources import messages
 from haulbook.sources.ledger import Ledger
 from haulbook.streaming import runner, stages
 from haulbook.streaming.listen import Listener, commands, listen, signals, submissions, tagged, ticks
-from haulbook.streaming.progress_state import read_progress_state, start_progress_state
+from haulbook.streaming.progress_state import read_closed, read_progress_state, start_progress_state
 
 # The runner of this module has to reach the workers, as a user's would with --py-files.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -38,24 +38,44 @@ def test_malformed_envelopes(spark, value):
     assert messages.as_progress(messages.sound(lenient)).first()[:4] == ("r", "t", 0, "{}")
 
 
-def test_malformed_record_stops_the_stream(spark, tmp_path):
-    put(spark, f"{tmp_path}/topic", "oops")
-    decoded = messages.as_progress(messages.decode(messages.folder_stream(spark, f"{tmp_path}/topic")))
-    query = start_progress_state(decoded, f"{tmp_path}/state", f"{tmp_path}/checkpoint")
-    with pytest.raises(PySparkException):
-        query.awaitTermination()
+def keep_state(spark, tmp_path, **options):
+    query = start_progress_state(streams(spark, tmp_path), f"{tmp_path}/closed", f"{tmp_path}/state", **options)
+    query.awaitTermination()
+    return keyed(read_progress_state(spark, f"{tmp_path}/state"), "step", "info", key="transfer_id")
+
 
+def closed(spark, tmp_path):
+    return sorted((row.transfer_id, row.step, row.how) for row in read_closed(spark, f"{tmp_path}/closed").collect())
 
-def test_restart_goes_on_where_it_stopped(spark, tmp_path):
-    def run():
-        decoded = messages.as_progress(messages.decode(messages.folder_stream(spark, f"{tmp_path}/topic")))
-        start_progress_state(decoded, f"{tmp_path}/state", f"{tmp_path}/checkpoint").awaitTermination()
-        return keyed(read_progress_state(spark, f"{tmp_path}/state"), "step", "info", key="transfer_id")
 
-    put(spark, f"{tmp_path}/topic", envelope("r", "a", '[3,"x"]'), envelope("r", "b", '[1,"y"]'))
-    assert run() == {"a": (3, '"x"'), "b": (1, '"y"')}
-    put(spark, f"{tmp_path}/topic", envelope("r", "a", '[2,"late"]'), envelope("r", "b", '[2,"z"]'), arrival=10)
-    assert run() == {"a": (3, '"x"'), "b": (2, '"z"')}
+def test_malformed_record_stops_the_stream(spark, tmp_path):
+    put(spark, f"{tmp_path}/progress", "oops")
+    with pytest.raises(PySparkException):
+        keep_state(spark, tmp_path)
+
+
+def test_state_goes_on_where_it_stopped_and_ends_with_results(spark, tmp_path):
+    put(spark, f"{tmp_path}/progress", envelope("r", "a", '[3,"x"]'), envelope("r", "b", '[1,"y"]'), envelope("r", "b", '[1,"z"]'))
+    assert keep_state(spark, tmp_path) == {"a": (3, '"x"'), "b": (1, '"y"')}
+    put(spark, f"{tmp_path}/progress", envelope("r", "a", '[2,"late"]'), envelope("r", "b", '[2,"z"]'), arrival=10)
+    assert keep_state(spark, tmp_path) == {"a": (3, '"x"'), "b": (2, '"z"')}
+    put(spark, f"{tmp_path}/results", envelope("r", "a", '["SUCCESS",{}]'), envelope("r", "never", '["SUCCESS",{}]'), arrival=20)
+    assert keep_state(spark, tmp_path) == {"b": (2, '"z"')}
+    # Progress that comes after the result opens nothing.
+    put(spark, f"{tmp_path}/progress", envelope("r", "a", '[4,"later"]'), envelope("s", "a", '[0,"other"]'), arrival=30)
+    assert keep_state(spark, tmp_path) == {"b": (2, '"z"'), "a": (0, '"other"')}
+    assert closed(spark, tmp_path) == [("a", 3, "ended"), ("never", None, "ended")]
+
+
+def test_timers_remove_what_is_silent_or_ended(spark, tmp_path):
+    put(spark, f"{tmp_path}/progress", envelope("r", "quiet", '[3,"x"]'), envelope("r", "done", '[1,"y"]'))
+    put(spark, f"{tmp_path}/results", envelope("r", "done", '["SUCCESS",{}]'))
+    options = {"silence_millis": 1, "linger_millis": 1}
+    assert keep_state(spark, tmp_path, **options) == {"quiet": (3, '"x"')}
+    put(spark, f"{tmp_path}/progress", envelope("r", "new", '[0,"n"]'), arrival=10)
+    assert keep_state(spark, tmp_path, **options) == {"new": (0, '"n"')}
+    assert spark.read.format("statestore").load(f"{tmp_path}/state").count() == 1
+    assert closed(spark, tmp_path) == [("done", 1, "ended"), ("quiet", 3, "silent")]
 
 
 @pytest.fixture
