@@ -2,10 +2,14 @@
 
 Each batch writes its steps once, then routes them to the progress and the result topic; all three folders are named
 after the batch, so a replayed batch overwrites what it wrote before and user code runs at least once per step.
+
+`start_stages` is both stages in one query, for as long as it is wanted: what it adds to the progress topic is part of its own
+source, so every batch takes the next step of all that is under way beside the first step of what has come in.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +18,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from haulbook.operators.filters import done, undone
 from haulbook.sources.messages import (
-    RECORDS,
     as_progress,
     as_requests,
     decode,
@@ -100,18 +103,59 @@ def start_step_stage(
     )
 
 
-def run_until_done(
-    spark: SparkSession, topics: Topics, runner: Runner, work_dir: str, max_files: int | None = None
-) -> int:
-    """Run both stages over what is there until no transfer is left in progress; returns the number of rounds.
+def start_stages(
+    requests: DataFrame,
+    progress: DataFrame,
+    runner: Runner,
+    work_dir: str,
+    send: Callable[[DataFrame, int], None],
+    interval: str = "0 seconds",
+) -> StreamingQuery:
+    """Take first steps of the records of one stream and next steps of those of another, which ``send`` adds to.
 
-    A round takes one step of every unfinished transfer, so there are as many rounds as the longest transfer has steps.
+    ``send`` gets the steps of a batch and its number. It must not add to the topic where no step is unfinished.
     """
-    start_init_stage(spark, topics, runner, work_dir, max_files).awaitTermination()
-    rounds, before, after = 0, -1, spark.read.schema(RECORDS).parquet(f"{topics.progress}/*").count()
-    while before < after:
-        start_step_stage(spark, topics, runner, work_dir, max_files).awaitTermination()
-        rounds += 1
-        # What a round adds to the topic is what is still unfinished.
-        before, after = after, spark.read.schema(RECORDS).parquet(f"{topics.progress}/*").count()
-    return rounds
+
+    def handle(batch: DataFrame, number: int) -> None:
+        first = initialize(as_requests(decode(batch.where("is_request"))), runner)
+        further = advance(as_progress(decode(batch.where("NOT is_request"))), runner)
+        # Later batches hold later arrivals, so that the order of results follows the order of steps.
+        steps = first.unionByName(further).withColumn("arrival", F.lit(number).cast("bigint"))
+        written = f"{work_dir}/steps/batch={number}"
+        steps.write.mode("overwrite").parquet(written)
+        send(batch.sparkSession.read.schema(STEPS_DDL).parquet(written), number)
+
+    records = [
+        stream.select("value", "arrival", F.lit(is_request).alias("is_request"))
+        for stream, is_request in ((requests, True), (progress, False))
+    ]
+    writer = records[0].unionByName(records[1]).writeStream.foreachBatch(handle)
+    return writer.option("checkpointLocation", f"{work_dir}/checkpoint").trigger(processingTime=interval).start()
+
+
+def start_folder_stages(
+    spark: SparkSession, topics: Topics, runner: Runner, work_dir: str, max_files: int | None = None
+) -> StreamingQuery:
+    """`start_stages` between topics kept in folders."""
+
+    def send(steps: DataFrame, number: int) -> None:
+        # A file without records would be new input too, and the query would never find an end.
+        kinds = {row[0] for row in steps.select("is_done").distinct().collect()}
+        if False in kinds:
+            write_folder(encode_progress(undone(steps)), f"{topics.progress}/steps-{number}", "overwrite")
+        if True in kinds:
+            write_folder(encode_results(done(steps)), f"{topics.results}/steps-{number}", "overwrite")
+
+    requests, progress = (folder_stream(spark, f"{folder}/*", max_files) for folder in (topics.requests, topics.progress))
+    return start_stages(requests, progress, runner, work_dir, send)
+
+
+def run_until_done(
+    spark: SparkSession, topics: Topics, runner: Runner, work_dir: str, max_files: int | None = None
+) -> None:
+    """Run the stages in one query until no transfer is left in progress: then a trigger finds nothing new in the topics."""
+    query = start_folder_stages(spark, topics, runner, work_dir, max_files)
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()

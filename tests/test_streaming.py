@@ -287,6 +287,33 @@ def test_stages_interleave_and_end(spark, tmp_path):
     assert steps == [0, 1, 2, 3, 4]
 
 
+def test_requests_join_a_running_stage(spark, tmp_path):
+    """One query: what comes in while others are under way takes its first step in the batch of their next ones."""
+    topics = stages.Topics(f"{tmp_path}/topics")
+    put(spark, f"{topics.requests}/a", *(envelope("R", f"a{size}", f'{{"object":"a","size":{size}}}') for size in (150, 950)))
+    query = stages.start_folder_stages(spark, topics, RangeRunner(), f"{tmp_path}/work")
+    try:
+        while not list((tmp_path / "work/checkpoint/commits").glob("1")):
+            assert query.exception() is None
+            query.awaitTermination(0.1)
+        put(spark, f"{topics.requests}/b", envelope("R", "b", '{"object":"b","size":250}'))
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    steps = spark.read.parquet(f"{tmp_path}/work/steps")
+    found = {
+        name: [tuple(row) for row in steps.where(F.col("transfer_id") == name).orderBy("step").select("step", "batch", "is_done").collect()]
+        for name in ("a150", "a950", "b")
+    }
+    for rows in found.values():
+        # A step per batch, without a gap.
+        assert [row[1] - rows[0][1] for row in rows] == [row[0] for row in rows] and [row[2] for row in rows].count(True) == 1
+    assert [len(rows) for rows in found.values()] == [3, 11, 4]
+    assert found["a950"][0][1] < found["b"][0][1] <= found["a950"][-1][1]
+    results = messages.as_results(messages.decode(messages.read_folder(spark, f"{topics.results}/*")))
+    assert sorted(row.transfer_id for row in results.collect()) == ["a150", "a950", "b"]
+
+
 @dataclass(frozen=True)
 class Together(Odd):
     """Takes its payloads many at a time."""
