@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Payloads with a repeated key keep the last value, as most JSON decoders do.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # Rows handed to Python at once; operators on long texts lower it for themselves.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
     # Streaming state on local disk with a changelog, not on the heap.
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
