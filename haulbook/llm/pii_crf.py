@@ -4,8 +4,11 @@ The patterns find the base spans, which always stay. Besides them a document has
 alphabet that no pattern accepts (an address without a dot in its domain, a number without its plus sign). Base spans and
 candidates are the nodes of the field, in text order. Neighbours are joined by chain edges; nodes that name the same entity
 (equal local parts, equal last digits), however far apart, by skip edges, each to the next and to the first of its entity, so
-that their number stays linear. Loopy message passing gives every candidate its label distribution, and candidates with a
-likely label become spans of that kind.
+that their number stays linear. Skip edges carry the labels of the base spans of their entity and no others, so what two
+candidates share says nothing by itself. A candidate can only take a label whose own check it passes (Luhn, the number of
+digits) and only as another way of writing a base span: the front of its address, the end of its number, the same
+card. Loopy message passing gives every candidate its label distribution, and candidates with a likely label become spans
+of that kind. Texts without a base span therefore never gain one, whatever else they hold.
 
 Potentials are learned from all documents in one counting pass: labels by shape of the string, labels of neighbours,
 and how often nodes of one entity have one label among the base spans. Shapes are tuples of small numbers, so the
@@ -47,6 +50,8 @@ IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NUMBER = re.compile(r"[+(]?[0-9](?:[\x20().-]{0,2}[0-9])+")
+# Between numbers that stand side by side: an unbroken run of nine digits is a number of its own.
+GLUE = re.compile(r"(?<=[0-9]{9})\x20{1,2}|\x20{1,2}(?=[0-9]{9})")
 NOT_DIGITS = re.compile(r"[^0-9]+")
 
 Span = tuple[int, int, int]  # label, start, end
@@ -100,17 +105,28 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
+def numbers(text: str) -> list[tuple[int, int]]:
+    """Where numbers of seven digits and more stand that may be written in any way."""
+    found = []
+    for match in NUMBER.finditer(text):
+        place, end = match.span()
+        if end - place < 7:
+            continue
+        cuts = [gap.span() for gap in GLUE.finditer(text, place, end)]
+        for stop, after in [*cuts, (end, end)]:
+            if stop - place <= 40 and sum(map(str.isdigit, text[place:stop])) >= 7:
+                found.append((place, stop))
+            place = after
+    return found
+
+
 def nodes(text: str, base: list[Span]) -> list[Span]:
     """Base spans and, apart from them, candidates: in text order."""
     if not HINT.search(text):
         return []
     taken = sorted((start, end) for _, start, end in base)
     others = emails(text)[1] if "@" in text else []
-    others += [
-        (NONE, *match.span())
-        for match in NUMBER.finditer(text)
-        if match.end() - match.start() <= 40 and sum(map(str.isdigit, match[0])) >= 7
-    ]
+    others += [(NONE, *span) for span in numbers(text)]
     free, place, reach = [], 0, -1
     for label, start, end in sorted(others, key=lambda span: span[1]):
         while place < len(taken) and taken[place][0] < end:
@@ -126,11 +142,25 @@ def entity(string: str) -> str:
     """What nodes of one entity have in common."""
     if "@" in string:
         return string.split("@")[0].lower()
-    if string.count(".") == 3 and not set(string) & set(" ()+-"):
+    if string.count(".") == 3 and not set(string) & set(" ()+-") and max(map(len, string.split("."))) <= 3:
         return string
     return NOT_DIGITS.sub("", string)[-9:]
 
 
+def rewrites(label: int, known: str, string: str) -> bool:
+    """Whether a string is another way of writing a base span of this kind, and passes the kind's own check."""
+    if label == 0:
+        return known.lower().startswith(string.lower() + ".")
+    if "@" in string:
+        return False
+    digits, whole = NOT_DIGITS.sub("", string), NOT_DIGITS.sub("", known)
+    if label == 2:
+        return digits == whole and 13 <= len(digits) <= 19 and luhn(digits)
+    # Country codes may be left out, and zeros put in their place.
+    own = digits.lstrip("0")
+    return label == 3 and len(digits) <= 15 and len(own) >= 9 and whole.endswith(own)
+
+
 def shape(string: str) -> str:
     """A short description of a string; there are a few thousand at most."""
     digits = sum(map(str.isdigit, string))
@@ -211,15 +241,30 @@ class Potentials:
         if not base or not open_nodes:
             return base
         strings = [text[start:end] for _, start, end in found]
-        skips = skip_edges([entity(string) for string in strings])
-        if not skips:
+        keys = [entity(string) for string in strings]
+        known: dict[str, dict[str, int]] = defaultdict(dict)
+        for (label, _, _), key, string in zip(found, keys, strings):
+            if label != NONE:
+                known[key][string] = label
+        allowed = np.zeros((len(found), NONE + 1), bool)
+        allowed[:, NONE] = True
+        for at in open_nodes:
+            for string, label in known.get(keys[at], {}).items():
+                allowed[at, label] |= rewrites(label, string, strings[at])
+        if not allowed[open_nodes, :NONE].any():
             return base
+        skips = skip_edges(keys)
+        carried = np.zeros((len(skips), NONE + 1), bool)
+        for at, (left, _) in enumerate(skips):
+            carried[at, list(known.get(keys[left], {}).values())] = True
         unary = np.array([self.shapes.get(shape(string), self.unknown) for string in strings])
         for at, (label, _, _) in enumerate(found):
             if label != NONE:
                 unary[at] = -50.0
                 unary[at, label] = 0.0
-        belief = self.passed(unary, skips)
+            else:
+                unary[at, ~allowed[at]] = -50.0
+        belief = self.passed(unary, skips, carried)
         added = []
         for at in open_nodes:
             label = int(belief[at].argmax())
@@ -227,15 +272,18 @@ class Potentials:
                 added.append((label, *found[at][1:]))
         return base + added
 
-    def passed(self, unary: np.ndarray, skips: list[tuple[int, int]]) -> np.ndarray:
-        """Label distributions of all nodes after message passing along chain and skip edges."""
+    def passed(self, unary: np.ndarray, skips: list[tuple[int, int]], carried: np.ndarray | None = None) -> np.ndarray:
+        """Label distributions of all nodes after message passing along chain and skip edges.
+
+        ``carried`` tells which labels each skip edge rewards at both of its ends.
+        """
         size, labels = unary.shape
         chain = [(at, at + 1) for at in range(size - 1)]
         edges = np.array(chain + skips)
-        same = np.eye(labels) * self.skip
-        weights = np.concatenate(
-            (np.repeat(self.chain[None], len(chain), 0), np.repeat(same[None], len(skips), 0))
-        )
+        same = np.zeros((len(skips), labels, labels))
+        if skips:
+            same[:, np.arange(labels), np.arange(labels)] = carried * self.skip
+        weights = np.concatenate((np.repeat(self.chain[None], len(chain), 0), same))
         source = np.concatenate((edges[:, 0], edges[:, 1]))
         target = np.concatenate((edges[:, 1], edges[:, 0]))
         weights = np.concatenate((weights, weights.transpose(0, 2, 1)))

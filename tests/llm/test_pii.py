@@ -90,6 +90,48 @@ def test_messages_equal_enumeration_on_a_tree():
         assert found[at] == pytest.approx(labels.sum(axis=others), abs=1e-3)
 
 
+def test_messages_equal_enumeration_with_skip_edges():
+    """With the base span known, the loop that the skip edge closes is open, and messages are exact."""
+    field = pii.Potentials([("chain", "0", 3, 50), ("chain", "4", 0, 20), ("skip", "", 1, 9)])
+    unary = np.random.default_rng(5).normal(size=(4, 5))
+    unary[0] = -50.0
+    unary[0, 3] = 0.0
+    carried = np.array([[False, False, False, True, False]])
+    labels = np.zeros((5, 5, 5, 5))
+    for place in np.ndindex(labels.shape):
+        labels[place] = sum(unary[at, label] for at, label in enumerate(place))
+        labels[place] += sum(field.chain[place[at], place[at + 1]] for at in range(3))
+        labels[place] += field.skip * (place[0] == place[3] == 3)
+    labels = np.exp(labels) / np.exp(labels).sum()
+    found = field.passed(unary, [(0, 3)], carried)
+    for at in range(4):
+        others = tuple(axis for axis in range(4) if axis != at)
+        assert found[at] == pytest.approx(labels.sum(axis=others), abs=1e-3)
+
+
+def test_what_a_pattern_refuses_is_not_added(spark):
+    refused = "pay 9807915762804490 and again 9807915762804490"
+    texts = [
+        refused,
+        refused + " 10.0.0.1",
+        "card 4381893557741609 then 9807915762804490 9807915762804490 and 4381.8935.5774.1609",
+        "call +1 (555) 010-9999 not 1235550109999 but 05550109999 4381893557741608",
+        "to info@mail.example.org and info@host, then INFO@mail",
+        "4381893557741609 5550109999",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {row["doc_id"]: row["spans"] for row in pii.with_spans(docs).collect()}
+
+    def at(number, string, kind):
+        start = texts[number].rindex(string)
+        return f"{kind}:{start}:{start + len(string)}"
+
+    assert found[0] == "" and found[1] == at(1, "10.0.0.1", "ip")
+    assert found[2] == ",".join([at(2, "4381893557741609", "card"), at(2, "4381.8935.5774.1609", "card")])
+    assert found[3] == ",".join([at(3, "+1 (555) 010-9999", "phone"), at(3, "05550109999", "phone")])
+    assert found[4] == ",".join([at(4, "info@mail.example.org", "email"), at(4, "INFO@mail", "email")])
+
+
 def test_null_text_stays_and_empty(spark):
     assert [row["text"] for row in pii.redact(messy(spark)).where("doc_id = 20").collect()] == [None]
     assert pii.with_spans(empty(spark)).count() == 0 and pii.redact(empty(spark)).count() == 0
