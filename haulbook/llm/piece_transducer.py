@@ -1,15 +1,19 @@
 """SentencePiece encoding and decoding as a weighted transducer over an input.
 
 The model file is compiled to three parts that are composed with each text: the normaliser (spaces become the mark ``▁``, one
-is put in front), the pieces, and the byte fallback for characters that are no piece. A path through the composition is a
-segmentation; its weight is the sum of the pieces' negated scores, and the shortest path in the tropical semiring is taken.
+is put in front), the pieces as a trie of states with one arc per character, and the byte fallback for characters that are
+no piece. A path through the composition is a segmentation; its weight is the sum of the pieces' negated scores, and the
+shortest path in the tropical semiring is taken by one forward pass that relaxes all arcs. That is all for models of the
+Unigram kind.
 
-The model's own rule joins neighbours, the best-scored pair first, and a plain sum of scores does not reproduce it. What
+Models that join neighbours, the best-scored pair first, are not reproduced by a plain sum of scores. What
 does is one more acceptor: two pieces may follow each other only if joining their characters alone gives just these two.
-A segmentation all of whose neighbours pass is the model's own, so the acceptor leaves one path, which is the shortest.
+A segmentation all of whose neighbours pass is the model's own. Its states are the pieces, so the pass keeps a weight per
+arc instead of one per place. Whether two pieces pass is found by undoing their last joins, the later first, and
+looking at each step whether the two that then meet would have been joined before.
 Pieces made of marks alone share one score, the lowest, and are joined from the left after everything else; a run of marks is
-therefore joined apart. As no piece has a mark after another character, texts are composed word by word; words are
-remembered in a table of bounded size.
+therefore joined apart. As no piece has a mark after another character, texts are composed word by word. The words of a batch
+that are new are composed together, as arrays; words are remembered in a table of bounded size.
 
 Defined results: null and empty texts give no ids and decode to the empty text; texts of any length and with any
 characters are encoded whole; the mark ``▁`` in a text counts as a space, as in the model's own normaliser, which is
@@ -23,7 +27,6 @@ import hashlib
 import heapq
 import sys
 import types
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +37,18 @@ from haulbook.llm.common import unused
 
 MARK = "▁"
 
-#: Fixed by the model format: kinds of pieces.
+#: Fixed by the model format: kinds of pieces, kinds of models, and what an unknown character of a Unigram model costs
+#: beyond the worst piece.
 NORMAL, USER_DEFINED, BYTE = 1, 4, 6
+UNIGRAM, JOINING = 1, 2
+UNKNOWN_COST = 10.0
 
-#: Largest model file that is sent to the executors, and words and pairs of pieces remembered in a worker.
+#: Largest model file that is sent to the executors, words remembered in a worker, bits of the table of pairs of pieces
+#: remembered there, and characters composed at once.
 MAX_MODEL_BYTES = 64 << 20
-MAX_WORDS = 300_000
-MAX_PAIRS = 2_000_000
+MAX_WORDS = 400_000
+PAIR_BITS = 21
+MAX_CHARACTERS = 1 << 18
 
 
 def fields(data: bytes):
@@ -66,6 +74,42 @@ def fields(data: bytes):
         yield key >> 3, value
 
 
+class Table:
+    """Whole numbers by whole numbers, looked up as arrays; -1 for what is not there."""
+
+    def __init__(self, known: dict[int, int]):
+        bits = max(4, (4 * len(known)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys = np.full(1 << bits, -1, np.int64)
+        self.values = np.full(1 << bits, -1, np.int64)
+        keys = np.fromiter(known.keys(), np.int64, len(known))
+        values = np.fromiter(known.values(), np.int64, len(known))
+        at = self.slots(keys)
+        while len(keys):
+            # Of those that want one free slot the last one written gets it; the others go on.
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[free]
+            won = self.keys[at] == keys
+            self.values[at[won]] = values[won]
+            keys, values, at = keys[~won], values[~won], (at[~won] + 1) & self.mask
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        at = self.slots(keys)
+        found = self.keys[at]
+        out = np.where(found == keys, self.values[at], -1)
+        rest = np.flatnonzero((found != keys) & (found >= 0))
+        while len(rest):
+            at[rest] = (at[rest] + 1) & self.mask
+            found = self.keys[at[rest]]
+            hit = found == keys[rest]
+            out[rest[hit]] = self.values[at[rest[hit]]]
+            rest = rest[~hit & (found >= 0)]
+        return out
+
+
 class Transducer:
     """A compiled model."""
 
@@ -75,6 +119,7 @@ class Transducer:
         self.surface: list[str | int | None] = []
         self.byte_ids: dict[int, int] = {}
         self.dummy_prefix, escape = True, True
+        kind_of_model = UNIGRAM
         for number, value in fields(model):
             if number == 1:
                 piece = dict(fields(value))
@@ -90,36 +135,84 @@ class Transducer:
                 elif kind == BYTE:
                     self.byte_ids[int(name[3:5], 16)], self.surface[at] = at, int(name[3:5], 16)
             elif number == 2:
-                if dict(fields(value)).get(3, 1) != 2:
-                    raise ValueError("only models whose pieces are joined by score are supported")
+                # A later message of the same number goes on where the earlier one ended.
+                kind_of_model = dict(fields(value)).get(3, kind_of_model)
             elif number == 3:
                 spec = dict(fields(value))
                 self.dummy_prefix, escape = bool(spec.get(3, 1)), bool(spec.get(5, 1))
                 if spec.get(2) or spec.get(4, 1) or not escape:
                     raise ValueError("only the identity normaliser that keeps all white space is supported")
+        if kind_of_model not in (UNIGRAM, JOINING):
+            raise ValueError("only models of pieces with scores are supported")
+        self.joins = kind_of_model == JOINING
         if len(self.byte_ids) != 256:
             raise ValueError("the model has no byte fallback")
         runs = [score for piece, score in self.scores.items() if len(piece) > 1 and not piece.strip(MARK)]
         rest = [score for piece, score in self.scores.items() if len(piece) > 1 and piece.strip(MARK)]
         if any(MARK in piece.lstrip(MARK) or piece.startswith(2 * MARK) and piece.strip(MARK) for piece in self.ids):
             raise ValueError("pieces that go across words are not supported")
-        if runs and rest and max(runs) >= min(rest):
+        if self.joins and runs and rest and max(runs) >= min(rest):
             raise ValueError("runs of marks must score below all other pieces")
-        self.longest = max(map(len, self.ids))
-        # The longest piece by its first three characters; without an entry, pieces have two at most.
-        self.reach: dict[str, int] = {}
-        for piece in self.ids:
-            if len(piece) > 2:
-                self.reach[piece[:3]] = max(len(piece), self.reach.get(piece[:3], 0))
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.runs: dict[int, tuple[int, ...]] = {}
+        self.break_lines = not any("\n" in piece for piece in self.ids)
+        self.words: dict[str, int] = {}
+        self.bounds, self.flat = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
+        self.byte_table = np.array([self.byte_ids[byte] for byte in range(256)], np.int32)
         self.encoded = [
             b"" if item is None else bytes([item]) if isinstance(item, int) else item.encode() for item in self.surface
         ]
-
-    def joined(self, text: str) -> list[str]:
-        """The model's own rule: neighbours are joined, the best-scored pair first and of equals the leftmost."""
+        self.compile()
+
+    def compile(self) -> None:
+        """The trie of the pieces that can arise, and the acceptor's tables."""
+        names = list(self.ids)
+        number = {name: at for at, name in enumerate(names)}
+        self.id_of = np.array([self.ids[name] for name in names], np.int32)
+        self.cost = np.array([-self.scores[name] for name in names])
+        arises = np.ones(len(names), bool)
+        if self.joins:
+            ranks = {score: at for at, score in enumerate(sorted(set(self.scores.values()), reverse=True))}
+            self.rank = np.array([ranks[self.scores[name]] if len(name) > 1 else -1 for name in names], np.int64)
+            self.left, self.right = np.full(len(names), -1, np.int64), np.full(len(names), -1, np.int64)
+            whole: dict[int, int] = {}
+            for at, name in enumerate(names):
+                for cut in range(1, len(name)):
+                    left, right = number.get(name[:cut]), number.get(name[cut:])
+                    if left is not None and right is not None:
+                        whole[left << 32 | right] = at
+                if len(name) > 1:
+                    last: list[tuple[str, str]] = []
+                    arises[at] = len(self.joined(name, last)) == 1
+                    if arises[at]:
+                        self.left[at], self.right[at] = (number[part] for part in last[-1])
+            self.whole = Table(whole)
+            # Undoing the later join first needs parts that arise before what they are joined to.
+            some = np.flatnonzero(self.left >= 0)
+            if (np.maximum(self.rank[self.left[some]], self.rank[self.right[some]]) > self.rank[some]).any():
+                raise ValueError("pieces must score below the parts they are joined from")
+            self.pair_keys = np.full(1 << PAIR_BITS, -1, np.int64)
+            self.pair_passes = np.zeros(1 << PAIR_BITS, bool)
+        steps: dict[int, int] = {}
+        ends = [-1]
+        for at, name in enumerate(names):
+            # Runs of marks are joined apart.
+            if not arises[at] or self.joins and len(name) > 1 and not name.strip(MARK):
+                continue
+            state = 0
+            for mark in name:
+                key = state << 21 | ord(mark)
+                if key not in steps:
+                    steps[key] = len(ends)
+                    ends.append(-1)
+                state = steps[key]
+            ends[state] = at
+        self.steps, self.ends = Table(steps), np.array(ends, np.int64)
+        self.unknown_cost = float(self.cost.max()) + UNKNOWN_COST
+
+    def joined(self, text: str, joins: list[tuple[str, str]] | None = None) -> list[str]:
+        """The model's own rule: neighbours are joined, the best-scored pair first and of equals the leftmost.
+
+        ``joins`` is given what is joined, in order.
+        """
         symbols: list[str | None] = list(text)
         after = list(range(1, len(symbols) + 1))
         before = list(range(-1, len(symbols) - 1))
@@ -137,6 +230,8 @@ class Transducer:
             _, left, right, size = heapq.heappop(heap)
             if symbols[left] is None or symbols[right] is None or len(symbols[left]) + len(symbols[right]) != size:
                 continue
+            if joins is not None:
+                joins.append((symbols[left], symbols[right]))
             symbols[left] += symbols[right]
             symbols[right] = None
             after[left] = after[right]
@@ -146,123 +241,228 @@ class Transducer:
             offer(left)
         return [symbol for symbol in symbols if symbol is not None]
 
-    def may_follow(self, left: str, right: str) -> bool:
-        """Whether the acceptor lets ``right`` follow ``left``; with an empty ``left``, whether the piece can arise."""
-        known = self.pairs.get((left, right))
-        if known is None:
-            both = left + right
-            # What is a piece that can arise by itself does not stay apart.
-            whole = bool(left) and both in self.ids and self.may_follow("", both)
-            known = not whole and self.joined(both) == ([left, right] if left else [right])
-            if len(self.pairs) < MAX_PAIRS:
-                self.pairs[left, right] = known
-        return known
-
-    def shortest(self, word: str) -> list[str]:
-        """Pieces (or characters without one) along the shortest path of the composition with a word.
-
-        Every prefix has one path that the acceptor lets pass, so the first complete path is the shortest. Long arcs are
-        tried first; a place without a way on is dead for every path that comes there.
-        """
-        path: list[str] = []
-        dead: set[int] = set()
-        place, limit = 0, self.longest
-        ids, pairs, reach, end = self.ids, self.pairs, self.reach, len(word)
-        last = ""
-        while place < end:
-            for size in range(min(limit, end - place, reach.get(word[place : place + 3], 2)), 0, -1):
-                piece = word[place : place + size]
-                if piece in ids:
-                    passes = pairs.get((last, piece))
-                    if passes is None:
-                        passes = self.may_follow(last, piece)
-                    if passes and place + size not in dead:
-                        break
-                elif size == 1:
-                    # Fallback to bytes: nothing joins with such a character.
-                    break
-            else:
-                dead.add(place)
-                piece = path.pop()
-                place, limit = place - len(piece), len(piece) - 1
-                last = path[-1] if path and path[-1] in ids else ""
-                continue
-            path.append(piece)
-            # Before a character without a piece, and after one, anything may stand.
-            last = piece if piece in ids else ""
-            place, limit = place + size, self.longest
-        return path
-
-    def ids_of(self, pieces: list[str]) -> tuple[int, ...]:
-        found: list[int] = []
-        for piece in pieces:
-            if (at := self.ids.get(piece)) is not None:
-                found.append(at)
-            else:
-                found += [self.byte_ids[byte] for byte in piece.encode()]
-        return tuple(found)
-
-    def word(self, word: str, marks: int) -> tuple[int, ...]:
-        """Ids of a word (no mark or space inside) behind so many marks."""
-        pieces = self.shortest(MARK + word if marks and word else word)
-        if marks <= 1:
-            return self.ids_of(pieces if word else [MARK] * marks)
-        alone = not pieces or pieces[0] == MARK
-        run = marks if alone else marks - 1
-        if run not in self.runs:
-            if len(self.runs) > 1000:
-                self.runs.clear()
-            self.runs[run] = self.ids_of(self.joined(run * MARK))
-        return self.runs[run] + self.ids_of(pieces[1:] if alone else pieces)
-
-    def part(self, part: str, marks: int = 1) -> tuple[int, ...]:
-        """Ids of what stands between two spaces; a line break is no piece, so words end there too."""
-        if "\n" not in part or "\n" in self.ids:
-            return self.word(part, marks)
-        out: tuple[int, ...] = ()
-        for number, line in enumerate(part.split("\n")):
-            if number:
-                out += self.ids_of(["\n"])
-            out += self.word(line, 0 if number else marks)
+    def stay_apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether joining the characters of two pieces gives just these two."""
+        passes = np.ones(len(left), bool)
+        limit = np.full(len(left), np.iinfo(np.int64).max)
+        open_ = np.arange(len(left))
+        while len(open_):
+            both = self.whole.get(left << 32 | right)
+            clash = (both >= 0) & (self.rank[both] < limit)
+            passes[open_[clash]] = False
+            first, second = self.rank[left], self.rank[right]
+            on = ~clash & (np.maximum(first, second) >= 0)
+            open_, left, right, first, second = open_[on], left[on], right[on], first[on], second[on]
+            # What was joined last is undone; of two equal joins the left one came first.
+            undo = first > second
+            limit = np.where(undo, first, second + 1)
+            left, right = np.where(undo, self.right[left], left), np.where(undo, right, self.left[right])
+        return passes
+
+    def may_follow(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether the acceptor lets pieces follow each other, remembered by pair; -1 is a character without a piece."""
+        out = np.ones(len(left), bool)
+        known = np.flatnonzero((left >= 0) & (right >= 0))
+        keys = left[known] << 32 | right[known]
+        slots = (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PAIR_BITS)).view(np.int64)
+        passes = self.pair_passes[slots]
+        missed = np.flatnonzero(self.pair_keys[slots] != keys)
+        if len(missed):
+            new, place = np.unique(keys[missed], return_inverse=True)
+            found = self.stay_apart(new >> 32, new & 0xFFFFFFFF)
+            passes[missed] = found[place]
+            # Of pairs that share a slot one is kept, and its verdict with it.
+            self.pair_keys[slots[missed]] = keys[missed]
+            kept = self.pair_keys[slots[missed]] == keys[missed]
+            self.pair_passes[slots[missed][kept]] = passes[missed][kept]
+        out[known] = passes
         return out
 
-    def learned(self, part: str) -> tuple[int, ...]:
-        """Ids of a part, remembered while there is room: the words met first are the frequent ones."""
-        known = self.words.get(part)
-        if known is None:
-            known = self.part(part)
-            if len(self.words) < MAX_WORDS and len(part) <= 64:
-                self.words[part] = known
-        return known
+    def arcs(self, marks: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Arcs of the composition by start, then end: start, end, and piece or -1 for a character without one.
 
-    def encode(self, text: str) -> list[int]:
+        ``ends`` holds for each character the place where its word ends.
+        """
+        starts, stops, pieces = [], [], []
+        at, state, size = np.arange(len(marks)), np.zeros(len(marks), np.int64), 0
+        single = np.zeros(len(marks), bool)
+        while len(at):
+            state = self.steps.get(state << 21 | marks[at + size])
+            size += 1
+            on = state >= 0
+            at, state = at[on], state[on]
+            piece = self.ends[state]
+            full = piece >= 0
+            starts.append(at[full])
+            stops.append(at[full] + size)
+            pieces.append(piece[full])
+            if size == 1:
+                single[at[full]] = True
+            more = at + size < ends[at]
+            at, state = at[more], state[more]
+        bare = np.flatnonzero(~single)
+        starts, stops = np.concatenate([*starts, bare]), np.concatenate([*stops, bare + 1])
+        pieces = np.concatenate([*pieces, np.full(len(bare), -1)])
+        order = np.argsort(starts * np.int64(1 << 32) + stops, kind="stable")
+        return starts[order], stops[order], pieces[order]
+
+    def shortest(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids along the shortest paths of the composition with each word, one after another, and how many each has."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        marks = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        ends = np.repeat(np.cumsum(sizes), sizes)
+        start, stop, piece = self.arcs(marks, ends)
+        taken = self.relaxed(len(marks), start, stop, piece)
+        start, piece = start[taken], piece[taken]
+        owner = np.repeat(np.arange(len(words)), sizes)[start]
+        ids = self.id_of[piece]
+        if (piece >= 0).all():
+            return ids, np.bincount(owner, minlength=len(words))
+        codes = [b"" if at >= 0 else chr(mark).encode("utf-8", "surrogatepass") for at, mark in zip(piece, marks[start])]
+        times = np.maximum(1, np.fromiter(map(len, codes), np.int64, len(codes)))
+        ids = np.repeat(ids, times)
+        ids[np.repeat(piece < 0, times)] = self.byte_table[np.frombuffer(b"".join(codes), np.uint8)]
+        return ids, np.bincount(np.repeat(owner, times), minlength=len(words))
+
+    def relaxed(self, places: int, start: np.ndarray, stop: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Which arcs lie on shortest paths. Arcs come by start.
+
+        Places that no arc goes across cut the input to segments with shortest paths of their own. Arcs of all segments are
+        relaxed in step, by their distance from the segment's start.
+        """
+        across = np.zeros(places + 1, np.int64)
+        np.add.at(across, start + 1, 1)
+        np.add.at(across, stop, -1)
+        cut = np.cumsum(across) == 0
+        place = np.arange(places + 1)
+        segment = np.maximum.accumulate(np.where(cut, place, 0))
+        first = np.searchsorted(start, np.arange(places + 1))
+        n_after = np.append(np.diff(first), 0)
+        cost = np.where(piece >= 0, self.cost[piece], self.unknown_cost)
+        weight = np.full(len(start), np.inf)
+        back = np.full(len(start), -1, np.int64)
+        opens = cut[start]
+        weight[opens] = cost[opens]
+        # Pairs of arcs that meet at a place inside a segment.
+        inner = np.flatnonzero(~cut[stop])
+        many = n_after[stop[inner]]
+        before = np.repeat(inner, many)
+        after = np.arange(len(before)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[stop[inner]], many)
+        if self.joins:
+            passes = self.may_follow(piece[before], piece[after])
+            before, after = before[passes], after[passes]
+        step = start[after] - segment[start[after]]
+        # By step, then arc; of equal weights the arc that came from furthest back is kept.
+        order = np.lexsort((before, after, step))
+        before, after, step = before[order], after[order], step[order]
+        group = np.flatnonzero(np.diff(after, prepend=-1))
+        bounds = np.append(np.flatnonzero(np.diff(step[group], prepend=-1)), len(group))
+        group = np.append(group, len(after))
+        for low, high in zip(bounds, bounds[1:]):
+            a, b = group[low], group[high]
+            total = weight[before[a:b]]
+            heads = group[low:high] - a
+            least = np.minimum.reduceat(total, heads)
+            own = np.repeat(np.arange(high - low), np.diff(np.append(heads, b - a)))
+            hit = np.flatnonzero(total == least[own])
+            hit = hit[np.diff(own[hit], prepend=-1) > 0]
+            target = after[a + heads]
+            weight[target] = least + cost[target]
+            back[target] = before[a + hit]
+        # The best arc that ends each segment, and from there back to its start.
+        last = np.flatnonzero(cut[stop])
+        last = last[np.lexsort((start[last], weight[last], stop[last]))]
+        now = last[np.diff(stop[last], prepend=-1) > 0]
+        taken = np.zeros(len(start), bool)
+        while len(now):
+            taken[now] = True
+            now = back[now]
+            now = now[now >= 0]
+        return np.flatnonzero(taken)
+
+    def parts(self, text: str) -> list[str]:
+        """A text's words, each behind its marks; a line break that is no piece is a word."""
         if not text:
             return []
-        parts = text.replace(MARK, " ").split(" ")
-        if not self.dummy_prefix or "" in parts:
-            return self.with_runs(parts)
-        known = list(map(self.words.get, parts))
-        if None in known:
-            learned = self.learned
-            known = [learned(part) if ids is None else ids for part, ids in zip(parts, known)]
-        return list(chain.from_iterable(known))
-
-    def with_runs(self, parts: list[str]) -> list[int]:
-        """As above for parts with several spaces in a row."""
-        out: list[int] = []
-        marks, last = int(self.dummy_prefix), len(parts) - 1
-        for number, part in enumerate(parts):
-            if part:
-                if marks == 1:
-                    out += self.learned(part)
-                else:
-                    out += self.part(part, marks)
-                marks = 1
-            elif number < last:
+        text = text.replace(MARK, " ").replace(" ", " " + MARK)
+        if self.dummy_prefix:
+            text = MARK + text
+        if self.break_lines and "\n" in text:
+            text = text.replace("\n", " \n ")
+        found = text.split(" ")
+        if MARK not in found:
+            return found
+        out, marks = [], 0
+        for part in found:
+            if part == MARK:
                 marks += 1
+            elif part.startswith(MARK):
+                out.append(marks * MARK + part)
+                marks = 0
             else:
-                out += self.word("", marks)
-        return out
+                out += [marks * MARK, part] if marks else [part]
+                marks = 0
+        return [*out, marks * MARK] if marks else out
+
+    def composed(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``shortest`` for words behind any number of marks."""
+        if not self.joins:
+            return self.shortest(words)
+        ids, counts = self.shortest([word if not word.startswith(2 * MARK) else MARK + word.lstrip(MARK) for word in words])
+        crowded = [at for at, word in enumerate(words) if word.startswith(2 * MARK)]
+        if not crowded:
+            return ids, counts
+        each = np.split(ids, np.cumsum(counts)[:-1])
+        for at in crowded:
+            marks = len(words[at]) - len(words[at].lstrip(MARK))
+            alone = each[at][0] == self.ids.get(MARK)
+            run = [self.ids[part] for part in self.joined((marks if alone else marks - 1) * MARK)]
+            each[at] = np.concatenate((np.array(run, np.int32), each[at][1:] if alone else each[at]))
+        return np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each))
+
+    def learn(self, words: list[str]) -> None:
+        """Adds words to the table."""
+        place = 0
+        while place < len(words):
+            stop, size = place, 0
+            while stop < len(words) and (stop == place or size + len(words[stop]) <= MAX_CHARACTERS):
+                size += len(words[stop])
+                stop += 1
+            ids, counts = self.composed(words[place:stop])
+            known = len(self.words)
+            end = int(self.bounds[known])
+            self.bounds = grown(self.bounds, known + len(counts) + 1)
+            self.flat = grown(self.flat, end + len(ids))
+            self.bounds[known + 1 : known + len(counts) + 1] = end + np.cumsum(counts)
+            self.flat[end : end + len(ids)] = ids
+            self.words.update(zip(words[place:stop], range(known, known + len(counts))))
+            place = stop
+
+    def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts one after another, and where each text's begin."""
+        parts: list[str] = []
+        bounds = [0]
+        for text in texts:
+            parts += self.parts(text or "")
+            bounds.append(len(parts))
+        found = np.array(list(map(self.words.get, parts)), np.float64)
+        missed = np.flatnonzero(np.isnan(found))
+        if len(missed):
+            own = [parts[at] for at in missed.tolist()]
+            self.learn(list(dict.fromkeys(own)))
+            found[missed] = list(map(self.words.__getitem__, own))
+        place = found.astype(np.int64)
+        counts = self.bounds[place + 1] - self.bounds[place]
+        total = np.concatenate(([0], np.cumsum(counts)))
+        at = np.arange(total[-1]) + np.repeat(self.bounds[place] - total[:-1], counts)
+        ids = self.flat[at]
+        # The words met first are the frequent ones; what does not fit is forgotten.
+        while len(self.words) > MAX_WORDS:
+            self.words.popitem()
+        return ids, total[bounds]
+
+    def encode(self, text: str) -> list[int]:
+        return self.encode_all([text])[0].tolist()
 
     def decode(self, ids) -> str:
         out = b"".join(map(self.encoded.__getitem__, ids))
@@ -274,6 +474,13 @@ class Transducer:
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
+def grown(values: np.ndarray, size: int) -> np.ndarray:
+    """The array, with room for so many."""
+    if size <= len(values):
+        return values
+    return np.concatenate((values, np.zeros(max(size, 2 * len(values)) - len(values), values.dtype)))
+
+
 def compiled(model: bytes) -> Transducer:
     """The transducer of a model, kept for the life of a worker with the words it has met."""
     kept = sys.modules.setdefault("_haulbook_transducers", types.ModuleType("_haulbook_transducers"))
@@ -297,11 +504,8 @@ def encoder(model: bytes):
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
         transducer = compiled(model)
-        offsets, flat = [0], []
-        for text in texts.to_pylist():
-            flat += transducer.encode(text or "")
-            offsets.append(len(flat))
-        return pa.ListArray.from_arrays(np.array(offsets, np.int32), np.array(flat, np.int32))
+        ids, offsets = transducer.encode_all(texts.to_pylist())
+        return pa.ListArray.from_arrays(offsets.astype(np.int32), ids)
 
     return encode
 
@@ -323,14 +527,10 @@ def both_ways(text: Column, model: bytes) -> Column:
     @F.arrow_udf("ids array<int>, decoded string")
     def run(texts: pa.Array) -> pa.Array:
         transducer = compiled(model)
-        offsets, flat, decoded = [0], [], []
-        for text in texts.to_pylist():
-            ids = transducer.encode(text or "")
-            flat += ids
-            offsets.append(len(flat))
-            decoded.append(transducer.decode(ids))
-        ids = pa.ListArray.from_arrays(np.array(offsets, np.int32), np.array(flat, np.int32))
-        return pa.StructArray.from_arrays([ids, pa.array(decoded, pa.string())], ["ids", "decoded"])
+        ids, offsets = transducer.encode_all(texts.to_pylist())
+        decoded = [transducer.decode(ids[a:b].tolist()) for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
+        both = pa.ListArray.from_arrays(offsets.astype(np.int32), ids)
+        return pa.StructArray.from_arrays([both, pa.array(decoded, pa.string())], ["ids", "decoded"])
 
     return run(text)
 
