@@ -1,11 +1,14 @@
 """Main text of pages: site templates are found by counting element subtrees per host, and removed with other furniture.
 
-A first pass gives every element a hash of its subtree, and Spark counts on how many pages of a host each hash occurs. A
-subtree found on many pages of its host is template and is deleted. What a host repeats less often (adverts, notices, menus
-that change) is told by its element or by the names in its class, id and role. If a page marks its article (``article``,
-``main``), only what stands inside is taken; inside, paragraphs, headings, items and cells are the article's own however
-often a host repeats them, but blocks that hold others (``GROUPS``) are deleted like template elsewhere, unless no text of
-the page's articles would be left.
+A first pass gives every element two hashes: of its subtree, and of the shape of its subtree (elements and classes without
+text, runs of like children as one) with the path to it. Spark counts on how many pages of a host each occurs, menus and
+footers included. A subtree found on many pages of its host is template and is deleted; so is a list of links whose shape is
+found on many, outside of marked articles, whatever its links say. What the counts leave open (adverts and notices that
+change) is told by its element or by the names in its class, id and role; inside an article a class only counts by its last
+part and an id as a whole, and no id makes a heading furniture. If a page marks its article (``article``, ``main``), only what
+stands inside is taken; inside, paragraphs, headings, items and cells are the article's own however often a host repeats
+them, but blocks that hold others (``GROUPS``) are deleted like template elsewhere, unless no text of the page's articles would
+be left. On pages without marks the largest deleted block comes back if what is left has less than a tenth of its words.
 
 A hash counts as template by a number of pages, however large the host, and some of them must be pages of their own:
 copies of a page, and crawls repeated, make no template of what it says. Pages get theirs by joining on host and hash.
@@ -30,6 +33,8 @@ from haulbook.llm.common import stored, text_of, unused
 
 #: A subtree is template if it is on so many pages of its host, so many of them different.
 MIN_PAGES, MIN_BODIES = 5, 4
+#: A subtree is a list of links if it has so many, with half of its words or more.
+MIN_LINKS = 3
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -42,11 +47,12 @@ NAME_GAP = re.compile(r"[^a-z0-9]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no markup.
-RAW = frozenset("script style textarea title noscript template iframe svg math".split())
+RAW = frozenset("script style textarea title noscript template iframe svg annotation".split())
 INLINE = frozenset(
     "a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup"
-    " time tt u var wbr".split()
+    " time tt u var wbr math mrow mi mn mo mtext ms msup msub msubsup mfrac msqrt mroot semantics".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that a new one of the same group ends, and where the search for an open one stops.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPES = frozenset("ul ol dl table article main section div body html aside nav header footer form blockquote".split())
@@ -66,20 +72,41 @@ FURNITURE_NAMES = frozenset(
 WHOLE_NAMES = frozenset("html body main article".split())
 
 
+def named_parts(tag: str, names: dict[str, set[str]], inside_root: bool) -> set[str]:
+    """The parts of an element's names that may say that it is furniture."""
+    whole = set().union(*names.values())
+    if tag in WHOLE_NAMES:
+        return whole
+    if not inside_root:
+        known = set().union(*(found for kind, found in names.items() if kind != "id" or tag not in HEADINGS))
+        return {part for name in known for part in NAME_GAP.split(name)}
+    # Ids inside an article are made from its headings; of a class the last part is what the element is.
+    ids = set() if tag in HEADINGS else names.get("id", set())
+    rest = set().union(*(found for kind, found in names.items() if kind != "id"))
+    # The header of an article holds its title.
+    return (ids | {NAME_GAP.split(name)[-1] for name in rest}) - {"header"}
+
+
 class Element:
-    __slots__ = ("tag", "parent", "start", "end", "furniture", "root", "says", "parts", "digest")
+    __slots__ = (
+        "tag", "parent", "start", "end", "furniture", "root", "says", "parts", "digest", "shapes", "path", "shape", "words",
+        "linked", "links",
+    )
 
     def __init__(self, tag: str, parent: Element | None, start: int, names: dict[str, set[str]], inside_root: bool):
         self.tag, self.parent, self.start, self.end = tag, parent, start, start
         whole = set().union(*names.values())
-        parts = whole if tag in WHOLE_NAMES else {part for name in whole for part in NAME_GAP.split(name)}
-        # The header of an article holds its title.
-        named = tag not in ("html", "body") and bool(parts & FURNITURE_NAMES - ({"header"} if inside_root else set()))
+        named = tag not in ("html", "body") and bool(named_parts(tag, names, inside_root) & FURNITURE_NAMES)
         self.furniture = tag in FURNITURE or named or (tag == "header" and not inside_root)
         self.root = not named and (tag in ROOTS or "main" in whole and tag not in INLINE)
         self.says = False
         self.parts: list[bytes] = [tag.encode()]
-        self.digest = 0
+        self.digest = self.shape = 0
+        name = " ".join((tag, *sorted(names.get("class", ())))).encode("utf-8", "surrogatepass")
+        self.shapes: list[bytes] = [name]
+        self.path = (parent.path if parent else b"")[-200:] + b"/" + name
+        self.words = self.linked = 0
+        self.links = int(tag == "a")
 
 
 def parsed(page: str) -> tuple[list[Element], list[str]]:
@@ -99,15 +126,26 @@ def parsed(page: str) -> tuple[list[Element], list[str]]:
             roots -= element.root
             own = xxhash.xxh64_digest(b"\x00".join(element.parts))
             element.digest = int.from_bytes(own, "big", signed=True)
-            element.parts = []
+            shape = xxhash.xxh64_digest(b"\x00".join(element.shapes))
+            element.shape = xxhash.xxh64_intdigest(b"\x01".join((shape, element.path))) - (1 << 63)
+            element.parts, element.shapes = [], []
+            if element.tag == "a":
+                element.linked = element.words
             if stack:
-                stack[-1].parts.append(own)
+                above = stack[-1]
+                above.parts.append(own)
+                if above.shapes[-1] != shape:
+                    above.shapes.append(shape)
+                above.words += element.words
+                above.linked += element.linked
+                above.links += element.links
 
     def say(piece: str) -> None:
         if piece:
             pieces.append(piece)
             if stack:
                 stack[-1].says |= not piece.isspace()
+                stack[-1].words += len(piece.split())
                 stack[-1].parts.append(piece.encode("utf-8", "surrogatepass"))
 
     while match := TOKEN.search(page, place):
@@ -172,15 +210,20 @@ def in_running_text(element: Element) -> bool:
     return False
 
 
-def deletable(elements: list[Element], roots: list[tuple[int, int]]) -> list[Element]:
-    """Elements with text that go if they are template: outside of marked articles all, inside them groups."""
+def lists_links(element: Element) -> bool:
+    return element.links >= MIN_LINKS and 2 * element.linked >= element.words and element.tag not in INLINE
+
+
+def deletable(elements: list[Element], roots: list[tuple[int, int]]) -> list[tuple[Element, tuple[int, ...]]]:
+    """Elements with text and the hashes by which they go if these are template.
+
+    Outside of marked articles all elements go by their subtrees, and lists of links by their shapes too; inside, groups
+    go by their subtrees.
+    """
     found = []
-    bad_end, at = 0, 0
+    at = 0
     for element in elements:
-        if element.furniture:
-            bad_end = max(bad_end, element.end)
-        # What is furniture goes anyway.
-        if element.start < bad_end or element.end == element.start or element.tag in ("html", "body", "head"):
+        if element.end == element.start or element.tag in ("html", "body", "head"):
             continue
         if in_running_text(element):
             continue
@@ -189,34 +232,44 @@ def deletable(elements: list[Element], roots: list[tuple[int, int]]) -> list[Ele
         inside = at < len(roots) and roots[at][0] <= element.start and element.end <= roots[at][1]
         if inside:
             if element.tag in GROUPS and not element.root:
-                found.append(element)
+                found.append((element, (element.digest,)))
         elif at == len(roots) or element.end <= roots[at][0]:
-            found.append(element)
+            found.append((element, (element.digest, element.shape) if lists_links(element) else (element.digest,)))
     return found
 
 
 def candidates(page: str) -> list[int]:
-    """Distinct hashes of the subtrees that may be template."""
+    """Distinct hashes of the subtrees, and of the shapes, that may be template."""
     elements, _ = parsed(page)
-    return sorted({element.digest for element in deletable(elements, inside_roots(elements))})
+    return sorted({digest for _, hashes in deletable(elements, inside_roots(elements)) for digest in hashes})
 
 
 def main_text(page: str, template: set[int]) -> str:
     """The main text of a page, given the template hashes of its host."""
     elements, pieces = parsed(page)
     roots = inside_roots(elements)
-    keep = np.zeros(len(pieces), bool)
+    own = np.zeros(len(pieces), bool)
     for start, end in roots or [(0, len(pieces))]:
-        keep[start:end] = True
+        own[start:end] = True
+    gone = [element for element, hashes in deletable(elements, roots) if not template.isdisjoint(hashes)]
+    keep, named = own.copy(), np.zeros(len(pieces), bool)
+    for element in gone:
+        keep[element.start : element.end] = False
+    # Names speak on what the counts have left.
     for element in elements:
         if element.furniture:
-            keep[element.start : element.end] = False
-    whole = keep.copy()
-    for element in deletable(elements, roots):
-        if element.digest in template:
-            keep[element.start : element.end] = False
-    if roots and not any(piece.strip() for piece, wanted in zip(pieces, keep.tolist()) if wanted):
-        keep = whole
+            named[element.start : element.end] = True
+    keep &= ~named
+    sizes = np.array([len(piece.split()) for piece in pieces], np.int64)
+    left = int(sizes[keep].sum())
+    if roots and not left:
+        keep = own & ~named
+    elif gone and not roots:
+        # A story on several pages is not template for what little stands around it.
+        total = np.concatenate(([0], np.cumsum(np.where(named, 0, sizes))))
+        largest = max(gone, key=lambda element: (total[element.end] - total[element.start], -element.start))
+        if not lists_links(largest) and 10 * left < total[largest.end] - total[largest.start]:
+            keep[largest.start : largest.end] = ~named[largest.start : largest.end]
     # Where something was cut out, a block ends.
     out, gap = [], False
     for piece, wanted in zip(pieces, keep.tolist()):

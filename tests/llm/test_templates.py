@@ -83,3 +83,55 @@ def test_templates_of_few_among_many_pages(spark):
     rows += [(80 + n, "https://b.example.org/", f"<body><div><p>Told {max(n, 4)}</p></div></body>", "") for n in range(20)]
     found = {row["page_id"]: row["text"] for row in site.with_main_text(spark.createDataFrame(rows, PAGES)).collect()}
     assert found == {n: f"Story {n} on Berlin" for n in range(80)} | {80 + n: f"Told {max(n, 4)}" for n in range(20)}
+
+
+def test_names_inside_articles():
+    text = lambda page: site.main_text(page, set())
+    page = (
+        "<article><h1>T</h1><h2 id='social-impact'>Social impact</h2><p>a b c</p><section id='search-algorithms'>Trees</section>"
+        "<p class='related-work'>rw</p><h3 id='ads-and-revenue'>Ads</h3><h3 id=comments>Remarks</h3>"
+        "<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p><div class='post-share'>tell</div></article>"
+    )
+    assert text(page) == "T Social impact a b c Trees rw Ads Remarks so x=1"
+    assert text("<body><h2 id='news-menu'>Menu of the day</h2><p>soup</p></body>") == "Menu of the day soup"
+
+
+def test_one_story_on_several_pages_stays(spark):
+    story = "<div><p>" + "told again and again " * 8 + "</p><p>" + "to its end " * 4 + "</p></div>"
+    rows = [(n, "https://a.example.org/", f"<body>{story}<p>views {n}</p></body>", "") for n in range(6)]
+    found = site.with_main_text(spark.createDataFrame(rows, PAGES)).collect()
+    for row in found:
+        assert row["text"].split() == ["told", "again", "and", "again"] * 8 + ["to", "its", "end"] * 4 + ["views", str(row["page_id"])]
+
+
+def test_menus_go_by_shape(spark):
+    def menu(n):
+        return "<div><ul>" + "".join(f"<li><a href=/{n}{k}>Part {n} {k}</a></li>" for k in range(3 + n % 3)) + "</ul></div>"
+
+    rows = [(n, "https://a.example.org/", f"<body>{menu(n)}<p>Story {n} with <a href=/>one</a> link</p></body>", "") for n in range(9)]
+    rows += [(n, "https://b.example.org/", f"<body>{menu(n)}<p>Story {n}</p></body>", "") for n in range(20, 23)]
+    found = {row["page_id"]: row["text"] for row in site.with_main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    for n in range(9):
+        assert found[n] == f"Story {n} with one link"
+    for n in range(20, 23):
+        assert found[n].startswith(f"Part {n} 0") and found[n].endswith(f"Story {n}")
+
+
+def test_counts_per_host_equal_brute_force(spark):
+    """Every page's text from template hashes that are counted here page by page."""
+    rows = []
+    for n in range(60):
+        host = f"h{n % 3}.example.org"
+        blocks = [f"<div><p>block {n % k} of {k}</p></div>" for k in (2, 3, 5, 7, 30)]
+        page = f"<body>{''.join(blocks)}<p>{'word ' * 30}{n // 2}</p></body>"
+        rows.append((n, f"https://{host}/{n}", page, ""))
+    counts: dict = {}
+    for _, url, page, _ in rows:
+        for digest in site.candidates(page):
+            counts.setdefault((url.split("/")[2], digest), []).append(page)
+    frequent = {key for key, pages in counts.items() if len(pages) >= site.MIN_PAGES and len(set(pages)) >= site.MIN_BODIES}
+    found = {row["page_id"]: row["text"] for row in site.with_main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    for n, url, page, _ in rows:
+        host = url.split("/")[2]
+        assert found[n] == site.main_text(page, {digest for own, digest in frequent if own == host})
+    assert any("of 2" not in text for text in found.values()) and any("of 30" in text for text in found.values())
