@@ -24,6 +24,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -51,10 +52,22 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + series - np.log(product)
 
 
+#: Small counts, which are nearly all, find their logarithms in tables: of the gamma function at n + 1/2 and at n + 1.
+SMALL = 1 << 14
+AT_HALF, AT_ONE = log_gamma(np.arange(SMALL) + 0.5), log_gamma(np.arange(SMALL) + 1.0)
+
+
 def log_estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """ln of the probability that Krichevsky and Trofimov give to a sequence with these counts."""
-    whole = log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - np.log(np.pi)
-    return np.where(zeros + ones > 0, whole, 0.0)
+    both = zeros + ones
+    small = np.minimum(both, SMALL - 1).astype(np.int64)
+    whole = AT_HALF[np.minimum(zeros, small).astype(np.int64)] + AT_HALF[np.minimum(ones, small).astype(np.int64)]
+    whole -= AT_ONE[small] + np.log(np.pi)
+    large = np.nonzero(both >= SMALL)
+    if len(large[0]):
+        zeros, ones = zeros[large], ones[large]
+        whole[large] = log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - np.log(np.pi)
+    return np.where(both > 0, whole, 0.0)
 
 
 def mixed(estimate: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -192,38 +205,50 @@ def cells(buckets: int):
 def added_up(cell: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Distinct keys of a bucket, their counts, and for each row the keys it asks for."""
     asked_for = [unpacked(data) for data in cell["keys"]]
-    distinct = np.unique(np.concatenate(asked_for))
+    distinct = np.sort(np.concatenate(asked_for))
+    distinct = distinct[np.diff(distinct, prepend=-1) != 0]
     counts = np.zeros(len(distinct))
     for keys, data in zip(asked_for, cell["counts"]):
         counts[np.searchsorted(distinct, keys)] += spread(data, np.int32)
     return distinct, counts, asked_for
 
 
-def nodes(keys: np.ndarray, counts: np.ndarray, bit: int) -> tuple[np.ndarray, list[tuple], np.ndarray]:
-    """Of one of the eight decisions: the node of the byte's leading bits, and the levels from the deepest to depth 2.
+class Level(NamedTuple):
+    """The nodes of one depth: for each node of the deepest level its place here, then what belongs to the nodes."""
+
+    place: np.ndarray
+    zeros: np.ndarray
+    ones: np.ndarray
+    weight: np.ndarray
+    weighted: np.ndarray
 
-    A level has, for each key, the place of its node, and for the nodes the counts, the estimate, the weighted
-    probability and the weight. Last come for each node of depth 2 its first key.
+
+def nodes(keys: np.ndarray, counts: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray, list[Level], np.ndarray]:
+    """Of one of the eight decisions: each key's bit and its place among the deepest nodes, the levels from there to
+    depth 2, and a key of each node of depth 2.
+
+    Keys are distinct and ascending, so the deepest nodes are too; each further level is made from the one below.
     """
     byte = keys & 255
-    node = (1 << bit) | (byte >> (8 - bit))
     one = (byte >> (7 - bit)) & 1
-    levels = []
-    below: tuple[np.ndarray, np.ndarray] | None = None
-    for depth in range(DEPTH, 1, -1):
-        name = (keys >> 8 * (DEPTH - depth + 1) << 8) | node
-        names, first, place = np.unique(name, return_index=True, return_inverse=True)
-        ones = np.bincount(place, counts * one, len(names))
-        zeros = np.bincount(place, counts * (1 - one), len(names))
-        estimate = log_estimate(zeros, ones)
-        if below is None:
-            weighted, weight = estimate, np.ones(len(names))
-        else:
-            deeper_first, deeper_weighted = below
-            weighted, weight = mixed(estimate, np.bincount(place[deeper_first], deeper_weighted, len(names)))
-        levels.append((place, zeros, ones, weight, weighted))
-        below = (first, weighted)
-    return one, levels, below[0]
+    name = keys - byte | 1 << bit | byte >> (8 - bit)
+    new = np.diff(name, prepend=-1) != 0
+    inside = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    name = name[first]
+    ones = np.bincount(inside, counts * one, len(name))
+    zeros = np.bincount(inside, counts, len(name)) - ones
+    place = np.arange(len(name))
+    weighted = log_estimate(zeros, ones)
+    levels = [Level(place, zeros, ones, np.ones(len(name)), weighted)]
+    for _ in range(DEPTH - 2):
+        # The farthest byte of the context goes.
+        name, index, up = np.unique((name >> 16 << 8) | (name & 255), return_index=True, return_inverse=True)
+        first, place = first[index], up[place]
+        zeros, ones = np.bincount(up, zeros, len(name)), np.bincount(up, ones, len(name))
+        weighted, weight = mixed(log_estimate(zeros, ones), np.bincount(up, weighted, len(name)))
+        levels.append(Level(place, zeros, ones, weight, weighted))
+    return one, inside, levels, keys[first]
 
 
 def summaries(buckets: int):
@@ -236,12 +261,11 @@ def summaries(buckets: int):
         else:
             rows = []
             for bit in range(8):
-                _, levels, first = nodes(keys, counts, bit)
-                _, zeros, ones, _, weighted = levels[-1]
-                nearest = keys[first] >> 8 * DEPTH
-                node = (1 << bit) | ((keys[first] & 255) >> (8 - bit))
-                name, place = np.unique(nearest << 8 | node, return_inverse=True)
-                sums = [np.bincount(place, values, len(name)) for values in (weighted, zeros, ones)]
+                _, _, levels, some = nodes(keys, counts, bit)
+                last = levels[-1]
+                node = (1 << bit) | ((some & 255) >> (8 - bit))
+                name, place = np.unique(some >> 8 * DEPTH << 8 | node, return_inverse=True)
+                sums = [np.bincount(place, values, len(name)) for values in (last.weighted, last.zeros, last.ones)]
                 rows += list(zip([0] * len(name), (name >> 8).tolist(), (name & 255).tolist(), *map(np.ndarray.tolist, sums)))
         return pd.DataFrame(rows, columns=["kind", "nearest", "node", "x", "y", "z"])
 
@@ -261,21 +285,23 @@ class Upper:
 
     def log10(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """log10 of the probability of each key's last byte after the others."""
-        total = np.zeros(len(keys))
-        nearest = keys >> 8 * DEPTH
+        whole = np.ones(len(keys))
         for bit in range(8):
-            one, levels, _ = nodes(keys, counts, bit)
-            node = (1 << bit) | ((keys & 255) >> (8 - bit))
-            steps = [(zeros[at], ones[at], weight[at]) for at, zeros, ones, weight, _ in levels]
+            one, inside, levels, _ = nodes(keys, counts, bit)
+            # The chance of a one is worked out once for each of the deepest nodes.
+            deepest = keys[np.flatnonzero(np.diff(inside, prepend=-1))]
+            nearest, node = deepest >> 8 * DEPTH, (1 << bit) | ((deepest & 255) >> (8 - bit))
+            steps = [(level.zeros[level.place], level.ones[level.place], level.weight[level.place]) for level in levels]
             steps.append((self.zeros[nearest, node], self.ones[nearest, node], self.weight[nearest, node]))
             steps.append((self.root_zeros[node], self.root_ones[node], self.root_weight[node]))
-            chance = np.full(len(keys), np.nan)
+            chance = np.full(len(deepest), np.nan)
             for zeros, ones, weight in steps:
-                own = (np.where(one == 1, ones, zeros) + 0.5) / (zeros + ones + 1.0)
+                own = (ones + 0.5) / (zeros + ones + 1.0)
                 mixture = np.where(np.isnan(chance), own, weight * own + (1 - weight) * chance)
                 chance = np.where(zeros + ones > 0, mixture, chance)
-            total += np.log10(np.where(np.isnan(chance), 0.5, chance))
-        return total
+            chance = np.where(np.isnan(chance), 0.5, chance)[inside]
+            whole *= np.where(one == 1, chance, 1 - chance)
+        return np.log10(whole)
 
 
 ANSWER = "chunk long, run long, bucket int, answers binary"
