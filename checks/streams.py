@@ -22,6 +22,10 @@ from haulbook.streaming import progress_state, runner, stages
 from haulbook.streaming.listen import Listener, listen, signals, ticks
 
 
+#: Progress messages of a file of a topic, and transfers of a group of state.
+MESSAGES_PER_FILE, TRANSFERS_PER_GROUP = 250_000, 1024
+
+
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table as a stream."""
     schema = v.table(spark, sf_dir, name).schema
@@ -164,15 +168,17 @@ def exactly_once(spark, sf_dir):
 def progress_in_state(spark, sf_dir):
     """Messages of both topics spread over files and batches without regard to their order; ended transfers have no state."""
     root = run_dir(spark, "str_progress_state")
-    messages.write_folder(
-        messages.encode_progress(v.progress(spark, sf_dir)).repartition(4, "arrival"), f"{root}/progress"
-    )
-    messages.write_folder(messages.encode_results(v.results(spark, sf_dir)).repartition(4, "arrival"), f"{root}/results")
-    progress, results = (
-        messages.decode(messages.folder_stream(spark, f"{root}/{name}", max_files=2)) for name in ("progress", "results")
-    )
-    stream = signals(messages.as_progress(progress), messages.as_results(results))
-    progress_state.start_progress_state(stream, f"{root}/closed", f"{root}/checkpoint").awaitTermination()
+    topics = {"progress": messages.encode_progress(v.progress(spark, sf_dir)), "results": messages.encode_results(v.results(spark, sf_dir))}
+    # Files of some size, in two batches.
+    files = max(4, v.table(spark, sf_dir, "lineitem").count() // MESSAGES_PER_FILE)
+    streams = []
+    for name, records in topics.items():
+        messages.write_folder(records.repartition(files, "arrival"), f"{root}/{name}")
+        streams.append(messages.decode(messages.folder_stream(spark, f"{root}/{name}", max_files=-(-files // 2))))
+    stream = signals(messages.as_progress(streams[0]), messages.as_results(streams[1]))
+    groups = max(64, v.table(spark, sf_dir, "orders").count() // TRANSFERS_PER_GROUP)
+    query = progress_state.start_progress_state(stream, f"{root}/closed", f"{root}/checkpoint", groups=groups)
+    query.awaitTermination()
     return progress_state.read_progress_state(spark, f"{root}/checkpoint")
 
 

@@ -4,6 +4,9 @@ Progress and results come as one stream of tagged messages. A transfer has a sta
 whatever the order of arrival. A result ends it. The two topics are not ordered against each other, so an ended transfer's key
 stays for a while, without its info, to keep late progress from opening it again; then a timer removes it. Another timer
 gives up transfers that have been silent for too long. State so grows with what is under way and not with what ever was.
+
+A call of Python for each transfer costs milliseconds, so transfers are dealt to groups by a hash of their ids: a group's
+transfers are folded in one call, each with a time of its own at which it is due.
 """
 
 from __future__ import annotations
@@ -21,9 +24,15 @@ from haulbook.sources.messages import MAX_WAIT
 #: How long a transfer may be silent, and how long an ended one is remembered, unless configured otherwise.
 SILENCE_MILLIS, LINGER_MILLIS = 7 * 24 * 3600 * 1000, 3600 * 1000
 
+#: Groups that transfers are dealt to by a hash of their ids. A group's transfers are one entry of the state store and one call
+#: of Python, so there should be some hundred of them to a group; a checkpoint keeps the number that it was made with.
+GROUPS = 4096
+
 KEYS = ["request_id", "transfer_id"]
 MESSAGE_DDL = "request_id string, transfer_id string, step int, info string, arrival {}, is_end boolean"
-STATE_DDL = "step int, info string, arrival string, ended boolean"
+ENTRY_DDL = "request_id string, transfer_id string, step int, info string, arrival string, ended boolean, due bigint"
+#: The entries of a group, column by column.
+STATE_DDL = ", ".join(f"{name} array<{kind}>" for name, kind in (field.split() for field in ENTRY_DDL.split(", ")))
 CLOSED_DDL = "request_id string, transfer_id string, step int, info string, how string"
 
 
@@ -43,6 +52,19 @@ def reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield latest_of(batch)
 
 
+def news_of(chunks: Iterator[pd.DataFrame]) -> dict[tuple, tuple]:
+    """Per transfer of a group (step, info, arrival, ended) of a batch's messages; the step is null if none tells it."""
+    news: dict[tuple, tuple] = {}
+    for chunk in chunks:
+        names = [*KEYS, "step", "info", "arrival", "is_end"]
+        for request, transfer, step, info, arrival, ending in zip(*(chunk[name].tolist() for name in names)):
+            known = news.get((request, transfer), (None, None, None, False))
+            if pd.notna(step) and (known[0] is None or (int(step), -int(arrival)) > (known[0], -known[2])):
+                known = int(step), info, int(arrival), known[3]
+            news[request, transfer] = (*known[:3], known[3] or bool(ending))
+    return news
+
+
 def start_progress_state(
     messages: DataFrame,
     folder: str,
@@ -51,39 +73,44 @@ def start_progress_state(
     silence_millis: int = SILENCE_MILLIS,
     linger_millis: int = LINGER_MILLIS,
     max_wait: str = MAX_WAIT,
+    groups: int = GROUPS,
 ) -> StreamingQuery:
     """Keep the state of tagged messages; transfers that ended or fell silent are written to ``folder``, batch by batch."""
 
-    def fold(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        def closed(step, info, how: str) -> Iterator[pd.DataFrame]:
-            names = [*KEYS, "step", "info", "how"]
-            yield pd.DataFrame([(*key, step, info, how)], columns=names).astype({"step": "Int32"})
-
-        step, info, arrival, ended = state.get if state.exists else (None, None, None, False)
-        if state.hasTimedOut:
-            state.remove()
+    def fold(_: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentProcessingTimeMs()
+        entries = {entry[:2]: entry[2:] for entry in zip(*state.get)} if state.exists else {}
+        news = {} if state.hasTimedOut else news_of(chunks)
+        closed = []
+        # What this batch has messages for is not silent, however late they come.
+        for key in [key for key, entry in entries.items() if entry[-1] <= now and key not in news]:
+            step, info, _, ended, _ = entries.pop(key)
             if not ended:
-                yield from closed(step, info, "silent")
-            return
-        for chunk in chunks:
-            for row in latest_of(chunk).itertuples(index=False):
-                ending = bool(row.is_end) and not ended
-                if not ended and pd.notna(row.step):
-                    new = int(row.step), -int(row.arrival)
-                    if step is None or new > (step, -int(arrival)):
-                        step, info, arrival = int(row.step), row.info, str(row.arrival)
+                closed.append((*key, step, info, "silent"))
+        for key, (new, new_info, came, ending) in news.items():
+            step, info, arrival, ended, _ = entries.get(key, (None, None, None, False, None))
+            if not ended:
+                if new is not None and (step is None or (new, -came) > (step, -int(arrival))):
+                    step, info, arrival = new, new_info, str(came)
                 if ending:
-                    ended = True
-                    yield from closed(step, info, "ended")
-        state.update((step, None if ended else info, arrival, ended))
-        state.setTimeoutDuration(linger_millis if ended else silence_millis)
+                    closed.append((*key, step, info, "ended"))
+                    ended, info = True, None
+            entries[key] = step, info, arrival, ended, now + (linger_millis if ended else silence_millis)
+        if entries:
+            state.update(tuple(map(list, zip(*((*key, *entry) for key, entry in entries.items())))))
+            state.setTimeoutDuration(max(1, min(entry[-1] for entry in entries.values()) - now))
+        else:
+            state.remove()
+        if closed:
+            yield pd.DataFrame(closed, columns=[*KEYS, "step", "info", "how"]).astype({"step": "Int32"})
 
     def handle(changes: DataFrame, number: int) -> None:
         changes.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     own = messages.select(*KEYS, "step", "info", "arrival", F.col("signal").isNotNull().alias("is_end"))
     kind = own.schema["arrival"].dataType.simpleString()
-    states = own.mapInPandas(reduced, MESSAGE_DDL.format(kind)).groupBy(*KEYS).applyInPandasWithState(
+    dealt = own.mapInPandas(reduced, MESSAGE_DDL.format(kind)).withColumn("group", F.pmod(F.xxhash64(*KEYS), F.lit(groups)))
+    states = dealt.groupBy("group").applyInPandasWithState(
         fold, CLOSED_DDL, STATE_DDL, "update", GroupStateTimeout.ProcessingTimeTimeout
     )
     writer = states.writeStream.outputMode("update").foreachBatch(handle).option("checkpointLocation", checkpoint)
@@ -101,8 +128,10 @@ def start_progress_state(
 
 def read_progress_state(spark: SparkSession, checkpoint: str) -> DataFrame:
     """Where the transfers under way are, from the state store's last committed version."""
-    states = spark.read.format("statestore").load(checkpoint)
-    return states.select("key.*", "value.groupState.*").where("NOT ended AND step IS NOT NULL").select(*KEYS, "step", "info")
+    states = spark.read.format("statestore").load(checkpoint).select("value.groupState.*")
+    columns = [f"`{field.split()[0]}`" for field in ENTRY_DDL.split(", ")]
+    entries = states.select(F.explode(F.expr(f"arrays_zip({', '.join(columns)})")).alias("entry")).select("entry.*")
+    return entries.where("NOT ended AND step IS NOT NULL").select(*KEYS, "step", "info")
 
 
 def read_closed(spark: SparkSession, folder: str) -> DataFrame:

@@ -78,6 +78,19 @@ def test_timers_remove_what_is_silent_or_ended(spark, tmp_path):
     assert closed(spark, tmp_path) == [("done", 1, "ended"), ("quiet", 3, "silent")]
 
 
+def test_transfers_of_a_group_share_an_entry_and_keep_their_own_times(spark, tmp_path):
+    names = [f"t{n}" for n in range(200)]
+    put(spark, f"{tmp_path}/progress", *(envelope("r", name, '[2,"x"]') for name in names))
+    assert keep_state(spark, tmp_path, groups=3, silence_millis=1) == {name: (2, '"x"') for name in names}
+    assert spark.read.format("statestore").load(f"{tmp_path}/state").count() == 3
+    # A message keeps its own transfer alone, and a result ends one; the others have been silent.
+    put(spark, f"{tmp_path}/progress", envelope("r", "t7", '[1,"late"]'), arrival=1000)
+    put(spark, f"{tmp_path}/results", envelope("r", "t8", '["SUCCESS",{}]'), arrival=1000)
+    assert keep_state(spark, tmp_path, groups=3) == {"t7": (2, '"x"')}
+    silent = [(name, 2, "silent") for name in names if name not in ("t7", "t8")]
+    assert closed(spark, tmp_path) == sorted([*silent, ("t8", 2, "ended")])
+
+
 @pytest.fixture
 def ledger(spark, make, tmp_path):
     rows = [{"id": f"t{n}", "request": "R1", "body": f'{{"i":{n}}}'} for n in range(6)]
