@@ -22,8 +22,8 @@ from haulbook.streaming import progress_state, runner, stages
 from haulbook.streaming.listen import Listener, listen, signals, ticks
 
 
-#: Progress messages of a file of a topic, and transfers of a group of state.
-MESSAGES_PER_FILE, TRANSFERS_PER_GROUP = 250_000, 1024
+#: Progress messages of a file of a topic, and transfers of a group of state and of a bucket of the ledger.
+MESSAGES_PER_FILE, TRANSFERS_PER_GROUP, TRANSFERS_PER_BUCKET = 250_000, 1024, 250_000
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +33,9 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def new_ledger(spark: SparkSession, sf_dir: str, root: str) -> Ledger:
-    ledger = Ledger(spark, f"{root}/ledger", buckets=8)
+    # Buckets of bounded size: a bucket is one task's work.
+    buckets = max(8, v.table(spark, sf_dir, "orders").count() // TRANSFERS_PER_BUCKET)
+    ledger = Ledger(spark, f"{root}/ledger", buckets=buckets)
     ledger.load(v.transfers(spark, sf_dir), v.requests(spark, sf_dir))
     return ledger
 

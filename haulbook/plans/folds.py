@@ -58,16 +58,25 @@ def tag_messages(progress: DataFrame, results: DataFrame) -> DataFrame:
 
 def fold_tagged(transfers: DataFrame, messages: DataFrame, now: Column) -> DataFrame:
     """`apply_progress` followed by `apply_results` over messages tagged by `tag_messages`."""
+    return apply_folded(transfers, folded(messages), now)
+
+
+def folded(messages: DataFrame) -> DataFrame:
+    """Tagged messages as one row per (request, transfer)."""
     is_step, is_end = F.col("signal").isNull(), F.col("signal").isNotNull()
     step_order = F.when(is_step, F.struct("step", -F.col("arrival"), "info"))
     end_order = F.when(is_end, F.struct("arrival", "signal", "info"))
-    folded = messages.groupBy("request_id", "transfer_id").agg(
+    return messages.groupBy("request_id", "transfer_id").agg(
         F.max("step").alias("step"),
         F.max_by("info", step_order).alias("step_info"),
         F.max_by(F.struct("signal", "info", "arrival"), end_order).alias("last"),
         F.count_if(is_end).alias("n_results"),
     )
-    rows = update_from_messages(transfers, folded)
+
+
+def apply_folded(transfers: DataFrame, messages: DataFrame, now: Column) -> DataFrame:
+    """New images of the transfers that messages, one row for each by `folded`, change."""
+    rows = update_from_messages(transfers, messages)
     moved = F.coalesce(accepts_progress(F.col("status"), F.col("steps_run"), F.col("step")), F.lit(False))
     ended = F.col("n_results") > 0
     steps = F.when(moved, F.col("step")).otherwise(F.col("steps_run")) + F.col("n_results")

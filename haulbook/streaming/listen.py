@@ -21,7 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from haulbook.plans import control, intake
 from haulbook.plans.admission import SWEEP_INTERVAL, admit
-from haulbook.plans.folds import expand, fold_tagged
+from haulbook.plans.folds import apply_folded, expand, folded
 from haulbook.schemas import BULK_REQUEST, PROGRESS, RESULTS, TRANSFER_COLUMNS
 from haulbook.sources.ledger import LAST_STAGE, Ledger, exists
 from haulbook.sources.messages import MAX_WAIT, encode_requests, write_folder
@@ -169,10 +169,19 @@ class Listener:
         """New images of the transfers that messages are about, and the children of expansions."""
         now = self.clock()
         messages = messages.select(*PROGRESS.fieldNames(), "signal")
-        ids = messages.select(F.col("transfer_id").alias("id")).distinct()
-        # Each part of the ledger is reduced to the transfers in question before anything else is done with it.
-        parts = [part.join(ids, "id", "left_semi") for part in self.ledger.parts(batch, stage)]
-        changed = reduce(DataFrame.unionByName, [fold_tagged(part, messages, now) for part in parts])
+        # Reduced once, whatever number of parts the ledger has.
+        once = folded(messages).persist()
+        try:
+            self._fold(messages, once, batch, stage, now)
+        finally:
+            once.unpersist()
+
+    def _fold(self, messages: DataFrame, once: DataFrame, batch: int, stage: int, now: Column) -> None:
+        ids = once.select(F.col("transfer_id").alias("id")).distinct()
+        # The snapshot meets the messages in one join. Images are reduced to the transfers in question before they are grouped.
+        snapshot, *images = self.ledger.parts(batch, stage)
+        parts = [snapshot, *(part.join(ids, "id", "left_semi") for part in images)]
+        changed = reduce(DataFrame.unionByName, [apply_folded(part, once, now) for part in parts])
         transfers, requests = reduce(DataFrame.unionByName, parts), self.ledger.requests(batch, stage)
         expansion = expand(transfers, messages.where(F.col("signal").isNotNull()), requests, self.strict)
         if not self.strict:

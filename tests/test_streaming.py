@@ -9,8 +9,10 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from checks.streams import RangeRunner, run_until_killed
+from haulbook.plans.folds import apply_folded, folded
 from haulbook.sources import messages
 from haulbook.sources.ledger import Ledger
+from haulbook.streaming import listen as listening
 from haulbook.streaming import runner, stages
 from haulbook.streaming.listen import Listener, commands, listen, signals, submissions, tagged, ticks
 from haulbook.streaming.progress_state import read_closed, read_progress_state, start_progress_state
@@ -112,6 +114,18 @@ def sent_by(spark, tmp_path):
     return sorted((row.transfer_id, row.body) for row in sent.collect())
 
 
+def test_messages_are_reduced_once_for_all_parts_of_the_ledger(spark, ledger, tmp_path, monkeypatch):
+    """The second batch finds the snapshot and the images of the first."""
+    calls, parts = [], []
+    monkeypatch.setattr(listening, "folded", lambda rows: calls.append(1) or folded(rows))
+    monkeypatch.setattr(listening, "apply_folded", lambda part, *rest: parts.append(1) or apply_folded(part, *rest))
+    for number in range(2):
+        put(spark, f"{tmp_path}/results", *(envelope("R1", f"t{n}", '["SUCCESS",{}]') for n in (number, 4)), arrival=10 * number)
+        listen(streams(spark, tmp_path), Listener(ledger), available_now=True).awaitTermination()
+    assert (len(calls), len(parts)) == (2, 3)
+    assert {row.id: row.steps_run for row in ledger.transfers().where("status = 'succeeded'").collect()} == {"t0": 0, "t1": 0, "t4": 1}
+
+
 def test_sweeps_and_folds_to_the_end(spark, ledger, tmp_path):
     """Two slots: every round ends what is in flight, and the next two are submitted."""
     listener = Listener(ledger, max_in_flight=2, outbox=f"{tmp_path}/outbox")
