@@ -9,11 +9,13 @@ Links within a list are reduced to a tree where they are found, so that a list o
 long lists are cut into tiles and each pair of tiles is a unit of work of bounded size. Copies of a text share a fingerprint
 and take part once.
 
-``one_of_each`` keeps one of each group of texts that are similar by the Jaccard measure of their five-word shingles. At 0.8
-fingerprints differ in ten of 64 bits and share two of eight bytes, too few for a lookup by bytes that loses nothing, so
-candidates are found by a prefix filter over the shingles themselves, which is exact. Fingerprints of 256 bits then decide
-which candidates are compared (at 0.8 they differ in 39 bits, in 68 or more by less than one pair of a million), and these are,
-by their texts, in tiles of neighbourhoods, so that a text is not sent once for each of its pairs.
+``one_of_each`` keeps one of each group of texts that are similar by the Jaccard measure of their five-word shingles. Its
+fingerprints have 256 bits; at 0.8 they differ in 39 bits, in 68 or more by less than one pair of a million. The byte-position
+index over the first 64 bits finds most similar texts: fingerprints listed together are tallied by their shared bytes and
+verified by counting differing bits, and what passes is compared exactly. At 0.8 two texts share three of seven positions in 29
+of 100 cases only, so a prefix filter over the shingles, which loses no pair, lists together what the index left apart; there,
+too, fingerprints decide what is compared. Neither step makes a row for a pair: lists give trees that join fingerprints into
+neighbourhoods, and texts are dealt by tiles of these and give trees of links.
 
 Defined results: null and empty texts, and those without words, have fingerprint zero and are linked like others; texts of
 one to three words have a single shingle; rows with a null id keep it and never lend their id to a component (a component
@@ -42,10 +44,15 @@ PROBES = tuple(combinations(range(7), MIN_SHARED - 1))
 
 #: What ``one_of_each`` calls near copies: words of a shingle, and the least Jaccard similarity as a fraction.
 SIMILAR_WORDS, SIMILARITY = 5, (4, 5)
-#: Numbers of 64 bits that make a fingerprint for this, and the bits that near copies differ in at most: in the first, and
-#: in all. At 0.8 a bit differs with probability 0.15, so 10 of 64 do and 39 of 256; more than 24, or more than 67, in less than
-#: one pair of a million. Texts that have a third of their shingles in common differ in 85 of 256, others in 128.
-PARTS, FIRST_BITS, ALL_BITS = 4, 24, 67
+#: Numbers of 64 bits that make a fingerprint for this, and the bits that near copies differ in at most. At 0.8 a bit differs
+#: with probability 0.15, so 39 of 256 do, and more than 67 in less than one pair of a million. Texts that have a third of their
+#: shingles in common differ in 85, others in 128.
+PARTS, ALL_BITS = 4, 67
+#: Bytes of 32 that two fingerprints listed together by the index share at least; what has fewer is left to the prefix filter.
+#: At 0.8 this is less than one pair of a hundred of those listed together.
+TALLY = 5
+#: Lists up to this length are compared all together, longer ones one by one.
+SHORT_LIST = 16
 #: Texts of a tile, on average; a unit of work has two tiles at most.
 UNIT_TEXTS = 128
 #: Documents sampled, and shingles kept, to know the common ones by; no result depends on them.
@@ -158,15 +165,19 @@ def links_of_lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield linked(whole[["key", "low", "high"]].to_numpy(np.int64), whole["bits"].to_numpy(np.int64))
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """Links (a, b), a > b, among distinct fingerprints ``bits``: all links, or fewer that connect the same ones."""
-    bits = F.col("bits")
+def index_keys(bits: Column) -> Column:
+    """What the index lists a fingerprint under: each choice of positions with the bytes found there."""
     keys = []
     for number, positions in enumerate(PROBES):
         mask = sum(0xFF << (8 * position) for position in positions)
         # The last position is never looked up, so its byte is free for the number of the choice.
         keys.append(bits.bitwiseAND(F.lit(mask)).bitwiseOR(F.lit(number << 56)))
-    lists = distinct.select("bits", F.explode(F.array(*keys)).alias("key"))
+    return F.array(*keys)
+
+
+def links(distinct: DataFrame) -> DataFrame:
+    """Links (a, b), a > b, among distinct fingerprints ``bits``: all links, or fewer that connect the same ones."""
+    lists = distinct.select("bits", F.explode(index_keys(F.col("bits"))).alias("key"))
     listed = Window.partitionBy("key")
     lists = lists.withColumns(
         {
@@ -268,13 +279,148 @@ def common_shingles(numbered: DataFrame, row: str) -> np.ndarray:
     return np.sort(most["h"].to_numpy(np.int64).view(np.uint64))
 
 
+def forest(edges: np.ndarray) -> np.ndarray:
+    """Of some edges (a, b) as many as connect the same ones, as (larger, smaller)."""
+    parent: dict[int, int] = {}
+
+    def find(node: int) -> int:
+        while (above := parent.setdefault(node, node)) != node:
+            parent[node] = node = parent[above]
+        return node
+
+    kept = []
+    for a, b in np.unique(edges, axis=0).tolist():
+        one, other = find(a), find(b)
+        if one != other:
+            parent[max(one, other)] = min(one, other)
+            kept.append((max(a, b), min(a, b)))
+    return np.array(kept, np.int64).reshape(-1, 2)
+
+
+def runs(batches: Iterator[pd.DataFrame], keys: list[str], least: int) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Rows that come sorted by the keys, some ``least`` at a time and never a part of a group, with the starts of the groups."""
+
+    def whole(kept: list[pd.DataFrame]) -> tuple[pd.DataFrame, np.ndarray]:
+        rows = pd.concat(kept, ignore_index=True)
+        of = rows[keys].to_numpy(np.int64)
+        return rows, np.concatenate(([0], np.flatnonzero((of[1:] != of[:-1]).any(axis=1)) + 1))
+
+    kept, held = [], 0
+    for batch in batches:
+        if not len(batch):
+            continue
+        kept.append(batch)
+        held += len(batch)
+        if held >= least:
+            rows, starts = whole(kept)
+            # The last group may go on in the next batch.
+            if len(starts) > 1:
+                yield rows.iloc[: starts[-1]], starts[:-1]
+            kept, held = [rows.iloc[starts[-1] :]], len(rows) - int(starts[-1])
+    if held:
+        yield whole(kept)
+
+
+def bits_of(rows: pd.DataFrame) -> np.ndarray:
+    return rows[[f"bits{part}" for part in range(PARTS)]].to_numpy(np.int64)
+
+
+def near(rows: dict[str, np.ndarray], x, y, tally: int) -> np.ndarray:
+    """Whether rows x and y, listed together, can be similar by sizes, positions and fingerprints, and are not yet connected."""
+    up, down = SIMILARITY
+    n, m, i, j = rows["n"][x], rows["n"][y], rows["at"][x], rows["at"][y]
+    most = np.minimum(i, j) + 1 + np.minimum(n - i - 1, m - j - 1)
+    differing = rows["bits"][x] ^ rows["bits"][y]
+    can = (rows["root"][x] != rows["root"][y]) & (down * np.minimum(n, m) >= up * np.maximum(n, m))
+    can &= (up + down) * most >= up * (n + m)
+    can &= np.bitwise_count(differing.view(np.uint64)).sum(axis=-1, dtype=np.int64) <= ALL_BITS
+    if tally:
+        can &= (differing.view(np.uint8) == 0).sum(axis=-1) >= tally
+    return can
+
+
+def near_of_lists(tally: int):
+    """Trees that connect what is near in the lists of a partition, whose rows come sorted by list."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame, starts in runs(batches, ["key", "low", "high"], 50_000):
+            rows = {name: frame[name].to_numpy(np.int64) for name in ("row", "n", "at", "root")} | {"bits": bits_of(frame)}
+            lengths = np.diff(np.append(starts, len(frame)))
+            edges = [np.zeros((0, 2), np.int64)]
+            # All short lists at once: each row with the next, with the one after that, and so on.
+            left = np.repeat(starts + lengths, lengths) - np.arange(len(frame))
+            short = np.repeat(lengths <= SHORT_LIST, lengths)
+            for step in range(1, SHORT_LIST):
+                x = np.flatnonzero(short & (left > step))
+                x = x[near(rows, x, x + step, tally)]
+                edges.append(np.stack((rows["row"][x], rows["row"][x + step]), axis=1))
+            for start, length in zip(starts[lengths > SHORT_LIST].tolist(), lengths[lengths > SHORT_LIST].tolist()):
+                rest = np.arange(start, start + length)
+                while len(rest) > 1:
+                    frontier, rest = [rest[0]], rest[1:]
+                    while frontier and len(rest):
+                        at = frontier.pop()
+                        found = near(rows, rest, at, tally)
+                        reached, rest = rest[found], rest[~found]
+                        frontier.extend(reached.tolist())
+                        edges.append(np.stack((rows["row"][reached], np.full(len(reached), rows["row"][at])), axis=1))
+            yield pd.DataFrame(forest(np.concatenate(edges)), columns=["a", "b"])
+
+    return run
+
+
+def similar_of_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Trees that connect the similar texts of each unit of a partition, whose rows come sorted by unit."""
+    up, down = SIMILARITY
+    for frame, starts in runs(batches, ["place", "low", "high"], 1):
+        found = [np.zeros((0, 2), np.int64)]
+        for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(frame)]):
+            unit = frame.iloc[start:end]
+            row, root, bits = unit["row"].to_numpy(np.int64), unit["root"].to_numpy(np.int64), bits_of(unit)
+            sets = [shingles(text) for text in unit["text"]]
+            n = np.array([len(one) for one in sets], np.int64)
+            names, codes = np.unique(np.concatenate(sets), return_inverse=True)
+            codes = np.split(codes, np.cumsum(n)[:-1])
+            rest = np.arange(len(unit))
+            while len(rest) > 1:
+                frontier, rest = [rest[0]], rest[1:]
+                while frontier and len(rest):
+                    at = frontier.pop()
+                    known = root[rest] == root[at]
+                    least, most = np.minimum(n[rest], n[at]), np.maximum(n[rest], n[at])
+                    differing = np.bitwise_count((bits[rest] ^ bits[at]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+                    asked = np.flatnonzero(~known & (down * least >= up * most) & (differing <= ALL_BITS))
+                    similar = known.copy()
+                    if len(asked):
+                        own = np.zeros(len(names), bool)
+                        own[codes[at]] = True
+                        others = [codes[other] for other in rest[asked]]
+                        at_starts = np.cumsum([0, *map(len, others[:-1])])
+                        shared = np.add.reduceat(own[np.concatenate(others)], at_starts, dtype=np.int64)
+                        similar[asked] = down * shared >= up * (n[rest[asked]] + n[at] - shared)
+                    reached, rest = rest[similar], rest[~similar]
+                    frontier.extend(reached.tolist())
+                    found.append(np.stack((row[reached], np.full(len(reached), row[at])), axis=1))
+        yield pd.DataFrame(forest(np.concatenate(found)), columns=["a", "b"])
+
+
+def in_units(rows: DataFrame, key: str, count: Column, size: int) -> DataFrame:
+    """Rows of each key cut into tiles by a hash of ``row``, and dealt to the pairs of tiles: ``low``, ``high``. ``count``: of the key."""
+    zero = F.lit(0).cast("long")
+    rows = rows.withColumn("tiles", F.ceil(count / size).cast("long"))
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("row"), F.col("tiles")))
+    others = F.when(F.col("tiles") == 1, F.array(zero)).otherwise(F.array_remove(F.sequence(zero, F.col("tiles") - 1), F.col("tile")))
+    rows = rows.withColumn("other", F.explode(others))
+    rows = rows.withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other")}).drop("tiles", "tile", "other")
+    return rows.repartition(key, "low", "high").sortWithinPartitions(key, "low", "high")
+
+
 def similar_links(numbered: DataFrame, row: str, once: DataFrame) -> DataFrame:
     """Links (a, b), a > b, among the rows in ``once`` whose texts have a Jaccard similarity of SIMILARITY or more, enough to connect all of them.
 
-    Of n shingles in any order that all texts share, two so similar texts have one in common among their first
-    n - ceil(4 n / 5) + 1. Rows are listed under these; in the order common shingles come last. Rows listed together whose
-    sizes and positions allow the similarity are compared shingle by shingle: first all with the smallest row of their
-    list, then whatever the links found so far do not connect.
+    The index of fingerprints comes first. Of n shingles in any order that all texts share, two so similar texts have one in
+    common among their first n - ceil(4 n / 5) + 1; rows are listed under these, in an order in which common shingles come
+    last, and lists whose rows the index did not connect are compared as well.
     """
     common = common_shingles(numbered, row)
     up, down = SIMILARITY
@@ -294,86 +440,37 @@ def similar_links(numbered: DataFrame, row: str, once: DataFrame) -> DataFrame:
 
     listed = numbered.select(F.col(row).alias("row"), first(text_of("text")).alias("keys")).join(once, "row", "left_semi")
     listed = stored(listed.where(F.element_at("keys", 1) > 0), "listed")
+    parts = {f"bits{part}": F.element_at("keys", part + 2) for part in range(PARTS)}
     prints = stored(
-        listed.select("row", F.element_at("keys", 1).alias("n"), F.slice("keys", 2, PARTS).alias("bits")), "similar-prints"
-    )
-    lists = listed.select(
-        "row",
-        F.element_at("keys", 1).cast("int").alias("n"),
-        F.element_at("keys", 2).alias("bits"),
-        F.posexplode(F.slice("keys", PARTS + 2, 1 << 30)).alias("at", "key"),
+        listed.select("row", F.element_at("keys", 1).alias("n"), *(bits.alias(name) for name, bits in parts.items())), "similar-prints"
     )
-    lists = stored(lists.withColumn("members", F.count("*").over(Window.partitionBy("key"))).where("members > 1"), "lists")
-
-    def close(x: str, y: str) -> Column:
-        n, m, i, j = (F.col(name).cast("long") for name in (f"{x}.n", f"{y}.n", f"{x}.at", f"{y}.at"))
-        most = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)
-        near = F.bit_count(F.col(f"{x}.bits").bitwiseXOR(F.col(f"{y}.bits"))) <= FIRST_BITS
-        return near & (down * F.least(n, m) >= up * F.greatest(n, m)) & ((up + down) * most >= up * (n + m))
-
     texts = numbered.select(F.col(row).alias("row"), text_of("text").alias("text"))
 
-    def differing(x: str, y: str) -> Column:
-        pairs = F.zip_with(x, y, lambda one, other: F.bit_count(one.bitwiseXOR(other)))
-        return F.aggregate(pairs, F.lit(0), lambda total, bits: total + bits)
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        # Fingerprints decide first: texts are dealt out for the pairs that they let through alone.
-        for side in ("a", "b"):
-            pairs = pairs.join(prints.select(F.col("row").alias(side), F.col("bits").alias(f"{side}_bits")), side)
-        pairs = stored(pairs.where(differing("a_bits", "b_bits") <= ALL_BITS).select("a", "b"), "near")
-        # Pairs of one neighbourhood are compared together, so that a text is dealt out once for many of its pairs:
-        # neighbourhoods are cut into tiles, and each pair of tiles is a unit of work of bounded size.
-        near = components(pairs)
-        near = near.union(near.select(F.col("root").alias("node"), "root")).distinct()
-        sizes = near.groupBy("root").agg(F.ceil(F.count("*") / UNIT_TEXTS).alias("tiles"))
-        tile = F.pmod(F.xxhash64("node"), F.col("tiles"))
-        placed = stored(near.join(sizes, "root").select("node", "root", tile.alias("tile")), "tiles")
-        for side in ("a", "b"):
-            own = placed.select(F.col("node").alias(side), "root", F.col("tile").alias(f"{side}_tile"))
-            pairs = pairs.join(own.drop("root") if side == "b" else own, side)
-        unit = F.struct("root", F.least("a_tile", "b_tile").alias("low"), F.greatest("a_tile", "b_tile").alias("high"))
-        pairs = stored(pairs.select(unit.alias("unit"), "a", "b").select("unit.*", "a", "b"), "units")
-        keys = ["root", "low", "high"]
-        wanted = stored(pairs.select(*keys, F.explode(F.array("a", "b")).alias("row")).distinct(), "wanted")
-        dealt = texts.join(wanted, "row")
-        return stored(pairs.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(compared, "a long, b long"), name)
-
-    # Of each list the smallest row, without sorting the list.
-    heads = lists.groupBy("key").agg(F.min(F.struct("row", "n", "at", "bits")).alias("head"))
-    heads = heads.select("key", "head.*")
-    tried = stored(
-        lists.alias("x").join(heads.alias("y"), "key").where("x.row > y.row").where(close("x", "y"))
-        .select(F.col("x.row").alias("a"), F.col("y.row").alias("b")).distinct(),
-        "tried",
-    )
-    links = verified(tried, "similar")
+    def several(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("members", F.count("*").over(Window.partitionBy("key"))).where("members > 1")
+
+    def linked(lists: DataFrame, tally: int, name: str) -> DataFrame:
+        # Fingerprints decide first: texts are dealt out for what they let through alone. Whatever pair of a list they let
+        # through is in one neighbourhood, and all pairs of a neighbourhood that they let through are compared.
+        units = in_units(lists, "key", F.col("members"), TILE)
+        close = components(units.mapInPandas(near_of_lists(tally), "a bigint, b bigint").distinct())
+        close = close.select(F.col("node").alias("row"), F.col("root").alias("place"))
+        close = stored(close.union(close.select(F.col("place").alias("row"), "place")).distinct(), "places")
+        sizes = close.groupBy("place").agg(F.count("*").alias("members"))
+        known = lists.select("row", "root").distinct()
+        placed = close.join(sizes, "place").join(prints.drop("n"), "row").join(known, "row")
+        dealt = in_units(placed.join(texts, "row"), "place", F.col("members"), UNIT_TEXTS)
+        return stored(dealt.mapInPandas(similar_of_units, "a bigint, b bigint").distinct(), name)
+
+    index = several(prints.select("row", F.explode(index_keys(F.col("bits0"))).alias("key")))
+    index = stored(index.join(prints, "row").withColumns({"at": F.lit(0).cast("long"), "root": F.col("row")}), "index")
+    links = linked(index, TALLY, "similar")
     roots = stored(components(links), "connected").withColumnRenamed("node", "row")
-    named = lists.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
+    lists = listed.select("row", F.posexplode(F.slice("keys", PARTS + 2, 1 << 30)).alias("at", "key"))
+    named = stored(several(lists).join(roots, "row", "left").withColumn("root", F.coalesce("root", "row")), "lists")
     apart = named.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
-    open_lists = stored(named.join(apart.select("key"), "key", "left_semi"), "open")
-    rest = (
-        open_lists.alias("x").join(open_lists.alias("y"), "key").where("x.row > y.row and x.root <> y.root")
-        .where(close("x", "y")).select(F.col("x.row").alias("a"), F.col("y.row").alias("b")).distinct()
-    )
-    rest = stored(rest.join(tried, ["a", "b"], "left_anti"), "rest")
-    return links.union(verified(rest, "similar"))
-
-
-def compared(pairs: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
-    """Those pairs of a unit (a, b) whose texts (row, text) have a Jaccard similarity of SIMILARITY or more."""
-    up, down = SIMILARITY
-    known = dict(zip(texts["row"].tolist(), map(shingles, texts["text"])))
-    good = []
-    for a, b in zip(pairs["a"].tolist(), pairs["b"].tolist()):
-        x, y = known[a], known[b]
-        least, most = sorted((len(x), len(y)))
-        if down * least < up * most:
-            good.append(False)
-            continue
-        shared = len(x) + len(y) - len(np.union1d(x, y))
-        good.append(down * shared >= up * (len(x) + len(y) - shared))
-    return pairs.loc[np.array(good, bool), ["a", "b"]]
+    open_lists = stored(named.join(apart.select("key"), "key", "left_semi").join(prints, "row"), "open")
+    return links.union(linked(open_lists, 0, "similar"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -117,3 +117,50 @@ def test_one_of_each_equals_brute_force_jaccard(spark):
     assert apart > 10
     found = {row["doc_id"] for row in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == expected
+
+
+def rows_stored(monkeypatch, texts, spark):
+    """Ids that stay of these texts, and the number of rows of every intermediate result by its name."""
+    counts = {}
+    stored = simhash.stored
+
+    def counted(frame, name):
+        out = stored(frame, name)
+        counts.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {row["doc_id"] for row in simhash.one_of_each(frame).collect()}, counts
+
+
+def test_almost_similar_texts_make_no_row_for_a_pair(spark, monkeypatch):
+    random = np.random.default_rng(3)
+    base = [f"w{n}" for n in range(120)]
+    texts = []
+    for number in range(300):
+        words = list(base)
+        for at in random.choice(np.arange(8, 112), 3, replace=False):
+            words[at] = f"own{number}"
+        texts.append(words)
+    sets = [{tuple(words[at : at + 5]) for at in range(len(words) - 4)} for words in texts]
+    alone = set()
+    for a in range(len(texts)):
+        if not any(5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) for b in range(len(texts)) if b != a):
+            alone.add(a)
+    assert len(alone) > 100
+    found, counts = rows_stored(monkeypatch, [" ".join(words) for words in texts], spark)
+    assert alone <= found
+    # All texts share most of their shingles: there are 44,850 pairs, and 35 lists of the index for a text.
+    assert max(number for numbers in counts.values() for number in numbers) <= 35 * len(texts)
+
+
+def test_the_index_of_fingerprints_finds_near_copies(spark, monkeypatch):
+    texts = []
+    for number in range(20):
+        words = [f"w{number}x{at}" for at in range(400)]
+        texts += [" ".join(words), " ".join(words[:200] + ["other"] + words[201:])]
+    found, counts = rows_stored(monkeypatch, texts, spark)
+    assert found == set(range(0, 40, 2))
+    # What the index connects is not compared again.
+    assert counts["index"][0] > 0 and counts["open"][0] < counts["lists"][0] / 4
