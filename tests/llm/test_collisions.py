@@ -113,3 +113,14 @@ def test_threshold_misses_at_most_its_share():
     random = np.random.default_rng(1)
     counts = (np.abs(random.normal(size=(200_000, collision_search.DIRECTIONS))) <= collision_search.WIDTH).sum(axis=1)
     assert (counts < least).mean() <= 0.012 < (counts < least + 1).mean()
+
+
+def test_cosines_do_not_depend_on_how_many_are_asked():
+    random = np.random.default_rng(5)
+    vectors = random.standard_normal((400, 64))
+    arrays = collision_search.SortedProjections(vectors)
+    for query in vectors[:5]:
+        whole = collision_search.cosines(query, vectors)
+        for count in (1, 7, 99, 101, 400):
+            rows = np.sort(random.choice(400, count, replace=False))
+            assert np.array_equal(arrays.cosines(query, rows), whole[rows])
