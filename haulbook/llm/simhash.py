@@ -60,6 +60,8 @@ SAMPLE, MOST_COMMON = 10_000, 500_000
 
 #: Fingerprints of a list that one unit of work holds, twice at most.
 TILE = 2048
+#: Edges that are made into stars at once.
+EDGES = 100_000
 
 
 def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
@@ -196,13 +198,43 @@ def links(distinct: DataFrame) -> DataFrame:
     return dealt.mapInPandas(links_of_lists, "a bigint, b bigint").distinct()
 
 
+def stars(edges: np.ndarray) -> np.ndarray:
+    """Edges (a, b) that connect the same ones as some edges: each node but the smallest of its component with that one."""
+    parent: dict[int, int] = {}
+
+    def find(node: int) -> int:
+        while (above := parent.setdefault(node, node)) != node:
+            parent[node] = node = parent[above]
+        return node
+
+    for a, b in np.unique(edges, axis=0).tolist():
+        one, other = find(a), find(b)
+        parent[max(one, other)] = min(one, other)
+    return np.array([(node, root) for node in list(parent) if (root := find(node)) != node], np.int64).reshape(-1, 2)
+
+
+def stars_of_edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Stars of the edges of a partition, so many at a time."""
+    kept, held = [np.zeros((0, 2), np.int64)], 0
+    for batch in batches:
+        kept.append(batch[["a", "b"]].to_numpy(np.int64))
+        held += len(batch)
+        if held >= EDGES:
+            yield pd.DataFrame(stars(np.concatenate(kept)), columns=["a", "b"])
+            kept, held = kept[:1], 0
+    yield pd.DataFrame(stars(np.concatenate(kept)), columns=["a", "b"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root``, the smallest node connected with it, for every node of the edges (a, b), a > b.
 
-    Rounds of two steps: every node hands its larger neighbours its smallest one, then its smaller ones. The number
+    A node that many lists connect with others comes with an edge from each of them. Edges are dealt by their larger ends
+    first, where stars replace what meets: then there is about one edge for a node, however many lists it was in.
+    Then rounds of two steps: every node hands its larger neighbours its smallest one, then its smaller ones. The number
     of rounds grows with the logarithm of a component's size. Each round is stored and read by the next.
     """
-    edges = stored(edges, "links")
+    dealt = edges.repartition("a").sortWithinPartitions("a")
+    edges = stored(dealt.mapInPandas(stars_of_edges, "a bigint, b bigint").distinct(), "links")
 
     def state(frame: DataFrame) -> tuple:
         return tuple(frame.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -213,12 +245,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = edges.join(both, "b").select("a", F.least("b", "least").alias("b"))
         smallest = large.groupBy("a").agg(F.min("b").alias("least"))
         small = large.join(smallest, "a")
-        edges = stored(
-            small.select("a", F.col("least").alias("b"))
-            .union(small.where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")))
-            .distinct(),
-            "links",
-        )
+        own, other = (F.struct(F.col(node).alias("a"), F.col("least").alias("b")) for node in "ab")
+        ends = F.when(F.col("b") == F.col("least"), F.array(own)).otherwise(F.array(own, other))
+        edges = stored(small.select(F.inline(ends)).distinct(), "links")
         after = state(edges)
         if after == before:
             break
@@ -279,24 +308,6 @@ def common_shingles(numbered: DataFrame, row: str) -> np.ndarray:
     return np.sort(most["h"].to_numpy(np.int64).view(np.uint64))
 
 
-def forest(edges: np.ndarray) -> np.ndarray:
-    """Of some edges (a, b) as many as connect the same ones, as (larger, smaller)."""
-    parent: dict[int, int] = {}
-
-    def find(node: int) -> int:
-        while (above := parent.setdefault(node, node)) != node:
-            parent[node] = node = parent[above]
-        return node
-
-    kept = []
-    for a, b in np.unique(edges, axis=0).tolist():
-        one, other = find(a), find(b)
-        if one != other:
-            parent[max(one, other)] = min(one, other)
-            kept.append((max(a, b), min(a, b)))
-    return np.array(kept, np.int64).reshape(-1, 2)
-
-
 def runs(batches: Iterator[pd.DataFrame], keys: list[str], least: int) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
     """Rows that come sorted by the keys, some ``least`` at a time and never a part of a group, with the starts of the groups."""
 
@@ -364,7 +375,7 @@ def near_of_lists(tally: int):
                         reached, rest = rest[found], rest[~found]
                         frontier.extend(reached.tolist())
                         edges.append(np.stack((rows["row"][reached], np.full(len(reached), rows["row"][at])), axis=1))
-            yield pd.DataFrame(forest(np.concatenate(edges)), columns=["a", "b"])
+            yield pd.DataFrame(stars(np.concatenate(edges)), columns=["a", "b"])
 
     return run
 
@@ -401,7 +412,7 @@ def similar_of_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     reached, rest = rest[similar], rest[~similar]
                     frontier.extend(reached.tolist())
                     found.append(np.stack((row[reached], np.full(len(reached), row[at])), axis=1))
-        yield pd.DataFrame(forest(np.concatenate(found)), columns=["a", "b"])
+        yield pd.DataFrame(stars(np.concatenate(found)), columns=["a", "b"])
 
 
 def in_units(rows: DataFrame, key: str, count: Column, size: int) -> DataFrame:
@@ -453,7 +464,7 @@ def similar_links(numbered: DataFrame, row: str, once: DataFrame) -> DataFrame:
         # Fingerprints decide first: texts are dealt out for what they let through alone. Whatever pair of a list they let
         # through is in one neighbourhood, and all pairs of a neighbourhood that they let through are compared.
         units = in_units(lists, "key", F.col("members"), TILE)
-        close = components(units.mapInPandas(near_of_lists(tally), "a bigint, b bigint").distinct())
+        close = components(units.mapInPandas(near_of_lists(tally), "a bigint, b bigint"))
         close = close.select(F.col("node").alias("row"), F.col("root").alias("place"))
         close = stored(close.union(close.select(F.col("place").alias("row"), "place")).distinct(), "places")
         sizes = close.groupBy("place").agg(F.count("*").alias("members"))

@@ -76,6 +76,24 @@ def test_components_of_a_long_path(spark):
     assert len(found) == 100 and {row["root"] for row in found} == {0}
 
 
+def test_components_keep_about_one_edge_of_a_node(spark, monkeypatch):
+    """Near copies meet in many lists: each of 200 nodes is linked with each of 50, which makes 10,000 edges."""
+    counts = []
+    stored = simhash.stored
+
+    def counted(frame, name):
+        out = stored(frame, name)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    monkeypatch.setattr(simhash, "EDGES", 1000, raising=False)
+    edges = spark.createDataFrame([(100 + at, by) for at in range(200) for by in range(50)], "a long, b long")
+    found = simhash.components(edges).collect()
+    assert {row["node"] for row in found} == {*range(1, 50), *range(100, 300)} and {row["root"] for row in found} == {0}
+    assert max(counts) <= 500
+
+
 def test_one_of_each_stays(spark):
     kept = simhash.one_of_each(messy(spark))
     assert kept.columns == messy(spark).columns
