@@ -9,7 +9,7 @@ from checks import views as v
 from checks.registry import check
 from haulbook.functions import text
 from haulbook.operators import directories, joins, preflight, ranges
-from haulbook.plans.copy import CopyJob, progress_records, resumed_from
+from haulbook.plans.copy import OBJECTS_PER_TASK, CopyJob, progress_records, resumed_from
 from haulbook.session import run_dir
 from haulbook.sources import messages, objects
 
@@ -246,7 +246,8 @@ def export(spark: SparkSession, sf_dir: str, root: str, where: str = "true") ->
     contents = v.object_contents(spark, sf_dir).where(where)
     placed = contents.select(F.concat(F.lit(root), "path").alias("path"), "content")
     manifest = f"{root}-manifest-{len(where)}"
-    objects.write_objects(placed).write.mode("overwrite").parquet(manifest)
+    tasks = max(ranges.tasks_for(contents.count(), OBJECTS_PER_TASK), spark.sparkContext.defaultParallelism)
+    objects.write_objects(placed, tasks).write.mode("overwrite").parquet(manifest)
     return spark.read.parquet(manifest)
 
 

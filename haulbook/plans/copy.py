@@ -15,8 +15,9 @@ from __future__ import annotations
 import hashlib
 import os
 import time
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyarrow import fs
@@ -92,6 +93,8 @@ class CopyJob:
     rewrite: bool = False
     outbox: str | None = None
     bytes_per_report: int | None = None
+    #: Where this job has written the last outcomes of so many attempts.
+    known: dict[int, str] = field(default_factory=dict, init=False, repr=False, compare=False)
 
     def run(self, decided: DataFrame, resumed: DataFrame | None = None) -> DataFrame:
         """Copy, and return one report row per request. ``resumed``: (target_path, ranges) that are there already."""
@@ -163,10 +166,23 @@ class CopyJob:
         return self.spark.read.schema(schema).option("basePath", f"{self.work_dir}/attempts").parquet(*paths)
 
     def latest(self) -> DataFrame:
-        """The last outcome of each chunk: a chunk found damaged after it was copied has an error again."""
-        names = [name for name in self.outcomes().columns if name not in ("target_path", "start", "attempt")]
-        last = F.max_by(F.struct(*names), "attempt").alias("last")
-        return self.outcomes().groupBy("target_path", "start").agg(last).select("target_path", "start", "last.*")
+        """The last outcome of each chunk: a chunk found damaged after it was copied has an error again.
+
+        Every stage asks for these, so they are found once for each number of attempts and written.
+        """
+        number = len(self._attempts())
+        if not number:
+            return self.outcomes().drop("attempt")
+        if number not in self.known:
+            names = [name for name in self.outcomes().columns if name not in ("target_path", "start", "attempt")]
+            last = F.max_by(F.struct(*names), "attempt").alias("last")
+            rows = self.outcomes().groupBy("target_path", "start").agg(last).select("target_path", "start", "last.*")
+            # Another job in this folder may have made these attempts, or others: it does not share what it wrote.
+            folder = f"{self.work_dir}/latest/{uuid.uuid4().hex}"
+            rows.write.parquet(folder)
+            self.known[number] = folder
+        names = ", ".join(sorted(OUTCOME_DDL.split(", "), key=lambda field: field.split()[0] not in ("target_path", "start")))
+        return self.spark.read.schema(names).parquet(self.known[number])
 
     def copied(self) -> DataFrame:
         """Chunks that are at the target, once each."""
@@ -199,14 +215,17 @@ class CopyJob:
     def _write_attempt(self, chunks: DataFrame, work, total: int | None = None, count: int | None = None) -> DataFrame:
         if total is None:
             total, count = chunks.agg(F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0)), F.count(F.lit(1))).first()
-        # Small objects also cost a round trip each, so a task gets a bounded number of them.
-        partitions = max(tasks_for(total, self.bytes_per_task), tasks_for(count, OBJECTS_PER_TASK))
-        partitions = max(partitions, min(count, self.spark.sparkContext.defaultParallelism), 1)
-        spread = repartition_by_bytes(chunks, partitions, "target_path", "start")
+        spread = repartition_by_bytes(chunks, self._partitions(total, count), "target_path", "start")
         folder = f"{self.work_dir}/attempts/attempt={len(self._attempts())}"
         spread.mapInPandas(work, OUTCOME_DDL).write.mode("overwrite").parquet(folder)
         return self.spark.read.schema(OUTCOME_DDL).parquet(folder)
 
+    def _partitions(self, total: int | None, count: int) -> int:
+        """Tasks for so many bytes in so many objects or chunks: no core is left out."""
+        # Small objects also cost a round trip each, so a task gets a bounded number of them.
+        partitions = max(tasks_for(total or 0, self.bytes_per_task), tasks_for(count, OBJECTS_PER_TASK))
+        return max(partitions, min(count, self.spark.sparkContext.defaultParallelism), 1)
+
     def complete(self) -> DataFrame:
         """Large objects all of whose bytes are there and that do not have their name yet."""
         parts = self.copied().where("NOT is_whole")
@@ -235,8 +254,7 @@ class CopyJob:
         number = len(finished_folders(self.spark, f"{self.work_dir}/finished"))
         if not size[1] and number:
             return 0
-        tasks = max(tasks_for(size[0] or 0, self.bytes_per_task), tasks_for(size[1], OBJECTS_PER_TASK))
-        complete = repartition_by_bytes(complete, tasks, "target_path")
+        complete = repartition_by_bytes(complete, self._partitions(*size), "target_path")
         mover, step = Mover(self.shared_target), self.step
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -331,7 +349,7 @@ class CopyJob:
             F.concat("target_path", F.lit(suffix)).alias("target_path"), "start", "end", "md5"
         )
         total, count = parts.agg(F.sum(F.col("end") - F.col("start")), F.count(F.lit(1))).first()
-        spread = repartition_by_bytes(parts, tasks_for(total or 0, self.bytes_per_task), "target_path", "start")
+        spread = repartition_by_bytes(parts, self._partitions(total, count), "target_path", "start")
         ddl = "target_path string, start bigint, end bigint, md5 string, found string"
         wrong = spread.mapInPandas(_hash_chunks, ddl).where("found IS NULL OR found <> md5")
         return wrong.withColumn("target_path", F.left("target_path", F.length("target_path") - len(suffix)))
@@ -408,8 +426,11 @@ class Mover:
         if path is None:
             part = f"{_unfinished(row.target_path)}/{row.start}"
             return write_whole(part, pieces(row.source_path, row.start, row.end))[1], size
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        handle = os.open(_unfinished(path), os.O_CREAT | os.O_RDWR)
+        try:
+            handle = os.open(_unfinished(path), os.O_CREAT | os.O_RDWR)
+        except FileNotFoundError:
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            handle = os.open(_unfinished(path), os.O_CREAT | os.O_RDWR)
         try:
             # The first chunk to come makes the file, at full length.
             os.ftruncate(handle, row.source_size)

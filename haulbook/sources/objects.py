@@ -10,6 +10,7 @@ import hashlib
 import os
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 from pyarrow import fs
@@ -100,6 +101,17 @@ def content_type_of(files: fs.FileSystem, path: str) -> str | None:
     return found.get(TYPE_HEADER.lower())
 
 
+def _opened(files: fs.FileSystem, path: str, local: bool, metadata: dict[str, str] | None):
+    """A stream to write an object by. Asking for its folder each time would lock the one above; it is made when it is missing."""
+    try:
+        return files.open_output_stream(path, metadata=metadata)
+    except FileNotFoundError:
+        if not local:
+            raise
+        files.create_dir(os.path.dirname(path), recursive=True)
+        return files.open_output_stream(path, metadata=metadata)
+
+
 def write_whole(
     uri: str, content: Iterator[bytes], content_type: str | None = None, expected_md5: str | None = None
 ) -> tuple[int, str]:
@@ -110,12 +122,14 @@ def write_whole(
     files, path = open_path(uri)
     local = isinstance(files, fs.LocalFileSystem)
     written = f"{path}.{uuid.uuid4().hex}.tmp" if local else path
-    if local:
-        files.create_dir(os.path.dirname(path), recursive=True)
     digest, size = hashlib.md5(), 0
     metadata = {TYPE_HEADER: content_type} if content_type is not None and not local else None
+    if local:
+        # Content that cannot be read makes no file that would have to go again.
+        first = next(content, None)
+        content = chain(() if first is None else (first,), content)
     try:
-        with files.open_output_stream(written, metadata=metadata) as handle:
+        with _opened(files, written, local, metadata) as handle:
             for piece in content:
                 handle.write(piece)
                 digest.update(piece)
@@ -297,9 +311,14 @@ def read_ranges(plan: DataFrame) -> DataFrame:
     return plan.mapInPandas(run, schema)
 
 
-def write_objects(objects: DataFrame) -> DataFrame:
+def write_objects(objects: DataFrame, partitions: int | None = None) -> DataFrame:
     """Write each row's ``content`` whole to its ``path``, with its ``content_type`` and ``expected_md5`` if there are such
-    columns; returns what was written. Other content than expected fails the job."""
+    columns; returns what was written. Other content than expected fails the job.
+
+    A scan has a task for each row group at most, which may be a million objects; ``partitions`` spreads them first.
+    """
+    if partitions is not None:
+        objects = repartition_by_bytes(objects, partitions, "path")
     extras = [
         F.col(name) if name in objects.columns else F.lit(None).cast("string").alias(name)
         for name in ("content_type", "expected_md5")

@@ -384,3 +384,53 @@ def test_unfinished_copies_report_progress(spark):
         '{"ids":{"request":"R","transfer":"t"},"message":'
         '[2,{"sourcePath":"s","targetPath":"d","bytesUploaded":5,"totalBytes":9}]}'
     )
+
+
+def many_files(spark, tmp_path, count=40):
+    (tmp_path / "from").mkdir()
+    for number in range(count):
+        (tmp_path / f"from/f{number}").write_bytes(b"%d" % number * 100)
+    rows = [(f"{tmp_path}/from/f{number}", f"{tmp_path}/to/f{number}") for number in range(count)]
+    return spark.createDataFrame(rows, "source_path string, target_path string")
+
+
+def test_no_core_is_left_out_where_objects_are_small(spark, tmp_path):
+    """Reading back and finishing take a task for each core, though all bytes together are far below what a task may have."""
+    job = CopyJob(spark, f"{tmp_path}/job", step=32, shared_target=True)
+    assert {row.state for row in job.run(decided(spark, many_files(spark, tmp_path), 32)).collect()} == {"copied"}
+    cores = spark.sparkContext.defaultParallelism
+    assert cores > 1 and len(list((tmp_path / "job/finished/attempt=0").glob("part-*.parquet"))) == cores
+    assert job.verify_chunks().rdd.getNumPartitions() == cores
+
+
+def test_objects_of_one_row_group_are_written_by_several_tasks(spark, tmp_path):
+    rows = [(f"{tmp_path}/to/f{number}", b"%d" % number) for number in range(40)]
+    frame = spark.createDataFrame(rows, "path string, content binary").coalesce(1)
+    written = objects.write_objects(frame, 4).withColumn("task", F.spark_partition_id()).collect()
+    assert {(row.path, row.size) for row in written} == {(path, len(content)) for path, content in rows}
+    assert len({row.task for row in written}) == 4
+
+
+def test_last_outcomes_are_found_once_for_an_attempt(spark, tmp_path, monkeypatch):
+    plan = decided(spark, many_files(spark, tmp_path), 32).persist()
+    plan.count()
+    (tmp_path / "from/f7").rename(tmp_path / "away")
+    asked = []
+    outcomes = CopyJob.outcomes
+    monkeypatch.setattr(CopyJob, "outcomes", lambda job: asked.append(1) or outcomes(job))
+    job = CopyJob(spark, f"{tmp_path}/job", step=32, max_retries=0, shared_target=True)
+    states = {row.target_path.rsplit("/", 1)[1]: row.state for row in job.run(plan).collect()}
+    assert [name for name, state in states.items() if state != "copied"] == ["f7"]
+    assert len(asked) <= 8  # 13 before
+    (tmp_path / "away").rename(tmp_path / "from/f7")
+    # Another job in the same folder sees what the first one did, and the first one what the other did.
+    other = CopyJob(spark, f"{tmp_path}/job", step=32, max_retries=0, shared_target=True)
+    assert {row.state for row in other.run(plan).collect()} == {"copied"}
+    assert job.copied().count() == other.copied().count() == 40 * 4 + 30 * 3
+
+
+def test_content_that_cannot_be_read_makes_no_folder(tmp_path):
+    with pytest.raises(FileNotFoundError):
+        objects.write_whole(f"{tmp_path}/to/f", objects.pieces(f"{tmp_path}/from/f", 0, 10))
+    assert not (tmp_path / "to").exists()
+    assert objects.write_whole(f"{tmp_path}/to/e", iter([]))[0] == 0 and (tmp_path / "to/e").read_bytes() == b""
