@@ -4,7 +4,8 @@ Everything a run decides or achieves is written under its working folder before
 per attempt the outcome of every chunk. Running again in the same folder copies only what has not succeeded, so a lost
 executor or driver costs the chunks that were in flight; a new job can take up from progress messages instead.
 
-Chunks of a large object are written by many tasks, as part objects that one task streams together in the end. Only where
+Chunks of a large object are written by many tasks, as part objects that one task streams together in the end. A task writes
+adjoining chunks into one part; a file that has become a single part only needs its name. Only where
 ``shared_target`` says that all executors see one file system are they written in place, at their offset; there every chunk is
 read back before the object gets its name. Copies within one store can be left to the store (``rewrite``). An object whose
 content is not the expected one fails, and its target is not there.
@@ -18,6 +19,7 @@ import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import pandas as pd
 from pyarrow import fs
@@ -43,6 +45,7 @@ from haulbook.sources.objects import (
     delete_objects,
     open_path,
     pieces,
+    put_whole,
     repartition_by_bytes,
     require_md5,
     set_content_type,
@@ -56,6 +59,9 @@ MAX_DELAY = 16
 #: Objects or chunks a task handles at most, however small they are (unless that makes too many tasks).
 OBJECTS_PER_TASK = 10_000
 
+#: Chunks that a part holds at most, a power of two. Parts begin and end within a block of so many, whatever job writes them.
+CHUNKS_PER_PART = 64
+
 #: Ranges that a progress message carries at most, the longest; what it leaves out is copied again.
 MAX_RANGES = 1000
 
@@ -69,7 +75,7 @@ PLAN_DDL = (
 TASK_COLUMNS = ["source_path", "target_path", "source_size", "start", "end", "is_whole", "is_rewrite", "content_type", "expected_md5"]
 OUTCOME_DDL = (
     "source_path string, target_path string, source_size bigint, start bigint, end bigint, is_whole boolean, "
-    "md5 string, moved bigint, error string"
+    "md5 string, moved bigint, error string, part string"
 )
 FINISH_DDL = "target_path string, error string"
 RANGES_DDL = "array<struct<start: bigint, end: bigint>>"
@@ -198,7 +204,9 @@ class CopyJob:
     def attempt(self) -> int:
         """Copy all chunks that have not succeeded, with a report after so many bytes; returns how many failed."""
         done = self.latest().where(F.col("error").isNull() | F.col("error").startswith(WRONG_CONTENT))
-        left = self.tasks().select(*TASK_COLUMNS).join(done.select("target_path", "start"), ["target_path", "start"], "left_anti")
+        left = self.tasks().select(*TASK_COLUMNS)
+        if self._attempts():
+            left = left.join(done.select("target_path", "start"), ["target_path", "start"], "left_anti")
         total, count = left.agg(F.sum(F.col("end") - F.col("start")), F.count(F.lit(1))).first()
         if not count:
             return 0
@@ -215,7 +223,11 @@ class CopyJob:
     def _write_attempt(self, chunks: DataFrame, work, total: int | None = None, count: int | None = None) -> DataFrame:
         if total is None:
             total, count = chunks.agg(F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0)), F.count(F.lit(1))).first()
-        spread = repartition_by_bytes(chunks, self._partitions(total, count), "target_path", "start")
+        partitions = self._partitions(total, count)
+        run = F.floor(F.col("start") / self._run_bytes(total, partitions))
+        spread = repartition_by_bytes(chunks.withColumn("run", run), partitions, "target_path", "run")
+        # The chunks of a run one after the other; in the order of the paths all tasks would write to one folder at a time.
+        spread = spread.sortWithinPartitions(F.xxhash64("target_path"), "target_path", "start")
         folder = f"{self.work_dir}/attempts/attempt={len(self._attempts())}"
         spread.mapInPandas(work, OUTCOME_DDL).write.mode("overwrite").parquet(folder)
         return self.spark.read.schema(OUTCOME_DDL).parquet(folder)
@@ -226,13 +238,27 @@ class CopyJob:
         partitions = max(tasks_for(total or 0, self.bytes_per_task), tasks_for(count, OBJECTS_PER_TASK))
         return max(partitions, min(count, self.spark.sparkContext.defaultParallelism), 1)
 
+    def _run_bytes(self, total: int | None, partitions: int) -> int:
+        """Bytes of an object that stay in one task, which writes them as one part: little of what a task gets."""
+        if self.shared_target:
+            return self.step
+        share = (total or 0) // partitions // (4 * self.step)
+        return self.step * min(CHUNKS_PER_PART, 1 << max(share, 1).bit_length() - 1)
+
     def complete(self) -> DataFrame:
-        """Large objects all of whose bytes are there and that do not have their name yet."""
-        parts = self.copied().where("NOT is_whole")
-        whole = parts.groupBy("target_path", "source_size").agg(F.sum(F.col("end") - F.col("start")).alias("n_bytes"))
+        """Large objects all of whose bytes are there and that do not have their name yet, with the parts they are in."""
+        chunks = self.copied().where("NOT is_whole")
+        # A chunk without a name for its part is one by itself.
+        part = F.coalesce("part", F.concat(F.lit("/"), "start")).alias("part")
+        parts = chunks.groupBy("target_path", "source_size", part).agg(
+            F.min("start").alias("start"), F.max("end").alias("end"), F.sum(F.col("end") - F.col("start")).alias("n_bytes")
+        )
+        whole = parts.groupBy("target_path", "source_size").agg(
+            F.sum("n_bytes").alias("n_bytes"), F.array_sort(F.collect_list(F.struct("start", "end", "part"))).alias("parts")
+        )
         ended = self.finished().where(F.col("error").isNull() | F.col("error").startswith(WRONG_CONTENT))
         whole = whole.where("n_bytes = source_size").join(ended, "target_path", "left_anti")
-        return whole.select("target_path").join(self.plan(), "target_path")
+        return whole.select("target_path", "parts").join(self.plan(), "target_path")
 
     def check_in_place(self) -> int:
         """Read back the chunks written in place; those that differ are to be copied again. Returns how many."""
@@ -255,14 +281,10 @@ class CopyJob:
         if not size[1] and number:
             return 0
         complete = repartition_by_bytes(complete, self._partitions(*size), "target_path")
-        mover, step = Mover(self.shared_target), self.step
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            return mover.finish_objects(batches, step)
-
         folder = f"{self.work_dir}/finished/attempt={number}"
-        wanted = complete.select("target_path", "source_size", "content_type", "expected_md5")
-        wanted.mapInPandas(run, FINISH_DDL).write.mode("overwrite").parquet(folder)
+        ends, parts = F.col("parts.end").alias("ends"), F.col("parts.part").alias("parts")
+        wanted = complete.select("target_path", "source_size", ends, parts, "content_type", "expected_md5")
+        wanted.mapInPandas(Mover(self.shared_target).finish_objects, FINISH_DDL).write.mode("overwrite").parquet(folder)
         failed = self.spark.read.schema(FINISH_DDL).parquet(folder).where("error IS NOT NULL")
         return failed.where(~F.col("error").startswith(WRONG_CONTENT)).count()
 
@@ -404,6 +426,20 @@ def _unfinished(path: str) -> str:
     return f"{path}.unfinished"
 
 
+def _part(start: int) -> str:
+    """What the part that begins with this byte is called, after the name of the unfinished object. Most objects have the first
+    one alone, which needs no folder."""
+    return f"/{start}" if start else ".0"
+
+
+def _part_uri(uri: str, part: str) -> str:
+    return f"{_unfinished(uri)}{part}"
+
+
+def _failed(problem: Exception) -> tuple:
+    return None, None, f"{type(problem).__name__}: {problem}", None
+
+
 @dataclass(frozen=True)
 class Mover:
     """Moves and joins chunks; in place if all tasks see one file system."""
@@ -415,7 +451,8 @@ class Mover:
         return path if self.shared_target and isinstance(files, fs.LocalFileSystem) else None
 
     def copy_chunk(self, row) -> tuple[str | None, int]:
-        """Copies a chunk; returns its md5, if it was read, and the bytes that passed through this task."""
+        """Copies a whole object, or a chunk in place; returns its md5, if it was read, and the bytes that passed through
+        this task."""
         size = row.end - row.start
         if row.is_whole:
             if row.is_rewrite:
@@ -423,9 +460,6 @@ class Mover:
             content = pieces(row.source_path, row.start, row.end)
             return write_whole(row.target_path, content, row.content_type, row.expected_md5)[1], size
         path = self._in_place(row.target_path)
-        if path is None:
-            part = f"{_unfinished(row.target_path)}/{row.start}"
-            return write_whole(part, pieces(row.source_path, row.start, row.end))[1], size
         try:
             handle = os.open(_unfinished(path), os.O_CREAT | os.O_RDWR)
         except FileNotFoundError:
@@ -445,67 +479,140 @@ class Mover:
         finally:
             os.close(handle)
 
+    def copy_part(self, rows: list) -> list[tuple]:
+        """Copies adjoining chunks into one part, up to the first that cannot be read; returns the outcomes of these, and of
+        that one."""
+        part, found, ended = _part(rows[0].start), [], []
+
+        def content() -> Iterator[bytes]:
+            for row in rows:
+                digest = hashlib.md5()
+                try:
+                    for piece in pieces(row.source_path, row.start, row.end):
+                        digest.update(piece)
+                        yield piece
+                except Exception as problem:
+                    if not found:
+                        raise
+                    # What there is of it lies behind the last chunk of the part, where nobody reads.
+                    ended.append(_failed(problem))
+                    return
+                found.append((digest.hexdigest(), row.end - row.start, None, part))
+
+        try:
+            put_whole(_part_uri(rows[0].target_path, part), content())
+        except Exception as problem:
+            return [_failed(problem)] * max(len(found), 1)
+        return found + ended
+
+    def copy_run(self, rows: list) -> list[tuple]:
+        """Copies the chunks of a run, which adjoin each other but for gaps; returns their outcomes."""
+        if not rows[0].is_whole and not self._in_place(rows[0].target_path):
+            found = []
+            while len(found) < len(rows):
+                last = first = len(found)
+                while last + 1 < len(rows) and rows[last].end == rows[last + 1].start:
+                    last += 1
+                found += self.copy_part(rows[first : last + 1])
+            return found
+        found = []
+        for row in rows:
+            try:
+                found.append((*self.copy_chunk(row), None, None if row.is_whole else ""))
+            except Exception as problem:  # one bad object must not fail its neighbours
+                found.append(_failed(problem))
+        return found
+
     def copy_chunks(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = []
-            for row in batch.astype(object).where(batch.notna(), None).itertuples(index=False):
-                try:
-                    found.append((*self.copy_chunk(row), None))
-                except Exception as problem:  # one bad object must not fail its neighbours
-                    found.append((None, None, f"{type(problem).__name__}: {problem}"))
-            yield _with_outcome(batch, found)
+            rows = batch.astype(object).where(batch.notna(), None).itertuples(index=False)
+            runs = groupby(rows, lambda row: (row.target_path, row.source_path, row.is_whole, row.run))
+            yield _with_outcome(batch, [one for _, run in runs for one in self.copy_run(list(run))])
 
     def find_chunks(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Those of the chunks whose bytes are there, by their length; content is compared when the object is finished."""
+        """Those of the chunks whose bytes are there, by the length of their part; content is compared when the object is
+        finished. A part's chunks come one after the other."""
+        last = None, 0, None
         for batch in batches:
-            there = []
+            found = []
             for row in batch.itertuples(index=False):
-                path = self._in_place(row.target_path)
-                files, part = open_path(_unfinished(row.target_path) + ("" if path else f"/{row.start}"))
-                info = files.get_file_info(part)
-                there.append(info.type == fs.FileType.File and info.size == (row.source_size if path else row.end - row.start))
-            kept = batch[pd.Series(there, index=batch.index, dtype=bool)]
-            yield _with_outcome(kept, [(None, 0, None)] * len(kept))
-
-    def finish_object(self, uri: str, size: int, step: int, content_type: str | None, expected_md5: str | None) -> None:
-        path = self._in_place(uri)
-        if path is None:
-            files, parts = open_path(_unfinished(uri))
-
-            def content() -> Iterator[bytes]:
-                for start in range(0, size, step):
-                    yield from pieces(f"{_unfinished(uri)}/{start}", 0, min(step, size - start))
-
-            write_whole(uri, content(), content_type, expected_md5)
-            files.delete_dir(parts)
-        elif os.path.exists(_unfinished(path)) or not os.path.exists(path):
-            # A rerun finds the file already renamed.
+                if self._in_place(row.target_path):
+                    found.append("" if _size(_unfinished(row.target_path)) == row.source_size else None)
+                    continue
+                if row.target_path != last[0] or row.end > last[1]:
+                    for part in dict.fromkeys((_part(row.start), f"/{row.start}")):
+                        if row.start + _size(_part_uri(row.target_path, part)) >= row.end:
+                            last = row.target_path, row.start + _size(_part_uri(row.target_path, part)), part
+                            break
+                    else:
+                        last = None, 0, None
+                found.append(last[2])
+            kept = batch[pd.Series([part is not None for part in found], index=batch.index, dtype=bool)]
+            yield _with_outcome(kept, [(None, 0, None, part) for part in found if part is not None])
+
+    def finish_object(
+        self, uri: str, size: int, ends: list[int], parts: list[str], content_type: str | None, expected_md5: str | None
+    ) -> None:
+        """Gives an object its name, from the parts that lie one after the other up to these ends."""
+        files, path = open_path(uri)
+        local = isinstance(files, fs.LocalFileSystem)
+        if local and (self.shared_target or len(parts) == 1):
+            lies = _unfinished(path) if self.shared_target else _part_uri(path, parts[0])
+            if not os.path.exists(lies) and os.path.exists(path):
+                lies = path  # a rerun finds the file already renamed
+            if _size(lies) != size:
+                raise OSError(f"{lies} has {_size(lies)} bytes, expected {size}")
             if expected_md5 is not None:
                 digest = hashlib.md5()
-                for piece in pieces(_unfinished(path), 0, size):
+                for piece in pieces(lies, 0, size):
                     digest.update(piece)
                 require_md5(uri, digest.hexdigest(), expected_md5)
-            set_content_type(_unfinished(path), content_type)
-            os.replace(_unfinished(path), path)
+            if lies != path:
+                set_content_type(lies, content_type)
+                os.replace(lies, path)
+        else:
+
+            def content() -> Iterator[bytes]:
+                for start, end, part in zip([0, *ends], ends, parts):
+                    yield from pieces(_part_uri(uri, part), 0, end - start)
 
-    def finish_objects(self, batches: Iterator[pd.DataFrame], step: int) -> Iterator[pd.DataFrame]:
+            write_whole(uri, content(), content_type, expected_md5)
+            if _part(0) in parts:
+                files.delete_file(_part_uri(path, _part(0)))
+        folder = _unfinished(path)
+        if files.get_file_info(folder).type == fs.FileType.Directory:
+            files.delete_dir(folder)
+
+    def finish_objects(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             errors = []
             for row in batch.astype(object).where(batch.notna(), None).itertuples(index=False):
                 try:
-                    self.finish_object(row.target_path, row.source_size, step, row.content_type, row.expected_md5)
+                    self.finish_object(
+                        row.target_path, row.source_size, list(row.ends), list(row.parts), row.content_type, row.expected_md5
+                    )
                     errors.append(None)
                 except Exception as problem:
                     errors.append(f"{type(problem).__name__}: {problem}")
             yield pd.DataFrame({"target_path": batch["target_path"], "error": pd.Series(errors, dtype=object, index=batch.index)})
 
 
+def _size(uri: str) -> int:
+    """Bytes of an object, -1 if there is none."""
+    files, path = open_path(uri)
+    info = files.get_file_info(path)
+    return info.size if info.type == fs.FileType.File else -1
+
+
 def _with_outcome(batch: pd.DataFrame, found: list[tuple]) -> pd.DataFrame:
     names = ["source_path", "target_path", "source_size", "start", "end", "is_whole"]
-    columns = list(zip(*found)) if found else ([], [], [])
+    columns = list(zip(*found)) if found else ([], [], [], [])
     out = batch[names].reset_index(drop=True)
     return out.assign(
-        md5=pd.Series(columns[0], dtype=object), moved=pd.Series(columns[1], dtype="Int64"), error=pd.Series(columns[2], dtype=object)
+        md5=pd.Series(columns[0], dtype=object),
+        moved=pd.Series(columns[1], dtype="Int64"),
+        error=pd.Series(columns[2], dtype=object),
+        part=pd.Series(columns[3], dtype=object),
     )
 
 

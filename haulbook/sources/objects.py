@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import pandas as pd
@@ -42,14 +42,17 @@ class WrongContent(ValueError):
 #: Hadoop's names of schemes, and Arrow's.
 SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "gcs": "gs"}
 
-#: Clients of a task, by scheme and authority.
+#: Clients of a task, by scheme and authority, and the one for files.
 CLIENTS: dict[tuple[str, str], tuple[fs.FileSystem, str]] = {}
+LOCAL = fs.LocalFileSystem()
 
 
 def open_path(uri: str) -> tuple[fs.FileSystem, str]:
     """The client for a path and the path as it wants it; a task makes one client per store."""
     if uri.startswith("file:"):
         uri = "/" + uri[len("file:") :].lstrip("/")
+    if uri.startswith("/") and not uri.endswith("/"):
+        return LOCAL, uri
     scheme, found, rest = uri.partition("://")
     if not found:
         return fs.FileSystem.from_uri(uri)
@@ -67,7 +70,7 @@ def pieces(uri: str, start: int, end: int) -> Iterator[bytes]:
     if end <= start:
         return
     files, path = open_path(uri)
-    with files.open_input_file(path) as handle:
+    with _Local(path) if isinstance(files, fs.LocalFileSystem) else files.open_input_file(path) as handle:
         while start < end:
             piece = handle.read_at(min(PIECE, end - start), start)
             if not piece:
@@ -76,6 +79,22 @@ def pieces(uri: str, start: int, end: int) -> Iterator[bytes]:
             yield piece
 
 
+class _Local:
+    """A local file to read from, without the calls that a client of stores makes besides."""
+
+    def __init__(self, path: str):
+        self.handle = os.open(path, os.O_RDONLY)
+
+    def __enter__(self) -> _Local:
+        return self
+
+    def __exit__(self, *_) -> None:
+        os.close(self.handle)
+
+    def read_at(self, count: int, start: int) -> bytes:
+        return os.pread(self.handle, count, start)
+
+
 def require_md5(uri: str, found: str, expected: str | None) -> None:
     if expected is not None and found != expected:
         raise WrongContent(f"md5 of {uri} is {found}, expected {expected}")
@@ -119,10 +138,26 @@ def write_whole(
 
     A store shows an object when it has all of it, so one with other content is there until it is deleted again.
     """
+    digest, size = hashlib.md5(), 0
+
+    def hashed() -> Iterator[bytes]:
+        nonlocal size
+        for piece in content:
+            digest.update(piece)
+            size += len(piece)
+            yield piece
+
+    put_whole(uri, hashed(), content_type, lambda: require_md5(uri, digest.hexdigest(), expected_md5))
+    return size, digest.hexdigest()
+
+
+def put_whole(
+    uri: str, content: Iterator[bytes], content_type: str | None = None, check: Callable[[], None] = lambda: None
+) -> None:
+    """Write an object so that it appears complete or not at all; not if ``check`` fails after its content has passed."""
     files, path = open_path(uri)
     local = isinstance(files, fs.LocalFileSystem)
     written = f"{path}.{uuid.uuid4().hex}.tmp" if local else path
-    digest, size = hashlib.md5(), 0
     metadata = {TYPE_HEADER: content_type} if content_type is not None and not local else None
     if local:
         # Content that cannot be read makes no file that would have to go again.
@@ -132,9 +167,7 @@ def write_whole(
         with _opened(files, written, local, metadata) as handle:
             for piece in content:
                 handle.write(piece)
-                digest.update(piece)
-                size += len(piece)
-        require_md5(uri, digest.hexdigest(), expected_md5)
+        check()
     except Exception:
         if files.get_file_info(written).type == fs.FileType.File:
             files.delete_file(written)
@@ -142,7 +175,6 @@ def write_whole(
     if local:
         set_content_type(written, content_type)
         files.move(written, path)
-    return size, digest.hexdigest()
 
 
 def copy_bytes(source: str, target: int, start: int, end: int) -> int:

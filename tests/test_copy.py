@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from haulbook.functions import text
 from haulbook.operators import directories, preflight, ranges
-from haulbook.plans.copy import CopyJob, progress_records, resumed_from
+from haulbook.plans.copy import CopyJob, Mover, progress_records, resumed_from
 from haulbook.sources import messages, objects
 
 MANIFEST = "path string, size bigint, md5 string, content_type string"
@@ -434,3 +434,74 @@ def test_content_that_cannot_be_read_makes_no_folder(tmp_path):
         objects.write_whole(f"{tmp_path}/to/f", objects.pieces(f"{tmp_path}/from/f", 0, 10))
     assert not (tmp_path / "to").exists()
     assert objects.write_whole(f"{tmp_path}/to/e", iter([]))[0] == 0 and (tmp_path / "to/e").read_bytes() == b""
+
+
+def test_adjoining_chunks_are_written_as_one_part(spark, files, tmp_path):
+    """Most objects are one file until they are finished, which then only needs its name."""
+    contents, requests = files
+    job = CopyJob(spark, f"{tmp_path}/job", step=32)
+    job.write_plan(decided(spark, requests, 32))
+    assert job.attempt() == 0
+    part = tmp_path / "to/d6/f1000.unfinished.0"
+    assert part.read_bytes() == contents["d6/f1000"] and [path.name for path in part.parent.iterdir()] == [part.name]
+    assert len(list((tmp_path / "to/d7").rglob("*"))) < 100  # 3126 before
+    number = part.stat().st_ino
+    assert job.finish() == 0 and (tmp_path / "to/d6/f1000").stat().st_ino == number
+    assert {path.relative_to(tmp_path / "to").as_posix(): path.read_bytes() for path in (tmp_path / "to").rglob("*") if path.is_file()} == contents
+    assert {row.steps for row in job.report().collect() if row.source_path.endswith(("f33", "f1000", "f100000"))} == {2, 32, 3125}
+
+
+def test_a_part_ends_where_its_source_does(spark, files, tmp_path):
+    contents, requests = files
+    rows = decided(spark, requests, 32).persist()
+    rows.count()
+    source = tmp_path / "from/d6/f1000"
+    source.write_bytes(contents["d6/f1000"][:500])  # 15 chunks, and 20 bytes of the next
+    first = CopyJob(spark, f"{tmp_path}/job", step=32, max_retries=0)
+    states = {row.source_path.rsplit("/", 1)[1]: (row.state, row.bytes_uploaded) for row in first.run(rows).collect()}
+    assert states.pop("f1000") == ("failed", 480) and {state for state, _ in states.values()} == {"copied"}
+    source.write_bytes(contents["d6/f1000"])
+    again = CopyJob(spark, f"{tmp_path}/job", step=32, max_retries=0)
+    assert {row.state for row in again.run(rows).collect()} == {"copied"}
+    assert (tmp_path / "to/d6/f1000").read_bytes() == contents["d6/f1000"]
+    assert [path.name for path in (tmp_path / "to/d6").iterdir()] == ["f1000"]
+    parts = again.outcomes().where("source_path LIKE '%f1000' AND error IS NULL").groupBy("attempt")
+    parts = {row.attempt: (row.chunks, row.first) for row in parts.agg(F.count("part").alias("chunks"), F.min("part").alias("first")).collect()}
+    assert parts == {0: (15, ".0"), 1: (17, "/480")}
+
+
+def test_runs_of_chunks_leave_work_for_all_tasks(spark, tmp_path):
+    job = CopyJob(spark, f"{tmp_path}/job")
+    assert job._run_bytes(40 * job.step, 40) == job.step
+    assert job._run_bytes(4000 * job.step, 40) == 16 * job.step
+    assert job._run_bytes(10**15, 40) == 64 * job.step
+    assert CopyJob(spark, f"{tmp_path}/job", shared_target=True)._run_bytes(10**15, 40) == job.step
+
+
+def test_finishing_again_finds_the_file_renamed(tmp_path):
+    wanted, md5 = (f"{tmp_path}/f", 3, [3], [".0"], "text/csv"), hashlib.md5(b"abc").hexdigest()
+    (tmp_path / "f.unfinished.0").write_bytes(b"abc")
+    for _ in range(2):
+        Mover(False).finish_object(*wanted, md5)
+        assert [path.name for path in tmp_path.iterdir()] == ["f"] and (tmp_path / "f").read_bytes() == b"abc"
+    with pytest.raises(objects.WrongContent):
+        Mover(False).finish_object(*wanted, "0" * 32)
+    (tmp_path / "f").unlink()
+    with pytest.raises(OSError):
+        Mover(False).finish_object(*wanted, None)
+
+
+def test_chunks_of_a_job_before_parts_had_names_are_finished(spark, tmp_path):
+    (tmp_path / "from").mkdir()
+    (tmp_path / "from/f").write_bytes(bytes(range(100)))
+    row = (f"{tmp_path}/from/f", f"{tmp_path}/to/f")
+    plan = decided(spark, spark.createDataFrame([row], "source_path string, target_path string"), 32)
+    (tmp_path / "to/f.unfinished").mkdir(parents=True)
+    for start in (0, 64):
+        (tmp_path / f"to/f.unfinished/{start}").write_bytes(bytes(range(start, start + 32)))
+    old = "source_path string, target_path string, source_size bigint, start bigint, end bigint, is_whole boolean, md5 string, moved bigint, error string"
+    known = [(*row, 100, start, start + 32, False, hashlib.md5(bytes(range(start, start + 32))).hexdigest(), 32, None) for start in (0, 64)]
+    spark.createDataFrame(known, old).write.parquet(f"{tmp_path}/job/attempts/attempt=0")
+    job = CopyJob(spark, f"{tmp_path}/job", step=32)
+    assert [row.state for row in job.run(plan).collect()] == ["copied"] and job.outcomes().count() == 4
+    assert (tmp_path / "to/f").read_bytes() == bytes(range(100)) and not (tmp_path / "to/f.unfinished").exists()
