@@ -241,13 +241,17 @@ def child_paths(spark, sf_dir):
 TREE_SQL = "SELECT path, size, md5 FROM objects"
 
 
+def tasks_of(rows: DataFrame) -> int:
+    """Tasks for a row per object, however many row groups they are read from."""
+    return max(ranges.tasks_for(rows.count(), OBJECTS_PER_TASK), rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def export(spark: SparkSession, sf_dir: str, root: str, where: str = "true") -> DataFrame:
     """Write documents as files below a root, and return their manifest."""
     contents = v.object_contents(spark, sf_dir).where(where)
     placed = contents.select(F.concat(F.lit(root), "path").alias("path"), "content")
     manifest = f"{root}-manifest-{len(where)}"
-    tasks = max(ranges.tasks_for(contents.count(), OBJECTS_PER_TASK), spark.sparkContext.defaultParallelism)
-    objects.write_objects(placed, tasks).write.mode("overwrite").parquet(manifest)
+    objects.write_objects(placed, tasks_of(contents)).write.mode("overwrite").parquet(manifest)
     return spark.read.parquet(manifest)
 
 
@@ -363,7 +367,7 @@ def copy_files(spark, sf_dir, name: str, step: int, where: str = "true") -> tupl
     root = run_dir(spark, name)
     source = export(spark, sf_dir, f"{root}/from")
     copies = file_copies(spark, sf_dir, root, where)
-    target = objects.stat(copies.select(F.col("target_path").alias("path")))
+    target = objects.stat(copies.select(F.col("target_path").alias("path")), partitions=tasks_of(source))
     job = CopyJob(spark, f"{root}/job", step)
     report = job.run(preflight.decide(copies, manifest_of(source), manifest_of(target), step))
     return job, report, f"{root}/to"

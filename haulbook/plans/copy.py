@@ -168,7 +168,7 @@ class CopyJob:
         paths = self._attempts()
         schema = f"{OUTCOME_DDL}, attempt int"
         if not paths:
-            return self.spark.createDataFrame([], schema)
+            return self._nothing(schema)
         return self.spark.read.schema(schema).option("basePath", f"{self.work_dir}/attempts").parquet(*paths)
 
     def latest(self) -> DataFrame:
@@ -204,9 +204,7 @@ class CopyJob:
     def attempt(self) -> int:
         """Copy all chunks that have not succeeded, with a report after so many bytes; returns how many failed."""
         done = self.latest().where(F.col("error").isNull() | F.col("error").startswith(WRONG_CONTENT))
-        left = self.tasks().select(*TASK_COLUMNS)
-        if self._attempts():
-            left = left.join(done.select("target_path", "start"), ["target_path", "start"], "left_anti")
+        left = self.tasks().select(*TASK_COLUMNS).join(done.select("target_path", "start"), ["target_path", "start"], "left_anti")
         total, count = left.agg(F.sum(F.col("end") - F.col("start")), F.count(F.lit(1))).first()
         if not count:
             return 0
@@ -291,7 +289,7 @@ class CopyJob:
     def finished(self) -> DataFrame:
         """How finishing last went for each object it was tried for."""
         if not finished_folders(self.spark, f"{self.work_dir}/finished"):
-            return self.spark.createDataFrame([], FINISH_DDL)
+            return self._nothing(FINISH_DDL)
         rows = self.spark.read.schema(f"{FINISH_DDL}, attempt int").parquet(f"{self.work_dir}/finished")
         return rows.groupBy("target_path").agg(F.max_by(F.struct("error"), "attempt").alias("last")).select("target_path", "last.error")
 
@@ -376,6 +374,11 @@ class CopyJob:
         wrong = spread.mapInPandas(_hash_chunks, ddl).where("found IS NULL OR found <> md5")
         return wrong.withColumn("target_path", F.left("target_path", F.length("target_path") - len(suffix)))
 
+    def _nothing(self, schema: str) -> DataFrame:
+        """No rows, known as such to the optimiser, which leaves out joins with them."""
+        fields = [field.split() for field in schema.split(", ")]
+        return self.spark.range(0).select(*[F.lit(None).cast(kind).alias(name) for name, kind in fields])
+
     def _is_written(self, name: str) -> bool:
         return any(found == name for found, _ in finished_folders(self.spark, self.work_dir))
 

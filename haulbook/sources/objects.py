@@ -122,13 +122,13 @@ def content_type_of(files: fs.FileSystem, path: str) -> str | None:
 
 def _opened(files: fs.FileSystem, path: str, local: bool, metadata: dict[str, str] | None):
     """A stream to write an object by. Asking for its folder each time would lock the one above; it is made when it is missing."""
-    try:
+    if not local:
         return files.open_output_stream(path, metadata=metadata)
+    try:
+        return open(path, "wb")
     except FileNotFoundError:
-        if not local:
-            raise
         files.create_dir(os.path.dirname(path), recursive=True)
-        return files.open_output_stream(path, metadata=metadata)
+        return open(path, "wb")
 
 
 def write_whole(
@@ -174,7 +174,7 @@ def put_whole(
         raise
     if local:
         set_content_type(written, content_type)
-        files.move(written, path)
+        os.replace(written, path)
 
 
 def copy_bytes(source: str, target: int, start: int, end: int) -> int:

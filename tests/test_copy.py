@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from haulbook.functions import text
 from haulbook.operators import directories, preflight, ranges
-from haulbook.plans.copy import CopyJob, Mover, progress_records, resumed_from
+from haulbook.plans.copy import FINISH_DDL, OUTCOME_DDL, CopyJob, Mover, progress_records, resumed_from
 from haulbook.sources import messages, objects
 
 MANIFEST = "path string, size bigint, md5 string, content_type string"
@@ -505,3 +505,12 @@ def test_chunks_of_a_job_before_parts_had_names_are_finished(spark, tmp_path):
     job = CopyJob(spark, f"{tmp_path}/job", step=32)
     assert [row.state for row in job.run(plan).collect()] == ["copied"] and job.outcomes().count() == 4
     assert (tmp_path / "to/f").read_bytes() == bytes(range(100)) and not (tmp_path / "to/f.unfinished").exists()
+
+
+def test_nothing_is_joined_before_there_are_outcomes(spark, tmp_path):
+    job = CopyJob(spark, f"{tmp_path}/job")
+    names = spark.createDataFrame([("a", None)], "target_path string, error string")
+    for nothing, kinds in ((job.outcomes(), OUTCOME_DDL + ", attempt int"), (job.finished(), FINISH_DDL)):
+        assert nothing.schema.simpleString() == spark.createDataFrame([], kinds).schema.simpleString() and nothing.count() == 0
+        left = names.join(nothing.select("target_path"), "target_path", "left_anti")
+        assert "Join" not in left._jdf.queryExecution().optimizedPlan().toString() and left.count() == 1
