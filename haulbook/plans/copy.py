@@ -556,7 +556,7 @@ class Mover:
     def finish_object(
         self, uri: str, size: int, ends: list[int], parts: list[str], content_type: str | None, expected_md5: str | None
     ) -> None:
-        """Gives an object its name, from the parts that lie one after the other up to these ends."""
+        """Gives an object its name, from the parts that have its bytes up to these ends, one after the other."""
         files, path = open_path(uri)
         local = isinstance(files, fs.LocalFileSystem)
         if local and (self.shared_target or len(parts) == 1):
@@ -576,8 +576,12 @@ class Mover:
         else:
 
             def content() -> Iterator[bytes]:
-                for start, end, part in zip([0, *ends], ends, parts):
-                    yield from pieces(_part_uri(uri, part), 0, end - start)
+                at = 0
+                for end, part in zip(ends, parts):
+                    # Where an object was asked for twice, parts overlap.
+                    first = int(part[1:])
+                    yield from pieces(_part_uri(uri, part), at - first, end - first)
+                    at = max(at, end)
 
             write_whole(uri, content(), content_type, expected_md5)
             if _part(0) in parts:

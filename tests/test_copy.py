@@ -514,3 +514,19 @@ def test_nothing_is_joined_before_there_are_outcomes(spark, tmp_path):
         assert nothing.schema.simpleString() == spark.createDataFrame([], kinds).schema.simpleString() and nothing.count() == 0
         left = names.join(nothing.select("target_path"), "target_path", "left_anti")
         assert "Join" not in left._jdf.queryExecution().optimizedPlan().toString() and left.count() == 1
+
+
+def test_parts_that_overlap_give_each_byte_once(tmp_path):
+    for ends, parts in (([4, 6, 8], [".0", "/2", "/4"]), ([4, 8], [".0", "/4"]), ([2, 6, 4, 8], [".0", "/2", "/2", "/4"])):
+        for part, content in ((".0", b"abcd"), ("/2", b"cdef"), ("/4", b"efgh")):
+            (tmp_path / "f.unfinished").mkdir(exist_ok=True)
+            (tmp_path / f"f.unfinished{part}").write_bytes(content)
+        Mover(False).finish_object(f"{tmp_path}/f", 8, ends, parts, None, hashlib.md5(b"abcdefgh").hexdigest())
+        assert [path.name for path in tmp_path.iterdir()] == ["f"] and (tmp_path / "f").read_bytes() == b"abcdefgh"
+
+
+def test_objects_asked_for_twice_are_whole(spark, files, tmp_path):
+    contents, requests = files
+    rows = decided(spark, requests, 32)
+    CopyJob(spark, f"{tmp_path}/job", step=32, max_retries=0).run(rows.unionByName(rows)).count()
+    assert {name: (tmp_path / "to" / name).read_bytes() for name in contents} == contents
