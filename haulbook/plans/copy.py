@@ -199,7 +199,8 @@ class CopyJob:
         known = self.plan().join(resumed.groupBy("target_path").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "target_path")
         within = F.exists("ranges", lambda one: (one["start"] <= F.col("start")) & (one["end"] >= F.col("end")))
         chunks = self.tasks(known).where(~F.col("is_whole") & within).select(*TASK_COLUMNS)
-        self._write_attempt(chunks, Mover(self.shared_target).find_chunks)
+        # All chunks that may be in one part are looked for by one task, however the other job dealt them.
+        self._write_attempt(chunks, Mover(self.shared_target).find_chunks, run_bytes=self.step * CHUNKS_PER_PART)
 
     def attempt(self) -> int:
         """Copy all chunks that have not succeeded, with a report after so many bytes; returns how many failed."""
@@ -218,11 +219,13 @@ class CopyJob:
         tried = self.outcomes().where(F.col("attempt") >= first)
         return tried.where(F.col("error").isNotNull() & ~F.col("error").startswith(WRONG_CONTENT)).count()
 
-    def _write_attempt(self, chunks: DataFrame, work, total: int | None = None, count: int | None = None) -> DataFrame:
+    def _write_attempt(
+        self, chunks: DataFrame, work, total: int | None = None, count: int | None = None, run_bytes: int | None = None
+    ) -> DataFrame:
         if total is None:
             total, count = chunks.agg(F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0)), F.count(F.lit(1))).first()
         partitions = self._partitions(total, count)
-        run = F.floor(F.col("start") / self._run_bytes(total, partitions))
+        run = F.floor(F.col("start") / (run_bytes or self._run_bytes(total, partitions)))
         spread = repartition_by_bytes(chunks.withColumn("run", run), partitions, "target_path", "run")
         # The chunks of a run one after the other; in the order of the paths all tasks would write to one folder at a time.
         spread = spread.sortWithinPartitions(F.xxhash64("target_path"), "target_path", "start")

@@ -530,3 +530,17 @@ def test_objects_asked_for_twice_are_whole(spark, files, tmp_path):
     rows = decided(spark, requests, 32)
     CopyJob(spark, f"{tmp_path}/job", step=32, max_retries=0).run(rows.unionByName(rows)).count()
     assert {name: (tmp_path / "to" / name).read_bytes() for name in contents} == contents
+
+
+def test_chunks_of_another_jobs_part_are_found_together(spark, tmp_path):
+    for folder in ("from", "to"):
+        (tmp_path / folder).mkdir()
+    (tmp_path / "from/f").write_bytes(bytes(range(100)))
+    (tmp_path / "to/f.unfinished.0").write_bytes(bytes(range(98)))
+    row = (f"{tmp_path}/from/f", f"{tmp_path}/to/f")
+    plan = decided(spark, spark.createDataFrame([row], "source_path string, target_path string"), 32)
+    resumed = spark.createDataFrame([(row[1], [(0, 96)])], "target_path string, ranges array<struct<start: bigint, end: bigint>>")
+    job = CopyJob(spark, f"{tmp_path}/job", step=32)
+    assert [row.state for row in job.run(plan, resumed).collect()] == ["copied"]
+    assert [row.start for row in job.outcomes().where("moved > 0").collect()] == [96]
+    assert (tmp_path / "to/f").read_bytes() == bytes(range(100))
